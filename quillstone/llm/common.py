@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +45,19 @@ def groups(texts: list[bytes], size: int = GROUP_BYTES) -> Iterator[tuple[int, i
         yield start, len(texts)
 
 
+def slices(batch: pa.RecordBatch, column: int | str, size: int = 2 * GROUP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts in the column hold about size bytes each, so that results are as small."""
+    texts = batch.column(column if isinstance(column, int) else batch.schema.get_field_index(column))
+    lengths = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(lengths) // size
+    ends = [*(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    start = 0
+    for end in ends:
+        if end > start:
+            yield batch.slice(start, end - start)
+        start = end
+
+
 def int_lists(blobs: list[bytes], kind: pa.DataType | None = None) -> pa.ListArray:
     """Little-endian 32-bit integers in each blob, as an Arrow list column without copying each value."""
     values = np.frombuffer(b"".join(blobs), dtype="<i4")

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from quillstone.llm import arrowseq, bpe, packing, quality
+from quillstone.llm import ann, arrowseq, bpe, packing, quality, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_bpe_codec": bpe.op1,
+        "op2_ivf_pq_neighbours": ann.op2,
         "op5_quality_rules": quality.op5,
         "op7_arrow_sequences": arrowseq.op7,
         "op8_best_fit_packing": packing.op8,
+        "op10_toxicity": toxicity.op10,
     }
 
 
