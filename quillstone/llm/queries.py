@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quillstone.llm import ann, arrowseq, bpe, packing, quality, toxicity
+from quillstone.llm import ann, arrowseq, bpe, chat, packing, quality, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_bpe_codec": bpe.op1,
         "op2_ivf_pq_neighbours": ann.op2,
+        "op3_chat_format": chat.op3,
         "op5_quality_rules": quality.op5,
         "op7_arrow_sequences": arrowseq.op7,
         "op8_best_fit_packing": packing.op8,
@@ -17,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_chat_format": chat.OP3_SQL}
