@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillstone.llm import ann, arrowseq, bpe, chat, packing, quality, toxicity
+from quillstone.llm import ann, arrowseq, bpe, chat, packing, quality, suffix, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_ivf_pq_neighbours": ann.op2,
         "op3_chat_format": chat.op3,
         "op5_quality_rules": quality.op5,
+        "op6_suffix_dedup": suffix.op6,
         "op7_arrow_sequences": arrowseq.op7,
         "op8_best_fit_packing": packing.op8,
         "op10_toxicity": toxicity.op10,
