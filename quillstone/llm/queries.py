@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillstone.llm import ann, arrowseq, bpe, chat, packing, quality, suffix, toxicity
+from quillstone.llm import ann, arrowseq, bpe, chat, jaccard, packing, quality, suffix, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_bpe_codec": bpe.op1,
         "op2_ivf_pq_neighbours": ann.op2,
         "op3_chat_format": chat.op3,
+        "op4_ngram_jaccard_join": jaccard.op4,
         "op5_quality_rules": quality.op5,
         "op6_suffix_dedup": suffix.op6,
         "op7_arrow_sequences": arrowseq.op7,
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": chat.OP3_SQL}
+    return {"op3_chat_format": chat.OP3_SQL, "op4_ngram_jaccard_join": jaccard.OP4_SQL}
