@@ -20,13 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstone.llm.common import as_bytes, groups, int_lists
-from quillstone.llm.tokens import LONGEST, MEMO, STALE, byte_level_chunks, vocabulary_text
+from quillstone.llm.common import as_bytes, groups, int_lists, slices
+from quillstone.llm.tokens import LONGEST, STALE, byte_level_chunks, vocabulary_text
 
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: The public pre-tokenizer pattern, with white space spelled out.
 PRE_TOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-PAIRS = 2_000_000
+#: Pre-token chunks and tested pairs that a worker remembers.
+MEMO, PAIRS = 250_000, 300_000
 
 
 def printable_bytes() -> dict[str, int]:
@@ -176,7 +177,7 @@ def bpe_encode(df: DataFrame, vocabulary: str = "byte_bpe_50k.json", text: str =
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(shared.value)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, text)):
             at = batch.schema.get_field_index(text)
             found = int_lists(model.encode(as_bytes(batch.column(at))))
             yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != at), found], names=schema.names)
