@@ -1,8 +1,9 @@
 """Token ids in Arrow stream files of fixed-size-list batches.
 
 A file holds documents in order of their key, their ids one after the other in sequences of equal length. Each batch
-has two fixed-size-list columns, ids (uint32) and mask (uint8, 0 where the last sequence is filled up), so that
-sequence n is at a place that can be computed and a memory-mapped reader gets it without copying. The documents'
+has two fixed-size-list columns, ids (uint16 if the vocabulary allows, else uint32) and mask (bool, false where the
+last sequence is filled up), so that sequence n is at a place that can be computed and a memory-mapped reader gets
+its ids without copying. The documents'
 keys and lengths are in a second stream after the first.
 """
 
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import as_bytes, shared_dir, shuffle_partitions
+from quillstone.llm.common import as_bytes, shared_dir, shuffle_partitions, slices
 from quillstone.llm.tokens import encoder, vocabulary_text
 
 LENGTH, ROWS = 1024, 256
@@ -37,9 +38,9 @@ def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
 class SequenceWriter:
     """One file: a stream of fixed-size-list batches, a stream with the documents, and the second one's place in the last 8 bytes."""
 
-    def __init__(self, sink: pa.NativeFile, length: int, rows: int):
+    def __init__(self, sink: pa.NativeFile, length: int, rows: int, ids: pa.DataType):
         self.sink, self.length, self.rows = sink, length, rows
-        self.schema = pa.schema([pa.field("ids", pa.list_(pa.uint32(), length), nullable=False), pa.field("mask", pa.list_(pa.uint8(), length), nullable=False)])
+        self.schema = pa.schema([pa.field("ids", pa.list_(ids, length), nullable=False), pa.field("mask", pa.list_(pa.bool_(), length), nullable=False)])
         self.stream = pa.ipc.new_stream(sink, self.schema)
         self.held: list[bytes] = []
         self.size = self.total = 0
@@ -60,8 +61,8 @@ class SequenceWriter:
         for at in range(0, full, self.length * self.rows):
             part = values[at : min(full, at + self.length * self.rows)]
             n = -(-len(part) // self.length)
-            ids, mask = np.zeros(n * self.length, dtype=np.uint32), np.zeros(n * self.length, dtype=np.uint8)
-            ids[: len(part)], mask[: len(part)] = part, 1
+            ids, mask = np.zeros(n * self.length, dtype=self.schema[0].type.value_type.to_pandas_dtype()), np.zeros(n * self.length, dtype=bool)
+            ids[: len(part)], mask[: len(part)] = part, True
             self.stream.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(ids), type=self.schema[0].type), pa.FixedSizeListArray.from_arrays(pa.array(mask), type=self.schema[1].type)], schema=self.schema))
         self.total += full
         self.held, self.size = [values[full:].tobytes()], 4 * (len(values) - full)
@@ -92,7 +93,8 @@ class SequenceReader:
     def __getitem__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and mask of sequence n."""
         batch, row = self.batches[n // self.rows], n % self.rows
-        return tuple(c.values.to_numpy()[(c.offset + row) * self.length : (c.offset + row + 1) * self.length] for c in batch.columns)
+        ids, mask = (c.values[(c.offset + row) * self.length : (c.offset + row + 1) * self.length] for c in batch.columns)
+        return ids.to_numpy(), mask.to_numpy(zero_copy_only=False)
 
     def runs(self, counts: list[int]) -> Iterator[bytes]:
         """Ids of documents that follow one another from the file's start on, by their lengths."""
@@ -107,7 +109,7 @@ class SequenceReader:
                 parts.append(part)
                 at += len(part)
                 left -= len(part)
-            yield b"".join(x.tobytes() for x in parts)
+            yield b"".join(x.astype("<u4").tobytes() for x in parts)
 
 
 def write_sequences(df: DataFrame, folder: str | None = None, vocabulary: str = "word_bpe_49k.json", end_id: int | None = 1, length: int = LENGTH, key: str = "doc_id", text: str = "text", partitions: int | None = None) -> DataFrame:
@@ -130,11 +132,11 @@ def write_sequences(df: DataFrame, folder: str | None = None, vocabulary: str =
         encode, out, task = encoder(shared.value, "word").encode, None, TaskContext.get()
         system, path = open_folder(folder)
         name = f"{path}/part-{task.partitionId():06d}-{task.taskAttemptId()}.arrows"
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             if batch.num_rows and out is None:
                 system.create_dir(path, recursive=True)
                 sink = system.open_output_stream(name)
-                out = SequenceWriter(sink, length, ROWS)
+                out = SequenceWriter(sink, length, ROWS, pa.uint16() if max(encoder(shared.value, "word").largest, end_id or 0) < 1 << 16 else pa.uint32())
                 kind = batch.schema[0].type
             for k, ids in zip(batch.column(0).to_pylist(), encode(as_bytes(batch.column(1))), strict=True):
                 out.add(k, ids + tail)

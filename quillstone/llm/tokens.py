@@ -48,6 +48,7 @@ class Encoder:
         self.library = Tokenizer.from_str(vocabulary)
         self.library.no_truncation()
         self.library.no_padding()
+        self.largest = max(self.library.get_vocab().values())
         self.specials = tuple(t.content.encode() for t in self.library.get_added_tokens_decoder().values())
         self.chunks = byte_level_chunks if kind == "byte" else word_chunks
         self.memo: dict[bytes, bytes] = {}
