@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import as_bytes
+from quillstone.llm.common import as_bytes, slices
 from quillstone.llm.tokens import encoder, vocabulary_text
 
 #: Sequences numbered within each partition, which is the number above this bit.
@@ -73,7 +73,7 @@ def best_fit_pack(df: DataFrame, vocabulary: str = "byte_bpe_50k.json", capacity
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(shared.value, "byte").encode
         open_ = OpenBins(capacity, bins, TaskContext.get().partitionId() << PARTITION_BIT)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             of, piece, start, length, ids, sequence, offset = [], [], [], [], [], [], []
             for i, blob in enumerate(encode(as_bytes(batch.column(1)))):
                 blob += tail

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import as_bytes
+from quillstone.llm.common import as_bytes, slices
 
 #: Share of a text's word characters that may be in failed lines.
 MAX_LOST = 0.5
@@ -118,7 +118,7 @@ def line_quality(df: DataFrame, text: str = "text", max_lost: float = MAX_LOST,
     names = passed + [x.split()[0].strip("`") for x in added]
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, text)):
             found = [judge(x) for x in as_bytes(batch.column(batch.schema.get_field_index(text)))]
             keep = [not x[5] and x[6] <= max_lost * x[1] for x in found]
             rows = [(*x[:5], x[6], *x[7].values()) for x in found]
