@@ -43,7 +43,7 @@ def expand(x: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(x)
 
 
-def pack(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = BATCH_BYTES) -> DataFrame:
     """batch, keys (array<long>), lengths (array<int>), texts (compressed UTF-8 bytes, one after the other), written."""
     rows = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
@@ -60,7 +60,7 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             keys += part.column(0).to_pylist()
             texts += (got := as_bytes(part.column(1)))
             held += sum(map(len, got))
-            if held >= BATCH_BYTES:
+            if held >= size:
                 yield full()
                 number, keys, texts, held = number + 1, [], [], 0
         if keys:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillstone.llm import ann, arrowseq, bpe, chat, jaccard, packing, quality, suffix, toxicity
+from quillstone.llm import ann, arrowseq, bpe, chat, jaccard, lm, packing, quality, suffix, toxicity
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_suffix_dedup": suffix.op6,
         "op7_arrow_sequences": arrowseq.op7,
         "op8_best_fit_packing": packing.op8,
+        "op9_context_tree_lm": lm.op9,
         "op10_toxicity": toxicity.op10,
     }
 
