@@ -43,30 +43,35 @@ def expand(x: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(x)
 
 
-def pack(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = BATCH_BYTES) -> DataFrame:
-    """batch, keys (array<long>), lengths (array<int>), texts (compressed UTF-8 bytes, one after the other), written."""
-    rows = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+def pack(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = BATCH_BYTES, carry: str | None = None) -> DataFrame:
+    """batch, keys (array<long>), lengths (array<int>), texts (compressed UTF-8 bytes, one after the other), carried, written.
+
+    carry: a string column that goes with each document.
+    """
+    rows = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), (F.col(carry) if carry else F.lit(None)).cast("string").alias("carried"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
         keys: list = []
         texts: list[bytes] = []
+        carried: list = []
         held = 0
 
         def full() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([keys], pa.list_(pa.int64())), pa.array([[len(x) for x in texts]], pa.list_(pa.int32())), pa.array([squeeze(b"".join(texts))], pa.binary())], names=["batch", "keys", "lengths", "texts"])
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([keys], pa.list_(pa.int64())), pa.array([[len(x) for x in texts]], pa.list_(pa.int32())), pa.array([squeeze(b"".join(texts))], pa.binary()), pa.array([carried], pa.list_(pa.string()))], names=["batch", "keys", "lengths", "texts", "carried"])
 
         for part in (p for b in batches for p in slices(b, 1, 1 << 20)):
             keys += part.column(0).to_pylist()
+            carried += part.column(2).to_pylist()
             texts += (got := as_bytes(part.column(1)))
             held += sum(map(len, got))
             if held >= size:
                 yield full()
-                number, keys, texts, held = number + 1, [], [], 0
+                number, keys, texts, carried, held = number + 1, [], [], [], 0
         if keys:
             yield full()
 
-    return written(rows.mapInArrow(run, "batch long, keys array<long>, lengths array<int>, texts binary"))
+    return written(rows.mapInArrow(run, "batch long, keys array<long>, lengths array<int>, texts binary, carried array<string>"))
 
 
 def unpack(row: dict) -> tuple[list, np.ndarray, bytes]:

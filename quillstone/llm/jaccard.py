@@ -339,6 +339,10 @@ FROM documents d JOIN class c USING (doc_id)
 
 
 def keep_first(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class of near duplicates the document with the least key stays, unchanged."""
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """Pipeline stage: of each class of near duplicates the document with the least key stays, unchanged, once.
+
+    Documents without a key can't be named by a class and stay.
+    """
+    kept = near_duplicates(docs).where("doc_id = class_id").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return docs.where("doc_id is null").unionByName(named.select(*docs.columns))

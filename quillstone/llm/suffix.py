@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillstone.llm.batches import expand, pack, shares, squeeze, unpack, written
 
@@ -392,16 +393,16 @@ def covered(row: dict, answers: list[dict]) -> tuple[list, np.ndarray, bytes, np
     return keys, bounds, text, np.cumsum(mark)[:-1] > 0
 
 
-def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_bytes, spans (array<struct<start, end>>, bytes, maximal) and kept (binary, the bytes outside the spans).
+def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", carry: str | None = None) -> DataFrame:
+    """key, n_bytes, spans (array<struct<start, end>>, bytes, maximal), kept (binary, the bytes outside the spans), carried.
 
     A byte goes if a string of LENGTH bytes over it also starts in a document with a smaller key; texts are taken as
     UTF-8 bytes, matches never cross documents, and every string is judged on the input. A null text is empty. A
     document with a null key takes no part and keeps all; documents with equal keys are no smaller than one another.
-    Other columns are dropped; an empty table gives no rows. A passage that a third of all documents share costs
+    carried is the string column named in carry; other columns are dropped; an empty table gives no rows. A passage that a third of all documents share costs
     each partition one entry for each batch, whatever the number of documents in it.
     """
-    packed = pack(df, key, text)
+    packed = pack(df, key, text, carry=carry)
     parts = shares(packed, 2 << 20)
     exchange = "batch long, pid int, blob binary"
 
@@ -422,7 +423,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         return pa.Table.from_arrays(blobs(found), names=["batch", "pid", "blob"])
 
     def finish(batch: pa.Table, answers: pa.Table) -> pa.Table:
-        ids, sizes, spans, kept = [], [], [], []
+        ids, sizes, spans, kept, carried = [], [], [], [], []
         for row in rows_of(batch):
             keys, bounds, whole, gone = covered(row, rows_of(answers))
             edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
@@ -438,17 +439,18 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
                     parts_.append(whole[at : a + s["start"]])
                     at = a + s["end"]
                 ids.append(keys[k])
+                carried.append(row["carried"][k])
                 sizes.append(b - a)
                 spans.append(own)
                 kept.append(b"".join([*parts_, whole[at:b]]))
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.table({"key": pa.array(ids, pa.int64()), "n_bytes": pa.array(sizes, pa.int64()), "spans": pa.array(spans, kind), "kept": pa.array(kept, pa.binary())})
+        return pa.table({"key": pa.array(ids, pa.int64()), "n_bytes": pa.array(sizes, pa.int64()), "spans": pa.array(spans, kind), "kept": pa.array(kept, pa.binary()), "carried": pa.array(carried, pa.string())})
 
     shared = packed.mapInArrow(ask, exchange).repartition(parts, "pid").groupBy("pid").applyInArrow(shared_hashes, exchange)
     sorted_ = written(packed.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(sort, exchange))
     answers = sorted_.where(F.col("pid") >= 0).repartition(parts, "pid").groupBy("pid").applyInArrow(merge_runs, exchange)
     back = sorted_.where(F.col("pid") < 0).unionByName(answers)
-    out = packed.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(finish, "key long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    out = packed.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(finish, "key long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary, carried string")
     return out.withColumnRenamed("key", key)
 
 
@@ -458,3 +460,15 @@ def op6(spark, sf_dir: str) -> DataFrame:
     done = remove_repeats(documents(spark, sf_dir))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def drop_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: every document without its repeated bytes (and without what is left of a character cut by that); n_chars follows the text."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    kind = T.StructType([f for f in docs.schema.fields if f.name in rest])
+    done = remove_repeats(docs.withColumn("rest_", F.to_json(F.struct(*rest))), carry="rest_")
+    done = done.select("doc_id", F.regexp_replace(F.decode("kept", "UTF-8"), "\uFFFD", "").alias("text"), F.from_json("carried", kind).alias("rest_"))
+    done = done.select("doc_id", "text", *(F.col(f"rest_.{c}").alias(c) for c in rest))
+    if "n_chars" in rest:
+        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return done.select(*docs.columns)
