@@ -394,12 +394,13 @@ def covered(row: dict, answers: list[dict]) -> tuple[list, np.ndarray, bytes, np
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", carry: str | None = None) -> DataFrame:
-    """key, n_bytes, spans (array<struct<start, end>>, bytes, maximal), kept (binary, the bytes outside the spans), carried.
+    """key, n_bytes, spans (array<struct<start, end>>, bytes, maximal), kept (binary, the bytes outside the spans), text, carried.
 
     A byte goes if a string of LENGTH bytes over it also starts in a document with a smaller key; texts are taken as
     UTF-8 bytes, matches never cross documents, and every string is judged on the input. A null text is empty. A
     document with a null key takes no part and keeps all; documents with equal keys are no smaller than one another.
-    carried is the string column named in carry; other columns are dropped; an empty table gives no rows. A passage that a third of all documents share costs
+    carried is the string column named in carry, and text what is kept, without the rest of characters that were cut,
+    both null if none is named; other columns are dropped; an empty table gives no rows. A passage that a third of all documents share costs
     each partition one entry for each batch, whatever the number of documents in it.
     """
     packed = pack(df, key, text, carry=carry)
@@ -444,13 +445,13 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", carry
                 spans.append(own)
                 kept.append(b"".join([*parts_, whole[at:b]]))
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.table({"key": pa.array(ids, pa.int64()), "n_bytes": pa.array(sizes, pa.int64()), "spans": pa.array(spans, kind), "kept": pa.array(kept, pa.binary()), "carried": pa.array(carried, pa.string())})
+        return pa.table({"key": pa.array(ids, pa.int64()), "n_bytes": pa.array(sizes, pa.int64()), "spans": pa.array(spans, kind), "kept": pa.array(kept, pa.binary()), "text": pa.array([x.decode("utf-8", "ignore") for x in kept] if carry else [None] * len(ids), pa.string()), "carried": pa.array(carried, pa.string())})
 
     shared = packed.mapInArrow(ask, exchange).repartition(parts, "pid").groupBy("pid").applyInArrow(shared_hashes, exchange)
     sorted_ = written(packed.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(sort, exchange))
     answers = sorted_.where(F.col("pid") >= 0).repartition(parts, "pid").groupBy("pid").applyInArrow(merge_runs, exchange)
     back = sorted_.where(F.col("pid") < 0).unionByName(answers)
-    out = packed.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(finish, "key long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary, carried string")
+    out = packed.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(finish, "key long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary, text string, carried string")
     return out.withColumnRenamed("key", key)
 
 
@@ -467,7 +468,7 @@ def drop_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     kind = T.StructType([f for f in docs.schema.fields if f.name in rest])
     done = remove_repeats(docs.withColumn("rest_", F.to_json(F.struct(*rest))), carry="rest_")
-    done = done.select("doc_id", F.regexp_replace(F.decode("kept", "UTF-8"), "\uFFFD", "").alias("text"), F.from_json("carried", kind).alias("rest_"))
+    done = done.select("doc_id", "text", F.from_json("carried", kind).alias("rest_"))
     done = done.select("doc_id", "text", *(F.col(f"rest_.{c}").alias(c) for c in rest))
     if "n_chars" in rest:
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
