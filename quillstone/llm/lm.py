@@ -27,7 +27,7 @@ from quillstone.llm.batches import expand, pack, shares, squeeze, unpack, writte
 
 DEPTH = 5
 #: Text of a batch; in a larger one fewer strings are new.
-SIZE = 8 << 20
+SIZE = 6 << 20
 LN2 = np.log(2.0)
 ENDED = b"\0"
 
@@ -102,6 +102,15 @@ def word_owners(hashes: np.ndarray, parts: int) -> np.ndarray:
     return ((hashes >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
 
 
+def segments(bounds: np.ndarray, size: int = 1 << 20) -> Iterator[np.ndarray]:
+    """Bounds of consecutive texts with about size bytes together, so that a batch's arrays aren't all held at once."""
+    start = 0
+    while start < len(bounds) - 1:
+        end = max(start + 1, int(np.searchsorted(bounds, bounds[start] + size, side="right")) - 1)
+        yield bounds[start : end + 1]
+        start = end
+
+
 def distinct_counts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keys = np.sort(keys)
     heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
@@ -132,8 +141,13 @@ def asked(row: dict, parts: int) -> Iterator[tuple[int, int, bytes]]:
     keys, bounds, text = unpack(row)
     text = text.lower()
     held = np.array([held_out(k) for k in keys], dtype=bool)
-    for kind, (all_keys, new), owner in ((0, grams(text, bounds), owners), (1, word_hashes(text, bounds), word_owners)):
-        distinct, count = counted(all_keys, ~np.repeat(held, np.diff(new)))
+    for kind, keys_of, owner in ((0, grams, owners), (1, word_hashes, word_owners)):
+        found, at = [], 0
+        for own in segments(bounds):
+            some, new = keys_of(text, own)
+            found.append(counted(some, ~np.repeat(held[at : at + len(own) - 1], np.diff(new))))
+            at += len(own) - 1
+        distinct, count = summed(found)
         part = owner(distinct, parts)
         order = np.argsort(part, kind="stable")
         distinct, count = distinct[order], count[order]
@@ -306,8 +320,9 @@ def scored(row: dict, answers: list[dict], parts: int, train: tuple[int, int, in
     words_n, words_v, docs_n = train
     n_all, v_all = words_n + docs_n, words_v + (docs_n > 0)
     per_kind = []
-    for kind, (all_keys, new), owner, type_ in ((0, grams(text, bounds), owners, "<f4"), (1, word_hashes(text, bounds), word_owners, "<u4")):
-        distinct, _ = distinct_counts(all_keys)
+    for kind, keys_of, owner, type_ in ((0, grams, owners, "<f4"), (1, word_hashes, word_owners, "<u4")):
+        held = [keys_of(text, own) for own in segments(bounds)]
+        distinct = np.unique(np.concatenate([distinct_counts(some)[0] for some, _ in held]))
         part = owner(distinct, parts)
         value = np.zeros(len(distinct), dtype=type_)
         order = np.argsort(part, kind="stable")
@@ -316,12 +331,13 @@ def scored(row: dict, answers: list[dict], parts: int, train: tuple[int, int, in
             if a["kind"] == kind:
                 x = expand(a["blob"])
                 value[order[cut[a["pid"]] : cut[a["pid"] + 1]]] = np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view(type_).ravel()
-        per_kind.append((value[places(distinct, all_keys)], new))
-    (logs, at), (counts, words_at) = per_kind
-    score, words = sums(logs, at), np.diff(words_at)
-    known = sums(counts > 0, words_at).round().astype(int) + (docs_n > 0)
-    base = sums(np.log10(counts.astype(np.float64) + 1), words_at) + np.log10(docs_n + 1) - (words + 1) * np.log10(n_all + v_all + 1)
-    size = np.diff(at)
+        per_kind.append([(value[places(distinct, some)], new) for some, new in held])
+        del held
+    strings, counted_words = per_kind
+    score, size = np.concatenate([sums(v, new) for v, new in strings]), np.concatenate([np.diff(new) for _, new in strings])
+    words = np.concatenate([np.diff(new) for _, new in counted_words])
+    known = np.concatenate([sums(v > 0, new) for v, new in counted_words]).round().astype(int) + (docs_n > 0)
+    base = np.concatenate([sums(np.log10(v.astype(np.float64) + 1), new) for v, new in counted_words]) + np.log10(docs_n + 1) - (words + 1) * np.log10(n_all + v_all + 1)
     return [(k, held_out(k), int(w) + 1, int(n), n_all, float(b), float(s), float(-s / np.log10(2) / max(1, z))) for k, w, n, b, s, z in zip(keys, words, known, base, score, size, strict=True)]
 
 
