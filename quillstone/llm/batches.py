@@ -7,7 +7,6 @@ is exchanged grows with the text, and no step holds more than a batch or one par
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Iterator
 
@@ -23,16 +22,24 @@ from quillstone.llm.common import as_bytes, shared_dir, shuffle_partitions, slic
 BATCH_BYTES = 4 << 20
 
 
+#: Spark's own setting to delete the shuffle files of a query once it has ended.
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared checkpoint folder. Shuffles that only its making needed can be cleaned up then."""
+    """df as a table in the shared checkpoint folder, where a lost executor takes nothing of it.
+
+    The shuffles that only its making needed are deleted when it is written.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "none").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return out
+    before = spark.conf.get(FILE_CLEANUP)
+    spark.conf.set(FILE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "none").parquet(path)
+    finally:
+        spark.conf.set(FILE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def squeeze(x: bytes) -> bytes:
