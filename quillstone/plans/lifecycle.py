@@ -1 +1,115 @@
-"""Queries."""
+"""Queries over integrity and lifecycle operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quillstone.operators import lifecycle as L
+from quillstone.operators.catalog import first_by
+from quillstone.plans.adapters import CHUNKS, FILES, KBS, chunks, files, knowledge_bases, live, table
+from quillstone.plans.registry import query
+
+NOW = "2024-02-15 00:00:00"
+
+
+def now():
+    return F.lit(NOW).cast("timestamp")
+
+
+def sides(spark, sf_dir):
+    f = live(files(spark, sf_dir))
+    vectors = chunks(spark, sf_dir).where("retrievable").select("file_uid")
+    converted = table(spark, sf_dir, "labels").where("quality = 1").select(F.concat(F.lit("f-"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("file_uid"))
+    return f, chunks(spark, sf_dir).select("file_uid"), vectors, converted
+
+
+SIDES = f"""{FILES}, {CHUNKS}, nc AS (SELECT file_uid, count(*) AS n_chunks, count(*) FILTER (retrievable) AS n_ret FROM chunks GROUP BY 1),
+nv AS (SELECT 'f-' || lpad(doc_id::VARCHAR, 8, '0') AS file_uid, count(*) AS n_conv FROM labels WHERE quality = 1 GROUP BY 1),
+probe AS (SELECT uid, kb_uid, coalesce(n_chunks, 0) AS n_chunks, CASE WHEN coalesce(n_ret, 0) = 0 THEN -1 ELSE n_ret END AS n_vectors, coalesce(n_conv, 0) AS n_conv, process_status FROM live LEFT JOIN nc ON nc.file_uid = uid LEFT JOIN nv ON nv.file_uid = uid),
+state AS (SELECT *, CASE WHEN process_status <> 'FILE_PROCESS_STATUS_COMPLETED' THEN 'NOT_COMPLETED' WHEN n_chunks = 0 THEN 'EMPTY_PG' WHEN kb_uid IS NULL THEN 'FILE_NOT_FOUND' WHEN n_vectors < 0 OR n_vectors <> n_chunks THEN 'MISSING_MILVUS' WHEN n_conv = 0 THEN 'MISSING_CONVERTED_FILE' ELSE 'HEALTHY' END AS state FROM probe)"""
+
+
+@query(f"WITH {SIDES} SELECT uid, n_chunks, n_vectors, state, CASE state WHEN 'HEALTHY' THEN 'NONE' WHEN 'FILE_NOT_FOUND' THEN 'SKIP' WHEN 'NOT_COMPLETED' THEN 'DEFER' ELSE 'REPROCESS' END AS action FROM state")
+def integrity_probe(spark, sf_dir):
+    return L.integrity(*sides(spark, sf_dir))
+
+
+@query(f"WITH {SIDES} SELECT uid FROM state WHERE state = 'MISSING_MILVUS' AND n_chunks > 0")
+def embed_only_path(spark, sf_dir):
+    return L.integrity(*sides(spark, sf_dir)).where(L.embed_only()).select("uid")
+
+
+RECON = f"{FILES}, p AS (SELECT display_name, uid FROM live WHERE visibility = 'VISIBILITY_PRIVATE'), s AS (SELECT display_name, uid, create_time FROM files WHERE process_status <> 'FILE_PROCESS_STATUS_FAILED' UNION ALL SELECT display_name, uid || '-copy', create_time + INTERVAL 1 DAY FROM files WHERE process_status = 'FILE_PROCESS_STATUS_COMPLETED')"
+
+
+@query(f"WITH {RECON} SELECT display_name, uid, 'ADD' AS todo FROM p WHERE display_name NOT IN (SELECT display_name FROM s) UNION ALL SELECT display_name, uid, 'REMOVE' FROM s WHERE display_name NOT IN (SELECT display_name FROM p) UNION ALL SELECT display_name, uid, 'DUPLICATE' FROM (SELECT *, row_number() OVER (PARTITION BY display_name ORDER BY create_time, uid) AS rn FROM s WHERE display_name IN (SELECT display_name FROM p)) WHERE rn > 1")
+def kb_reconcile(spark, sf_dir):
+    f = files(spark, sf_dir)
+    production = live(f).where("visibility = 'VISIBILITY_PRIVATE'").select("display_name", "uid")
+    columns = f.where("process_status <> 'FILE_PROCESS_STATUS_FAILED'").select("display_name", "uid", "create_time")
+    copies = f.where("process_status = 'FILE_PROCESS_STATUS_COMPLETED'").select("display_name", F.concat("uid", F.lit("-copy")).alias("uid"), (F.col("create_time") + F.expr("interval 1 day")).alias("create_time"))
+    return L.reconcile(production, columns.unionByName(copies))
+
+
+@query(f"WITH {FILES}, {CHUNKS}, c AS (SELECT kb_uid, count(*) AS files, count(*) FILTER (delete_time IS NULL) AS staging_files, count(*) FILTER (size > 500) AS converted, count(*) FILTER (size > 400 AND delete_time IS NULL) AS staging_converted FROM files GROUP BY 1), h AS (SELECT kb_uid, count(*) AS chunks, count(*) FILTER (chunk_type = 'TYPE_CONTENT') AS staging_chunks, count(*) FILTER (retrievable) AS staging_embeddings FROM chunks GROUP BY 1) SELECT kb_uid, array_to_string(list_filter([CASE WHEN staging_files > 0 AND files <> staging_files THEN 'file count differs' END, CASE WHEN staging_converted < converted THEN 'converted files are missing' END, CASE WHEN chunks > 0 AND staging_chunks = 0 THEN 'no chunks' END, CASE WHEN staging_embeddings <> staging_chunks THEN 'embeddings and chunks differ' END], lambda x: x IS NOT NULL), '; ') AS errors FROM c JOIN h USING (kb_uid)")
+def kb_validate(spark, sf_dir):
+    there = F.col("delete_time").isNull()
+    f = files(spark, sf_dir).groupBy("kb_uid").agg(F.count("*").alias("files"), F.count_if(there).alias("staging_files"), F.count_if(F.col("size") > 500).alias("converted"), F.count_if((F.col("size") > 400) & there).alias("staging_converted"))
+    c = chunks(spark, sf_dir).groupBy("kb_uid").agg(F.count("*").alias("chunks"), F.count_if(F.col("chunk_type") == "TYPE_CONTENT").alias("staging_chunks"), F.count_if("retrievable").alias("staging_embeddings"))
+    return L.validate(f.join(c, "kb_uid")).select("kb_uid", F.array_join("errors", "; ").alias("errors"))
+
+
+@query(f"WITH {KBS} SELECT k.uid, CASE WHEN update_status IN ('UPDATING', 'SWAPPING', 'VALIDATING', 'SYNCING') THEN (SELECT min(uid) FROM kbs s WHERE s.parent_kb_uid = k.uid AND list_contains(s.tags, 'staging')) END AS target FROM kbs k")
+def dual_target(spark, sf_dir):
+    return L.target(knowledge_bases(spark, sf_dir))
+
+
+@query(f"WITH {KBS} SELECT uid, coalesce(rollback_retention_until < TIMESTAMP '{NOW}', true) AS expired FROM kbs")
+def retention_expired(spark, sf_dir):
+    return L.retention_over(knowledge_bases(spark, sf_dir), now())
+
+
+@query(f"WITH {KBS} SELECT uid FROM kbs WHERE NOT staging AND (update_status IS NULL OR update_status IN ('', 'COMPLETED')) AND list_has_any(tags, ['team-0', 'team-1'])")
+def update_eligible(spark, sf_dir):
+    return L.eligible(knowledge_bases(spark, sf_dir), ["team-0", "team-1"]).select("uid")
+
+
+@query(f"SELECT o_orderkey, o_orderdate FROM orders WHERE o_custkey % 400 > 0 AND o_orderdate + to_days((o_custkey % 400)::INTEGER) + INTERVAL 24 HOUR < TIMESTAMP '{NOW}'")
+def expired_objects(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").alias("create_time"), (F.col("o_custkey") % 400).cast("int").alias("expire_days"))
+    return L.expired_objects(rows, now()).select("o_orderkey", F.col("create_time").alias("o_orderdate"))
+
+
+@query(f"WITH {FILES}, {CHUNKS} SELECT uid, kb_uid FROM live f WHERE process_status = 'FILE_PROCESS_STATUS_COMPLETED' AND NOT EXISTS (SELECT 1 FROM chunks c WHERE c.file_uid = f.uid AND chunk_type = 'TYPE_SUMMARY')")
+def missing_thumbnails(spark, sf_dir):
+    done = live(files(spark, sf_dir)).where("process_status = 'FILE_PROCESS_STATUS_COMPLETED'")
+    have = chunks(spark, sf_dir).where("chunk_type = 'TYPE_SUMMARY'").select(F.col("file_uid").alias("uid"))
+    return done.join(have, "uid", "left_anti").select("uid", "kb_uid")
+
+
+@query(f"WITH {FILES} SELECT uid FROM live WHERE process_status NOT IN ('FILE_PROCESS_STATUS_COMPLETED', 'FILE_PROCESS_STATUS_FAILED') AND update_time < TIMESTAMP '2024-02-03' - INTERVAL 15 MINUTE AND uid NOT IN (SELECT 'f-' || lpad(vec_id::VARCHAR, 8, '0') FROM embeddings)")
+def orphan_sweep(spark, sf_dir):
+    running = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("f-"), F.lpad(F.col("vec_id").cast("string"), 8, "0")).alias("uid"))
+    return L.orphans(live(files(spark, sf_dir)), running, F.lit("2024-02-03 00:00:00").cast("timestamp")).select("uid")
+
+
+@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS ts FROM events GROUP BY 1")
+def latest_status(spark, sf_dir):
+    return first_by(table(spark, sf_dir, "events"), ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()]).select("user_id", "event_type", "ts")
+
+
+@query("WITH s AS (SELECT *, coalesce((event_type <> lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id))::INT, 0) AS c FROM events), r AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM s), n AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS k FROM r) SELECT user_id, arg_min(event_id, (ts, event_id)) AS since FROM n WHERE k = 3 GROUP BY 1")
+def count_stability(spark, sf_dir):
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    polls = table(spark, sf_dir, "events").withColumn("n", F.row_number().over(order))
+    runs = L.stable(polls, "user_id", "n", "event_type", 3).withColumnRenamed("since", "n")
+    return runs.join(polls, ["user_id", "n"]).select("user_id", F.col("event_id").alias("since"))
+
+
+@query(f"WITH {KBS} SELECT k.uid, s.uid AS staging_uid FROM kbs k JOIN kbs s ON s.parent_kb_uid = k.uid AND list_contains(s.tags, 'staging')")
+def staging_lookup(spark, sf_dir):
+    kbs = knowledge_bases(spark, sf_dir)
+    s = kbs.where(F.array_contains("tags", "staging")).select(F.col("uid").alias("staging_uid"), F.col("parent_kb_uid").alias("uid"))
+    return kbs.select("uid").join(s, "uid")

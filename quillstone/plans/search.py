@@ -105,9 +105,9 @@ def files_with_entities(spark, sf_dir):
     return joined.groupBy("file_uid").agg(F.count("*").alias("n_entities"), F.min("name").alias("first_name"))
 
 
-@query(f"WITH {LINKS} SELECT uid, name FROM entities WHERE uid NOT IN (SELECT entity_uid FROM links WHERE file_uid % 3 <> 0)")
+@query(f"WITH {LINKS} SELECT uid, name FROM entities WHERE uid NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
 def orphan_entities(spark, sf_dir):
-    left = entity_files(spark, sf_dir).where("file_uid % 3 <> 0")
+    left = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("entity_uid"))
     return entities(spark, sf_dir).join(left, F.col("uid") == F.col("entity_uid"), "left_anti").select("uid", "name")
 
 
