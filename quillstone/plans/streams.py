@@ -1 +1,33 @@
-"""Queries."""
+"""Queries over streams, run to the end of what is there."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from quillstone.operators.catalog import first_by
+from quillstone.plans.adapters import table
+from quillstone.plans.registry import query
+from quillstone.streaming import status as S
+
+
+def run(spark, sf_dir, make, mode):
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    name = f"stream_{uuid.uuid4().hex}"
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    S.run_available(make(events), name, f"{shared}/{name}" if shared else tempfile.mkdtemp(prefix="quillstone-stream-"), mode)
+    return spark.table(name)
+
+
+@query("SELECT user_id, count(*) AS n_events, arg_max(event_type, (ts, event_id)) AS status, max(ts) AS since FROM events GROUP BY 1")
+def status_stream(spark, sf_dir):
+    changes = run(spark, sf_dir, S.latest, "update")
+    return first_by(changes, ["user_id"], [F.col("n_events").desc()])
+
+
+@query("SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def window_counts_stream(spark, sf_dir):
+    out = run(spark, sf_dir, S.counts_by_window, "complete")
+    return out.select(F.col("window.start").alias("start"), "event_type", "n")

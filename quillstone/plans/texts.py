@@ -1 +1,182 @@
-"""Queries."""
+"""Queries over text functions and transcripts. The test texts have no page tags or marks, so they are put in first."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quillstone.functions import text as X
+from quillstone.operators import transcripts as R
+from quillstone.plans.adapters import table
+from quillstone.plans.registry import query
+
+
+def documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+
+
+def paged(spark, sf_dir):
+    """Every line of a text on a page of its own."""
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.lit("[Page: "), (i + 1).cast("string"), F.lit("]\n"), x))
+    return documents(spark, sf_dir).withColumn("text", F.array_join(lines, "\n"))
+
+
+PAGED = "paged AS (SELECT doc_id, string_split(text, chr(10)) AS body FROM documents)"
+
+
+@query(f"WITH {PAGED} SELECT doc_id, len(body)::BIGINT AS n_tags, len(body)::BIGINT AS present FROM paged")
+def page_tags(spark, sf_dir):
+    return paged(spark, sf_dir).select("doc_id", F.size(X.tags(F.col("text"))).cast("long").alias("n_tags"), X.pages_present(F.col("text"), F.lit(1), F.lit(10**9)).cast("long").alias("present"))
+
+
+@query("SELECT doc_id, s.i AS slot, 3 * s.i + 1 AS first, least(3 * s.i + 3, n) AS last FROM (SELECT doc_id, len(string_split(text, chr(10)))::BIGINT AS n FROM documents), LATERAL (SELECT unnest(generate_series(0, (n - 1) // 3)) AS i) s")
+def page_slots(spark, sf_dir):
+    n = F.size(F.split("text", "\n")).cast("long")
+    slots = documents(spark, sf_dir).select("doc_id", F.posexplode(X.page_slots(n)).alias("slot", "s"))
+    return slots.select("doc_id", F.col("slot").cast("long").alias("slot"), "s.first", "s.last")
+
+
+@query("SELECT doc_id, s.i AS slot, 120 * s.i AS start, least(120 * (s.i + 1), n_chars) AS end_ FROM documents, LATERAL (SELECT unnest(generate_series(0, (n_chars + 119) // 120 - 1)) AS i) s WHERE n_chars > 0")
+def time_slots(spark, sf_dir):
+    slots = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.time_slots(F.col("n_chars"))).alias("slot", "s"))
+    return slots.select("doc_id", F.col("slot").cast("long").alias("slot"), F.col("s.start").alias("start"), F.col("s.end").alias("end_"))
+
+
+@query("SELECT doc_id, count(*) AS n, sum(e - b)::BIGINT AS seconds FROM (SELECT doc_id, 1800 * s.i AS b, least(1800 * (s.i + 1) + CASE WHEN s.i < k - 1 THEN 60 ELSE 0 END, n_chars) AS e FROM (SELECT doc_id, n_chars, greatest((n_chars + 1799) // 1800, 1) AS k FROM documents), LATERAL (SELECT unnest(generate_series(0, k - 1)) AS i) s) GROUP BY 1")
+def media_splits(spark, sf_dir):
+    parts = table(spark, sf_dir, "documents").select("doc_id", F.explode(X.media_splits(F.col("n_chars"))).alias("s"))
+    return parts.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("s.end") - F.col("s.start")).alias("seconds"))
+
+
+CUTS = """l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM src),
+o AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos, lag(line) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM l),
+b AS (SELECT doc_id, pos FROM o WHERE pos > 0 AND ({bound})),
+c AS (SELECT doc_id, 0::BIGINT AS cut, 0 AS n FROM src UNION ALL SELECT c.doc_id, (SELECT min(pos) FROM b WHERE b.doc_id = c.doc_id AND b.pos >= c.cut + 4000), c.n + 1 FROM c WHERE c.cut IS NOT NULL),
+e AS (SELECT src.doc_id, length(src.text)::BIGINT AS len, count(cut) FILTER (c.n > 0) AS k, max(cut) FILTER (c.n > 0) AS last FROM src JOIN c USING (doc_id) GROUP BY ALL)
+SELECT doc_id, k + CASE WHEN coalesce(last, -1) = len THEN 0 ELSE 1 END AS n_cuts FROM e WHERE len > {least} AND k + CASE WHEN coalesce(last, -1) = len THEN 0 ELSE 1 END >= 2"""
+
+
+@query("WITH RECURSIVE src AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents), " + CUTS.format(bound="trim(line, ' ') = '' AND trim(prev, ' ') <> '' OR regexp_matches(trim(line, ' '), '^#{1,4} ')", least=4000))
+def markdown_delimiters(spark, sf_dir):
+    cuts = X.markdown_delimiters(F.replace("text", F.lit("\n"), F.lit("\n\n")))
+    return documents(spark, sf_dir).select("doc_id", F.size(cuts).cast("long").alias("n_cuts")).where("n_cuts >= 2")
+
+
+def marked(spark, sf_dir):
+    """Every line with a mark of its place."""
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.lit("[Audio: "), X.stamp(i * 20), F.lit("] "), x))
+    return documents(spark, sf_dir).withColumn("text", F.array_join(lines, "\n"))
+
+
+@query("WITH RECURSIVE src AS (SELECT doc_id, string_agg('[Audio: 00:00:00] ' || line, chr(10) ORDER BY i) AS text, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) GROUP BY 1 HAVING count(*) >= 2), " + CUTS.format(bound="true", least=0))
+def media_delimiters(spark, sf_dir):
+    return marked(spark, sf_dir).select("doc_id", F.size(X.media_delimiters(F.col("text"))).cast("long").alias("n_cuts")).where("n_cuts >= 2")
+
+
+@query("SELECT doc_id, 0::BIGINT AS first, (len(string_split(text, chr(10))) - 1) * 20000 AS last FROM documents")
+def time_ranges(spark, sf_dir):
+    found = marked(spark, sf_dir).select("doc_id", X.time_range(F.col("text")).alias("r"))
+    return found.select("doc_id", F.col("r")[0].alias("first"), F.col("r")[1].alias("last"))
+
+
+@query("SELECT doc_id, length(text)::BIGINT AS total FROM (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents)")
+def chunk_documents(spark, sf_dir):
+    """Chunks at markdown boundaries; put together they have the text's length."""
+    doubled = F.replace("text", F.lit("\n"), F.lit("\n\n"))
+    cut = documents(spark, sf_dir).select("doc_id", doubled.alias("text"), X.markdown_delimiters(doubled).alias("cuts"))
+    parts = cut.select("doc_id", F.explode(X.pieces(F.col("text"), F.col("cuts"))).alias("piece"))
+    return parts.groupBy("doc_id").agg(F.sum(F.length("piece")).cast("long").alias("total"))
+
+
+def transcript(spark, sf_dir):
+    """conv_id and lines at, line, sec; a turn's second goes back at every third one."""
+    t = table(spark, sf_dir, "conversations")
+    sec = F.col("turn") * 50 - F.when(F.col("turn") % 3 == 2, 70).otherwise(0)
+    line = F.concat(F.when(F.col("role") == "assistant", "[Video: ").otherwise("[Audio: "), X.stamp(sec), F.lit("] "), F.substring_index("text", "\n", 1))
+    return t.select("conv_id", F.col("turn").alias("at"), line.alias("line")).withColumn("sec", X.line_seconds(F.col("line")))
+
+
+LINES = """lines AS (SELECT conv_id, turn AS pos, role, greatest(turn * 50 - CASE WHEN turn % 3 = 2 THEN 70 ELSE 0 END, 0) AS sec FROM conversations)"""
+
+
+@query(f"WITH {LINES}, f AS (SELECT *, min(pos) FILTER (sec >= 100) OVER w AS first_ok FROM lines WINDOW w AS (PARTITION BY conv_id)), g AS (SELECT *, max(pos) FILTER (sec < 100 AND pos < coalesce(first_ok, 1000000)) OVER (PARTITION BY conv_id) AS last_early, max((sec > 215)::INT) OVER (PARTITION BY conv_id ORDER BY pos) AS late FROM f) SELECT conv_id, pos, sec FROM g WHERE pos > coalesce(last_early, -1) AND late = 0")
+def timestamps_clip(spark, sf_dir):
+    return R.clip(transcript(spark, sf_dir), "conv_id", 115, 200).select("conv_id", F.col("at").alias("pos"), "sec")
+
+
+@query(f"WITH {LINES} SELECT conv_id, pos, sec FROM (SELECT *, max(sec) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS most FROM lines) WHERE most IS NULL OR sec >= most")
+def timestamps_monotonic(spark, sf_dir):
+    return R.monotonic(transcript(spark, sf_dir), "conv_id").select("conv_id", F.col("at").alias("pos"), "sec")
+
+
+@query(f"WITH {LINES} SELECT conv_id, pos, sec + 1800 AS sec FROM lines")
+def timestamps_offset(spark, sf_dir):
+    return R.offset(transcript(spark, sf_dir), 1800).select("conv_id", F.col("at").alias("pos"), "sec")
+
+
+@query(f"WITH {LINES} SELECT conv_id, pos, CASE WHEN role <> 'assistant' AND sec > 97 THEN 97 ELSE sec END AS sec FROM lines WHERE NOT (role <> 'assistant' AND sec > 102)")
+def timestamps_clamp(spark, sf_dir):
+    return R.clamp(transcript(spark, sf_dir), 97).select("conv_id", F.col("at").alias("pos"), "sec")
+
+
+@query(f"WITH {LINES} SELECT conv_id, string_agg(sec::VARCHAR, ',' ORDER BY sec, (role = 'assistant')::INT, pos) AS secs FROM lines GROUP BY 1")
+def audio_visual_merge(spark, sf_dir):
+    rows = transcript(spark, sf_dir)
+    heard = F.col("line").startswith("[Audio")
+    merged = R.merge_sides(rows.where(heard), rows.where(~heard), "conv_id")
+    secs = F.transform(F.regexp_extract_all("text", F.lit(X.STAMP), F.lit(1)), lambda s: X.seconds(s).cast("string"))
+    return merged.select("conv_id", F.array_join(secs, ",").alias("secs"))
+
+
+@query("SELECT page_id, lower(regexp_replace(regexp_replace(regexp_replace(url, '[^a-zA-Z0-9\\s-]', '', 'g'), '\\s+', '-', 'g'), '-+', '-', 'g')) AS slug, 'kb-' || substr(sha256(url), 1, 8) AS short_id, octet_length(encode(html)) // 4 AS tokens FROM pages")
+def slug_hash_estimate(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", X.slug(F.col("url")).alias("slug"), X.short_id("kb", F.col("url")).alias("short_id"), X.token_estimate(F.col("html")).alias("tokens"))
+
+
+@query("SELECT user_id, substr(sha256(string_agg(DISTINCT event_type, '|' ORDER BY event_type)), 1, 16) AS key FROM events GROUP BY 1")
+def cache_key(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(X.set_key(F.collect_set("event_type")).alias("key"))
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'audio/mpeg' WHEN 2 THEN 'application/octet-stream' ELSE 'image/png' END AS mime, CASE doc_id % 4 WHEN 1 THEN 'audio' WHEN 3 THEN 'image' ELSE 'document' END AS kind, CASE doc_id % 4 WHEN 0 THEN 'PAGE' WHEN 1 THEN 'TIME_MS' ELSE 'CHARACTER' END AS unit FROM documents")
+def mime_lookup(spark, sf_dir):
+    ending = F.element_at(F.array(F.lit("pdf"), F.lit("MP3"), F.lit("zzz"), F.lit("Png")), (F.col("doc_id") % 4 + 1).cast("int"))
+    named = documents(spark, sf_dir).select("doc_id", X.mime_type(F.concat(F.lit("a.b/file."), ending)).alias("mime"))
+    return named.select("doc_id", "mime", X.modality(F.col("mime")).alias("kind"), X.position_unit(F.col("mime")).alias("unit"))
+
+
+@query("SELECT page_id, replace(replace(replace(html, '|', '\\|'), chr(10), ' '), chr(13), '') AS cell FROM pages")
+def escape_cell(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", X.escape_cell(F.col("html")).alias("cell"))
+
+
+@query("SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents")
+def clean_markdown(spark, sf_dir):
+    fenced = F.concat(F.lit("\n```markdown\n"), F.col("text"), F.lit("\n```\n"))
+    return documents(spark, sf_dir).select("doc_id", X.clean_markdown(fenced).alias("t"))
+
+
+@query("SELECT p_brand AS kb_uid, string_agg(p_name || ' (' || p_type || ')', '; ' ORDER BY p_partkey) AS t FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part) WHERE n <= 20 GROUP BY 1")
+def parse_and_format_entities(spark, sf_dir):
+    """A summary's entity list is read and written again; each summary lists the first twenty of its parts."""
+    from quillstone.operators.catalog import numbered
+
+    part = numbered(table(spark, sf_dir, "part"), ["p_brand"], [F.col("p_partkey")]).where("rn <= 20")
+    line = F.concat(F.lit("- "), F.col("p_name"), F.lit(" [part] ("), F.col("p_type"), F.lit(", "), F.upper("p_type"), F.lit(", , "), F.col("p_name"), F.lit(")"))
+    held = part.groupBy(F.col("p_brand").alias("kb_uid")).agg(F.sort_array(F.collect_list(F.struct("p_partkey", line.alias("line")))).alias("x"))
+    summary = F.concat(F.lit("About parts.\n\n## Entities\n"), F.array_join(F.col("x.line"), "\n"))
+    return held.select("kb_uid", X.augmented(X.entity_lines(summary), 100_000).alias("t"))
+
+
+@query(f"WITH {PAGED} SELECT doc_id, greatest(len(body) // 2 - 1 - 2, 0)::BIGINT AS lo, least(len(body) // 2 + 2, len(body) - 1)::BIGINT AS hi FROM paged WHERE len(body) >= 3")
+def edit_window(spark, sf_dir):
+    """An instruction that names two pages in the middle of each document."""
+    n = F.size(F.split("text", "\n"))
+    rows = documents(spark, sf_dir).select("doc_id", n.cast("long").alias("n")).where("n >= 3")
+    said = F.format_string("On pages %d-%d the name is wrong.", F.floor(F.col("n") / 2), F.floor(F.col("n") / 2) + 1)
+    window = X.edit_window(F.transform(X.page_targets(said), lambda p: p - 1), F.col("n"))
+    return rows.select("doc_id", window.alias("w")).select("doc_id", "w.lo", "w.hi")
+
+
+@query("SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, len(html) - len(replace(html, '<p', '')) AS p_chars FROM pages")
+def html_hosts(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("host"), (F.length("html") - F.length(F.replace("html", F.lit("<p"), F.lit("")))).cast("long").alias("p_chars"))
