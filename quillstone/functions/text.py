@@ -243,7 +243,7 @@ def error_class(message: Column) -> Column:
 
 def conversion_timeout(size: Column, base: int = 900) -> Column:
     """Seconds for so many bytes: 15 minutes to 2 hours."""
-    return F.least(F.greatest(F.lit(base) + 3 * size / (20 * 1024), F.lit(900)), F.lit(7200)).cast("long")
+    return F.least(F.greatest(F.lit(base) + 3 * size.cast("double") / (20 * 1024), F.lit(900)), F.lit(7200)).cast("long")
 
 
 def resource_part(name: Column, kind: str) -> Column:
