@@ -11,6 +11,7 @@ anchor the smallest document that has it is found from them and sent back.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -179,10 +180,10 @@ def suffix_runs(row: dict, answers: list[dict], parts: int) -> Iterator[tuple[in
     context, left, right = contexts(data, bounds, places)
     part = owner(hashes, parts).astype(np.int64)
     # partition, suffix, what is before it, and the lengths
-    row_bytes = np.concatenate([part.astype(">u4").view(np.uint8).reshape(-1, 4), context[:, BEFORE:], right[:, None], context[:, :BEFORE], left[:, None]], axis=1)
-    row_bytes = np.ascontiguousarray(row_bytes)
-    order = lexical_order(row_bytes)
-    rows = row_bytes[order]
+    rows = np.concatenate([part.astype(">u4").view(np.uint8).reshape(-1, 4), context[:, BEFORE:], right[:, None], context[:, :BEFORE], left[:, None]], axis=1)
+    del context
+    order = lexical_order(rows)
+    rows = rows[order]
     new = np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])
     heads = np.flatnonzero(new)
     low, high = np.minimum.reduceat(key[order], heads), np.maximum.reduceat(key[order], heads)
@@ -205,7 +206,7 @@ def lexical_order(rows: np.ndarray) -> np.ndarray:
     n, width = rows.shape
     padded = np.zeros((n, -(-width // 8) * 8), dtype=np.uint8)
     padded[:, :width] = rows
-    words = padded.view(">u8").astype(np.uint64)
+    words = padded.view(">u8").byteswap(inplace=True).view("<u8")
     order = np.argsort(words[:, 0], kind="stable")
     column = 1
     # rows that are still equal are sorted by the next word within their group
@@ -236,7 +237,7 @@ class Run:
         at += 3 * n
         self.before = x[at : at + BEFORE * n]
         at += BEFORE * n
-        self.low, self.high = (np.frombuffer(x, dtype="<i8", count=n, offset=at + k * 8 * n).tolist() for k in (0, 1))
+        self.low, self.high = (array("q", x[at + k * 8 * n : at + (k + 1) * 8 * n]) for k in (0, 1))
         self.tails, self.tail, self.i, self.suffix = x, at + 16 * n, -1, b""
 
     def advance(self) -> bool:
@@ -347,13 +348,13 @@ def least_documents(group: list[tuple[int, int, bytes, bytes, int, int, int, int
 def merge_runs(table: pa.Table) -> pa.Table:
     """Answers for each batch: entry, first and last place, smallest document."""
     runs = [Run(x) for x in table["blob"].to_pylist()]
-    out: list[list[tuple[int, int, int, int]]] = [[] for _ in runs]
+    out = [array("q") for _ in runs]
     group: list = []
 
     def close() -> None:
         if len(group) > 1 or group[0][6] < group[0][7]:
             for r, i, a, b, low in least_documents(group):
-                out[r].append((i, a, b, low))
+                out[r].extend((i, a, b, low))
 
     for r, i, shared in merge(runs):
         if group and shared < K:
@@ -363,7 +364,7 @@ def merge_runs(table: pa.Table) -> pa.Table:
         group.append((r, i, run.before[BEFORE * i : BEFORE * i + BEFORE], run.suffix, run.left[i], run.right[i], run.low[i], run.high[i]))
     if group:
         close()
-    blobs = [squeeze(np.array(x, dtype="<i8").T.tobytes()) if x else None for x in out]
+    blobs = [squeeze(np.frombuffer(x, dtype="<i8").reshape(-1, 4).T.tobytes()) if x else None for x in out]
     keep = [i for i, x in enumerate(blobs) if x is not None]
     return pa.table({"batch": table["batch"].take(keep) if keep else pa.array([], pa.int64()), "pid": table["pid"].take(keep) if keep else pa.array([], pa.int32()), "blob": pa.array([blobs[i] for i in keep], pa.binary())})
 
@@ -404,7 +405,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", carry
     each partition one entry for each batch, whatever the number of documents in it.
     """
     packed = pack(df, key, text, carry=carry)
-    parts = shares(packed, 2 << 20)
+    parts = shares(packed, 2 << 20, 4 << 20)
     exchange = "batch long, pid int, blob binary"
 
     def rows_of(batch: pa.RecordBatch | pa.Table) -> list[dict]:
