@@ -35,7 +35,7 @@ BOILERPLATE = (
 
 CLOSING = re.compile(rb"(?:[.!?:;,\")\]}'|]|\xe2\x80[\x99\x9d\xa6]|\xc2\xbb|\xe3\x80[\x82\x8d]|\xef\xbc[\x81\x9f])$")
 MARKED = re.compile(rb"[#*$%&|<>!?=_~^]{2}")
-SEPARATOR = re.compile(rb"(?:^|\s)(?:[|>/]|::|\xc2\xbb|\xe2\x80[\xa2\xba])(?=\s|$)")
+SEPARATOR = frozenset(x.encode() for x in ("|", ">", "/", "::", "»", "•", "›"))
 FURNITURE = re.compile(b"|".join(re.escape(x.encode()) for x in BOILERPLATE))
 SYMBOLS = b"#*$%&|<>"
 NOT_SYMBOLS = bytes(b for b in range(256) if b not in SYMBOLS)
@@ -66,13 +66,13 @@ def line_fails(line: bytes, words: list[bytes]) -> str | None:
     n = len(words)
     if n < FRAGMENT_WORDS and not CLOSING.search(words[-1]):
         return "punctuation"
-    if (b"|" in line or b">" in line or b"/" in line or not line.isascii()) and 4 * (k := len(SEPARATOR.findall(line))) >= n and k >= SEPARATORS:
+    if (k := sum(map(SEPARATOR.__contains__, words))) >= SEPARATORS and 4 * k >= n:
         return "navigation"
     if MARKED.search(line) and sum(1 for w in words if MARKED.search(w)) > MAX_MARKED * n:
         return "punctuation"
     if FURNITURE.search(line.lower()):
         return "boilerplate"
-    if n >= MONOTONE_WORDS and len(set(words)) < (1 - MONOTONE_SHARE) * n and max(map(words.count, set(words))) > MONOTONE_SHARE * n:
+    if n >= MONOTONE_WORDS and len(kinds := set(words)) < MONOTONE_SHARE * n + 1 and max(map(words.count, kinds)) > MONOTONE_SHARE * n:
         return "boilerplate"
     return None
 
@@ -138,6 +138,40 @@ def op5(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars")
 
 
+OP5_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS c FROM d, LATERAL (SELECT unnest(generate_series(1, len(w) - 2)) AS i)
+), rep AS (
+  SELECT r, count(DISTINCT i + k) AS n FROM g, (SELECT unnest([0, 1, 2]) AS k) WHERE c > 1 GROUP BY r
+), l AS (
+  SELECT r, line, i, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w
+  FROM (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d)
+), own AS (
+  SELECT *, len(w) AS n, row_number() OVER (PARTITION BY r, line ORDER BY i) > 1 AS again FROM l WHERE len(w) > 0
+), judged AS (
+  SELECT r, again, length(array_to_string(w, '')) AS chars, again
+    OR (n < 5 AND NOT regexp_matches(w[-1], '[.!?:;,")\]}''|’”…»。」！？]$'))
+    OR (len(list_filter(w, lambda x: x IN ('|', '>', '/', '::', '»', '•', '›'))) >= greatest(3, n / 4))
+    OR len(list_filter(w, lambda x: regexp_matches(x, '[#*$%&|<>!?=_~^]{2}'))) > 0.3 * n
+    OR regexp_matches(lower(line), 'all rights reserved|terms of use|terms of service|terms and conditions|privacy policy|cookie policy|uses cookies|accept cookies|enable javascript|lorem ipsum|click here|sign up for our newsletter|subscribe to our|follow us on|powered by|skip to content|back to top')
+    OR (n >= 20 AND list_max(map_values(list_histogram(w))) > 0.5 * n) AS fails
+  FROM own
+), lost AS (
+  SELECT r, sum(chars) FILTER (fails) AS lost, count(*) FILTER (again) AS dup FROM judged GROUP BY r
+), base AS (
+  SELECT d.r, doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0)::BIGINT AS lost_chars
+  FROM d LEFT JOIN rep ON rep.r = d.r LEFT JOIN lost ON lost.r = d.r
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost_chars <= 0.5 * word_chars AS kept, lost_chars
+FROM base
+"""
+
+
 def keep_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the rules keep, unchanged."""
     columns = docs.columns

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": chat.OP3_SQL, "op4_ngram_jaccard_join": jaccard.OP4_SQL}
+    return {"op3_chat_format": chat.OP3_SQL, "op4_ngram_jaccard_join": jaccard.OP4_SQL, "op5_quality_rules": quality.OP5_SQL}
