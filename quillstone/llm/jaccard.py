@@ -5,7 +5,8 @@ permutation. A run deals the sets by one sampled shingle after another: sets tha
 only buckets that are still large are split by the next one. Two sets of similarity s stay together for d steps with
 probability s^d, so runs with other coordinates are repeated until the target recall is met. Within a small bucket
 all pairs are tested, by their samples first and then exactly on the whole sets; a pair is tested in the first run
-that brings it together only. What stays large to the end holds near copies of one another and is tested in blocks.
+that brings it together only. A large bucket that a step hardly shrinks holds near copies of one another; it is not
+split on but tested in blocks.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ COORDINATES, STEPS = 64, 8
 RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - SIMILARITY**TYPICAL))
 #: Sets that are tested at once.
 BUCKET = 512
+#: A large bucket that keeps this share of the one it comes from holds near copies: splitting on would only lose links.
+SETTLED = 0.6
 #: Of 64 samples so many agree at least, but for one pair at the threshold in some millions.
 AGREE = 35
 
@@ -93,18 +96,19 @@ def at(mins: str, k) -> Column:
 
 def leaves(sets: DataFrame) -> DataFrame:
     """rep, run, leaf, size: in each run the bucket that a set ends in, where it isn't alone."""
-    first = F.array(*(F.xxhash64(F.lit(r), at("mins", coordinate(r, 0))) for r in range(RUNS)))
-    now = sets.select("rep", F.posexplode(first).alias("run", "leaf"))
+    # a run's samples in the order of its steps go with each row, so that no step has to look them up
+    paths = [F.concat(*(at("mins", coordinate(r, k)) for k in range(STEPS))) for r in range(RUNS)]
+    now = sets.select("rep", F.posexplode(F.array(*paths)).alias("run", "path")).withColumn("leaf", F.xxhash64("run", F.substring("path", 1, 4))).withColumn("parent", F.lit(None).cast("long"))
     found: list[DataFrame] = []
+    ends = (F.col("size") <= BUCKET) | F.coalesce(F.col("size") > SETTLED * F.col("parent"), F.lit(False))
     for step in range(1, STEPS + 1):
         sizes = now.groupBy("leaf").agg(F.count("*").alias("size")).where(F.col("size") > 1)
-        together = written(now.join(sizes, "leaf").select("rep", "run", "leaf", "size"))
-        large = together.where(F.col("size") > BUCKET)
+        together = written(now.join(sizes, "leaf").select("rep", "run", "leaf", "size", (ends if step < STEPS else F.lit(True)).alias("ends"), F.when(F.col("size") > BUCKET, F.col("path")).alias("path")))
+        found.append(together.where("ends").select("rep", "run", "leaf", "size"))
+        large = together.where("not ends")
         if step == STEPS or large.isEmpty():
-            return functools.reduce(DataFrame.unionByName, [*found, together])
-        found.append(together.where(F.col("size") <= BUCKET))
-        chosen = F.array(*(F.lit(coordinate(r, step)) for r in range(RUNS)))
-        now = large.join(sets.select("rep", "mins"), "rep").select("rep", "run", F.xxhash64("leaf", at("mins", F.element_at(chosen, F.col("run") + 1))).alias("leaf"))
+            break
+        now = large.select("rep", "run", "path", F.xxhash64("leaf", F.substring("path", 4 * step + 1, 4)).alias("leaf"), F.col("size").alias("parent"))
     return functools.reduce(DataFrame.unionByName, found)
 
 
