@@ -32,6 +32,10 @@ def fingerprint(paths: list[str]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
 
 
+#: Fields whose empty text means that they aren't there.
+OPTIONAL = ("input", "context")
+
+
 @dataclass(frozen=True)
 class Mapping:
     """How a layout's fields become turns. single: (role, field) pairs in order; array: (field, role field, text field)."""
@@ -44,7 +48,12 @@ class Mapping:
         return [f for _, f in self.single] + ([f"{self.array[0]}[].{x}" for x in self.array[1:]] if self.array else [])
 
     def turns(self, field) -> Column:
-        alone = [F.when(field(f).isNotNull() & ((field(f) != "") | (role != "system") & ~f.startswith("input")), F.array(turn(F.lit(role), field(f)))).otherwise(F.array().cast(TURNS)) for role, f in self.single]
+        alone = []
+        for role, f in self.single:
+            given = field(f).isNotNull()
+            if role == "system" or f in OPTIONAL:
+                given = given & (field(f) != "")
+            alone.append(F.when(given, F.array(turn(F.lit(role), field(f)))).otherwise(F.array().cast(TURNS)))
         many = []
         if self.array:
             name, role, text = self.array
@@ -66,7 +75,7 @@ BY_FINGERPRINT = {fingerprint(m.paths): m for m in LAYOUTS}
 
 def turn(role: Column, text: Column) -> Column:
     """A canonical turn: known names of a role become one; null role: user; null text: empty."""
-    known = F.lower(F.trim(role))
+    known = F.replace(F.lower(F.trim(role)), F.lit("\n"), F.lit(" "))
     names = F.create_map(*(F.lit(x) for kv in ROLES.items() for x in kv))
     return F.struct(F.coalesce(names[known], F.nullif(known, F.lit("")), F.lit("user")).alias("role"), F.coalesce(text.cast("string"), F.lit("")).alias("text")).cast("struct<role:string,text:string>")
 
@@ -104,17 +113,17 @@ def canonical_json(df: DataFrame, record: str, turns: str = "turns") -> DataFram
     return df.withColumn("fingerprint_", print_).withColumn(turns, out).drop("fingerprint_")
 
 
-#: The template's marks; texts can't hold them, as every `<`, `[` and backslash in a text is escaped.
+#: The template's marks; texts can't hold them, as a backslash follows every `<`, `[` and backslash of a text.
 OPEN, CLOSE = "<|turn|>", "<|end|>"
 
 
 def escape(text: Column) -> Column:
-    """The escape character goes before every character that a control string can begin with, and before itself."""
-    return F.regexp_replace(text, r"([<\[\\])", r"\\$1")
+    """A backslash goes after every character that a control string can begin with, and after itself, so that none stays whole."""
+    return F.regexp_replace(text, r"([<\[\\])", r"$1\\")
 
 
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"\\([<\[\\])", "$1")
+    return F.regexp_replace(text, r"([<\[\\])\\", "$1")
 
 
 def format_turns(turns: Column) -> Column:
@@ -123,7 +132,7 @@ def format_turns(turns: Column) -> Column:
 
 
 def read_turns(formatted: Column) -> Column:
-    """The turns back from format_turns: an unescaped control string occurs only where a turn begins or ends."""
+    """The turns back from format_turns: a control string occurs only where a turn begins or ends."""
     parts = F.filter(F.split(formatted, r"<\|end\|>\n(?=<\|turn\|>|$)"), lambda x: x != "")
     body = lambda x: F.substring(x, len(OPEN) + 1, F.length(x))
     return F.transform(parts, lambda x: F.struct(unescape(F.substring_index(body(x), "\n", 1)).alias("role"), unescape(F.substring(body(x), F.length(F.substring_index(body(x), "\n", 1)) + F.lit(2), F.length(x))).alias("text")))
