@@ -69,6 +69,9 @@ class Index:
         return [q[:, p] @ b.T for p, b in zip(self.parts, self.books, strict=True)]
 
 
+    def decode(self, cell: int, codes: np.ndarray) -> np.ndarray:
+        return self.centroids[cell] + np.concatenate([b[codes[:, j]] for j, b in enumerate(self.books)], axis=1)
+
     def probes(self, x: np.ndarray, k: int, recall: float) -> int:
         """Cells to visit so that, over the sample x, they hold that share of the k nearest by brute force.
 
@@ -165,19 +168,23 @@ def nearest_neighbours(df: DataFrame, is_query, k: int = 20, probes: int | None
             codes = np.frombuffer(b"".join(index_rows["codes"].to_pylist()), dtype=np.uint8).reshape(len(ids), -1)[order]
             centre = shared.value.centroids[index_rows["cell"][0].as_py()]
             q_ids, q = queries["id"].to_numpy(), matrix(queries["vector"])
+            # what the codes leave out of an inner product, typically: vectors this close by estimate are told apart exactly
+            blur = np.sqrt(((x - shared.value.decode(index_rows["cell"][0].as_py(), codes)) ** 2).mean())
             for at in range(0, len(q), 64):
                 some, own = q[at : at + 64], q_ids[at : at + 64]
                 guess = np.repeat((some @ centre)[:, None], len(ids), axis=1)
                 for j, t in enumerate(shared.value.tables(some)):
                     guess += t[:, codes[:, j]]
                 guess[ids[None, :] == own[:, None]] = -np.inf
-                best = np.argsort(-guess, axis=1, kind="stable")[:, :rerank] if len(ids) > rerank else np.broadcast_to(np.arange(len(ids)), (len(some), len(ids)))
-                exact = np.einsum("qd,qrd->qr", some, x[best])
-                exact[ids[best] == own[:, None]] = -np.inf
-                top = np.lexsort((ids[best], -exact), axis=1)[:, :k]
-                scores = np.take_along_axis(exact, top, axis=1)
-                keep = scores > -np.inf
-                found.append((np.repeat(own, keep.sum(axis=1)), ids[np.take_along_axis(best, top, axis=1)][keep], scores[keep]))
+                if len(ids) > rerank:
+                    least = np.partition(guess, len(ids) - rerank, axis=1)[:, len(ids) - rerank] - blur * np.linalg.norm(some, axis=1)
+                else:
+                    least = np.full(len(some), np.finfo(float).min)
+                for i, (vector, id_) in enumerate(zip(some, own, strict=True)):
+                    best = np.flatnonzero(guess[i] >= least[i])
+                    exact = x[best] @ vector
+                    top = np.lexsort((ids[best], -exact))[:k]
+                    found.append((np.full(len(top), id_), ids[best[top]], exact[top]))
         joined = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table(dict(zip(("query_id", "vec_id", "score"), joined, strict=True)))
 
