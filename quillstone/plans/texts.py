@@ -155,12 +155,10 @@ def clean_markdown(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", X.clean_markdown(fenced).alias("t"))
 
 
-@query("SELECT p_brand AS kb_uid, string_agg(p_name || ' (' || p_type || ')', '; ' ORDER BY p_partkey) AS t FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part) WHERE n <= 20 GROUP BY 1")
+@query("SELECT p_brand AS kb_uid, string_agg(p_name || ' (' || p_type || ')', '; ' ORDER BY p_partkey) AS t FROM part GROUP BY 1")
 def parse_and_format_entities(spark, sf_dir):
-    """A summary's entity list is read and written again; each summary lists the first twenty of its parts."""
-    from quillstone.operators.catalog import numbered
-
-    part = numbered(table(spark, sf_dir, "part"), ["p_brand"], [F.col("p_partkey")]).where("rn <= 20")
+    """A summary's entity list is read and written again; each summary lists the parts of a brand."""
+    part = table(spark, sf_dir, "part")
     line = F.concat(F.lit("- "), F.col("p_name"), F.lit(" [part] ("), F.col("p_type"), F.lit(", "), F.upper("p_type"), F.lit(", , "), F.col("p_name"), F.lit(")"))
     held = part.groupBy(F.col("p_brand").alias("kb_uid")).agg(F.sort_array(F.collect_list(F.struct("p_partkey", line.alias("line")))).alias("x"))
     summary = F.concat(F.lit("About parts.\n\n## Entities\n"), F.array_join(F.col("x.line"), "\n"))
