@@ -82,7 +82,8 @@ def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
             most = sliding(np.concatenate([pad, least, pad]), PLACES, np.maximum)
             at = np.flatnonzero((most == h) & (h > 0))
             places.append(at + a)
-            hashes.append(h[at])
+            # the least of many hashes are small; mixed once more they are dealt evenly
+            hashes.append((h[at] ^ (h[at] << np.uint64(23))) * MIX ^ (h[at] >> np.uint64(27)))
         start = end
     return (np.concatenate(places), np.concatenate(hashes)) if places else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
@@ -105,15 +106,17 @@ def distinct(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return s[heads], several, inverse
 
 
-def short(hashes: np.ndarray) -> np.ndarray:
-    """The upper 48 bits of each hash, as bytes."""
-    return (hashes >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+def short(hashes: np.ndarray) -> bytes:
+    """The upper 48 bits of sorted hashes, as compressed steps; equal bytes of many numbers together compress better."""
+    step = np.diff(hashes >> np.uint64(16), prepend=np.uint64(0)).astype("<u8")
+    return squeeze(step.view(np.uint8).reshape(-1, 8).T[:6].tobytes())
 
 
 def long(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 6, 8), dtype=np.uint8)
-    out[:, :6] = np.frombuffer(blob, dtype=np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+    planes = np.frombuffer(expand(blob), dtype=np.uint8).reshape(6, -1)
+    step = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    step[:, :6] = planes.T
+    return np.cumsum(step.view("<u8").ravel(), dtype=np.uint64)
 
 
 def ask_hashes(row: dict, parts: int) -> Iterator[tuple[int, bytes]]:
@@ -121,10 +124,9 @@ def ask_hashes(row: dict, parts: int) -> Iterator[tuple[int, bytes]]:
     places, hashes = anchors(np.frombuffer(text, dtype=np.uint8), bounds)
     own, _, _ = distinct(hashes, np.searchsorted(bounds, places, side="right"))
     cut = np.searchsorted(owner(own, parts), np.arange(parts + 1))
-    packed = short(own)
     for p in range(parts):
         if cut[p + 1] > cut[p]:
-            yield p, packed[cut[p] : cut[p + 1]].tobytes()
+            yield p, short(own[cut[p] : cut[p + 1]])
 
 
 def shared_hashes(table: pa.Table) -> pa.Table:
@@ -194,7 +196,7 @@ def suffix_runs(row: dict, answers: list[dict], parts: int) -> Iterator[tuple[in
     for p in np.unique(of).tolist():
         a, b = ends[p], ends[p + 1]
         lcp, tails = front_code(rows[a:b, 4 : 4 + LENGTH])
-        blob = b"".join([int(b - a).to_bytes(4, "little"), lcp.tobytes(), rows[a:b, 4 + LENGTH].tobytes(), rows[a:b, -1].tobytes(), rows[a:b, 5 + LENGTH : -1].tobytes(), low[a:b].tobytes(), high[a:b].tobytes(), tails])
+        blob = b"".join([int(b - a).to_bytes(4, "little"), lcp.tobytes(), rows[a:b, 4 + LENGTH].tobytes(), rows[a:b, -1].tobytes(), rows[a:b, 5 + LENGTH : -1].tobytes(), low[a:b].tobytes(), (high[a:b] - low[a:b]).tobytes(), tails])
         yield p, squeeze(blob)
     # members of the entries, in order, and each partition's first entry
     memory = [np.array([len(places), len(heads), parts], dtype=np.int64), places[order], key[order], entry, left[order].astype(np.int64), right[order].astype(np.int64), ends]
@@ -237,7 +239,8 @@ class Run:
         at += 3 * n
         self.before = x[at : at + BEFORE * n]
         at += BEFORE * n
-        self.low, self.high = (array("q", x[at + k * 8 * n : at + (k + 1) * 8 * n]) for k in (0, 1))
+        low, over = (np.frombuffer(x, dtype="<i8", count=n, offset=at + k * 8 * n) for k in (0, 1))
+        self.low, self.high = array("q", low.tobytes()), array("q", (low + over).tobytes())
         self.tails, self.tail, self.i, self.suffix = x, at + 16 * n, -1, b""
 
     def advance(self) -> bool:
@@ -311,48 +314,83 @@ def merge(runs: list[Run]) -> Iterator[tuple[int, int, int]]:
             node >>= 1
 
 
-def least_documents(group: list[tuple[int, int, bytes, bytes, int, int, int, int]]) -> Iterator[tuple[int, int, int, int, int]]:
-    """(run, index, first, last, document): through these places of the anchor the string is in that smallest document.
+#: Of so many different surroundings each two are compared; of more the strings are looked up.
+FEW = 16
 
-    group: run, index, bytes before, suffix, own bytes before and from the anchor on, smallest and largest document.
-    A string starts 0 to BEFORE bytes before the anchor. Strings that only the entry itself has, in one document, are left out.
+
+def by_pairs(kinds: list[tuple[tuple[bytes, bytes, int, int], int]]) -> list[list[tuple[int, int, int]]]:
+    """For each of the surroundings, in order of their smallest document: what it has in common with smaller ones.
+
+    Two surroundings of an anchor have one range of strings in common.
     """
-    first = group[0]
-    if all(g[2:6] == first[2:6] for g in group):
-        low = min(g[6] for g in group)
-        for g in group:
-            if low < g[7]:
-                yield g[0], g[1], max(0, LENGTH - g[5]), g[4], low
-        return
-    least: list[dict[bytes, int]] = []
+    around = [(int.from_bytes(k[0], "big"), int.from_bytes(k[1], "big")) for k, _ in kinds]
+    out: list[list[tuple[int, int, int]]] = []
+    for n, ((_, _, left, right), low) in enumerate(kinds):
+        told: list[tuple[int, int, int]] = []
+        for k in range(n):
+            (_, _, other_left, other_right), other = kinds[k]
+            if other == low:
+                break
+            x, y = around[n][0] ^ around[k][0], around[n][1] ^ around[k][1]
+            last = min(((x & -x).bit_length() - 1) // 8 if x else BEFORE, left, other_left)
+            first = max(0, LENGTH - min(LENGTH - (y.bit_length() + 7) // 8, right, other_right))
+            if first <= last and not any(a <= first and last <= b for a, b, _ in told):
+                told.append((first, last, other))
+        out.append(told)
+    return out
+
+
+def by_strings(kinds: list[tuple[tuple[bytes, bytes, int, int], int]]) -> list[list[tuple[int, int, int]]]:
+    """The same as by_pairs, from the smallest document of every string through the anchor."""
+    out: list[list[tuple[int, int, int]]] = [[] for _ in kinds]
     for back in range(BEFORE + 1):
         found: dict[bytes, int] = {}
-        for g in group:
-            if back <= g[4] and LENGTH - back <= g[5]:
-                s = g[2][BEFORE - back :] + g[3][: LENGTH - back]
-                if found.get(s, NO_KEY) > g[6]:
-                    found[s] = g[6]
-        least.append(found)
-    for g in group:
-        start, low = 0, None
-        for back in range(max(0, LENGTH - g[5]), g[4] + 1):
-            now = least[back][g[2][BEFORE - back :] + g[3][: LENGTH - back]]
-            if now != low:
-                if low is not None and low < g[7]:
-                    yield g[0], g[1], start, back - 1, low
-                start, low = back, now
-        if low is not None and low < g[7]:
-            yield g[0], g[1], start, g[4], low
+        for n, ((before, suffix, left, right), low) in enumerate(kinds):
+            if back <= left and LENGTH - back <= right:
+                least = found.setdefault(before[BEFORE - back :] + suffix[: LENGTH - back], low)
+                if least < low:
+                    told = out[n]
+                    if told and told[-1][1] == back - 1 and told[-1][2] == least:
+                        told[-1] = (told[-1][0], back, least)
+                    else:
+                        told.append((back, back, least))
+    return out
+
+
+def least_documents(group: list[tuple[int, int, tuple[bytes, bytes, int, int], int, int]]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(run, index, first, last, document): through these places of the anchor the string is in that smaller document.
+
+    group: run, index, the surroundings (bytes before, suffix, own bytes before and from the anchor on), smallest and
+    largest document. A string starts 0 to BEFORE bytes before the anchor. What only the entry itself has, in one
+    document, isn't told.
+    """
+    least: dict[tuple[bytes, bytes, int, int], int] = {}
+    for _, _, kind, low, _ in group:
+        if low < least.get(kind, NO_KEY):
+            least[kind] = low
+    told: dict[tuple[bytes, bytes, int, int], list[tuple[int, int, int]]] = {}
+    if len(least) > 1:
+        kinds = sorted(least.items(), key=lambda k: k[1])
+        told = dict(zip((k for k, _ in kinds), by_pairs(kinds) if len(kinds) <= FEW else by_strings(kinds), strict=True))
+    for run, index, kind, _, high in group:
+        low = least[kind]
+        first, last = max(0, LENGTH - kind[3]), kind[2]
+        if low < high and first <= last:
+            yield run, index, first, last, low
+        for a, b, other in told.get(kind, ()):
+            yield run, index, a, b, other
 
 
 def merge_runs(table: pa.Table) -> pa.Table:
-    """Answers for each batch: entry, first and last place, smallest document."""
+    """Answers for each batch: entry, first and last place, smallest document. What a batch keeps for itself goes through."""
+    if table["pid"][0].as_py() < 0:
+        return table.select(["batch", "pid", "blob"])
     runs = [Run(x) for x in table["blob"].to_pylist()]
     out = [array("q") for _ in runs]
     group: list = []
 
     def close() -> None:
-        if len(group) > 1 or group[0][6] < group[0][7]:
+        if len(group) > 1 or group[0][3] < group[0][4]:
             for r, i, a, b, low in least_documents(group):
                 out[r].extend((i, a, b, low))
 
@@ -361,7 +399,7 @@ def merge_runs(table: pa.Table) -> pa.Table:
             close()
             group.clear()
         run = runs[r]
-        group.append((r, i, run.before[BEFORE * i : BEFORE * i + BEFORE], run.suffix, run.left[i], run.right[i], run.low[i], run.high[i]))
+        group.append((r, i, (run.before[BEFORE * i : BEFORE * i + BEFORE], run.suffix, run.left[i], run.right[i]), run.low[i], run.high[i]))
     if group:
         close()
     blobs = [squeeze(np.frombuffer(x, dtype="<i8").reshape(-1, 4).T.tobytes()) if x else None for x in out]
@@ -430,8 +468,9 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", carry
             keys, bounds, whole, gone = covered(row, rows_of(answers))
             edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
             # a run ends at its document's end too
-            inner = bounds[1:-1][(gone[np.minimum(bounds[1:-1], max(0, len(gone) - 1))] & gone[np.maximum(bounds[1:-1] - 1, 0)]) & (bounds[1:-1] > 0) & (bounds[1:-1] < len(gone))] if len(gone) else np.zeros(0, np.int64)
-            inner = np.unique(inner)
+            inner = np.unique(bounds[1:-1])
+            inner = inner[(inner > 0) & (inner < len(gone))]
+            inner = inner[gone[inner] & gone[inner - 1]]
             starts, ends = np.sort(np.concatenate([edges[::2], inner])), np.sort(np.concatenate([edges[1::2], inner]))
             for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
                 lo, hi = np.searchsorted(starts, a), np.searchsorted(starts, b)
@@ -449,9 +488,10 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", carry
         return pa.table({"key": pa.array(ids, pa.int64()), "n_bytes": pa.array(sizes, pa.int64()), "spans": pa.array(spans, kind), "kept": pa.array(kept, pa.binary()), "text": pa.array([x.decode("utf-8", "ignore") for x in kept] if carry else [None] * len(ids), pa.string()), "carried": pa.array(carried, pa.string())})
 
     shared = packed.mapInArrow(ask, exchange).repartition(parts, "pid").groupBy("pid").applyInArrow(shared_hashes, exchange)
-    sorted_ = written(packed.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(sort, exchange))
-    answers = sorted_.where(F.col("pid") >= 0).repartition(parts, "pid").groupBy("pid").applyInArrow(merge_runs, exchange)
-    back = sorted_.where(F.col("pid") < 0).unionByName(answers)
+    runs = packed.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(sort, exchange)
+    # runs meet by partition; what a batch keeps for itself is dealt by the batch
+    dealt = runs.withColumn("to", F.when(F.col("pid") < 0, -1 - F.col("batch")).otherwise(F.col("pid").cast("long")))
+    back = written(dealt.repartition(parts, "to").groupBy("to").applyInArrow(merge_runs, exchange))
     out = packed.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(finish, "key long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary, text string, carried string")
     return out.withColumnRenamed("key", key)
 
