@@ -72,7 +72,7 @@ def samples(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
-    keys_, batches, prints, sizes, mins = [], [], [], [], []
+    keys_, batches, places, prints, sizes, mins, carried = [], [], [], [], [], [], []
     for i in range(batch.num_rows):
         row = batch.slice(i, 1).to_pylist()[0]
         keys, bounds, text = unpack(row)
@@ -83,10 +83,12 @@ def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
         for k, s in enumerate(sets):
             keys_.append(keys[k])
             batches.append(row["batch"])
+            places.append(k)
             prints.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
             sizes.append(len(s))
             mins.append(values[at[k]].tobytes() if len(s) else None)
-    return pa.RecordBatch.from_arrays([pa.array(keys_, pa.int64()), pa.array(batches, pa.int64()), pa.array(prints, pa.binary()), pa.array(sizes, pa.int32()), pa.array(mins, pa.binary())], names=["key", "batch", "print", "n", "mins"])
+        carried += row["carried"]
+    return pa.RecordBatch.from_arrays([pa.array(keys_, pa.int64()), pa.array(batches, pa.int64()), pa.array(places, pa.int32()), pa.array(prints, pa.binary()), pa.array(sizes, pa.int32()), pa.array(mins, pa.binary()), pa.array(carried, pa.string())], names=["key", "batch", "place", "print", "n", "mins", "carried"])
 
 
 def at(mins: str, k) -> Column:
@@ -255,33 +257,26 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, class_id, n_links for each row: near duplicates by the Jaccard similarity of shingle sets, 0.8 or more.
-
-    class_id is the least key of all documents that links join, directly or through others; n_links is the number of
-    other documents linked directly. Words are runs other than ASCII white space, ASCII letters in lower case, and a
-    shingle is five of them; a text of one to four words has one shingle of all its words. Rows with equal sets, such
-    as copies, are linked to one another and go through the join once. A null text, or one without words, is its own
-    class with no links. A null key is kept: such rows take part together as the key null's class. Other columns are
-    dropped; an empty table gives no rows.
-    """
-    nothing = F.lit(-(1 << 63)).cast("long")
-    packed = pack(df.select(F.coalesce(F.col(key).cast("long"), nothing).alias(key), F.col(text).alias(text)), key, text)
-    rows = written(packed.mapInArrow(lambda it: (sketch(b.slice(i, 1)) for b in it for i in range(b.num_rows)), "key long, batch long, print binary, n int, mins binary"))
-    sets = rows.where(F.col("print").isNotNull()).groupBy("print").agg(F.min_by(F.struct("key", "batch"), F.struct("key", "batch")).alias("r"), F.first("n").alias("n"), F.first("mins").alias("mins"), F.count("*").alias("copies"))
-    sets = written(sets.select("print", F.col("r.key").alias("rep"), F.col("r.batch").alias("batch"), "n", "mins", "copies"))
+def classes(df: DataFrame, key: str, text: str, carry: str | None = None) -> DataFrame:
+    """near_duplicates with first (the row that its class is named by; true for one row of a class) and carried."""
+    packed = pack(df, key, text, carry=carry)
+    rows = written(packed.mapInArrow(lambda it: (sketch(b.slice(i, 1)) for b in it for i in range(b.num_rows)), "key long, batch long, place int, print binary, n int, mins binary, carried string"))
+    row = F.struct("key", "batch", "place")
+    sets = rows.where(F.col("print").isNotNull()).groupBy("print").agg(F.min(row).alias("r"), F.first("n").alias("n"), F.first("mins").alias("mins"), F.count("*").alias("copies"))
+    # keys may repeat or be null, so that a set goes by a number of its own
+    sets = written(sets.select("print", F.monotonically_increasing_id().alias("rep"), "r", F.col("r.batch").alias("batch"), F.col("r.place").alias("place"), "n", "mins", "copies"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BUCKET)).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     met = leaves(sets).groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("run", "leaf", "size"))).alias("leaves"))
     # the leaves of earlier runs, 4 bytes each, 0 where the set is alone
     thin = lambda name: F.transform(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), lambda k: F.substr(name, k * 4 + 1, F.lit(1)))
     narrow = F.unhex(F.array_join(F.transform(thin("mins"), F.hex), ""))
-    each = met.join(sets.select("rep", "batch", "n", "copies", narrow.alias("mins")), "rep").select("*", F.explode("leaves").alias("x"))
+    each = met.join(sets.select("rep", "batch", "place", "n", "copies", narrow.alias("mins")), "rep").select("*", F.explode("leaves").alias("x"))
     by_run = F.map_from_entries(F.transform("leaves", lambda s: F.struct(s["run"], F.hex((s["leaf"].bitwiseAND(F.lit(0xFFFFFFFF))).cast("long")))))
     before = F.unhex(F.array_join(F.transform(F.filter(F.sequence(F.lit(0), F.lit(RUNS - 1)), lambda r: F.lit(True)), lambda r: F.when(r < F.col("x.run"), F.lpad(F.coalesce(F.element_at(by_run, r), F.lit("0")), 8, "0")).otherwise("00000000")), ""))
-    each = each.select(F.col("x.leaf").alias("leaf"), F.col("x.size").alias("size"), "rep", "batch", "n", "copies", "mins", before.alias("before")).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = each.select("leaf", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "batch", "n", "copies", "before", "mins")
-    columns = "leaf long, i int, j int, own int, rep long, batch long, n int, copies long, before binary"
+    each = each.select(F.col("x.leaf").alias("leaf"), F.col("x.size").alias("size"), "rep", "batch", "place", "n", "copies", "mins", before.alias("before")).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = each.select("leaf", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "batch", "place", "n", "copies", "before", "mins")
+    columns = "leaf long, i int, j int, own int, rep long, batch long, place int, n int, copies long, before binary"
     order = ["leaf", "i", "j"]
     some = dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(likely, columns)
 
@@ -289,16 +284,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
         """The rows asked for with their whole shingle sets."""
         sets: list[bytes] = []
         if batch.num_rows and asked.num_rows:
-            keys, bounds, text = unpack(batch.to_pylist()[0])
-            place: dict = {}
-            for k, x in enumerate(keys):
-                place.setdefault(x, []).append(k)
-            made: dict[tuple[int, int], bytes] = {}
-            for rep, n in zip(asked["rep"].to_pylist(), asked["n"].to_pylist(), strict=True):
-                if (rep, n) not in made:  # rows may repeat a key; the set is the one of that size
-                    found = [shingles(text[bounds[k] : bounds[k + 1]]) for k in place[rep]]
-                    made[rep, n] = next(s for s in found if len(s) == n).tobytes()
-                sets.append(made[rep, n])
+            _, bounds, text = unpack(batch.to_pylist()[0])
+            made: dict[int, bytes] = {}
+            for k in asked["place"].to_pylist():
+                if k not in made:
+                    made[k] = shingles(text[bounds[k] : bounds[k + 1]]).tobytes()
+                sets.append(made[k])
         else:
             asked = asked.slice(0, 0)
         return asked.append_column("shingles", pa.array(sets, pa.binary()))
@@ -307,11 +298,27 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     found = written(whole.repartition(*order).sortWithinPartitions(*order).mapInArrow(linked, "rep long, links long, root long"))
     group = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    labelled = sets.select("print", "rep", "copies").join(links, "rep", "left").join(group, F.col("rep") == F.col("node"), "left")
-    labelled = labelled.select("print", F.coalesce("component", "rep").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    out = rows.select("key", "print").join(labelled, "print", "left")
-    clear = lambda c: F.when(c != nothing, c)
-    return out.select(clear(F.col("key")).alias(key), clear(F.coalesce("class", "key")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    labelled = sets.select("print", "rep", "r", "copies").join(links, "rep", "left").join(group, F.col("rep") == F.col("node"), "left")
+    labelled = labelled.select("print", "r", F.coalesce("component", "rep").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    least = labelled.groupBy("class").agg(F.min("r").alias("least"))
+    out = rows.select("key", "batch", "place", "print", "carried").join(labelled.join(least, "class").select("print", "least", "links"), "print", "left")
+    # a row without words is its own class
+    named = F.when(F.col("least").isNull(), F.col("key")).otherwise(F.col("least.key"))
+    first = F.coalesce((F.col("batch") == F.col("least.batch")) & (F.col("place") == F.col("least.place")), F.lit(True))
+    return out.select(F.col("key").alias(key), named.alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), first.alias("first"), "carried")
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, class_id, n_links for each row: near duplicates by the Jaccard similarity of shingle sets, 0.8 or more.
+
+    class_id is the least key of all documents that links join, directly or through others; n_links is the number of
+    other documents linked directly. Words are runs other than ASCII white space, ASCII letters in lower case, and a
+    shingle is five of them; a text of one to four words has one shingle of all its words. Rows with equal sets, such
+    as copies, are linked to one another and go through the join once. A null text, or one without words, is its own
+    class with no links. A null key is kept and comes before all others; the class of such a row is null. Keys may
+    repeat: each row takes part with its own text. Other columns are dropped; an empty table gives no rows.
+    """
+    return classes(df, key, text).select(key, "class_id", "n_links")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
@@ -347,6 +354,9 @@ def keep_first(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without a key can't be named by a class and stay.
     """
-    kept = near_duplicates(docs).where("doc_id = class_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    # a key may repeat, so that what stays is known by its text too
+    print_ = F.md5(F.coalesce("text", F.lit("")))
+    kept = classes(docs.select("doc_id", "text", print_.alias("print")), "doc_id", "text", "print").where("first")
+    kept = kept.select("doc_id", F.col("carried").alias("print")).distinct()
+    named = docs.where("doc_id is not null").withColumn("print", print_).join(kept, ["doc_id", "print"], "left_semi").dropDuplicates(["doc_id", "text"])
     return docs.where("doc_id is null").unionByName(named.select(*docs.columns))

@@ -253,6 +253,22 @@ def test_large_buckets_are_split_into_blocks(spark, monkeypatch):
     assert got == brute_classes([*texts, None])
 
 
+def test_near_duplicates_with_repeated_and_null_keys(spark):
+    r = random.Random(9)
+    base = [f"w{r.randrange(300)}" for _ in range(60)]
+    one = " ".join(base)
+    near = [" ".join([*base, *(f"{c}{k}" for k in range(3))]) for c in "abc"]
+    other = " ".join(f"v{r.randrange(300)}" for _ in range(60))
+    third = " ".join(f"u{r.randrange(300)}" for _ in range(60))
+    rows = [(7, one), (7, near[0]), (3, near[1]), (7, other), (8, other + " end"), (None, third), (None, third + " end"), (4, third + " so"), (None, "x y"), (-(1 << 63), None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted(((x.doc_id, x.class_id, x.n_links) for x in jaccard.near_duplicates(df).collect()), key=str)
+    expected = [(7, 3, 2), (7, 3, 2), (3, 3, 2), (7, 7, 1), (8, 7, 1), (None, None, 2), (None, None, 2), (4, None, 2), (None, None, 0), (-(1 << 63), -(1 << 63), 0)]
+    assert got == sorted(expected, key=str)
+    stays = sorted(((x.doc_id, x.text) for x in jaccard.keep_first(spark, df, "").collect()), key=str)
+    assert stays == sorted([(3, near[1]), (7, other), *((k, t) for k, t in rows if k is None), (-(1 << 63), None)], key=str)
+
+
 def test_runs_meet_the_recall():
     miss = (1 - jaccard.SIMILARITY**jaccard.TYPICAL) ** jaccard.RUNS
     assert miss <= 1 - jaccard.RECALL
