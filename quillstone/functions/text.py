@@ -189,10 +189,12 @@ def aliases(inside: Column, name: Column, most: int = 6) -> Column:
     return F.when(F.size(own) > 0, own)
 
 
-def augmented(entities: Column, most: int = 2000) -> Column:
-    """`Name (a, b); Other`, cut at the last whole entry within so many characters."""
+def augmented(entities: Column, most: int | None = 2000) -> Column:
+    """`Name (a, b); Other`, cut at the last whole entry within so many characters; None: not cut."""
     one = lambda e: F.when(F.size(e["aliases"]) > 0, F.concat(e["name"], F.lit(" ("), F.array_join(e["aliases"], ", "), F.lit(")"))).otherwise(e["name"])
     whole = F.array_join(F.transform(entities, one), "; ")
+    if most is None:
+        return whole
     cut = F.substr(whole, F.lit(1), F.lit(most))
     last = F.length(cut) - F.length(F.regexp_extract(cut, r"; (?!.*; )([\s\S]*)$", 0))
     return F.when(F.length(whole) <= most, whole).when(last < F.length(cut), F.substr(cut, F.lit(1), last)).otherwise(cut)

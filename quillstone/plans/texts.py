@@ -162,7 +162,7 @@ def parse_and_format_entities(spark, sf_dir):
     line = F.concat(F.lit("- "), F.col("p_name"), F.lit(" [part] ("), F.col("p_type"), F.lit(", "), F.upper("p_type"), F.lit(", , "), F.col("p_name"), F.lit(")"))
     held = part.groupBy(F.col("p_brand").alias("kb_uid")).agg(F.sort_array(F.collect_list(F.struct("p_partkey", line.alias("line")))).alias("x"))
     summary = F.concat(F.lit("About parts.\n\n## Entities\n"), F.array_join(F.col("x.line"), "\n"))
-    return held.select("kb_uid", X.augmented(X.entity_lines(summary), 100_000).alias("t"))
+    return held.select("kb_uid", X.augmented(X.entity_lines(summary), None).alias("t"))
 
 
 @query(f"WITH {PAGED} SELECT doc_id, greatest(len(body) // 2 - 1 - 2, 0)::BIGINT AS lo, least(len(body) // 2 + 2, len(body) - 1)::BIGINT AS hi FROM paged WHERE len(body) >= 3")

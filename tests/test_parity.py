@@ -46,3 +46,15 @@ def test_rows(spark, data, duck, name):
     assert sorted(names) == columns
     at = [names.index(c) for c in columns]
     assert rows == sorted((tuple(plain(r[i]) for i in at) for r in asked.fetchall()), key=str)
+
+
+def test_entities_are_all_listed(spark, tmp_path):
+    """A brand whose list is longer than any of the test tables' gives what the SQL gives."""
+    n = 5000
+    part = pd.DataFrame({"p_partkey": range(n), "p_name": [f"part of some length {i}" for i in range(n)], "p_brand": [f"Brand#{i % 2}" for i in range(n)], "p_type": "STANDARD ANODIZED TIN"})
+    part.to_parquet(tmp_path / "part.parquet")
+    found = dict(map(tuple, registry.queries()["parse_and_format_entities"](spark, str(tmp_path)).select("kb_uid", "t").collect()))
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from '{tmp_path}/part.parquet'")
+    expected = dict(con.execute(f"SELECT kb_uid, t FROM ({registry.oracle_sql()['parse_and_format_entities']})").fetchall())
+    assert found == expected and min(map(len, found.values())) > 100_000
