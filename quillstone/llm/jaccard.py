@@ -3,7 +3,8 @@
 Every distinct shingle set has min-wise samples: coordinate t samples the shingle with the least hash under the t-th
 permutation. A run deals the sets by one sampled shingle after another: sets that agree on it stay together, and
 only buckets that are still large are split by the next one. Two sets of similarity s stay together for d steps with
-probability s^d, so runs with other coordinates are repeated until the target recall is met. Within a small bucket
+probability s^d, so runs with coordinates of their own are repeated until each set, by the depths at which its
+buckets really ended, would have met a partner at the threshold with the target recall. Within a small bucket
 all pairs are tested, by their samples first and then exactly on the whole sets; a pair is tested in the first run
 that brings it together only. A large bucket that a step hardly shrinks holds near copies of one another; it is not
 split on but tested in blocks.
@@ -24,10 +25,12 @@ from pyspark.sql import functions as F
 from quillstone.llm.batches import pack, unpack, written
 
 WORDS, SIMILARITY = 5, 0.8
-#: Probability with which a pair at the threshold is found if its path has TYPICAL steps; most paths have one or two.
+#: Probability with which a pair at the threshold is found. The first RUNS are enough for paths of TYPICAL steps, most
+#: have one or two; sets with longer ones go through MORE runs at a time, until they are enough.
 RECALL, TYPICAL = 0.9999, 4
 COORDINATES, STEPS = 64, 8
 RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - SIMILARITY**TYPICAL))
+MORE = 8
 #: Sets that are tested at once.
 BUCKET = 512
 #: A large bucket that keeps this share of the one it comes from holds near copies: splitting on would only lose links.
@@ -35,15 +38,24 @@ SETTLED = 0.6
 #: Of 64 samples so many agree at least, but for one pair at the threshold in some millions.
 AGREE = 35
 
-_rng = np.random.default_rng(11)
-ODD = _rng.integers(1, 1 << 62, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-XOR = _rng.integers(1, 1 << 62, COORDINATES, dtype=np.uint64) * np.uint64(2)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def coordinate(run: int, step: int) -> int:
-    """The sample that a run's step looks at; each run begins with another one."""
-    return (run + step * 19 + (step * run * 7)) % COORDINATES
+    """The sample that a run's step looks at, which no other run looks at."""
+    return run * STEPS + step
+
+
+@functools.cache
+def permutation(t: int) -> tuple[np.uint64, np.uint64]:
+    """XOR and odd factor of coordinate t."""
+    odd, xor = np.random.default_rng([11, t]).integers(1, 1 << 62, 2, dtype=np.uint64)
+    return xor * np.uint64(2), odd * np.uint64(2) + np.uint64(1)
+
+
+def lost(depth: int) -> float:
+    """Logarithm of the probability that a run with a path of so many steps misses a pair at the threshold."""
+    return math.log(1 - SIMILARITY**depth)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -63,12 +75,24 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(h)
 
 
-def samples(sets: list[np.ndarray]) -> np.ndarray:
-    """[sets, COORDINATES] of 32 bits; the sets aren't empty."""
+def samples(sets: list[np.ndarray], coordinates: range) -> np.ndarray:
+    """[sets, coordinates] of 32 bits; the sets aren't empty."""
     flat = np.concatenate(sets)
     starts = np.zeros(len(sets), dtype=np.int64)
     np.cumsum([len(s) for s in sets[:-1]], out=starts[1:])
-    return np.stack([(np.minimum.reduceat((flat ^ XOR[t]) * ODD[t], starts) >> np.uint64(32)).astype(np.uint32) for t in range(COORDINATES)], axis=1)
+    out = np.empty((len(sets), len(coordinates)), dtype=np.uint32)
+    mapped = np.empty_like(flat)
+    for k, t in enumerate(coordinates):
+        xor, odd = permutation(t)
+        np.bitwise_xor(flat, xor, out=mapped)
+        np.multiply(mapped, odd, out=mapped)
+        out[:, k] = np.minimum.reduceat(mapped, starts) >> np.uint64(32)
+    return out
+
+
+def path_samples(runs: range) -> range:
+    """The coordinates of consecutive runs."""
+    return range(coordinate(runs.start, 0), coordinate(runs.stop, 0))
 
 
 def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -78,7 +102,7 @@ def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys, bounds, text = unpack(row)
         sets = [shingles(text[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         full = [k for k, s in enumerate(sets) if len(s)]
-        values = samples([sets[k] for k in full]).view(np.int32) if full else np.zeros((0, COORDINATES), np.int32)
+        values = samples([sets[k] for k in full], path_samples(range(RUNS))) if full else None
         at = dict(zip(full, range(len(full)), strict=True))
         for k, s in enumerate(sets):
             keys_.append(keys[k])
@@ -91,27 +115,56 @@ def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys_, pa.int64()), pa.array(batches, pa.int64()), pa.array(places, pa.int32()), pa.array(prints, pa.binary()), pa.array(sizes, pa.int32()), pa.array(mins, pa.binary()), pa.array(carried, pa.string())], names=["key", "batch", "place", "print", "n", "mins", "carried"])
 
 
-def at(mins: str, k) -> Column:
-    """Sample k of the packed samples."""
-    return F.substring(F.col(mins), 4 * k + 1, 4) if isinstance(k, int) else F.substr(mins, k * 4 + 1, F.lit(4))
+def further(batch: pa.RecordBatch, runs: range) -> pa.RecordBatch:
+    """The samples of further runs for each text with words."""
+    row = batch.to_pylist()[0]
+    _, bounds, text = unpack(row)
+    sets = [shingles(text[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    full = [k for k, s in enumerate(sets) if len(s)]
+    values = samples([sets[k] for k in full], path_samples(runs)) if full else []
+    return pa.RecordBatch.from_arrays([pa.array([row["batch"]] * len(full), pa.int64()), pa.array(full, pa.int32()), pa.array([v.tobytes() for v in values], pa.binary())], names=["batch", "place", "mins"])
 
 
-def leaves(sets: DataFrame) -> DataFrame:
-    """rep, run, leaf, size: in each run the bucket that a set ends in, where it isn't alone."""
+def leaves(sets: DataFrame, runs: range) -> tuple[DataFrame, DataFrame]:
+    """rep, run, leaf, size: in each run the bucket that a set ends in, where it isn't alone; and rep, deeper.
+
+    mins has the samples of these runs. Buckets without a set that is short of runs are left out. deeper is what the
+    logarithm of a set's probability to miss a pair gains over paths of one step.
+    """
     # a run's samples in the order of its steps go with each row, so that no step has to look them up
-    paths = [F.concat(*(at("mins", coordinate(r, k)) for k in range(STEPS))) for r in range(RUNS)]
-    now = sets.select("rep", F.posexplode(F.array(*paths)).alias("run", "path")).withColumn("leaf", F.xxhash64("run", F.substring("path", 1, 4))).withColumn("parent", F.lit(None).cast("long"))
+    paths = [F.substring("mins", 4 * STEPS * k + 1, 4 * STEPS) for k in range(len(runs))]
+    now = sets.select("rep", "short", F.posexplode(F.array(*paths)).alias("run", "path")).withColumn("run", F.col("run") + runs.start)
+    now = now.withColumn("leaf", F.xxhash64("run", F.substring("path", 1, 4))).withColumn("parent", F.lit(None).cast("long"))
     found: list[DataFrame] = []
+    deeper: list[DataFrame] = []
     ends = (F.col("size") <= BUCKET) | F.coalesce(F.col("size") > SETTLED * F.col("parent"), F.lit(False))
     for step in range(1, STEPS + 1):
-        sizes = now.groupBy("leaf").agg(F.count("*").alias("size")).where(F.col("size") > 1)
-        together = written(now.join(sizes, "leaf").select("rep", "run", "leaf", "size", (ends if step < STEPS else F.lit(True)).alias("ends"), F.when(F.col("size") > BUCKET, F.col("path")).alias("path")))
+        sizes = now.groupBy("leaf").agg(F.count("*").alias("size"), F.max("short").alias("asked")).where("size > 1 and asked").drop("asked")
+        together = written(now.join(sizes, "leaf").select("rep", "short", "run", "leaf", "size", (ends if step < STEPS else F.lit(True)).alias("ends"), F.when(F.col("size") > BUCKET, F.col("path")).alias("path")))
         found.append(together.where("ends").select("rep", "run", "leaf", "size"))
         large = together.where("not ends")
         if step == STEPS or large.isEmpty():
             break
-        now = large.select("rep", "run", "path", F.xxhash64("leaf", F.substring("path", 4 * step + 1, 4)).alias("leaf"), F.col("size").alias("parent"))
-    return functools.reduce(DataFrame.unionByName, found)
+        deeper.append(large.where("short").groupBy("rep").agg((F.count("*") * (lost(step + 1) - lost(step))).alias("deeper")))
+        now = large.select("rep", "short", "run", "path", F.xxhash64("leaf", F.substring("path", 4 * step + 1, 4)).alias("leaf"), F.col("size").alias("parent"))
+    none = sets.select("rep", F.lit(0.0).alias("deeper")).limit(0)
+    return functools.reduce(DataFrame.unionByName, found), functools.reduce(DataFrame.unionByName, deeper, none).groupBy("rep").agg(F.sum("deeper").alias("deeper"))
+
+
+def met_often(packed: DataFrame, sets: DataFrame) -> tuple[DataFrame, int]:
+    """The leaves of as many runs as each set needs, and how many runs there are."""
+    enough = math.log(1 - RECALL)
+    met, deeper = leaves(sets.withColumn("short", F.lit(True)), range(RUNS))
+    runs, miss = RUNS, F.col("miss") + F.coalesce("deeper", F.lit(0.0))
+    short = written(deeper.select("rep", (F.col("deeper") + RUNS * lost(1)).alias("miss")).where(F.col("miss") > enough))
+    while not short.isEmpty():
+        new = range(runs, runs + MORE)
+        mins = packed.mapInArrow(lambda it, new=new: (further(b.slice(i, 1), new) for b in it for i in range(b.num_rows)), "batch long, place int, mins binary")
+        asked = sets.select("rep", "batch", "place").join(short.select("rep", F.lit(True).alias("short")), "rep", "left").withColumn("short", F.coalesce("short", F.lit(False)))
+        more, deeper = leaves(asked.join(mins, ["batch", "place"]), new)
+        met, runs = met.unionByName(more), new.stop
+        short = written(short.join(deeper, "rep", "left").select("rep", (miss + MORE * lost(1)).alias("miss")).where(F.col("miss") > enough))
+    return met, runs
 
 
 class Groups:
@@ -267,13 +320,14 @@ def classes(df: DataFrame, key: str, text: str, carry: str | None = None) -> Dat
     sets = written(sets.select("print", F.monotonically_increasing_id().alias("rep"), "r", F.col("r.batch").alias("batch"), F.col("r.place").alias("place"), "n", "mins", "copies"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BUCKET)).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    met = leaves(sets).groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("run", "leaf", "size"))).alias("leaves"))
+    met, runs = met_often(packed, sets)
+    met = met.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("run", "leaf", "size"))).alias("leaves"))
     # the leaves of earlier runs, 4 bytes each, 0 where the set is alone
     thin = lambda name: F.transform(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), lambda k: F.substr(name, k * 4 + 1, F.lit(1)))
     narrow = F.unhex(F.array_join(F.transform(thin("mins"), F.hex), ""))
     each = met.join(sets.select("rep", "batch", "place", "n", "copies", narrow.alias("mins")), "rep").select("*", F.explode("leaves").alias("x"))
     by_run = F.map_from_entries(F.transform("leaves", lambda s: F.struct(s["run"], F.hex((s["leaf"].bitwiseAND(F.lit(0xFFFFFFFF))).cast("long")))))
-    before = F.unhex(F.array_join(F.transform(F.filter(F.sequence(F.lit(0), F.lit(RUNS - 1)), lambda r: F.lit(True)), lambda r: F.when(r < F.col("x.run"), F.lpad(F.coalesce(F.element_at(by_run, r), F.lit("0")), 8, "0")).otherwise("00000000")), ""))
+    before = F.unhex(F.array_join(F.transform(F.filter(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.lit(True)), lambda r: F.when(r < F.col("x.run"), F.lpad(F.coalesce(F.element_at(by_run, r), F.lit("0")), 8, "0")).otherwise("00000000")), ""))
     each = each.select(F.col("x.leaf").alias("leaf"), F.col("x.size").alias("size"), "rep", "batch", "place", "n", "copies", "mins", before.alias("before")).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = each.select("leaf", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "batch", "place", "n", "copies", "before", "mins")
     columns = "leaf long, i int, j int, own int, rep long, batch long, place int, n int, copies long, before binary"

@@ -275,6 +275,43 @@ def test_runs_meet_the_recall():
     assert len({jaccard.coordinate(r, 0) for r in range(jaccard.RUNS)}) == jaccard.RUNS
 
 
+def test_runs_have_coordinates_of_their_own():
+    own = [jaccard.coordinate(r, k) for r in range(60) for k in range(jaccard.STEPS)]
+    assert len(set(own)) == len(own)
+
+
+def test_deep_tables_get_more_runs(spark, monkeypatch):
+    """Texts of shared passages, whose buckets take some steps, and a recall too high for the first runs: each set's runs are enough for its depths."""
+    monkeypatch.setattr(jaccard, "BUCKET", 4)
+    monkeypatch.setattr(jaccard, "RECALL", 1 - 1e-10)
+    asked, deep = [], []
+    leaves = jaccard.leaves
+
+    def seen(sets, runs):
+        found, deeper = leaves(sets, runs)
+        asked.append(runs)
+        deep.append({x.rep: x.deeper for x in deeper.collect()})
+        return found, deeper
+
+    monkeypatch.setattr(jaccard, "leaves", seen)
+    r = random.Random(12)
+    passages = [" ".join(f"p{k}w{i}" for i in range(12)) for k in range(40)]
+    texts = [" ".join(r.sample(passages, 18)) for _ in range(120)]
+    texts += [t + " " + " ".join(f"z{k}q{i}" for i in range(48)) for k, t in enumerate(texts[:20])]
+    got = {x.doc_id: (x.class_id, x.n_links) for x in jaccard.near_duplicates(table(spark, texts)).collect()}
+    assert got == brute_classes([*texts, None])
+    assert asked[0] == range(jaccard.RUNS) and len(asked) > 1 and all(a.stop == b.start for a, b in zip(asked, asked[1:], strict=False))
+    assert max(deep[0].values()) + jaccard.RUNS * jaccard.lost(1) > math.log(1 - jaccard.RECALL)
+    for rep in deep[0]:
+        miss = done = 0.0
+        for runs, deeper in zip(asked, deep, strict=True):
+            miss += len(runs) * jaccard.lost(1) + deeper.get(rep, 0.0)
+            done = done or miss <= math.log(1 - jaccard.RECALL)
+            if done:
+                break
+        assert done
+
+
 # --- neighbours
 
 
