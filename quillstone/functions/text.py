@@ -17,7 +17,7 @@ MIME = {
 TAG = r"(?m)^\[(Page|Sheet):\s*([^\]]+?)\]\s*$"
 STAMP = r"\[(?:Audio|Sound|Video):\s*(\d{1,2}:\d{2}(?::\d{2})?)(?:\s*-\s*(\d{1,2}:\d{2}(?::\d{2})?))?\]"
 #: Sizes of slots and segments.
-SLOT_SECONDS, PAGES, MEDIA_SECONDS, OVERLAP_SECONDS, CHUNK = 120, 3, 1800, 60, 4000
+SLOT_SECONDS, PAGES, MEDIA_SECONDS, OVERLAP_SECONDS, CHUNK, PART_BYTES = 120, 3, 1800, 60, 4000, 60_000
 
 
 def mime_type(name: Column) -> Column:
@@ -168,6 +168,31 @@ def pieces(text: Column, cuts: Column) -> Column:
     return F.when(cuts.isNull(), F.array(text)).otherwise(own)
 
 
+def split_text(text: Column, most: int = PART_BYTES) -> Column:
+    """Parts of at most so many bytes of UTF-8, ended after the last line break that fits, else between code points.
+
+    A line break at the start of a part doesn't end it. Two parts in a row have more than most - 3 bytes, which bounds the fold.
+    """
+
+    def fitting(raw: Column) -> Column:
+        follows = lambda k: F.hex(F.substring(raw, most - k + 1, 1)).between("80", "BF")
+        n = F.when(F.octet_length(raw) <= most, F.octet_length(raw)).when(~follows(0), F.lit(most)).when(~follows(1), F.lit(most - 1)).when(~follows(2), F.lit(most - 2)).otherwise(F.lit(most - 3))
+        return F.decode(F.substr(raw, F.lit(1), n), "utf-8")
+
+    def ended(w: Column) -> Column:
+        return let(F.instr(F.reverse(w), "\n"), lambda back: F.when((back > 0) & (back < F.length(w)), F.substr(w, F.lit(1), F.length(w) - back + 1)).otherwise(w))
+
+    def step(a: Column, _: Column) -> Column:
+        rest = a["rest"]
+        part = F.when(F.octet_length(rest) <= most, rest).otherwise(let(let(F.encode(F.substr(rest, F.lit(1), F.lit(most)), "utf-8"), fitting), ended))
+        taken = lambda x: F.struct(F.substr(rest, F.length(x) + 1).alias("rest"), F.concat(a["parts"], F.array(x)).alias("parts"))
+        return F.when(rest == "", a).otherwise(let(part, taken))
+
+    start = F.struct(text.alias("rest"), F.array().cast("array<string>").alias("parts"))
+    steps = F.sequence(F.lit(1), F.ceil(2 * F.octet_length(text) / (most - 3)).cast("int") + 2)
+    return F.when(F.octet_length(text) <= most, F.array(text)).otherwise(F.aggregate(steps, start, step, lambda a: a["parts"]))
+
+
 def summary_of(text: Column) -> Column:
     return F.regexp_replace(F.substring_index(text, "## Entities", 1), r"\s+$", "")
 

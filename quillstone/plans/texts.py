@@ -80,10 +80,10 @@ def time_ranges(spark, sf_dir):
 
 @query("SELECT doc_id, length(text)::BIGINT AS total FROM (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents)")
 def chunk_documents(spark, sf_dir):
-    """Chunks at markdown boundaries; put together they have the text's length."""
+    """Chunks at markdown boundaries, none over 60,000 bytes; put together they have the text's length."""
     doubled = F.replace("text", F.lit("\n"), F.lit("\n\n"))
     cut = documents(spark, sf_dir).select("doc_id", doubled.alias("text"), X.markdown_delimiters(doubled).alias("cuts"))
-    parts = cut.select("doc_id", F.explode(X.pieces(F.col("text"), F.col("cuts"))).alias("piece"))
+    parts = cut.select("doc_id", F.explode(F.flatten(F.transform(X.pieces(F.col("text"), F.col("cuts")), lambda x: X.split_text(x)))).alias("piece"))
     return parts.groupBy("doc_id").agg(F.sum(F.length("piece")).cast("long").alias("total"))
 
 

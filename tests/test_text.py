@@ -53,6 +53,24 @@ def test_delimiters(spark, make, text, target, least):
         assert "".join(value(spark, X.pieces(F.col("t"), make(F.col("t"), target)), t=text)) == text
 
 
+def split_bytes(text, most):
+    out, raw = [], text.encode()
+    while len(raw) > most:
+        end = most
+        while raw[end] & 0xC0 == 0x80:
+            end -= 1
+        if (at := raw.rfind(b"\n", 0, end)) > 0:
+            end = at + 1
+        out.append(raw[:end].decode())
+        raw = raw[end:]
+    return [*out, raw.decode()] if raw or not out else out
+
+
+@pytest.mark.parametrize(("text", "most"), [("", 10), ("abc", 10), ("a" * 10, 10), ("a" * 35, 10), ("\n" + "b" * 25, 10), ("ab\ncdefghijklmnop\n\nq\n" * 9, 10), ("é日😀x\n" * 20, 10), ("😀" * 30, 11), ("a\n" + "c" * 70_000 + "\nd", 60_000), ("line é\n" * 20_000, 60_000)])
+def test_split_text(spark, text, most):
+    assert value(spark, X.split_text(F.col("t"), most), t=text) == split_bytes(text, most)
+
+
 @pytest.mark.parametrize(("seconds", "n"), [(300, 1), (600, 2), (8935, 30), (1, 1), (299, 1), (301, 2), (0, 0)])
 def test_time_slots(spark, seconds, n):
     slots = value(spark, X.time_slots(F.lit(seconds).cast("long"), 300))
