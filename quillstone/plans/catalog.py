@@ -84,8 +84,8 @@ def filter_json_select(spark, sf_dir):
 
 @query()
 def filter_fuzzy(spark, sf_dir):
-    """Files whose name or id is like a query in a stretch of it."""
-    return live_files(spark, sf_dir).where(FILE_FILTER.compile('q = "417"')).select("uid", "display_name")
+    """Files whose name or id is like a misspelt query in a stretch of it."""
+    return live_files(spark, sf_dir).where(FILE_FILTER.compile('q = "reprt 41"')).select("uid", "display_name")
 
 
 @query(f"WITH {FILES} SELECT uid FROM live WHERE list_has_any(tags, ['src1', 'src2']) OR uid IN ('f-00000010', 'f-00000011') OR (len(list_filter(tags, lambda t: t LIKE 'src1%')) = 0 AND visibility = 'VISIBILITY_WORKSPACE')")

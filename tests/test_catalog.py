@@ -107,3 +107,22 @@ def test_states(spark):
     rows = lambda *ids: spark.createDataFrame([(x,) for x in ids], "file_uid string")
     out = L.integrity(files, rows(*"cddeeff"), rows(*"cdeeff"), rows("f"))
     assert {r.uid: r.state for r in out.collect()} == {"a": "NOT_COMPLETED", "b": "EMPTY_PG", "c": "FILE_NOT_FOUND", "d": "MISSING_MILVUS", "e": "MISSING_CONVERTED_FILE", "f": "HEALTHY"}
+
+
+def test_fuzzy_filter_finds_a_misspelling(spark, data):
+    """Against the similarity of every file's name to the misspelt text; ids hold no such text."""
+    from quillstone.functions.trigram import word_similarity_of
+    from quillstone.plans import registry
+    from quillstone.plans.catalog import live_files
+    from quillstone.plans.filters import ID_LIKE, WORD_LIKE
+
+    def grams(x):
+        return {p[i : i + 3] for w in x.lower().replace("-", " ").split() for p in [f"  {w} "] for i in range(len(p) - 2)}
+
+    asked = grams("reprt 41")
+    alike = lambda x: len(grams(x) & asked) / len(grams(x) | asked)
+    rows = live_files(spark, data).select("uid", "id", "display_name").collect()
+    expected = {r.uid for r in rows if word_similarity_of("reprt 41", r.display_name) >= WORD_LIKE or alike(r.id) > ID_LIKE}
+    found = registry.queries()["filter_fuzzy"](spark, data).collect()
+    assert {r.uid for r in found} == expected and len(found) == len(expected)
+    assert expected and not any("reprt" in r.display_name for r in found)
