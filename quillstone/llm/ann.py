@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.llm.common import column
+
 #: At most so many vectors, those with the smallest hash of their id, fit centroids and codebooks. Every row is indexed.
 SAMPLE = 20_000
 CODEWORDS, GROUP, ROUNDS = 256, 4, 8
@@ -100,7 +102,7 @@ def usable(df: DataFrame, id_: str, vector: str) -> DataFrame:
     """Ids and vectors as array<double>, without those that are null, zero, of another length than most, or hold a null or non-finite component."""
     v = F.col("vector")
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    rows = df.select(F.col(id_).alias("id"), F.col(vector).cast("array<double>").alias("vector")).where(F.col("id").isNotNull() & v.isNotNull() & ~F.exists(v, bad) & F.exists(v, lambda x: x != 0))
+    rows = df.select(column(id_).alias("id"), column(vector).cast("array<double>").alias("vector")).where(F.col("id").isNotNull() & v.isNotNull() & ~F.exists(v, bad) & F.exists(v, lambda x: x != 0))
     dim = rows.agg(F.mode(F.size("vector"), True).alias("d"), F.count("*").alias("n")).first()
     return rows.where(F.size("vector") == F.lit(dim["d"] or 0)), int(dim["n"])
 

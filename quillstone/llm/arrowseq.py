@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import as_bytes, shared_dir, shuffle_partitions, slices
+from quillstone.llm.common import as_bytes, column, shared_dir, shuffle_partitions, slices
 from quillstone.llm.tokens import encoder, vocabulary_text
 
 LENGTH, ROWS = 1024, 256
@@ -125,7 +125,7 @@ def write_sequences(df: DataFrame, folder: str | None = None, vocabulary: str =
     folder = folder or f"{shared_dir(spark)}/sequences-{uuid.uuid4().hex}"
     shared = spark.sparkContext.broadcast(vocabulary_text(vocabulary))
     tail = b"" if end_id is None else int(end_id).to_bytes(4, "little")
-    rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = df.select(column(key).alias("key"), F.coalesce(column(text), F.lit("")).alias("text"))
     dealt = rows.repartitionByRange(partitions or shuffle_partitions(spark), "key", F.xxhash64("text")).sortWithinPartitions("key", F.xxhash64("text"), "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,8 +16,9 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillstone.llm.common import as_bytes, shared_dir, shuffle_partitions, slices
+from quillstone.llm.common import as_bytes, column, shared_dir, shuffle_partitions, slices
 
 BATCH_BYTES = 4 << 20
 
@@ -53,9 +54,11 @@ def expand(x: bytes) -> bytes:
 def pack(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = BATCH_BYTES, carry: str | None = None) -> DataFrame:
     """batch, keys (array<long>), lengths (array<int>), texts (compressed UTF-8 bytes, one after the other), carried, written.
 
-    carry: a string column that goes with each document.
+    carry: a string column that goes with each document. Keys are of an integer type; any other is an error.
     """
-    rows = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), (F.col(carry) if carry else F.lit(None)).cast("string").alias("carried"))
+    if not isinstance(kind := df.select(column(key)).schema[0].dataType, T.IntegralType):
+        raise TypeError(f"{key} must be of an integer type, not {kind.simpleString()}: give other keys a number first")
+    rows = df.select(column(key).cast("long").alias("key"), F.coalesce(column(text), F.lit("")).alias("text"), (column(carry) if carry else F.lit(None)).cast("string").alias("carried"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstone.llm.common import as_bytes, groups, int_lists, slices
+from quillstone.llm.common import as_bytes, groups, int_lists, mapped, slices, without
 from quillstone.llm.tokens import LONGEST, STALE, byte_level_chunks, vocabulary_text
 
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -161,7 +161,7 @@ def _model(vocabulary: str) -> PrefixBpe:
 
 
 def _appended(df: DataFrame, field: T.StructField) -> T.StructType:
-    return T.StructType([f for f in df.schema.fields if f.name != field.name] + [field])
+    return T.StructType([f for f in df.schema.fields if f.name.lower() != field.name.lower()] + [field])
 
 
 def bpe_encode(df: DataFrame, vocabulary: str = "byte_bpe_50k.json", text: str = "text", ids: str = "ids") -> DataFrame:
@@ -172,17 +172,18 @@ def bpe_encode(df: DataFrame, vocabulary: str = "byte_bpe_50k.json", text: str =
     Rows are independent, nothing is shuffled, and what a worker remembers is bounded.
     """
     shared = df.sparkSession.sparkContext.broadcast(vocabulary_text(vocabulary))
-    rest = df.drop(ids)
-    schema = _appended(rest.drop(text), T.StructField(ids, T.ArrayType(T.IntegerType())))
+    rest = without(df, ids)
+    schema = _appended(without(rest, text), T.StructField(ids, T.ArrayType(T.IntegerType())))
+
+    at = rest.columns.index(text)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(shared.value)
-        for batch in (part for whole in batches for part in slices(whole, text)):
-            at = batch.schema.get_field_index(text)
+        for batch in (part for whole in batches for part in slices(whole, at)):
             found = int_lists(model.encode(as_bytes(batch.column(at))))
             yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != at), found], names=schema.names)
 
-    return rest.mapInArrow(encode, schema)
+    return mapped(rest, encode, schema)
 
 
 def bpe_decode(df: DataFrame, vocabulary: str = "byte_bpe_50k.json", ids: str = "ids", text: str = "text") -> DataFrame:
@@ -192,19 +193,21 @@ def bpe_decode(df: DataFrame, vocabulary: str = "byte_bpe_50k.json", ids: str =
     an error. A column named as text is replaced.
     """
     shared = df.sparkSession.sparkContext.broadcast(vocabulary_text(vocabulary))
-    rest = df.drop(text)
+    rest = without(df, text)
     schema = _appended(rest, T.StructField(text, T.StringType()))
 
+    at = rest.columns.index(ids)
+
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(shared.value)
         get = model.bytes_of.__getitem__
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(ids))
+            column = batch.column(at)
             values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
             texts = [b"".join(map(get, values[a:b].tolist())).decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
 
-    return rest.mapInArrow(decode, schema)
+    return mapped(rest, decode, schema)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

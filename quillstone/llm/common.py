@@ -9,8 +9,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -22,9 +23,29 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def column(name: str) -> Column:
+    """The column of exactly this name, which may hold dots or blanks."""
+    return F.col(quoted(name))
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df without the columns of these names, in any case."""
+    gone = {n.lower() for n in names}
+    return df.select(*(column(c) for c in df.columns if c.lower() not in gone))
+
+
+def mapped(df: DataFrame, run, schema: str | T.StructType) -> DataFrame:
+    """df.mapInArrow for columns of any name; run gets them by place."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(run, schema)
+
+
 def whole_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The key and the whole text; a null text is the empty one."""
-    return docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias(text))
+    return docs.select(column(key), F.coalesce(column(text), F.lit("")).alias(text))
 
 
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
@@ -67,12 +88,14 @@ def int_lists(blobs: list[bytes], kind: pa.DataType | None = None) -> pa.ListArr
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; only where it names none (local tests), one of our own."""
+    """The folder that the cluster names in spark.checkpoint.dir; where it names none, one of our own in a local session, else an error."""
     sc = spark.sparkContext
     if found := sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir():
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(found)
         return found
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='quillstone-')}")
     return sc.getCheckpointDir()
 

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.batches import pack, unpack, written
+from quillstone.llm.common import column, quoted
 
 WORDS, SIMILARITY = 5, 0.8
 #: Probability with which a pair at the threshold is found. The first RUNS are enough for paths of TYPICAL steps, most
@@ -406,11 +407,13 @@ FROM documents d JOIN class c USING (doc_id)
 def keep_first(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each class of near duplicates the document with the least key stays, unchanged, once.
 
-    Documents without a key can't be named by a class and stay.
+    Documents without a key can't be named by a class and stay, whatever else is in their class; a class that has
+    one keeps no other. Of documents that repeat a key with different texts, each is judged by its own text; equal
+    rows count once. A null or empty text has no near duplicates. Other columns pass; an empty table gives no rows.
     """
     # a key may repeat, so that what stays is known by its text too
-    print_ = F.md5(F.coalesce("text", F.lit("")))
-    kept = classes(docs.select("doc_id", "text", print_.alias("print")), "doc_id", "text", "print").where("first")
+    whole = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("print"), F.struct(*map(column, docs.columns)).alias("row_"))
+    kept = classes(whole.select("doc_id", "text", "print"), "doc_id", "text", "print").where("first")
     kept = kept.select("doc_id", F.col("carried").alias("print")).distinct()
-    named = docs.where("doc_id is not null").withColumn("print", print_).join(kept, ["doc_id", "print"], "left_semi").dropDuplicates(["doc_id", "text"])
-    return docs.where("doc_id is null").unionByName(named.select(*docs.columns))
+    named = whole.where("doc_id is not null").join(kept, ["doc_id", "print"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return whole.where("doc_id is null").unionByName(named.select(*whole.columns)).select(*(F.col(f"row_.{quoted(c)}").alias(c) for c in docs.columns))

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.batches import expand, pack, shares, squeeze, unpack, written
+from quillstone.llm.common import column
 
 DEPTH = 5
 #: Text of a batch; in a larger one fewer strings are new.
@@ -373,7 +374,7 @@ def weighted_scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     few = first.where(F.col("node").isNotNull()).groupBy("node").agg(F.sum("n0"), F.sum("n1"), F.sum("below")).collect()
     words = next(((r[1], r[2]) for r in few if r[0] == -1), (0, 0))
     root = Root([tuple(r) for r in few if r[0] >= 0])
-    learned = ~F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    learned = ~F.coalesce(F.crc32(column(key).cast("string").cast("binary")) % 7 == 2, F.lit(False))
     train = (*words, df.where(learned).count())
 
     def finish(batch: pa.Table, answers: pa.Table) -> pa.Table:

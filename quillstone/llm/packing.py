@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import as_bytes, slices
+from quillstone.llm.common import as_bytes, column, quoted, slices
 from quillstone.llm.tokens import encoder, vocabulary_text
 
 #: Sequences numbered within each partition, which is the number above this bit.
@@ -67,8 +67,8 @@ def best_fit_pack(df: DataFrame, vocabulary: str = "byte_bpe_50k.json", capacity
     """
     shared = df.sparkSession.sparkContext.broadcast(vocabulary_text(vocabulary))
     tail = b"" if end_id is None else int(end_id).to_bytes(4, "little")
-    rows = df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias(text))
-    schema = f"`{key}` {rows.schema[0].dataType.simpleString()}, piece int, start long, length long, ids binary, sequence_id long, offset long"
+    rows = df.select(column(key).alias("key"), F.coalesce(column(text), F.lit("")).alias("text"))
+    schema = f"{quoted(key)} {rows.schema[0].dataType.simpleString()}, piece int, start long, length long, ids binary, sequence_id long, offset long"
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(shared.value, "byte").encode

@@ -13,8 +13,9 @@ from itertools import islice
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillstone.llm.common import as_bytes, slices
+from quillstone.llm.common import as_bytes, column, mapped, quoted, slices, without
 
 #: Share of a text's word characters that may be in failed lines.
 MAX_LOST = 0.5
@@ -26,6 +27,8 @@ MAX_MARKED = 0.3
 SEPARATORS = 3
 #: A line of at least so many words fails if the most frequent of them makes up more than this share.
 MONOTONE_WORDS, MONOTONE_SHARE = 20, 0.5
+#: A line of more words isn't site furniture, though it mentions a phrase of it.
+FURNITURE_WORDS = 25
 #: Phrases of site furniture, in lower case.
 BOILERPLATE = (
     "all rights reserved", "terms of use", "terms of service", "terms and conditions", "privacy policy", "cookie policy",
@@ -70,7 +73,7 @@ def line_fails(line: bytes, words: list[bytes]) -> str | None:
         return "navigation"
     if MARKED.search(line) and sum(1 for w in words if MARKED.search(w)) > MAX_MARKED * n:
         return "punctuation"
-    if FURNITURE.search(line.lower()):
+    if n <= FURNITURE_WORDS and FURNITURE.search(line.lower()):
         return "boilerplate"
     if n >= MONOTONE_WORDS and len(kinds := set(words)) < MONOTONE_SHARE * n + 1 and max(map(words.count, kinds)) > MONOTONE_SHARE * n:
         return "boilerplate"
@@ -111,24 +114,24 @@ def line_quality(df: DataFrame, text: str = "text", max_lost: float = MAX_LOST,
     replaced. Rows are independent: nothing is shuffled.
     """
     longs = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_chars", "n_punctuation", "n_navigation", "n_boilerplate"]
-    added = [f"{x} long" for x in longs] + ["base_failed boolean", "kept boolean"] + ([f"`{clean}` string"] if clean else [])
-    rest = df.drop(*(x.split()[0].strip("`") for x in added if x.split()[0].strip("`") != text))
+    added = [(x, T.LongType()) for x in longs] + [("base_failed", T.BooleanType()), ("kept", T.BooleanType())] + ([(clean, T.StringType())] if clean else [])
+    rest = without(df, *(x for x, _ in added if x != text))
     passed = [c for c in rest.columns if c != clean]
-    schema = ", ".join([f"`{c}` {rest.schema[c].dataType.simpleString()}" for c in passed] + added)
-    names = passed + [x.split()[0].strip("`") for x in added]
+    at, others = rest.columns.index(text), [rest.columns.index(c) for c in passed]
+    schema = T.StructType([T.StructField(c, rest.schema[c].dataType) for c in passed] + [T.StructField(x, kind) for x, kind in added])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, text)):
-            found = [judge(x) for x in as_bytes(batch.column(batch.schema.get_field_index(text)))]
+        for batch in (part for whole in batches for part in slices(whole, at)):
+            found = [judge(x) for x in as_bytes(batch.column(at))]
             keep = [not x[5] and x[6] <= max_lost * x[1] for x in found]
             rows = [(*x[:5], x[6], *x[7].values()) for x in found]
             columns = [pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * len(longs))]
             columns += [pa.array([x[5] for x in found], pa.bool_()), pa.array(keep, pa.bool_())]
             if clean:
                 columns.append(pa.array([b"\n".join(x[8]).decode("utf-8", "replace") for x in found], pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in passed] + columns, names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in others] + columns, names=schema.names)
 
-    return rest.mapInArrow(check, schema)
+    return mapped(rest, check, schema)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
@@ -155,7 +158,7 @@ WITH d AS (
     OR (n < 5 AND NOT regexp_matches(w[-1], '[.!?:;,")\]}''|’”…»。」！？]$'))
     OR (len(list_filter(w, lambda x: x IN ('|', '>', '/', '::', '»', '•', '›'))) >= greatest(3, n / 4))
     OR len(list_filter(w, lambda x: regexp_matches(x, '[#*$%&|<>!?=_~^]{2}'))) > 0.3 * n
-    OR regexp_matches(lower(line), 'all rights reserved|terms of use|terms of service|terms and conditions|privacy policy|cookie policy|uses cookies|accept cookies|enable javascript|lorem ipsum|click here|sign up for our newsletter|subscribe to our|follow us on|powered by|skip to content|back to top')
+    OR (n <= 25 AND regexp_matches(lower(line), 'all rights reserved|terms of use|terms of service|terms and conditions|privacy policy|cookie policy|uses cookies|accept cookies|enable javascript|lorem ipsum|click here|sign up for our newsletter|subscribe to our|follow us on|powered by|skip to content|back to top'))
     OR (n >= 20 AND list_max(map_values(list_histogram(w))) > 0.5 * n) AS fails
   FROM own
 ), lost AS (
@@ -173,6 +176,11 @@ FROM base
 
 
 def keep_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the rules keep, unchanged."""
-    columns = docs.columns
-    return line_quality(docs).where(F.col("kept")).select(*columns)
+    """Pipeline stage: documents that the rules keep, unchanged, with all their columns.
+
+    A document with a null or empty text has no words and goes; rows are judged one by one, so that null and repeated
+    keys play no part; an empty table gives no rows.
+    """
+    whole = F.struct(*map(column, docs.columns)).alias("row_")
+    kept = line_quality(docs.select(column("text").alias("text"), whole)).where(F.col("kept"))
+    return kept.select(*(F.col(f"row_.{quoted(c)}").alias(c) for c in docs.columns))

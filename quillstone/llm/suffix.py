@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstone.llm.batches import expand, pack, shares, squeeze, unpack, written
+from quillstone.llm.common import column
 
 LENGTH, K = 50, 20
 #: Places of a string at which its anchor can be.
@@ -505,12 +506,19 @@ def op6(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document without its repeated bytes (and without what is left of a character cut by that); n_chars follows the text."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    kind = T.StructType([f for f in docs.schema.fields if f.name in rest])
-    done = remove_repeats(docs.withColumn("rest_", F.to_json(F.struct(*rest))), carry="rest_")
-    done = done.select("doc_id", "text", F.from_json("carried", kind).alias("rest_"))
-    done = done.select("doc_id", "text", *(F.col(f"rest_.{c}").alias(c) for c in rest))
-    if "n_chars" in rest:
+    """Pipeline stage: every document without its repeated bytes (and without what is left of a character cut by that); n_chars follows the text.
+
+    Other columns pass as they are. A null text becomes the empty one; a document with a null key keeps its whole
+    text; documents that repeat a key are no smaller than one another; an empty table gives no rows.
+    """
+    rest = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")]
+    # by place, as JSON objects don't hold two names that differ in case only
+    plain = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(rest)])
+    carried = F.to_json(F.struct(F.lit(0).alias("row"), *(column(f.name).alias(f"c{i}") for i, f in enumerate(rest))))
+    done = remove_repeats(docs.select("doc_id", "text", carried.alias("rest_")), carry="rest_")
+    done = done.select("doc_id", "text", F.from_json("carried", plain).alias("rest_"))
+    if rest:
+        done = done.select("doc_id", "text", *(F.col(f"rest_.c{i}").alias(f.name) for i, f in enumerate(rest)))
+    if any(f.name == "n_chars" for f in rest):
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return done.select(*docs.columns)
+    return done.select(*map(column, docs.columns))

@@ -469,11 +469,11 @@ def labelled():
 
 
 def test_gradients():
-    net = toxicity.Network([b"aa", b"bb"])
+    net = toxicity.Network({b"aa": 3.0, b"bb": -2.0})
     for k in net.p:
         net.p[k] = net.p[k].astype(np.float64)
-    words, index = [b"aa", b"bbb", b"c"], np.array([[0, 1], [2, 0], [1, 1]])
-    mask, label, none = np.array([[1, 1], [1, 1], [0, 1.0]]), np.array([1.0, 0.0]), np.zeros(3, dtype=bool)
+    words, index = [b"bbb", b"aa", b"c"], np.array([[0, 1], [1, 2], [0, 0]])
+    mask, label, none = np.array([[1, 1], [1, 1], [1.0, 0]]), np.array([1.0, 0.0]), np.zeros(3, dtype=bool)
     loss, g = net.gradients(words, index, mask, label, none)
     r = np.random.default_rng(0)
     for k, v in net.p.items():
@@ -491,6 +491,54 @@ def test_gradients():
     assert loss > 0
 
 
+def plain_forward(net, words):
+    """The network's logit of one window, one number at a time."""
+    p = {k: v.astype(float).tolist() for k, v in net.p.items()}
+    s = lambda x: 1 / (1 + math.exp(-x))
+    dot = lambda v, m: [sum(a * row[j] for a, row in zip(v, m, strict=True)) for j in range(len(m[0]))]
+
+    def states(xs, w, b, u):
+        h, out = [0.0] * len(u), []
+        n = len(u)
+        for x in xs:
+            i, g = [a + c for a, c in zip(dot(x, w), b, strict=True)], dot(h, u)
+            h = [(1 - (z := s(i[k] + g[k]))) * math.tanh(i[2 * n + k] + s(i[n + k] + g[n + k]) * g[2 * n + k]) + z * h[k] for k in range(n)]
+            out.append(h)
+        return out
+
+    v = []
+    for w in words:
+        x = [p["char"][c] for c in w]
+        v.append(p["word"][net.known.get(w, 0)] + states(x, p["c_inf"], p["c_bf"], p["c_uf"])[-1] + states(x[::-1], p["c_inb"], p["c_bb"], p["c_ub"])[-1])
+    h = [f + b for f, b in zip(states(v, p["inf"], p["bf"], p["uf"]), states(v[::-1], p["inb"], p["bb"], p["ub"])[::-1], strict=True)]
+    e = [math.exp(sum(math.tanh(a) * o for a, o in zip(dot(x, p["a_in"]), p["a_out"], strict=True))) for x in h]
+    pool = [sum(w * x[k] for w, x in zip(e, h, strict=True)) / sum(e) for k in range(len(p["out"]))]
+    return sum(a * b for a, b in zip(pool, p["out"], strict=True)) + p["bias"][0]
+
+
+def test_scores_are_those_of_a_plain_forward_pass():
+    net, r = toxicity.Network({b"idea": 9.0, b"the": -3.0}, seed=8), random.Random(4)
+    texts = [" ".join(r.choice(["the", "Idea", "1d10t", "sh!t", "é", "x" * 30, "...", "42"]) for _ in range(n)).encode() for n in (1, 7, 48, 49, 130)]
+    for x, got in zip(texts, toxicity.Scorer(net).scores(texts), strict=True):
+        words = toxicity.words_of(x)
+        windows = [words[a : a + toxicity.WINDOW] for a in toxicity.window_starts(len(words))]
+        assert windows[-1][-1] == words[-1]
+        assert got == pytest.approx(1 / (1 + math.exp(-max(plain_forward(net, w) for w in windows))), abs=1e-5)
+
+
+def test_words_hold_all_but_white_space():
+    for t in fuzz(500):
+        assert b"".join(toxicity.words_of(t.encode())) == b"".join(t.encode().lower().split())
+    assert toxicity.words_of(b"You 1d10t, sh!t (#1)") == [b"you", b"1d10t", b",", b"sh!t", b"(#", b"1", b")"]
+
+
+def test_training_without_both_labels(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None), (2, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 0), (None, 1), (3, 1), (1, None)], "doc_id long, toxic int")
+    assert max(toxicity.Scorer(toxicity.train(docs, labels)).scores([b"a b", b""])) < toxicity.THRESHOLD
+    assert max(toxicity.Scorer(toxicity.train(docs, labels.limit(0))).scores([b"a b", b""])) < toxicity.THRESHOLD
+
+
 def test_toxicity(spark, labelled):
     texts, labels = labelled
     net = toxicity.fit([t.encode() for t in texts[:350]], labels[:350])
