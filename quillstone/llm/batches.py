@@ -1,14 +1,20 @@
 """Documents packed into batches that can ask the rest of the corpus and get answers back.
 
 A batch is one row of several megabytes of text, compressed. Steps that need facts about the whole corpus send keys
-dealt by their hash, merge them where equal keys meet, and join the answers to the batch again by its number; what
-is exchanged grows with the text, and no step holds more than a batch or one partition's share of the keys.
+dealt by their hash, merge them where equal keys meet, and join the answers to the batch again by its number.
+
+A batch sends to FAN groups, however large the corpus is, so that the messages of a level are FAN for each batch. Where
+FAN groups would be too large, relays stand between: each takes one group's messages from some FAN batches, merges
+them, and sends to the FAN groups that its own is divided into; answers go back the same way. Messages grow with the
+text times the number of levels, which is its logarithm to the base of FAN, and no step holds more than a batch, FAN
+messages of one group, or one last group, which as many senders reach as a relay has. A key that every batch holds
+is merged on the way, too.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +27,9 @@ from pyspark.sql import types as T
 from quillstone.llm.common import as_bytes, column, shared_dir, shuffle_partitions, slices
 
 BATCH_BYTES = 4 << 20
-
+#: A sender deals to 2 ** BITS groups, by the next bits of the keys' hashes.
+BITS = 8
+MESSAGE = "batch long, kind int, pid int, blob binary"
 
 #: Spark's own setting to delete the shuffle files of a query once it has ended.
 FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -91,6 +99,79 @@ def unpack(row: dict) -> tuple[list, np.ndarray, bytes]:
     return row["keys"], bounds, expand(row["texts"])
 
 
-def shares(batches: DataFrame, per_batch: int, target: int = 12 << 20) -> int:
-    """Partitions for an exchange in which each batch sends about per_batch bytes."""
-    return max(shuffle_partitions(batches.sparkSession), -(-batches.count() * per_batch // target))
+def shares(batches: DataFrame, per_batch: int, target: int = 12 << 20) -> tuple[int, int, int]:
+    """Batches, partitions and levels for an exchange in which each batch sends about per_batch bytes."""
+    n = batches.count()
+    parts, levels = -(-n * per_batch // target), 1
+    while parts > 1 << (BITS * levels):
+        levels += 1
+    return n, max(shuffle_partitions(batches.sparkSession), parts), levels
+
+
+def messages(rows: list[tuple]) -> pa.Table:
+    """A table of sender, kind, group and blob."""
+    types = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    return pa.table({name: pa.array([r[k] for r in rows], t) for k, (name, t) in enumerate(zip(("batch", "kind", "pid", "blob"), types, strict=True))})
+
+
+def relayed(sent: DataFrame, senders: int) -> tuple[DataFrame, int]:
+    """Messages with the number of the relay that takes them, and how many relays a group has."""
+    fan = 1 << BITS
+    n = -(-senders // fan)
+    number = (F.col("pid").cast("long") * 2 + F.col("kind")) * n + F.pmod(F.xxhash64("batch"), F.lit(n))
+    return sent.withColumn("relay", number), n
+
+
+def climbed(sent: DataFrame, senders: int, parts: int, levels: int, merge: Callable) -> list[DataFrame]:
+    """The messages of each level, the last of which are for the groups that answer.
+
+    merge(kind, width, blobs) gives (group, blob) for the merged keys of some messages to one group; groups of the next
+    level are told apart by so many bits.
+    """
+    out = [sent]
+    for depth in range(2, levels + 1):
+        out[-1] = written(out[-1])
+        below, senders = relayed(out[-1], senders)
+
+        out.append(below.repartition(parts, "relay").groupBy("relay").applyInArrow(_relay(merge, BITS * depth), MESSAGE))
+    return out
+
+
+def _relay(merge: Callable, width: int) -> Callable[[pa.Table], pa.Table]:
+    def relay(table: pa.Table) -> pa.Table:
+        kind, number = table["kind"][0].as_py(), table["relay"][0].as_py()
+        return messages([(number, kind, p, x) for p, x in merge(kind, width, in_order(table)["blob"].to_pylist())])
+
+    return relay
+
+
+def _back(spread: Callable, width: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def back(sent: pa.Table, answers: pa.Table) -> pa.Table:
+        if not sent.num_rows or not answers.num_rows:
+            return messages([])
+        sent, kind = in_order(sent), sent["kind"][0].as_py()
+        found = spread(kind, width, sent["blob"].to_pylist(), list(zip(answers["pid"].to_pylist(), answers["blob"].to_pylist(), strict=True)))
+        return messages([(b, kind, p, x) for b, p, x in zip(sent["batch"].to_pylist(), sent["pid"].to_pylist(), found, strict=True) if x is not None])
+
+    return back
+
+
+def in_order(table: pa.Table) -> pa.Table:
+    """A relay's messages in an order that doesn't depend on their arrival."""
+    return table.sort_by([("batch", "ascending"), ("pid", "ascending")])
+
+
+def descended(levels: list[DataFrame], senders: int, parts: int, replies: DataFrame, spread: Callable) -> DataFrame:
+    """Answers for the batches, from those of the last groups to the messages of the last level.
+
+    spread(kind, width, blobs, answers) gives the answer to each of a relay's messages, or None, from those (group,
+    blob) to what merge made of them.
+    """
+    counts = [senders]
+    for _ in levels[1:]:
+        counts.append(-(-counts[-1] // (1 << BITS)))
+    for depth in range(len(levels), 1, -1):
+        below, _ = relayed(levels[depth - 2], counts[depth - 2])
+        told = replies.withColumnRenamed("batch", "relay").repartition(parts, "relay").groupBy("relay")
+        replies = below.repartition(parts, "relay").groupBy("relay").cogroup(told).applyInArrow(_back(spread, BITS * depth), MESSAGE)
+    return replies

@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstone.llm.batches import expand, pack, shares, squeeze, unpack, written
+from quillstone.llm import batches as exchange
+from quillstone.llm.batches import MESSAGE, climbed, descended, expand, messages, pack, shares, squeeze, unpack, written
 from quillstone.llm.common import column
 
 LENGTH, K = 50, 20
@@ -49,13 +50,21 @@ def gram_hashes(x: np.ndarray) -> np.ndarray:
     h4 = h2[:-2] * power(2) + h2[2:]
     h8 = h4[:-4] * power(4) + h4[4:]
     h16 = h8[:-8] * power(8) + h8[8:]
-    h = h16[:-4] * power(4) + h4[16:]
-    h ^= h >> np.uint64(32)
+    return settled(h16[:-4] * power(4) + h4[16:])
+
+
+def settled(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(32))
     h *= MIX
     h ^= h >> np.uint64(29)
     return h
 
 
+def dealt_hash(h: np.ndarray) -> np.ndarray:
+    """The least of many hashes are small; mixed once more they are dealt evenly."""
+    return (h ^ (h << np.uint64(23))) * MIX ^ (h >> np.uint64(27))
+
+
 def sliding(x: np.ndarray, width: int, f) -> np.ndarray:
     """f over each window of that width."""
     done = 1
@@ -83,14 +92,20 @@ def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
             most = sliding(np.concatenate([pad, least, pad]), PLACES, np.maximum)
             at = np.flatnonzero((most == h) & (h > 0))
             places.append(at + a)
-            # the least of many hashes are small; mixed once more they are dealt evenly
-            hashes.append((h[at] ^ (h[at] << np.uint64(23))) * MIX ^ (h[at] >> np.uint64(27)))
+            hashes.append(dealt_hash(h[at]))
         start = end
     return (np.concatenate(places), np.concatenate(hashes)) if places else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
-def owner(hashes: np.ndarray, parts: int) -> np.ndarray:
-    return ((hashes >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)
+def owner(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The group of each hash: its first bits."""
+    return (hashes >> np.uint64(64 - width)).astype(np.int64)
+
+
+def edges(groups: np.ndarray) -> list[tuple[int, int, int]]:
+    """(group, first, end) of each group in sorted ones."""
+    heads = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]])) if len(groups) else np.zeros(0, np.int64)
+    return list(zip(groups[heads].tolist(), heads.tolist(), [*heads[1:].tolist(), len(groups)], strict=True)) if len(groups) else []
 
 
 def distinct(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,26 +135,49 @@ def long(blob: bytes) -> np.ndarray:
     return np.cumsum(step.view("<u8").ravel(), dtype=np.uint64)
 
 
-def ask_hashes(row: dict, parts: int) -> Iterator[tuple[int, bytes]]:
+def ask_hashes(row: dict, width: int) -> Iterator[tuple[int, bytes]]:
     _, bounds, text = unpack(row)
     places, hashes = anchors(np.frombuffer(text, dtype=np.uint8), bounds)
     own, _, _ = distinct(hashes, np.searchsorted(bounds, places, side="right"))
-    cut = np.searchsorted(owner(own, parts), np.arange(parts + 1))
-    for p in range(parts):
-        if cut[p + 1] > cut[p]:
-            yield p, short(own[cut[p] : cut[p + 1]])
+    for p, a, b in edges(owner(own, width)):
+        yield p, short(own[a:b])
+
+
+def several_have(blobs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All hashes of the blobs, and those that two of them have."""
+    every = np.sort(np.concatenate(blobs))
+    again = every[1:] == every[:-1]
+    return every[np.concatenate([[True], ~again])], np.unique(every[1:][again])
+
+
+def bits(among: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Whether each of x is among the sorted values."""
+    return among[np.minimum(np.searchsorted(among, x), len(among) - 1)] == x if len(among) else np.zeros(len(x), bool)
 
 
 def shared_hashes(table: pa.Table) -> pa.Table:
-    """For each batch a bit for each of its hashes: whether another batch has it too."""
+    """For each message a bit for each of its hashes: whether another has it too."""
     blobs = [long(x) for x in table["blob"].to_pylist()]
-    every = np.sort(np.concatenate(blobs))
-    twice = np.unique(every[1:][every[1:] == every[:-1]])
-    masks = []
-    for x in blobs:
-        at = np.searchsorted(twice, x)
-        masks.append(np.packbits(twice[np.minimum(at, len(twice) - 1)] == x if len(twice) else np.zeros(len(x), bool)).tobytes())
-    return pa.table({"batch": table["batch"], "pid": table["pid"], "blob": pa.array(masks, pa.binary())})
+    _, twice = several_have(blobs)
+    masks = pa.array([np.packbits(bits(twice, x)).tobytes() for x in blobs], pa.binary())
+    return table.select(["batch", "kind", "pid"]).append_column("blob", masks)
+
+
+def merge_hashes(kind: int, width: int, blobs: list[bytes]) -> Iterator[tuple[int, bytes]]:
+    every, _ = several_have([long(x) for x in blobs])
+    every = every << np.uint64(16)
+    for p, a, b in edges(owner(every, width)):
+        yield p, short(every[a:b])
+
+
+def spread_hashes(kind: int, width: int, blobs: list[bytes], answers: list[tuple[int, bytes]]) -> list[bytes]:
+    """A hash is in several batches if two of the relay's messages have it, or if others than the relay do."""
+    own = [long(x) for x in blobs]
+    every, twice = several_have(own)
+    told = dict(answers)
+    above = np.concatenate([np.unpackbits(np.frombuffer(told[p], dtype=np.uint8))[: b - a].astype(bool) for p, a, b in edges(owner(every << np.uint64(16), width))])
+    twice = np.union1d(twice, every[above])
+    return [np.packbits(bits(twice, x)).tobytes() for x in own]
 
 
 def contexts(data: np.ndarray, bounds: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,15 +202,32 @@ def front_code(suffixes: np.ndarray) -> tuple[np.ndarray, bytes]:
     return lcp, suffixes[np.arange(width) >= lcp[:, None]].tobytes()
 
 
-def suffix_runs(row: dict, answers: list[dict], parts: int) -> Iterator[tuple[int, bytes]]:
-    """A sorted front-coded run for each partition, and under -1 what the batch needs to use the answers."""
+def run_blobs(rows: np.ndarray, groups: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """A front-coded run for each group; rows (suffix, its length, what is before it, its length) are sorted within a group."""
+    for p, a, b in edges(groups):
+        lcp, tails = front_code(rows[a:b, :LENGTH])
+        yield p, squeeze(b"".join([int(b - a).to_bytes(4, "little"), lcp.tobytes(), rows[a:b, LENGTH].tobytes(), rows[a:b, -1].tobytes(), rows[a:b, LENGTH + 1 : -1].tobytes(), low[a:b].tobytes(), (high[a:b] - low[a:b]).tobytes(), tails]))
+
+
+def sorted_entries(rows: np.ndarray, groups: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows in order of group and suffix, their groups, smallest and largest documents; the rows' order, and each one's entry in that order."""
+    whole = np.concatenate([groups.astype(">u4").view(np.uint8).reshape(-1, 4), rows], axis=1)
+    order = lexical_order(whole)
+    whole = whole[order]
+    new = np.concatenate([[True], (whole[1:] != whole[:-1]).any(axis=1)])
+    heads = np.flatnonzero(new)
+    return whole[heads, 4:], groups[order][heads], np.minimum.reduceat(low[order], heads), np.maximum.reduceat(high[order], heads), order, np.cumsum(new) - 1
+
+
+def suffix_runs(row: dict, answers: list[dict], width: int) -> Iterator[tuple[int, bytes]]:
+    """A sorted front-coded run for each group, and under -1 what the batch needs to use the answers."""
     keys, bounds, text = unpack(row)
     data = np.frombuffer(text, dtype=np.uint8)
     places, hashes = anchors(data, bounds)
     own, several, inverse = distinct(hashes, np.searchsorted(bounds, places, side="right"))
-    cut = np.searchsorted(owner(own, parts), np.arange(parts + 1))
+    cut = {p: (a, b) for p, a, b in edges(owner(own, width))}
     for a in answers:
-        lo, hi = cut[a["pid"]], cut[a["pid"] + 1]
+        lo, hi = cut[a["pid"]]
         several[lo:hi] |= np.unpackbits(np.frombuffer(a["blob"], dtype=np.uint8))[: hi - lo].astype(bool)
     chosen = several[inverse]
     places, hashes = places[chosen], hashes[chosen]
@@ -181,29 +236,81 @@ def suffix_runs(row: dict, answers: list[dict], parts: int) -> Iterator[tuple[in
     if not len(places):
         return
     context, left, right = contexts(data, bounds, places)
-    part = owner(hashes, parts).astype(np.int64)
-    # partition, suffix, what is before it, and the lengths
-    rows = np.concatenate([part.astype(">u4").view(np.uint8).reshape(-1, 4), context[:, BEFORE:], right[:, None], context[:, :BEFORE], left[:, None]], axis=1)
+    rows = np.concatenate([context[:, BEFORE:], right[:, None], context[:, :BEFORE], left[:, None]], axis=1)
     del context
-    order = lexical_order(rows)
-    rows = rows[order]
-    new = np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])
-    heads = np.flatnonzero(new)
-    low, high = np.minimum.reduceat(key[order], heads), np.maximum.reduceat(key[order], heads)
-    entry = np.cumsum(new) - 1
-    rows = rows[heads]
-    of = part[order][heads]
-    ends = np.searchsorted(of, np.arange(parts + 1))
-    for p in np.unique(of).tolist():
-        a, b = ends[p], ends[p + 1]
-        lcp, tails = front_code(rows[a:b, 4 : 4 + LENGTH])
-        blob = b"".join([int(b - a).to_bytes(4, "little"), lcp.tobytes(), rows[a:b, 4 + LENGTH].tobytes(), rows[a:b, -1].tobytes(), rows[a:b, 5 + LENGTH : -1].tobytes(), low[a:b].tobytes(), (high[a:b] - low[a:b]).tobytes(), tails])
-        yield p, squeeze(blob)
-    # members of the entries, in order, and each partition's first entry
-    memory = [np.array([len(places), len(heads), parts], dtype=np.int64), places[order], key[order], entry, left[order].astype(np.int64), right[order].astype(np.int64), ends]
+    rows, of, low, high, order, entry = sorted_entries(rows, owner(hashes, width), key, key)
+    yield from run_blobs(rows, of, low, high)
+    # members of the entries, in order, and each group's first entry
+    first = np.searchsorted(of, np.arange((1 << width) + 1))
+    memory = [np.array([len(places), len(rows), len(first)], dtype=np.int64), places[order], key[order], entry, left[order].astype(np.int64), right[order].astype(np.int64), first]
     yield -1, squeeze(b"".join(x.astype("<i8").tobytes() for x in memory))
 
 
+def decoded(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of all runs, one run after the other, with their smallest and largest documents, and how many each run has."""
+    rows, lows, highs, sizes = [], [], [], []
+    for x in blobs:
+        run = Run(x)
+        own = np.zeros((run.n, LENGTH + 2 + BEFORE), dtype=np.uint8)
+        lcp = np.frombuffer(run.lcp, dtype=np.uint8)
+        fresh = np.arange(LENGTH) >= lcp[:, None]
+        own[:, :LENGTH][fresh] = np.frombuffer(run.tails, dtype=np.uint8, offset=run.tail)
+        # a byte that isn't a row's own is that of the last row above that has one there
+        source = np.maximum.accumulate(np.where(fresh, np.arange(run.n)[:, None], 0), axis=0)
+        own[:, :LENGTH] = np.take_along_axis(own[:, :LENGTH], source, axis=0)
+        own[:, LENGTH], own[:, -1] = np.frombuffer(run.right, dtype=np.uint8), np.frombuffer(run.left, dtype=np.uint8)
+        own[:, LENGTH + 1 : -1] = np.frombuffer(run.before, dtype=np.uint8).reshape(run.n, BEFORE)
+        rows.append(own)
+        lows.append(np.array(run.low, dtype=np.int64))
+        highs.append(np.array(run.high, dtype=np.int64))
+        sizes.append(run.n)
+    return np.concatenate(rows), np.concatenate(lows), np.concatenate(highs), np.array(sizes)
+
+
+def row_owners(rows: np.ndarray, width: int) -> np.ndarray:
+    """The groups of rows, by the hash of the first K bytes of their suffixes."""
+    powers = np.array([pow(BASE, K - 1 - i, 1 << 64) for i in range(K)], dtype=np.uint64)
+    return owner(dealt_hash(settled((BYTE_HASH[rows[:, :K]] * powers).sum(axis=1, dtype=np.uint64))), width)
+
+
+def merge_entries(kind: int, width: int, blobs: list[bytes]) -> Iterator[tuple[int, bytes]]:
+    rows, low, high, _ = decoded(blobs)
+    rows, of, low, high, _, _ = sorted_entries(rows, row_owners(rows, width), low, high)
+    yield from run_blobs(rows, of, low, high)
+
+
+def spread_entries(kind: int, width: int, blobs: list[bytes], answers: list[tuple[int, bytes]]) -> list[bytes | None]:
+    """Answers to a relay's entries, for each run that has an entry's row, by the row's number there."""
+    rows, low, high, sizes = decoded(blobs)
+    _, of, _, _, order, entry = sorted_entries(rows, row_owners(rows, width), low, high)
+    first = {p: a for p, a, _ in edges(of)}
+    found = []
+    for p, blob in answers:
+        index, lo, hi, least = np.frombuffer(expand(blob), dtype="<i8").reshape(4, -1)
+        which, member = members(entry, index + first[p])
+        row = order[member]
+        ok = high[row] > least[which]
+        found.append(np.stack([row[ok], lo[which[ok]], hi[which[ok]], least[which[ok]]]))
+    every = np.concatenate(found, axis=1)
+    every = every[:, np.argsort(every[0], kind="stable")]
+    ends = np.cumsum(sizes)
+    cut = np.searchsorted(every[0], np.concatenate([[0], ends]))
+    out: list[bytes | None] = []
+    for k, end in enumerate(ends.tolist()):
+        own = every[:, cut[k] : cut[k + 1]].copy()
+        own[0] -= end - sizes[k]
+        out.append(squeeze(own.astype("<i8").tobytes()) if own.shape[1] else None)
+    return out
+
+
+def members(entry: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each wanted entry all its members: the index of the one wanted, and the member's place."""
+    begin, end = np.searchsorted(entry, wanted), np.searchsorted(entry, wanted, side="right")
+    count = end - begin
+    which = np.repeat(np.arange(len(wanted)), count)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin, count)
+
+
 def lexical_order(rows: np.ndarray) -> np.ndarray:
     """Order of rows of bytes: by eight bytes at a time, as big-endian numbers, last first; each pass keeps the order before."""
     n, width = rows.shape
@@ -385,7 +492,7 @@ def least_documents(group: list[tuple[int, int, tuple[bytes, bytes, int, int], i
 def merge_runs(table: pa.Table) -> pa.Table:
     """Answers for each batch: entry, first and last place, smallest document. What a batch keeps for itself goes through."""
     if table["pid"][0].as_py() < 0:
-        return table.select(["batch", "pid", "blob"])
+        return table.select(["batch", "kind", "pid", "blob"])
     runs = [Run(x) for x in table["blob"].to_pylist()]
     out = [array("q") for _ in runs]
     group: list = []
@@ -405,7 +512,7 @@ def merge_runs(table: pa.Table) -> pa.Table:
         close()
     blobs = [squeeze(np.frombuffer(x, dtype="<i8").reshape(-1, 4).T.tobytes()) if x else None for x in out]
     keep = [i for i, x in enumerate(blobs) if x is not None]
-    return pa.table({"batch": table["batch"].take(keep) if keep else pa.array([], pa.int64()), "pid": table["pid"].take(keep) if keep else pa.array([], pa.int32()), "blob": pa.array([blobs[i] for i in keep], pa.binary())})
+    return messages([(table["batch"][i].as_py(), 0, table["pid"][i].as_py(), blobs[i]) for i in keep])
 
 
 def covered(row: dict, answers: list[dict]) -> tuple[list, np.ndarray, bytes, np.ndarray]:
@@ -415,17 +522,14 @@ def covered(row: dict, answers: list[dict]) -> tuple[list, np.ndarray, bytes, np
     memory = next((a["blob"] for a in answers if a["pid"] == -1), None)
     if memory is not None:
         x = np.frombuffer(expand(memory), dtype="<i8")
-        n, _, parts = x[:3].tolist()
+        n, _, groups = x[:3].tolist()
         places, key, entry, left, right = (x[3 + k * n : 3 + (k + 1) * n] for k in range(5))
-        first = x[3 + 5 * n : 3 + 5 * n + parts + 1]
+        first = x[3 + 5 * n : 3 + 5 * n + groups]
         for a in answers:
             if a["pid"] < 0:
                 continue
             index, lo, hi, low = np.frombuffer(expand(a["blob"]), dtype="<i8").reshape(4, -1)
-            begin, end = np.searchsorted(entry, index + first[a["pid"]]), np.searchsorted(entry, index + first[a["pid"]], side="right")
-            count = end - begin
-            which = np.repeat(np.arange(len(index)), count)
-            member = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin, count)
+            which, member = members(entry, index + first[a["pid"]])
             ok = key[member] > low[which]
             which, member = which[ok], member[ok]
             np.add.at(mark, places[member] - hi[which], 1)
@@ -441,27 +545,23 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", carry
     document with a null key takes no part and keeps all; documents with equal keys are no smaller than one another.
     carried is the string column named in carry, and text what is kept, without the rest of characters that were cut,
     both null if none is named; other columns are dropped; an empty table gives no rows. A passage that a third of all documents share costs
-    each partition one entry for each batch, whatever the number of documents in it.
+    each batch one entry, whatever the number of documents in it, and relays merge equal entries of many batches.
     """
     packed = pack(df, key, text, carry=carry)
-    parts = shares(packed, 2 << 20, 4 << 20)
-    exchange = "batch long, pid int, blob binary"
+    n, parts, levels = shares(packed, 2 << 20, 4 << 20)
+    width = exchange.BITS
 
     def rows_of(batch: pa.RecordBatch | pa.Table) -> list[dict]:
         return batch.to_pylist()
 
-    def blobs(found: list[tuple[int, int, bytes]]) -> list:
-        return [pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary()))]
-
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                yield pa.RecordBatch.from_arrays(blobs([(row["batch"], p, x) for p, x in ask_hashes(row, parts)]), names=["batch", "pid", "blob"])
+                yield from messages([(row["batch"], 0, p, x) for p, x in ask_hashes(row, width)]).combine_chunks().to_batches()
 
     def sort(batch: pa.Table, answers: pa.Table) -> pa.Table:
-        found = [(row["batch"], p, x) for row in rows_of(batch) for p, x in suffix_runs(row, rows_of(answers), parts)]
-        return pa.Table.from_arrays(blobs(found), names=["batch", "pid", "blob"])
+        return messages([(row["batch"], 0, p, x) for row in rows_of(batch) for p, x in suffix_runs(row, rows_of(answers), width)])
 
     def finish(batch: pa.Table, answers: pa.Table) -> pa.Table:
         ids, sizes, spans, kept, carried = [], [], [], [], []
@@ -488,11 +588,17 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", carry
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return pa.table({"key": pa.array(ids, pa.int64()), "n_bytes": pa.array(sizes, pa.int64()), "spans": pa.array(spans, kind), "kept": pa.array(kept, pa.binary()), "text": pa.array([x.decode("utf-8", "ignore") for x in kept] if carry else [None] * len(ids), pa.string()), "carried": pa.array(carried, pa.string())})
 
-    shared = packed.mapInArrow(ask, exchange).repartition(parts, "pid").groupBy("pid").applyInArrow(shared_hashes, exchange)
-    runs = packed.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(sort, exchange)
-    # runs meet by partition; what a batch keeps for itself is dealt by the batch
-    dealt = runs.withColumn("to", F.when(F.col("pid") < 0, -1 - F.col("batch")).otherwise(F.col("pid").cast("long")))
-    back = written(dealt.repartition(parts, "to").groupBy("to").applyInArrow(merge_runs, exchange))
+    asked = climbed(packed.mapInArrow(ask, MESSAGE), n, parts, levels, merge_hashes)
+    shared = descended(asked, n, parts, asked[-1].repartition(parts, "pid").groupBy("pid").applyInArrow(shared_hashes, MESSAGE), spread_hashes)
+    runs = packed.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(sort, MESSAGE)
+    if levels > 1:
+        runs = written(runs)
+        own, runs = runs.where("pid < 0"), runs.where("pid >= 0")
+    sent = climbed(runs, n, parts, levels, merge_entries)
+    # runs meet by group; what a batch keeps for itself is dealt by the batch
+    dealt = sent[-1].withColumn("to", F.when(F.col("pid") < 0, -1 - F.col("batch")).otherwise(F.col("pid").cast("long")))
+    back = descended(sent, n, parts, dealt.repartition(parts, "to").groupBy("to").applyInArrow(merge_runs, MESSAGE), spread_entries)
+    back = written(back.unionByName(own) if levels > 1 else back)
     out = packed.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(finish, "key long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary, text string, carried string")
     return out.withColumnRenamed("key", key)
 

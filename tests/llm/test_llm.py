@@ -173,8 +173,17 @@ def brute_repeats(docs):
     return out
 
 
-@pytest.mark.parametrize("size", [300, 3000, batches.BATCH_BYTES])
-def test_repeats(spark, prose, size, monkeypatch):
+def relays_in_between(monkeypatch, bits, levels):
+    """Exchanges with 2 ** bits groups a sender and so many levels."""
+    monkeypatch.setattr(batches, "BITS", bits)
+    own = batches.shares
+    for module in (suffix, lm):
+        monkeypatch.setattr(module, "shares", lambda *a: (*own(*a)[:2], levels))
+
+
+@pytest.mark.parametrize(("size", "bits", "levels"), [(300, 8, 1), (3000, 8, 1), (batches.BATCH_BYTES, 8, 1), (400, 2, 2), (200, 1, 3)])
+def test_repeats(spark, prose, size, bits, levels, monkeypatch):
+    relays_in_between(monkeypatch, bits, levels)
     monkeypatch.setattr(batches.pack, "__defaults__", ("doc_id", "text", size, None))
     texts = [*prose, "é" * 60, "x" + "é" * 55, prose[60] + prose[61]]
     df = table(spark, texts, [(None, prose[3], "v", 0)])
