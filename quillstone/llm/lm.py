@@ -6,10 +6,11 @@ children's, so that all depths are mixed by how well they explain the training t
 then, from the root on, the node's own estimate by its share of the node's weighted probability, and for the rest
 that of the child on the path; a node that training never met says one half.
 
-Each batch sends its distinct strings of DEPTH + 1 bytes, with their counts in training texts, to the partition that
-owns the two bytes before the last. All subtrees from depth two on are whole there; the nodes of depth one and zero,
-at most 2^16, are finished on the driver. The partition answers each batch with a log-probability for each of its
-strings. Words for the unigram base go the same way by their hash. No model is broadcast but those few nodes.
+Each batch sends its distinct strings of DEPTH + 1 bytes, with their counts in training texts, to the group that
+owns the two bytes before the last; relays add up the counts of many batches on the way. All subtrees from depth two
+on are whole there; the nodes of depth one and zero, at most 2^16, are finished on the driver. The group answers with
+a log-probability for each string, and the answers go back to the batches. Words for the unigram base go the same way
+by their hash. No model is broadcast but those few nodes.
 """
 
 from __future__ import annotations
@@ -23,14 +24,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.batches import expand, pack, shares, squeeze, unpack, written
+from quillstone.llm import batches as exchange
+from quillstone.llm.batches import MESSAGE, climbed, descended, expand, messages, pack, shares, squeeze, unpack, written
 from quillstone.llm.common import column
 
 DEPTH = 5
 #: Text of a batch; in a larger one fewer strings are new.
 SIZE = 6 << 20
 LN2 = np.log(2.0)
-ENDED = b"\0"
+#: Bytes that UTF-8 never has: what comes before a text, and its end.
+BEFORE, ENDED = b"\xfe", b"\xff"
 
 
 def held_out(key) -> bool:
@@ -59,16 +62,15 @@ def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
 
 
 def grams(text: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte of each text (its words with one space between) and its end, the key of it in its context; and the new bounds.
+    """For each byte of each text and its end, the key of it in its context; and the new bounds.
 
     A key has the context's last byte uppermost, then the ones before it, then the byte itself, so that contexts of
     any depth are ranges of keys.
     """
     parts, sizes = [], []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        own = b" ".join(text[a:b].split()) + ENDED
-        parts.append(bytes(DEPTH) + own)
-        sizes.append(len(own))
+        parts += [BEFORE * DEPTH, text[a:b], ENDED]
+        sizes.append(b - a + 1)
     x = np.frombuffer(b"".join(parts), dtype=np.uint8)
     n = len(x) - DEPTH
     key = np.zeros(n, dtype=np.int64)
@@ -82,10 +84,10 @@ def grams(text: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[at], new
 
 
-def owners(keys: np.ndarray, parts: int) -> np.ndarray:
-    """By the last two bytes of the context."""
+def owners(keys: np.ndarray, width: int) -> np.ndarray:
+    """Groups, by the last two bytes of the context."""
     pair = (keys >> np.int64(8 * (DEPTH - 1))).astype(np.uint64)
-    return (((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+    return ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - width)).astype(np.int64)
 
 
 def word_hashes(text: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,8 +101,20 @@ def word_hashes(text: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words)), new
 
 
-def word_owners(hashes: np.ndarray, parts: int) -> np.ndarray:
-    return ((hashes >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
+def word_owners(hashes: np.ndarray, width: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - width)).astype(np.int64)
+
+
+OWNERS = (owners, word_owners)
+
+
+def grouped(keys: np.ndarray, kind: int, width: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Order of the keys by group, and (group, first, end) of each group in it."""
+    group = OWNERS[kind](keys, width)
+    order = np.argsort(group, kind="stable")
+    group = group[order]
+    heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+    return order, list(zip(group[heads].tolist(), heads.tolist(), [*heads[1:].tolist(), len(group)], strict=True)) if len(group) else []
 
 
 def segments(bounds: np.ndarray, size: int = 1 << 20) -> Iterator[np.ndarray]:
@@ -137,34 +151,64 @@ def places(distinct: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return at
 
 
-def asked(row: dict, parts: int) -> Iterator[tuple[int, int, bytes]]:
-    """Kind (0 strings, 1 words), partition, keys and counts."""
+def dealt_out(keys: np.ndarray, counts: np.ndarray, kind: int, width: int) -> Iterator[tuple[int, bytes]]:
+    """Sorted keys and their counts for each group."""
+    order, cuts = grouped(keys, kind, width)
+    for p, a, b in cuts:
+        own, n = keys[order[a:b]], counts[order[a:b]].astype("<u4" if counts.max(initial=0) < 1 << 32 else "<u8")
+        step = np.diff(own, prepend=own[:1] * 0).astype("<u8")
+        # equal bytes of many numbers together compress better
+        yield p, squeeze(bytes([n.itemsize]) + len(own).to_bytes(4, "little") + step.view(np.uint8).reshape(-1, 8).T.tobytes() + n.view(np.uint8).reshape(-1, n.itemsize).T.tobytes())
+
+
+def asked(row: dict, width: int) -> Iterator[tuple[int, int, bytes]]:
+    """Kind (0 strings, 1 words), group, keys and counts."""
     keys, bounds, text = unpack(row)
     text = text.lower()
     held = np.array([held_out(k) for k in keys], dtype=bool)
-    for kind, keys_of, owner in ((0, grams, owners), (1, word_hashes, word_owners)):
+    for kind, keys_of in ((0, grams), (1, word_hashes)):
         found, at = [], 0
         for own in segments(bounds):
             some, new = keys_of(text, own)
             found.append(counted(some, ~np.repeat(held[at : at + len(own) - 1], np.diff(new))))
             at += len(own) - 1
-        distinct, count = summed(found)
-        part = owner(distinct, parts)
-        order = np.argsort(part, kind="stable")
-        distinct, count = distinct[order], count[order]
-        cut = np.searchsorted(part[order], np.arange(parts + 1))
-        for p in np.unique(part).tolist():
-            own, n = distinct[cut[p] : cut[p + 1]], count[cut[p] : cut[p + 1]].astype("<u4")
-            step = np.diff(own, prepend=own[:1] * 0).astype("<u8")
-            # equal bytes of many numbers together compress better
-            yield kind, p, squeeze(len(own).to_bytes(4, "little") + step.view(np.uint8).reshape(-1, 8).T.tobytes() + n.view(np.uint8).reshape(-1, 4).T.tobytes())
+        for p, blob in dealt_out(*summed(found), kind, width):
+            yield kind, p, blob
+
+
+def merge_counts(kind: int, width: int, blobs: list[bytes]) -> Iterator[tuple[int, bytes]]:
+    yield from dealt_out(*summed([read_asked(x, kind) for x in blobs]), kind, width)
+
+
+def spread_values(kind: int, width: int, blobs: list[bytes], answers: list[tuple[int, bytes]]) -> list[bytes]:
+    own = [read_asked(x, kind)[0] for x in blobs]
+    keys = np.unique(np.concatenate(own))
+    value = told_values(keys, kind, width, answers)
+    return [value_blob(value[places(keys, x)]) for x in own]
+
+
+def value_blob(values: np.ndarray) -> bytes:
+    return squeeze(values.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+#: What is told of strings (log10 probabilities) and of words (counts, up to the largest number).
+TOLD = ("<f4", "<u4")
+
+
+def told_values(keys: np.ndarray, kind: int, width: int, answers: list[tuple[int, bytes]]) -> np.ndarray:
+    """The answered value of each sorted distinct key."""
+    order, cuts = grouped(keys, kind, width)
+    value, told = np.zeros(len(keys), dtype=TOLD[kind]), dict(answers)
+    for p, a, b in cuts:
+        value[order[a:b]] = np.ascontiguousarray(np.frombuffer(expand(told[p]), np.uint8).reshape(4, -1).T).view(TOLD[kind]).ravel()
+    return value
 
 
 def read_asked(blob: bytes, kind: int) -> tuple[np.ndarray, np.ndarray]:
     x = expand(blob)
-    n = int.from_bytes(x[:4], "little")
-    step = np.ascontiguousarray(np.frombuffer(x, np.uint8, 8 * n, 4).reshape(8, n).T).view("<u8").ravel()
-    count = np.ascontiguousarray(np.frombuffer(x, np.uint8, 4 * n, 4 + 8 * n).reshape(4, n).T).view("<u4").ravel()
+    size, n = x[0], int.from_bytes(x[1:5], "little")
+    step = np.ascontiguousarray(np.frombuffer(x, np.uint8, 8 * n, 5).reshape(8, n).T).view("<u8").ravel()
+    count = np.ascontiguousarray(np.frombuffer(x, np.uint8, size * n, 5 + 8 * n).reshape(size, n).T).view(f"<u{size}").ravel()
     keys = np.cumsum(step, dtype=np.uint64)
     return (keys if kind else keys.astype(np.int64)), count.astype(np.int64)
 
@@ -277,8 +321,8 @@ def first_round(table: pa.Table) -> pa.Table:
         rows.append((None, None, None, None, -1, int(counts.sum()), int((counts > 0).sum()), 0.0))
         batch, pid = table["batch"].to_pylist(), table["pid"].to_pylist()
         for i, (own, _) in zip(at, read, strict=True):
-            values = counts[places(keys, own)].astype("<u4")
-            rows.append((batch[i], 1, pid[i], squeeze(values.view(np.uint8).reshape(-1, 4).T.tobytes()), None, None, None, None))
+            values = np.minimum(counts[places(keys, own)], (1 << 32) - 1).astype("<u4")
+            rows.append((batch[i], 1, pid[i], value_blob(values), None, None, None, None))
     types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.float64()]
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 8, types, strict=True)], names=[x.split()[0] for x in FIRST.split(", ")])
 
@@ -301,12 +345,12 @@ def string_logs(keys: np.ndarray, counts: np.ndarray, root: Root) -> np.ndarray:
 
 
 def answer(table: pa.Table, root: Root) -> pa.Table:
-    """For each batch the log-probabilities of its strings."""
+    """For each message the log-probabilities of its strings."""
     read = [read_asked(x, 0) for x in table["blob"].to_pylist()]
     keys, counts = summed(read)
     values = string_logs(keys, counts, root).astype("<f4")
-    out = [squeeze(values[places(keys, own)].view(np.uint8).reshape(-1, 4).T.tobytes()) for own, _ in read]
-    return pa.table({"batch": table["batch"], "kind": table["kind"], "pid": table["pid"], "blob": pa.array(out, pa.binary())})
+    out = [value_blob(values[places(keys, own)]) for own, _ in read]
+    return table.select(["batch", "kind", "pid"]).append_column("blob", pa.array(out, pa.binary()))
 
 
 def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -315,23 +359,16 @@ def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.where(np.diff(bounds) > 0, total, 0.0)
 
 
-def scored(row: dict, answers: list[dict], parts: int, train: tuple[int, int, int]) -> list[tuple]:
+def scored(row: dict, answers: list[dict], width: int, train: tuple[int, int, int]) -> list[tuple]:
     keys, bounds, text = unpack(row)
     text = text.lower()
     words_n, words_v, docs_n = train
     n_all, v_all = words_n + docs_n, words_v + (docs_n > 0)
     per_kind = []
-    for kind, keys_of, owner, type_ in ((0, grams, owners, "<f4"), (1, word_hashes, word_owners, "<u4")):
+    for kind, keys_of in ((0, grams), (1, word_hashes)):
         held = [keys_of(text, own) for own in segments(bounds)]
         distinct = np.unique(np.concatenate([distinct_counts(some)[0] for some, _ in held]))
-        part = owner(distinct, parts)
-        value = np.zeros(len(distinct), dtype=type_)
-        order = np.argsort(part, kind="stable")
-        cut = np.searchsorted(part[order], np.arange(parts + 1))
-        for a in answers:
-            if a["kind"] == kind:
-                x = expand(a["blob"])
-                value[order[cut[a["pid"]] : cut[a["pid"] + 1]]] = np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view(type_).ravel()
+        value = told_values(distinct, kind, width, [(a["pid"], a["blob"]) for a in answers if a["kind"] == kind])
         per_kind.append([(value[places(distinct, some)], new) for some, new in held])
         del held
     strings, counted_words = per_kind
@@ -348,8 +385,7 @@ OUT = "key long, held_out boolean, n_tokens long, n_known long, train_tokens lon
 def weighted_scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for each row.
 
-    Texts are scored whole, A-Z in lower case, as the UTF-8 bytes of their words with
-    one space between, and an end. score is the context tree's log10
+    Texts are scored whole, A-Z in lower case, as their UTF-8 bytes and an end. score is the context tree's log10
     probability of the bytes and the end; base_score that of the words and the end by training counts plus one.
     Counts come from all rows that aren't held out. A null or empty text has its end only; equal rows count as often
     as they occur; other columns are dropped; an empty table gives no rows. Without training rows every byte's
@@ -357,19 +393,19 @@ def weighted_scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     """
     spark = df.sparkSession
     packed = pack(df, key, text, SIZE)
-    parts = shares(packed, 5 << 20)
+    n, parts, levels = shares(packed, 5 << 20)
+    width = exchange.BITS
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 row = b.slice(i, 1).to_pylist()[0]
-                kind, part, blob = zip(*asked(row, parts), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([row["batch"]] * len(kind)), pa.array(kind, pa.int32()), pa.array(part, pa.int32()), pa.array(blob, pa.binary())], names=["batch", "kind", "pid", "blob"])
+                yield from messages([(row["batch"], kind, p, x) for kind, p, x in asked(row, width)]).combine_chunks().to_batches()
 
-    exchange = "batch long, kind int, pid int, blob binary"
-    asks = written(packed.mapInArrow(ask, exchange))
+    sent = climbed(packed.mapInArrow(ask, MESSAGE), n, parts, levels, merge_counts)
+    sent[-1] = written(sent[-1])
     dealt = lambda rows: rows.repartition(parts, "pid").groupBy("pid")
-    first = written(dealt(asks).applyInArrow(first_round, FIRST))
+    first = written(dealt(sent[-1]).applyInArrow(first_round, FIRST))
     # at most 2^16 nodes
     few = first.where(F.col("node").isNotNull()).groupBy("node").agg(F.sum("n0"), F.sum("n1"), F.sum("below")).collect()
     words = next(((r[1], r[2]) for r in few if r[0] == -1), (0, 0))
@@ -378,13 +414,14 @@ def weighted_scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     train = (*words, df.where(learned).count())
 
     def finish(batch: pa.Table, answers: pa.Table) -> pa.Table:
-        rows = [x for row in batch.to_pylist() for x in scored(row, answers.to_pylist(), parts, train)]
+        rows = [x for row in batch.to_pylist() for x in scored(row, answers.to_pylist(), width, train)]
         names = [x.split()[0] for x in OUT.split(", ")]
         types = [pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 3]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 8, types, strict=True)], names=names)
 
-    replies = dealt(asks.where("kind = 0")).applyInArrow(lambda t: answer(t, root), exchange)
+    replies = dealt(sent[-1].where("kind = 0")).applyInArrow(lambda t: answer(t, root), MESSAGE)
     replies = replies.unionByName(first.where("kind = 1").select("batch", "kind", "pid", "blob"))
+    replies = descended(sent, n, parts, replies, spread_values)
     return packed.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(finish, OUT).withColumnRenamed("key", key)
 
 

@@ -399,10 +399,10 @@ def test_texts_with_control_strings_come_back(spark):
 
 def brute_tree(texts, held):
     d = lm.DEPTH
-    lower = lambda t: b" ".join(t.encode().lower().split())
+    lower = lambda t: t.encode().lower()
     grams = Counter()
     for i, t in enumerate(texts):
-        x = bytes(d) + lower(t) + b"\0"
+        x = b"\xfe" * d + lower(t) + b"\xff"
         if not held(i):
             grams.update(x[k - d : k + 1] for k in range(d, len(x)))
     n = defaultdict(lambda: [0, 0])
@@ -422,7 +422,7 @@ def brute_tree(texts, held):
             below[c[1:], m] += w[c, m]
 
     def score(t):
-        x, total = bytes(d) + lower(t) + b"\0", 0.0
+        x, total = b"\xfe" * d + lower(t) + b"\xff", 0.0
         for k in range(d, len(x)):
             m = 1
             for j in range(7, -1, -1):
@@ -442,10 +442,11 @@ def brute_tree(texts, held):
     return score
 
 
-@pytest.mark.parametrize("size", [2000, lm.SIZE])
-def test_language_model(spark, prose, size, monkeypatch):
+@pytest.mark.parametrize(("size", "bits", "levels"), [(2000, 8, 1), (lm.SIZE, 8, 1), (1500, 2, 2)])
+def test_language_model(spark, prose, size, bits, levels, monkeypatch):
+    relays_in_between(monkeypatch, bits, levels)
     monkeypatch.setattr(lm, "SIZE", size)
-    texts = [*prose[:30], "Ünseen Ωmega", "", "  "]
+    texts = [*prose[:30], "Ünseen Ωmega", "", "  ", "a\0b \0", prose[4].replace(" ", "  \n\t"), prose[4]]
     out = {r.doc_id: r for r in lm.weighted_scores(table(spark, texts)).collect()}
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
     every = [*texts, ""]
