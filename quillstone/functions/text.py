@@ -5,17 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Media types by extension.
+#: Media types by extension; any other is application/octet-stream.
 MIME = {
-    "pdf": "application/pdf", "doc": "application/msword", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+    "pdf": "application/pdf", "md": "text/markdown", "txt": "text/plain", "doc": "application/msword",
+    "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "html": "text/html",
     "ppt": "application/vnd.ms-powerpoint", "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation",
-    "xls": "application/vnd.ms-excel", "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "csv": "text/csv",
-    "html": "text/html", "htm": "text/html", "txt": "text/plain", "md": "text/markdown", "json": "application/json", "xml": "application/xml",
-    "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "svg": "image/svg+xml", "bmp": "image/bmp", "tiff": "image/tiff",
-    "mp3": "audio/mpeg", "wav": "audio/wav", "m4a": "audio/mp4", "ogg": "audio/ogg", "flac": "audio/flac", "mp4": "video/mp4", "mov": "video/quicktime", "webm": "video/webm",
+    "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "xls": "application/vnd.ms-excel", "csv": "text/csv",
+    "json": "application/json", "xml": "application/xml", "zip": "application/zip", "tar": "application/x-tar", "gz": "application/gzip",
+    "jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "gif": "image/gif", "svg": "image/svg+xml", "mp3": "audio/mpeg",
+    "mp4": "video/mp4", "wav": "audio/wav", "avi": "video/x-msvideo", "mpg": "video/mpeg", "mpeg": "video/mpeg", "ogg": "audio/ogg",
+    "css": "text/css", "js": "application/javascript",
 }
+#: Types of files by what their positions are counted in; of any other it isn't specified.
+BY_CHARACTER = ("TEXT", "MARKDOWN", "HTML", "CSV", "JSON")
+BY_PAGE = ("PDF", "DOCX", "DOC", "PPT", "PPTX", "XLSX", "XLS")
+BY_TIME = ("MP3", "WAV", "AAC", "OGG", "FLAC", "M4A", "WMA", "AIFF", "WEBM_AUDIO", "MP4", "AVI", "MOV", "MKV", "FLV", "WMV", "MPEG", "WEBM_VIDEO")
+#: Types that a thumbnail can be made of.
+THUMBNAILABLE = ("PNG", "JPEG", "GIF", "BMP", "TIFF", "WEBP", "MP4", "AVI", "MOV", "MKV", "FLV", "WMV", "MPEG", "WEBM_VIDEO")
+#: Page and sheet tags, time marks, and how an instruction names pages.
 TAG = r"(?m)^\[(Page|Sheet):\s*([^\]]+?)\]\s*$"
 STAMP = r"\[(?:Audio|Sound|Video):\s*(\d{1,2}:\d{2}(?::\d{2})?)(?:\s*-\s*(\d{1,2}:\d{2}(?::\d{2})?))?\]"
+PAGE_REFERENCE = r"(?i)(?:on\s+)?pages?\s+(\d+)(?:\s*[-–]\s*(\d+))?"
 #: Sizes of slots and segments.
 SLOT_SECONDS, PAGES, MEDIA_SECONDS, OVERLAP_SECONDS, CHUNK, PART_BYTES = 120, 3, 1800, 60, 4000, 60_000
 
@@ -30,9 +40,29 @@ def modality(mime: Column) -> Column:
     return F.when(top.isin("audio", "video", "image"), top).otherwise("document")
 
 
-def position_unit(mime: Column) -> Column:
-    kind = modality(mime)
-    return F.when(kind.isin("audio", "video"), "TIME_MS").when(mime.isin("application/pdf", MIME["doc"], MIME["docx"], MIME["ppt"], MIME["pptx"]), "PAGE").otherwise("CHARACTER")
+def file_type(name: Column) -> Column:
+    """TYPE_ and a word by the extension: the extension itself but for some that have another name; without one UNSPECIFIED."""
+    ending = F.upper(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
+    other = {"TXT": "TEXT", "MD": "MARKDOWN", "HTM": "HTML", "JPG": "JPEG", "MPG": "MPEG", "TIF": "TIFF", "WEBM": "WEBM_VIDEO", "": "UNSPECIFIED"}
+    named = F.create_map(*(F.lit(x) for kv in other.items() for x in kv))
+    return F.concat(F.lit("TYPE_"), F.coalesce(named[ending], ending))
+
+
+def position_unit(type_: Column) -> Column:
+    """What positions in a file of this type are counted in."""
+    word = F.regexp_replace(type_, "^TYPE_", "")
+    return F.when(word.isin(*BY_CHARACTER), "CHARACTER").when(word.isin(*BY_PAGE), "PAGE").when(word.isin(*BY_TIME), "TIME_MS").otherwise("UNSPECIFIED")
+
+
+def thumbnailable(type_: Column) -> Column:
+    return F.regexp_replace(type_, "^TYPE_", "").isin(*THUMBNAILABLE)
+
+
+def webm_type(base64_content: Column) -> Column:
+    """Video if one of its codecs is named in the first 8 KB, or the content can't be decoded; else audio."""
+    raw = F.try_to_binary(base64_content, F.lit("base64"))
+    codecs = [F.contains(F.substring(raw, 1, 8192), F.lit(x)) for x in (b"V_VP8", b"V_VP9", b"V_AV1", b"V_MPEG4")]
+    return F.when(raw.isNull() | codecs[0] | codecs[1] | codecs[2] | codecs[3], "TYPE_WEBM_VIDEO").otherwise("TYPE_WEBM_AUDIO")
 
 
 def slug(name: Column) -> Column:
@@ -227,8 +257,7 @@ def augmented(entities: Column, most: int | None = 2000) -> Column:
 
 def page_targets(instruction: Column) -> Column:
     """Distinct pages that an instruction names, ranges expanded."""
-    form = r"(?i)(?:on\s+)?pages?\s+(\d+)(?:\s*[-–]\s*(\d+))?"
-    first, last = F.regexp_extract_all(instruction, F.lit(form), F.lit(1)), F.regexp_extract_all(instruction, F.lit(form), F.lit(2))
+    first, last = (F.regexp_extract_all(instruction, F.lit(PAGE_REFERENCE), F.lit(k)) for k in (1, 2))
     ranges = F.zip_with(first, last, lambda a, b: F.when(b == "", F.array(a.cast("long"))).when(b.cast("long") >= a.cast("long"), F.sequence(a.cast("long"), F.coalesce(b.try_cast("long"), a.cast("long")))).otherwise(F.array(a.cast("long"))))
     return F.array_distinct(F.flatten(ranges))
 
@@ -262,10 +291,17 @@ def sheet_markdown(number: Column, rows: Column, most_rows: int = 500, most_colu
     return F.array_join(F.concat(head, F.transform(body, cells), tail), "\n")
 
 
+#: What the messages of errors that may pass hold, case by case.
+DEADLINE = ("DEADLINE_EXCEEDED", "504", "context deadline exceeded")
+CACHE_EXPIRED = ("is expired",)
+RATE_LIMITED = ("RESOURCE_EXHAUSTED", "429")
+OTHER_TRANSIENT = ("CANCELLED", "499", "UNAVAILABLE", "503", "document has no pages")
+
+
 def error_class(message: Column) -> Column:
-    low = F.lower(message)
-    has = lambda *ws: F.lit(False) if not ws else low.rlike("|".join(ws))
-    return F.when(has("deadline exceeded", "timeout"), "DEADLINE").when(has("rate limit", "resource_exhausted", "429"), "RATE").when(has("expired", "cache not found"), "EXPIRED").when(has("unavailable", "connection reset", "503", "500"), "TRANSIENT").otherwise("PERMANENT")
+    """The first that holds of DEADLINE, EXPIRED, RATE, TRANSIENT, all of which may pass when tried again; else PERMANENT. Case matters."""
+    holds = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(message, w))
+    return F.when(holds(DEADLINE), "DEADLINE").when(holds(CACHE_EXPIRED), "EXPIRED").when(holds(RATE_LIMITED), "RATE").when(holds(OTHER_TRANSIENT), "TRANSIENT").otherwise("PERMANENT")
 
 
 def conversion_timeout(size: Column, base: int = 900) -> Column:
@@ -273,11 +309,21 @@ def conversion_timeout(size: Column, base: int = 900) -> Column:
     return F.least(F.greatest(F.lit(base) + 3 * size.cast("double") / (20 * 1024), F.lit(900)), F.lit(7200)).cast("long")
 
 
+def standardisation_timeout(size: Column) -> Column:
+    """Seconds for so many bytes: 2 minutes and the time at 512 KiB a second, within 5 and 30 minutes."""
+    return F.least(F.greatest(F.lit(120) + F.floor(F.greatest(size, F.lit(0)) / (512 * 1024)), F.lit(300)), F.lit(1800)).cast("long")
+
+
 def resource_part(name: Column, kind: str) -> Column:
     """The id after `kind/` in a resource name."""
     return F.nullif(F.regexp_extract(name, rf"(?:^|/){kind}/([^/]+)", 1), F.lit(""))
 
 
+def said_query(filter_: Column) -> Column:
+    """The text in a filter's q = "..."; null if it has none."""
+    return F.nullif(F.regexp_extract(filter_, r'(?:^|[^A-Za-z0-9_.])q\s*=\s*"([^"]*)"', 1), F.lit(""))
+
+
 def download_name(path: Column) -> Column:
     """The last part; if that is a number and there are more than two, the one before."""
     parts = F.split(path, "/")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,10 +41,32 @@ def word_similarity_of(query: str, text: str) -> float:
     return best
 
 
+def ordered_trigrams(text: Column) -> Column:
+    """All trigrams in order, repeats included."""
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substr(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3)))))
+
+
 def word_similarity(query: str, text: Column) -> Column:
-    """No composition of built-in functions gives the best stretch, so it is a vectorised UDF."""
+    """Greatest similarity of the query's trigrams and any stretch of the text's, in order; null for a null text.
+
+    For each start a fold over the trigrams from there on keeps those seen, the hits and the best so far.
+    """
+    asked = list(dict.fromkeys(_ordered(query)))
+    if not asked:
+        return F.when(text.isNotNull(), F.lit(0.0))
+    held = ordered_trigrams(text)
+
+    def best(g: Column) -> Column:
+        def step(a: Column, x: Column) -> Column:
+            hits = a["hits"] + F.when(x.isin(*asked), 1).otherwise(0)
+            seen = F.concat(a["seen"], F.array(x))
+            now = F.struct(seen.alias("seen"), hits.alias("hits"), F.greatest(a["best"], hits / (len(asked) + F.size(seen) - hits)).alias("best"))
+            return F.when(F.array_contains(a["seen"], x), a).otherwise(now)
 
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: word_similarity_of(query, t) if isinstance(t, str) else None)
+        none = F.struct(F.array().cast("array<string>").alias("seen"), F.lit(0).alias("hits"), F.lit(0.0).alias("best"))
+        starts = F.filter(F.sequence(F.lit(1), F.size(g)), lambda i: F.element_at(g, i).isin(*asked))
+        return F.array_max(F.transform(starts, lambda i: F.aggregate(F.slice(g, i, F.size(g)), none, step, lambda a: a["best"])))
 
-    return F.pandas_udf(run, "double")(text)
+    score = F.get(F.transform(F.array(held), lambda g: F.when(F.size(g) > 0, F.coalesce(best(g), F.lit(0.0))).otherwise(0.0)), F.lit(0))
+    return F.when(text.isNotNull(), score)

@@ -25,12 +25,12 @@ def integrity(files: DataFrame, chunks: DataFrame, vectors: DataFrame, converted
         .otherwise("HEALTHY")
     )
     action = F.when(F.col("state") == "HEALTHY", "NONE").when(F.col("state") == "FILE_NOT_FOUND", "SKIP").when(F.col("state") == "NOT_COMPLETED", "DEFER").otherwise("REPROCESS")
-    return out.withColumn("state", state).withColumn("action", action).select(F.col("file_uid").alias("uid"), "n_chunks", "n_vectors", "state", "action")
+    return out.withColumn("state", state).withColumn("action", action).select(F.col("file_uid").alias("uid"), "n_chunks", "n_vectors", "n_converted", "state", "action")
 
 
 def embed_only() -> Column:
-    """All but the vectors is there."""
-    return (F.col("state") == "MISSING_MILVUS") & (F.col("n_chunks") > 0)
+    """All but the vectors is there: chunks and converted files."""
+    return (F.col("state") == "MISSING_MILVUS") & (F.col("n_chunks") > 0) & (F.col("n_converted") > 0)
 
 
 def reconcile(production: DataFrame, staging: DataFrame, name: str = "display_name") -> DataFrame:
@@ -63,8 +63,8 @@ def target(kbs: DataFrame) -> DataFrame:
 
 
 def retention_over(kbs: DataFrame, now: Column) -> DataFrame:
-    """uid, expired: no date, or a date that has passed."""
-    return kbs.select("uid", F.coalesce(F.col("rollback_retention_until") < now, F.lit(True)).alias("expired"))
+    """uid, expired of rollback sides: no base that they belong to, no date of their own, or a date that has passed."""
+    return kbs.select("uid", (F.col("parent_kb_uid").isNull() | F.coalesce(F.col("rollback_retention_until") < now, F.lit(True))).alias("expired"))
 
 
 def eligible(kbs: DataFrame, tags: list[str]) -> DataFrame:

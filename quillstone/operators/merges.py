@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillstone.operators.catalog import first_by
 
@@ -68,9 +69,11 @@ def swap(old: DataFrame, column: str, a: str, b: str) -> DataFrame:
     return old.withColumn(column, F.when(F.col(column) == a, b).when(F.col(column) == b, a).otherwise(F.col(column)))
 
 
-def copy_and_move(links: DataFrame, column: str, source: str, copy_to: str) -> DataFrame:
-    """Copies of the source's links, all columns included, beside the old ones."""
-    return links.unionByName(links.where(F.col(column) == source).withColumn(column, F.lit(copy_to)))
+def copy_and_move(links: DataFrame, tables: list[DataFrame], source: str, target: str, column: str = "kb_uid", key: str = "file_uid") -> tuple[DataFrame, list[DataFrame]]:
+    """The source's links beside the old ones as the target's, where those aren't there yet; rows of the tables go over to the target."""
+    there = links.where(F.col(column) == target).select(key)
+    copies = links.where(F.col(column) == source).join(there, key, "left_anti").withColumn(column, F.lit(target)).select(*links.columns)
+    return links.unionByName(copies), [move(t, column, source, target) for t in tables]
 
 
 def single_default(old: DataFrame, id_: str) -> DataFrame:
@@ -84,13 +87,13 @@ def delete_with_orphans(links: DataFrame, entities: DataFrame, file_uid) -> tupl
 
 
 def merge_non_zero(old: DataFrame, new: DataFrame, key: str, columns: list[str], always: list[str] = ()) -> DataFrame:
-    """New values that are neither null, empty nor zero win; those in always win in any case."""
+    """New values that are neither null, empty nor zero, compared as their type, win; those in always win in any case."""
     fresh = new.select(key, *(F.col(c).alias(f"new_{c}") for c in [*columns, *always]), F.lit(True).alias("hit_"))
     out = old.join(fresh, key, "left")
     for c in columns:
-        v = F.col(f"new_{c}")
-        given = v.isNotNull() & (v.cast("string") != "") & (v.cast("string") != "0") & (v.cast("string") != "0.0")
-        out = out.withColumn(c, F.when(given, v).otherwise(F.col(c)))
+        v, kind = F.col(f"new_{c}"), new.schema[c].dataType
+        given = F.size(v) > 0 if isinstance(kind, T.ArrayType) else v != (0 if isinstance(kind, T.NumericType) else "")
+        out = out.withColumn(c, F.when(F.coalesce(given, F.lit(False)), v).otherwise(F.col(c)))
     for c in always:
         out = out.withColumn(c, F.when(F.col("hit_"), F.col(f"new_{c}")).otherwise(F.col(c)))
     return out.select(*old.columns)

@@ -10,10 +10,21 @@ from quillstone.operators import catalog as C
 from quillstone.plans.adapters import CHUNKS, FILES, KBS, chunks, files, knowledge_bases, live, table
 from quillstone.plans.filters import Clause, Filter, permitted
 from quillstone.plans.registry import query
+from quillstone.plans.search import TRI, word_similarity_sql
 
+#: What a listing of files may be filtered by.
+LIST_FILTER = Filter({"uid": "string", "id": "string", "process_status": "string", "tags": "array"})
+#: All of a file's columns, for the filter language itself.
 FILE_FILTER = Filter({"uid": "string", "id": "string", "display_name": "string", "process_status": "string", "tags": "array", "size": "number", "update_time": "time", "usage_metadata": "json", "kb_uid": "string", "visibility": "string"})
 
 
+@query(f"WITH {FILES} SELECT uid, process_status FROM live WHERE process_status IN ('FILE_PROCESS_STATUS_FAILED', 'FILE_PROCESS_STATUS_NOTSTARTED') AND list_contains(tags, 'src5') AND uid <> 'f-00000005'")
+def list_filter_fields(spark, sf_dir):
+    """A listing's filter: other fields than uid, id, q, process_status and tags are errors."""
+    where = LIST_FILTER.compile('(processStatus = "FILE_PROCESS_STATUS_FAILED" OR process_status = "FILE_PROCESS_STATUS_NOTSTARTED") AND tags : "src5" AND uid != "f-00000005"')
+    return live_files(spark, sf_dir).where(where).select("uid", "process_status")
+
+
 def live_files(spark, sf_dir):
     return live(files(spark, sf_dir))
 
@@ -82,7 +93,10 @@ def filter_json_select(spark, sf_dir):
     return live_files(spark, sf_dir).withColumn("usage_metadata", F.format_string('{"n":"%d"}', "doc_id")).where(FILE_FILTER.compile('usageMetadata.n = "17"')).select("uid", "process_status", "size")
 
 
-@query()
+_ID, _SAID = TRI.format("id"), TRI.format("'reprt 41'")
+
+
+@query(f"WITH {FILES} SELECT uid, display_name FROM live LEFT JOIN {word_similarity_sql('reprt 41', 'display_name', 'live')} USING (uid) WHERE score >= 0.3 OR contains(lower(display_name), 'reprt 41') OR contains(id, 'reprt 41') OR len(list_intersect({_ID}, {_SAID}))::DOUBLE / len(list_distinct(list_concat({_ID}, {_SAID}))) > 0.2")
 def filter_fuzzy(spark, sf_dir):
     """Files whose name or id is like a misspelt query in a stretch of it."""
     return live_files(spark, sf_dir).where(FILE_FILTER.compile('q = "reprt 41"')).select("uid", "display_name")

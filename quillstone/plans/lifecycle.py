@@ -29,12 +29,12 @@ probe AS (SELECT uid, kb_uid, coalesce(n_chunks, 0) AS n_chunks, CASE WHEN coale
 state AS (SELECT *, CASE WHEN process_status <> 'FILE_PROCESS_STATUS_COMPLETED' THEN 'NOT_COMPLETED' WHEN n_chunks = 0 THEN 'EMPTY_PG' WHEN kb_uid IS NULL THEN 'FILE_NOT_FOUND' WHEN n_vectors < 0 OR n_vectors <> n_chunks THEN 'MISSING_MILVUS' WHEN n_conv = 0 THEN 'MISSING_CONVERTED_FILE' ELSE 'HEALTHY' END AS state FROM probe)"""
 
 
-@query(f"WITH {SIDES} SELECT uid, n_chunks, n_vectors, state, CASE state WHEN 'HEALTHY' THEN 'NONE' WHEN 'FILE_NOT_FOUND' THEN 'SKIP' WHEN 'NOT_COMPLETED' THEN 'DEFER' ELSE 'REPROCESS' END AS action FROM state")
+@query(f"WITH {SIDES} SELECT uid, n_chunks, n_vectors, n_conv AS n_converted, state, CASE state WHEN 'HEALTHY' THEN 'NONE' WHEN 'FILE_NOT_FOUND' THEN 'SKIP' WHEN 'NOT_COMPLETED' THEN 'DEFER' ELSE 'REPROCESS' END AS action FROM state")
 def integrity_probe(spark, sf_dir):
     return L.integrity(*sides(spark, sf_dir))
 
 
-@query(f"WITH {SIDES} SELECT uid FROM state WHERE state = 'MISSING_MILVUS' AND n_chunks > 0")
+@query(f"WITH {SIDES} SELECT uid FROM state WHERE state = 'MISSING_MILVUS' AND n_chunks > 0 AND n_conv > 0")
 def embed_only_path(spark, sf_dir):
     return L.integrity(*sides(spark, sf_dir)).where(L.embed_only()).select("uid")
 
@@ -64,7 +64,7 @@ def dual_target(spark, sf_dir):
     return L.target(knowledge_bases(spark, sf_dir))
 
 
-@query(f"WITH {KBS} SELECT uid, coalesce(rollback_retention_until < TIMESTAMP '{NOW}', true) AS expired FROM kbs")
+@query(f"WITH {KBS} SELECT uid, parent_kb_uid IS NULL OR rollback_retention_until IS NULL OR rollback_retention_until < TIMESTAMP '{NOW}' AS expired FROM kbs")
 def retention_expired(spark, sf_dir):
     return L.retention_over(knowledge_bases(spark, sf_dir), now())
 

@@ -87,10 +87,13 @@ def move_resources(spark, sf_dir):
     return M.move(rows, "kb_uid", "A", "Z")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_returnflag AS kb_uid FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 'rollback' FROM lineitem WHERE l_returnflag = 'N'")
+@query("WITH l AS (SELECT DISTINCT l_orderkey AS file_uid, l_returnflag AS kb_uid FROM lineitem) SELECT 'link' AS kind, file_uid, kb_uid FROM (SELECT file_uid, kb_uid FROM l UNION SELECT file_uid, 'R' FROM l WHERE kb_uid = 'N') UNION ALL SELECT 'chunk', l_orderkey * 10 + l_linenumber, CASE WHEN l_returnflag = 'N' THEN 'R' ELSE l_returnflag END FROM lineitem")
 def copy_junction(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("kb_uid"))
-    return M.copy_and_move(rows, "kb_uid", "N", "rollback")
+    """Files of one side are linked to the other too, where they aren't yet; their chunks go over."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("kb_uid", F.col("l_returnflag"))
+    links = rows.select(F.col("l_orderkey").alias("file_uid"), "kb_uid").distinct()
+    links, (chunks,) = M.copy_and_move(links, [rows.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("file_uid"), "kb_uid")], "N", "R")
+    return links.select(F.lit("link").alias("kind"), "file_uid", "kb_uid").unionByName(chunks.select(F.lit("chunk").alias("kind"), "file_uid", "kb_uid"))
 
 
 @query(f"WITH {KBS}, {FILES} SELECT uid, usage + coalesce((SELECT sum(size) FROM live f WHERE f.kb_uid = k.uid), 0)::BIGINT AS usage FROM kbs k")
@@ -111,10 +114,17 @@ def single_default(spark, sf_dir):
     return M.single_default(knowledge_bases(spark, sf_dir).withColumn("is_default", F.lit(True)), wanted).select("id", "is_default")
 
 
-@query("SELECT s_suppkey, s_name, CASE WHEN n.t IS NOT NULL AND n.t <> 0 THEN n.t ELSE s_acctbal END AS s_acctbal FROM supplier LEFT JOIN (SELECT l_suppkey, CASE WHEN max(l_tax) >= 0.08 THEN round(max(l_extendedprice), 2) ELSE 0 END AS t FROM lineitem GROUP BY 1) n ON l_suppkey = s_suppkey")
+@query("WITH n AS (SELECT l_suppkey, CASE WHEN count(*) % 2 = 0 THEN round(max(l_extendedprice), 2) ELSE 0 END AS t, CASE WHEN count(*) % 3 = 0 THEN 'told ' || l_suppkey ELSE '' END AS m, CASE WHEN count(*) % 2 = 1 THEN 'pipe' ELSE '' END AS p, count(*) AS k FROM lineitem GROUP BY 1) SELECT s_suppkey, CASE WHEN t <> 0 THEN t ELSE s_acctbal END AS time, CASE WHEN m <> '' THEN m ELSE s_name END AS message, CASE WHEN l_suppkey IS NULL THEN 'old' ELSE p END AS pipe, CASE WHEN k % 5 = 0 THEN k::VARCHAR ELSE '7.50' END AS pages FROM supplier LEFT JOIN n ON l_suppkey = s_suppkey")
 def metadata_merge(spark, sf_dir):
-    new = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.when(F.max("l_tax") >= 0.08, F.round(F.max("l_extendedprice"), 2)).otherwise(F.lit(0.0)).alias("s_acctbal"))
-    return M.merge_non_zero(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal"), new, "s_suppkey", ["s_acctbal"])
+    """Times, messages and a decimal count are kept where the new ones are zero or empty; the pipeline's name is always the new one."""
+    n = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("k"), F.max("l_extendedprice").alias("x"))
+    new = n.select(
+        "s_suppkey", F.when(F.col("k") % 2 == 0, F.round("x", 2)).otherwise(0.0).alias("time"), F.when(F.col("k") % 3 == 0, F.concat(F.lit("told "), F.col("s_suppkey").cast("string"))).otherwise("").alias("message"),
+        F.when(F.col("k") % 2 == 1, "pipe").otherwise("").alias("pipe"), F.when(F.col("k") % 5 == 0, F.col("k")).otherwise(0).cast("decimal(38,18)").alias("pages"),
+    )
+    old = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").alias("time"), F.col("s_name").alias("message"), F.lit("old").alias("pipe"), F.lit("7.5").cast("decimal(38,18)").alias("pages"))
+    out = M.merge_non_zero(old, new, "s_suppkey", ["time", "message", "pages"], ["pipe"])
+    return out.withColumn("pages", F.when(F.col("pages") == 7.5, "7.50").otherwise(F.col("pages").cast("long").cast("string")))
 
 
 @query("SELECT doc_id, length(text) AS n, octet_length(encode(text)) <= 200 AS whole FROM (SELECT doc_id, CASE WHEN octet_length(encode(text)) <= 200 THEN text ELSE (SELECT substr(text, 1, max(i)) FROM generate_series(1, 200) g(i) WHERE octet_length(encode(substr(text, 1, i))) <= 200) END AS text, octet_length(encode(text)) FROM documents)")

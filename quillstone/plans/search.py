@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import trigram
 from quillstone.operators import search as S
-from quillstone.plans.adapters import INDEX, LINKS, entities, entity_files, knowledge_bases, table, vector_index
+from quillstone.plans.adapters import INDEX, KBS, LINKS, entities, entity_files, knowledge_bases, table, vector_index
 from quillstone.plans.registry import query
 
 
@@ -121,7 +121,14 @@ def trigram_similarity(spark, sf_dir):
     return scored.where("score > 0")
 
 
-@query()
+def word_similarity_sql(asked: str, name: str, rows: str) -> str:
+    """uid, score: over all stretches of the name's trigrams, the greatest similarity to the text's."""
+    grams = lambda x: rf"flatten(list_transform(list_filter(regexp_split_to_array(lower({x}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(generate_series(1, len(w) + 1), lambda i: substr('  ' || w || ' ', i, 3))))"
+    return f"""(SELECT uid, max(len(list_intersect(s, a)) / (len(a) + len(s) - len(list_intersect(s, a)))::DOUBLE) AS score
+  FROM (SELECT uid, list_distinct(g[i : j]) AS s, a FROM (SELECT uid, {grams(name)} AS g, list_distinct({grams(f"'{asked}'")}) AS a FROM {rows}) r, unnest(generate_series(1, len(g))) AS x(i), unnest(generate_series(1, len(g))) AS y(j) WHERE j >= i) GROUP BY uid)"""
+
+
+@query(f"WITH {KBS} SELECT uid, display_name, round(score, 6) AS score FROM {word_similarity_sql('knowlege bse 1', 'display_name', 'kbs')} JOIN kbs USING (uid) WHERE round(score, 6) >= 0.3")
 def word_similarity_search(spark, sf_dir):
     """Knowledge bases whose name holds a stretch like the query, the most alike first."""
     scored = knowledge_bases(spark, sf_dir).select("uid", "display_name", F.round(trigram.word_similarity("knowlege bse 1", F.col("display_name")), 6).alias("score"))

@@ -137,11 +137,52 @@ def cache_key(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(X.set_key(F.collect_set("event_type")).alias("key"))
 
 
-@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'audio/mpeg' WHEN 2 THEN 'application/octet-stream' ELSE 'image/png' END AS mime, CASE doc_id % 4 WHEN 1 THEN 'audio' WHEN 3 THEN 'image' ELSE 'document' END AS kind, CASE doc_id % 4 WHEN 0 THEN 'PAGE' WHEN 1 THEN 'TIME_MS' ELSE 'CHARACTER' END AS unit FROM documents")
+#: Every ending that has a media type of its own, and some that have none; media type, modality, unit.
+ENDINGS = (
+    ("pdf", "application/pdf", "document", "PAGE"), ("md", "text/markdown", "document", "CHARACTER"), ("txt", "text/plain", "document", "CHARACTER"),
+    ("doc", "application/msword", "document", "PAGE"), ("docx", "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "document", "PAGE"),
+    ("html", "text/html", "document", "CHARACTER"), ("ppt", "application/vnd.ms-powerpoint", "document", "PAGE"),
+    ("pptx", "application/vnd.openxmlformats-officedocument.presentationml.presentation", "document", "PAGE"),
+    ("xlsx", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "document", "PAGE"), ("xls", "application/vnd.ms-excel", "document", "PAGE"),
+    ("csv", "text/csv", "document", "CHARACTER"), ("json", "application/json", "document", "CHARACTER"), ("xml", "application/xml", "document", "UNSPECIFIED"),
+    ("zip", "application/zip", "document", "UNSPECIFIED"), ("tar", "application/x-tar", "document", "UNSPECIFIED"), ("gz", "application/gzip", "document", "UNSPECIFIED"),
+    ("jpg", "image/jpeg", "image", "UNSPECIFIED"), ("JPEG", "image/jpeg", "image", "UNSPECIFIED"), ("Png", "image/png", "image", "UNSPECIFIED"),
+    ("gif", "image/gif", "image", "UNSPECIFIED"), ("svg", "image/svg+xml", "image", "UNSPECIFIED"), ("MP3", "audio/mpeg", "audio", "TIME_MS"),
+    ("mp4", "video/mp4", "video", "TIME_MS"), ("wav", "audio/wav", "audio", "TIME_MS"), ("avi", "video/x-msvideo", "video", "TIME_MS"),
+    ("mpg", "video/mpeg", "video", "TIME_MS"), ("mpeg", "video/mpeg", "video", "TIME_MS"), ("ogg", "audio/ogg", "audio", "TIME_MS"),
+    ("css", "text/css", "document", "UNSPECIFIED"), ("js", "application/javascript", "document", "UNSPECIFIED"),
+    ("mov", "application/octet-stream", "document", "TIME_MS"), ("webp", "application/octet-stream", "document", "UNSPECIFIED"), ("zzz", "application/octet-stream", "document", "UNSPECIFIED"),
+)
+
+
+@query(f"SELECT doc_id, e[1] AS mime, e[2] AS kind, e[3] AS unit FROM (SELECT doc_id, [{', '.join(str(list(x[1:])) for x in ENDINGS)}][doc_id % {len(ENDINGS)} + 1] AS e FROM documents)")
 def mime_lookup(spark, sf_dir):
-    ending = F.element_at(F.array(F.lit("pdf"), F.lit("MP3"), F.lit("zzz"), F.lit("Png")), (F.col("doc_id") % 4 + 1).cast("int"))
-    named = documents(spark, sf_dir).select("doc_id", X.mime_type(F.concat(F.lit("a.b/file."), ending)).alias("mime"))
-    return named.select("doc_id", "mime", X.modality(F.col("mime")).alias("kind"), X.position_unit(F.col("mime")).alias("unit"))
+    ending = F.element_at(F.array(*(F.lit(x[0]) for x in ENDINGS)), (F.col("doc_id") % len(ENDINGS) + 1).cast("int"))
+    named = documents(spark, sf_dir).select("doc_id", F.concat(F.lit("a.b/file."), ending).alias("name"))
+    return named.select("doc_id", X.mime_type(F.col("name")).alias("mime"), X.modality(X.mime_type(F.col("name"))).alias("kind"), X.position_unit(X.file_type(F.col("name"))).alias("unit"))
+
+
+#: Messages and what kind of error each is.
+MESSAGES = (
+    ("rpc error: DEADLINE_EXCEEDED", "DEADLINE"), ("http 504", "DEADLINE"), ("context deadline exceeded", "DEADLINE"), ("deadline exceeded", "PERMANENT"),
+    ("Cache content 7 is expired.", "EXPIRED"), ("RESOURCE_EXHAUSTED", "RATE"), ("http 429", "RATE"), ("rate limit", "PERMANENT"), ("CANCELLED", "TRANSIENT"),
+    ("http 499", "TRANSIENT"), ("UNAVAILABLE", "TRANSIENT"), ("http 503", "TRANSIENT"), ("the document has no pages", "TRANSIENT"), ("http 500", "PERMANENT"), ("bad input", "PERMANENT"),
+)
+
+
+@query(f"SELECT doc_id, [{', '.join(repr(x[1]) for x in MESSAGES)}][doc_id % {len(MESSAGES)} + 1] AS kind, least(greatest(120 + n_chars * 1000 // 524288, 300), 1800)::BIGINT AS seconds FROM documents")
+def error_classes(spark, sf_dir):
+    """Kinds of error messages, and the time that is given to standardise a file of a thousand times a document's length."""
+    message = F.concat(F.lit("step: "), F.element_at(F.array(*(F.lit(x[0]) for x in MESSAGES)), (F.col("doc_id") % len(MESSAGES) + 1).cast("int")))
+    return table(spark, sf_dir, "documents").select("doc_id", X.error_class(message).alias("kind"), X.standardisation_timeout(F.col("n_chars") * 1000).alias("seconds"))
+
+
+@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'TYPE_WEBM_VIDEO' WHEN 1 THEN CASE WHEN regexp_matches(substr(html, 1, 2000), 'V_(VP8|VP9|AV1|MPEG4)') THEN 'TYPE_WEBM_VIDEO' ELSE 'TYPE_WEBM_AUDIO' END ELSE 'TYPE_WEBM_VIDEO' END AS kind FROM pages")
+def webm_sniff(spark, sf_dir):
+    """Pages as containers: with a codec's name within the first 8 KB, without one, and undecodable."""
+    body = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("xx V_VP9 "), F.substring("html", 1, 2000))).otherwise(F.substring("html", 1, 2000))
+    coded = F.when(F.col("page_id") % 3 == 2, F.lit("%%%")).otherwise(F.base64(F.encode(body, "utf-8")))
+    return table(spark, sf_dir, "pages").select("page_id", X.webm_type(coded).alias("kind"))
 
 
 @query("SELECT page_id, replace(replace(replace(html, '|', '\\|'), chr(10), ' '), chr(13), '') AS cell FROM pages")

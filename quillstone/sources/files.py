@@ -17,8 +17,12 @@ def blobs(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
 
 
 def listing(spark: SparkSession, folder: str, prefix: str = "") -> DataFrame:
-    """Paths and sizes below a prefix, without reading contents."""
-    return blobs(spark, folder).select("path", "length", "modificationTime").where(F.contains("path", F.lit(prefix)) if prefix else F.lit(True))
+    """Paths and sizes of the blobs whose name in the folder begins with a prefix, without reading contents."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/")
+    found = blobs(spark, folder).select("path", "length", "modificationTime")
+    name = F.regexp_replace(F.replace("path", F.lit(root), F.lit("")), "^/+", "")
+    return found.where(F.startswith(name, F.lit(prefix.lstrip("/"))))
 
 
 def fetch(wanted: DataFrame, held: DataFrame, path: str = "path") -> DataFrame:

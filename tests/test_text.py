@@ -163,7 +163,8 @@ def test_small_functions(spark):
     assert value(spark, X.download_name(F.col("t")), t="a/b/3") == "b" and value(spark, X.download_name(F.col("t")), t="x.pdf") == "x.pdf"
     assert value(spark, X.first_duration(F.col("t")), t="N/A\n-3\n12.5\n7") == 12.5
     assert value(spark, X.resource_part(F.col("t"), "files"), t="namespaces/n/files/f-1/chunks/c") == "f-1"
-    assert value(spark, X.error_class(F.col("t")), t="Rate Limit hit") == "RATE"
+    assert value(spark, X.error_class(F.col("t")), t="quota: RESOURCE_EXHAUSTED") == "RATE" and value(spark, X.error_class(F.col("t")), t="cancelled") == "PERMANENT"
+    assert value(spark, X.said_query(F.col("t")), t='kb = "a" AND q = "two words"') == "two words" and value(spark, X.said_query(F.col("t")), t='seq = "a"') is None
     assert value(spark, X.conversion_timeout(F.lit(10**9))) == 7200
 
 
