@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.functions.text import STAMP, line_seconds, seconds, stamp
+from quillstone.functions.text import STAMP, TAG, line_seconds, merge_tables, seconds, stamp
 
 #: Seconds that a mark may lie beyond a range.
 TOLERANCE = 15
@@ -70,9 +70,20 @@ def merge_sides(audio: DataFrame, visual: DataFrame, key: str) -> DataFrame:
     return both.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sec", "side", "block", "entry"))), lambda e: e["entry"]), "\n").alias("text"))
 
 
-def dedup_tags(rows: DataFrame, key: str, tag: str = r"^\[(Page|Sheet):\s*([^\]]+?)\]\s*$") -> DataFrame:
+def rejoined(rows: DataFrame, key: str) -> DataFrame:
+    """key, text: a document's lines in order."""
+    held = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", "line"))).alias("x"))
+    return held.select(key, F.array_join(F.col("x.line"), "\n").alias("text"))
+
+
+def assembled(df: DataFrame, key: str, parts: str) -> DataFrame:
+    """key, text: a document's converted parts as one text; tables that go on are joined, of equal page tags the last stays."""
+    return rejoined(dedup_tags(lines(df.select(key, merge_tables(F.col(parts)).alias("text_")), key, "text_"), key), key)
+
+
+def dedup_tags(rows: DataFrame, key: str) -> DataFrame:
     """Of equal page or sheet tags in a document the last line stays."""
-    kind, value = (F.regexp_extract("line", tag, k) for k in (1, 2))
+    kind, value = (F.regexp_extract("line", TAG, k) for k in (1, 2))
     out = rows.withColumn("tag_", F.when(kind != "", F.concat(kind, F.lit(":"), value)))
     after = Window.partitionBy(key, "tag_").orderBy(F.col("at").desc())
     return out.withColumn("n_", F.row_number().over(after)).where(F.col("tag_").isNull() | (F.col("n_") == 1)).drop("tag_", "n_")

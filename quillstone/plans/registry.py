@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 _queries: dict[str, Callable[..., DataFrame]] = {}
 _sql: dict[str, str] = {}
-MODULES = ("sources", "search", "catalog", "merges", "texts", "lifecycle", "streams")
+MODULES = ("sources", "search", "catalog", "merges", "texts", "pages", "lifecycle", "streams")
 
 
 def query(sql: str | None = None):

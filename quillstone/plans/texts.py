@@ -52,13 +52,18 @@ o AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER B
 b AS (SELECT doc_id, pos FROM o WHERE pos > 0 AND ({bound})),
 c AS (SELECT doc_id, 0::BIGINT AS cut, 0 AS n FROM src UNION ALL SELECT c.doc_id, (SELECT min(pos) FROM b WHERE b.doc_id = c.doc_id AND b.pos >= c.cut + 4000), c.n + 1 FROM c WHERE c.cut IS NOT NULL),
 e AS (SELECT src.doc_id, length(src.text)::BIGINT AS len, count(cut) FILTER (c.n > 0) AS k, max(cut) FILTER (c.n > 0) AS last FROM src JOIN c USING (doc_id) GROUP BY ALL)
-SELECT doc_id, k + CASE WHEN coalesce(last, -1) = len THEN 0 ELSE 1 END AS n_cuts FROM e WHERE len > {least} AND k + CASE WHEN coalesce(last, -1) = len THEN 0 ELSE 1 END >= 2"""
+SELECT doc_id, k + CASE WHEN coalesce(last, -1) = len THEN 0 ELSE 1 END AS n_cuts, (SELECT string_agg(p::VARCHAR, ',' ORDER BY p) FROM (SELECT cut AS p FROM c WHERE c.doc_id = e.doc_id AND n > 0 AND cut IS NOT NULL UNION SELECT len)) AS cuts
+FROM e WHERE len > {least} AND k + CASE WHEN coalesce(last, -1) = len THEN 0 ELSE 1 END >= 2"""
+
+
+def places(cuts):
+    return F.array_join(F.transform(cuts, lambda p: p.cast("string")), ",").alias("cuts")
 
 
 @query("WITH RECURSIVE src AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents), " + CUTS.format(bound="trim(line, ' ') = '' AND trim(prev, ' ') <> '' OR regexp_matches(trim(line, ' '), '^#{1,4} ')", least=4000))
 def markdown_delimiters(spark, sf_dir):
     cuts = X.markdown_delimiters(F.replace("text", F.lit("\n"), F.lit("\n\n")))
-    return documents(spark, sf_dir).select("doc_id", F.size(cuts).cast("long").alias("n_cuts")).where("n_cuts >= 2")
+    return documents(spark, sf_dir).select("doc_id", F.size(cuts).cast("long").alias("n_cuts"), places(cuts)).where("n_cuts >= 2")
 
 
 def marked(spark, sf_dir):
@@ -69,7 +74,8 @@ def marked(spark, sf_dir):
 
 @query("WITH RECURSIVE src AS (SELECT doc_id, string_agg('[Audio: 00:00:00] ' || line, chr(10) ORDER BY i) AS text, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) GROUP BY 1 HAVING count(*) >= 2), " + CUTS.format(bound="true", least=0))
 def media_delimiters(spark, sf_dir):
-    return marked(spark, sf_dir).select("doc_id", F.size(X.media_delimiters(F.col("text"))).cast("long").alias("n_cuts")).where("n_cuts >= 2")
+    cuts = X.media_delimiters(F.col("text"))
+    return marked(spark, sf_dir).select("doc_id", F.size(cuts).cast("long").alias("n_cuts"), places(cuts)).where("n_cuts >= 2")
 
 
 @query("SELECT doc_id, 0::BIGINT AS first, (len(string_split(text, chr(10))) - 1) * 20000 AS last FROM documents")
@@ -78,15 +84,6 @@ def time_ranges(spark, sf_dir):
     return found.select("doc_id", F.col("r")[0].alias("first"), F.col("r")[1].alias("last"))
 
 
-@query("SELECT doc_id, length(text)::BIGINT AS total FROM (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents)")
-def chunk_documents(spark, sf_dir):
-    """Chunks at markdown boundaries, none over 60,000 bytes; put together they have the text's length."""
-    doubled = F.replace("text", F.lit("\n"), F.lit("\n\n"))
-    cut = documents(spark, sf_dir).select("doc_id", doubled.alias("text"), X.markdown_delimiters(doubled).alias("cuts"))
-    parts = cut.select("doc_id", F.explode(F.flatten(F.transform(X.pieces(F.col("text"), F.col("cuts")), lambda x: X.split_text(x)))).alias("piece"))
-    return parts.groupBy("doc_id").agg(F.sum(F.length("piece")).cast("long").alias("total"))
-
-
 def transcript(spark, sf_dir):
     """conv_id and lines at, line, sec; a turn's second goes back at every third one."""
     t = table(spark, sf_dir, "conversations")
