@@ -37,6 +37,12 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "r
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
+def any_status(text: str, column: str = "process_status") -> Column:
+    """Of statuses with commas between any one; the empty text is no restriction."""
+    wanted = [x.strip() for x in text.split(",") if x.strip()]
+    return F.col(column).isin(*wanted) if wanted else F.lit(True)
+
+
 def by_any_name(df: DataFrame, names: list[str]) -> DataFrame:
     """Rows whose id, uid or one of whose aliases is among the names, each once."""
     asked = F.array(*map(F.lit, names))

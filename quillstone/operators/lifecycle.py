@@ -67,11 +67,11 @@ def retention_over(kbs: DataFrame, now: Column) -> DataFrame:
     return kbs.select("uid", (F.col("parent_kb_uid").isNull() | F.coalesce(F.col("rollback_retention_until") < now, F.lit(True))).alias("expired"))
 
 
-def eligible(kbs: DataFrame, tags: list[str]) -> DataFrame:
-    """Production bases that no update holds, with any of the tags (none: all)."""
+def eligible(kbs: DataFrame, tags: list[str], ids: list[str] = ()) -> DataFrame:
+    """Production bases that no update holds, with any of the tags (none: all) and one of the ids (none: all)."""
     free = F.col("update_status").isNull() | F.col("update_status").isin("", "COMPLETED")
     wanted = F.arrays_overlap("tags", F.array(*map(F.lit, tags))) if tags else F.lit(True)
-    return kbs.where(~F.col("staging") & free & wanted)
+    return kbs.where(~F.col("staging") & free & wanted & (F.col("id").isin(*ids) if ids else F.lit(True)))
 
 
 def orphans(files: DataFrame, running: DataFrame, now: Column, minutes: int = 15) -> DataFrame:

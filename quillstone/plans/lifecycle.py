@@ -80,13 +80,6 @@ def expired_objects(spark, sf_dir):
     return L.expired_objects(rows, now()).select("o_orderkey", F.col("create_time").alias("o_orderdate"))
 
 
-@query(f"WITH {FILES}, {CHUNKS} SELECT uid, kb_uid FROM live f WHERE process_status = 'FILE_PROCESS_STATUS_COMPLETED' AND NOT EXISTS (SELECT 1 FROM chunks c WHERE c.file_uid = f.uid AND chunk_type = 'TYPE_SUMMARY')")
-def missing_thumbnails(spark, sf_dir):
-    done = live(files(spark, sf_dir)).where("process_status = 'FILE_PROCESS_STATUS_COMPLETED'")
-    have = chunks(spark, sf_dir).where("chunk_type = 'TYPE_SUMMARY'").select(F.col("file_uid").alias("uid"))
-    return done.join(have, "uid", "left_anti").select("uid", "kb_uid")
-
-
 @query(f"WITH {FILES} SELECT uid FROM live WHERE process_status NOT IN ('FILE_PROCESS_STATUS_COMPLETED', 'FILE_PROCESS_STATUS_FAILED') AND update_time < TIMESTAMP '2024-02-03' - INTERVAL 15 MINUTE AND uid NOT IN (SELECT 'f-' || lpad(vec_id::VARCHAR, 8, '0') FROM embeddings)")
 def orphan_sweep(spark, sf_dir):
     running = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("f-"), F.lpad(F.col("vec_id").cast("string"), 8, "0")).alias("uid"))
@@ -113,3 +106,21 @@ def staging_lookup(spark, sf_dir):
     kbs = knowledge_bases(spark, sf_dir)
     s = kbs.where(F.array_contains("tags", "staging")).select(F.col("uid").alias("staging_uid"), F.col("parent_kb_uid").alias("uid"))
     return kbs.select("uid").join(s, "uid")
+
+
+@query(f"WITH {KBS} SELECT k.uid, s.uid AS rollback_uid FROM kbs k JOIN (SELECT uid || '-old' AS uid, uid AS parent FROM kbs WHERE NOT staging AND usage % 20 = 0) s ON s.parent = k.uid")
+def rollback_lookup(spark, sf_dir):
+    kbs = knowledge_bases(spark, sf_dir)
+    old = kbs.where("not staging and usage % 20 = 0").withColumns({"parent_kb_uid": F.col("uid"), "uid": F.concat("uid", F.lit("-old")), "tags": F.array(F.lit("rollback"))})
+    every = kbs.unionByName(old)
+    s = every.where(F.array_contains("tags", "rollback")).select(F.col("uid").alias("rollback_uid"), F.col("parent_kb_uid").alias("uid"))
+    return every.select("uid").join(s, "uid")
+
+
+@query(f"WITH {KBS} SELECT uid FROM kbs WHERE NOT staging AND (update_status IS NULL OR update_status IN ('', 'COMPLETED')) AND id IN ('kb-' || substr(sha256('src0'), 1, 8), 'kb-' || substr(sha256('src6'), 1, 8), 'kb-' || substr(sha256('src2'), 1, 8))")
+def update_eligible_ids(spark, sf_dir):
+    """Bases that can be updated, of those with the given ids."""
+    import hashlib
+
+    ids = ["kb-" + hashlib.sha256(x.encode()).hexdigest()[:8] for x in ("src0", "src6", "src2")]
+    return L.eligible(knowledge_bases(spark, sf_dir), [], ids).select("uid")
