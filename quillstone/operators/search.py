@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,46 +46,58 @@ def postings(index: DataFrame, id_: str = "uid", text: str = "text") -> DataFram
     return rows.select(id_, F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy(id_, "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(index: DataFrame, question: str, k: int = TOP_K, where: Callable[[DataFrame], DataFrame] | None = None, id_: str = "uid", text: str = "text") -> DataFrame:
-    """The k best rows for a question's distinct terms. Statistics are the whole collection's, whatever the filter.
+def bm25(index: DataFrame, question: str, k: int = TOP_K, where: Column | None = None, id_: str = "uid", text: str = "text") -> DataFrame:
+    """The k best rows for a question's distinct terms, with all their columns. Statistics are the whole collection's, whatever the filter.
 
-    Only occurrences of the question's terms leave a row's partition, counted there first; the join brings the
-    statistics of the question's terms, whose number doesn't grow with the collection.
+    One pass counts rows, lengths and, for each asked term, the rows that hold it: a few numbers, as many as the
+    question has terms. The second pass scores each row by itself and keeps k rows a partition. Nothing is shuffled
+    but the counts.
     """
-    spark = index.sparkSession
-    asked = [r[0] for r in spark.range(1).select(F.explode(F.array_distinct(tokens(F.lit(question))))).collect()]
+    asked = [r[0] for r in index.sparkSession.range(1).select(F.explode(F.array_distinct(tokens(F.lit(question))))).collect()]
     if not asked:
         return index.withColumn("score", F.lit(0.0)).limit(0)
-    rows = index.select(id_, tokens(F.col(text)).alias("terms"))
-    whole = rows.agg(F.count("*").cast("double").alias("n"), F.avg(F.size("terms")).alias("avgdl"))
-    hits = rows.select(id_, F.size("terms").alias("dl"), F.explode(F.filter("terms", lambda x: x.isin(*asked))).alias("term"))
-    post = hits.groupBy(id_, "dl", "term").agg(F.count("*").alias("tf"))
-    stats = F.broadcast(post.groupBy("term").agg(F.count("*").alias("df")).crossJoin(whole))  # a row for each asked term
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    share = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = post.join(stats, "term").groupBy(id_).agg(F.round(F.sum(share), 6).alias("score"))
-    if where:
-        scored = scored.join(where(index).select(id_), id_, "left_semi")
-    return ranked(scored, k, id_).join(index.drop("score"), id_)
-
-
-def fuse(legs: list[DataFrame], k: int = TOP_K, id_: str = "uid") -> DataFrame:
-    """Reciprocal rank fusion: each leg has at most k ranked rows; score is the sum of 1 / (60 + rank)."""
+
+    def with_hits(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("terms_", tokens(F.col(text)))
+        return rows.withColumn("dl_", F.size("terms_")).withColumn("hits_", F.filter("terms_", lambda x: x.isin(*asked))).drop("terms_")
+
+    one = lambda term, n: F.struct(term.alias("term"), n.cast("long").alias("n"))
+    counted = with_hits(index.select(text)).select(F.explode(F.concat(F.array(one(F.lit(""), F.col("dl_"))), F.transform(F.array_distinct("hits_"), lambda t: one(t, F.lit(1))))).alias("x"))
+    found = {r[0]: (r[1], r[2]) for r in counted.groupBy("x.term").agg(F.count("*"), F.sum("x.n")).collect()}
+    n, length = found.pop("", (0, 0))
+    if not found:
+        return index.withColumn("score", F.lit(0.0)).limit(0)
+    idf = F.create_map(*(F.lit(x) for t, (df, _) in sorted(found.items()) for x in (t, math.log(1 + (n - df + 0.5) / (df + 0.5)))))
+    scored = with_hits(index if where is None else index.where(where)).where(F.size("hits_") > 0)
+    weight = lambda tf: tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl_") / (length / n)))
+    share = lambda t: idf[t] * weight(F.size(F.filter("hits_", lambda x: x == t)))
+    total = F.aggregate(F.transform(F.array_sort(F.array_distinct("hits_")), share), F.lit(0.0), lambda a, x: a + x)
+    return ranked(scored.withColumn("score", F.round(total, 6)).drop("hits_", "dl_"), k, id_)
+
+
+def fuse(legs: list[DataFrame], k: int = TOP_K, id_: str = "uid", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Reciprocal rank fusion: each leg has at most k ranked rows; score is the sum of 1 / (60 + rank). keep: columns that a row has in every leg."""
     place = Window.orderBy(F.col("score").desc(), id_)  # over the k rows of a leg
-    ranks = [leg.select(id_, "score").withColumn("rank", F.row_number().over(place)).select(id_, (1 / (FUSION + F.col("rank"))).alias("share")) for leg in legs]
+    ranks = [leg.select(id_, *keep, "score").withColumn("rank", F.row_number().over(place)).select(id_, *keep, (1 / (FUSION + F.col("rank"))).alias("share")) for leg in legs]
     joined = ranks[0]
     for r in ranks[1:]:
         joined = joined.unionByName(r)
-    return ranked(joined.groupBy(id_).agg(F.round(F.sum("share"), 6).alias("score")), k, id_)
+    return ranked(joined.groupBy(id_, *keep).agg(F.round(F.sum("share"), 6).alias("score")), k, id_)
 
 
-def hybrid(index: DataFrame, vector: list[float], question: str | None, k: int = TOP_K, where: Column | None = None, id_: str = "uid") -> DataFrame:
+def hybrid(index: DataFrame, vector: list[float], question: str | None, k: int = TOP_K, where: Column | None = None, id_: str = "uid", keep: tuple[str, ...] = ()) -> DataFrame:
     """Dense and BM25 legs of k rows each, fused; dense alone if the index has no text or nothing is asked."""
     near = dense(index, vector, k, where, id_)
     if not question or "text" not in index.columns:
-        return near.select(id_, "score")
-    found = bm25(index, question, k, (lambda d: d.where(where)) if where is not None else None, id_)
-    return fuse([near, found], k, id_)
+        return near.select(id_, *keep, "score")
+    return fuse([near, bm25(index, question, k, where, id_)], k, id_, keep)
+
+
+def collection(spark, folder: str, schema: str) -> DataFrame:
+    """A stored index; one that isn't there is empty."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    return spark.read.parquet(folder) if there else spark.createDataFrame([], schema)
 
 
 def first_of_each(hits: DataFrame, group: str, size: int = 1, id_: str = "uid") -> DataFrame:

@@ -26,6 +26,20 @@ def with_status(kbs: DataFrame, uid: str, status: str, until: Column | None = No
     return out if until is None else out.withColumn("rollback_retention_until", F.when(own, until).otherwise(F.col("rollback_retention_until")))
 
 
+def status_written(kbs: DataFrame, uid: str, status: str, now: Column, workflow: str = "", error: str = "", previous_system: str | None = None) -> DataFrame:
+    """A state with what goes with it, deleted bases included: the start, the workflow, a cleared error and the system before when an update begins; the end, and a failure's error, when it is over; between them the workflow, if one is given."""
+    own = F.col("uid") == uid
+    values: dict[str, Column] = {"update_status": F.lit(status)}
+    if status == "UPDATING":
+        values |= {"update_started_at": now, "update_workflow_id": F.lit(workflow), "update_error_message": F.lit("")}
+        values |= {"previous_system_uid": F.lit(previous_system)} if previous_system else {}
+    elif status in ("COMPLETED", "FAILED", "ABORTED", "ROLLED_BACK"):
+        values |= {"update_completed_at": now, "update_error_message": F.lit(error if status == "FAILED" else "")}
+    elif workflow:
+        values |= {"update_workflow_id": F.lit(workflow)}
+    return kbs.withColumns({c: F.when(own, v).otherwise(F.col(c)) for c, v in values.items()})
+
+
 def side(kbs: DataFrame, uid: str, new: str, tag: str) -> DataFrame:
     """A copy of a base's row under another uid, marked as its staging or rollback side."""
     copy = kbs.where(F.col("uid") == uid).withColumns({"uid": F.lit(new), "parent_kb_uid": F.lit(uid), "staging": F.lit(True), "tags": F.array(F.lit(tag)), "update_status": F.lit(None).cast("string")})

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillstone.operators import lifecycle as L
+from quillstone.operators import updates as U
 from quillstone.operators.catalog import first_by
 from quillstone.plans.adapters import CHUNKS, FILES, KBS, chunks, files, knowledge_bases, live, table
 from quillstone.plans.registry import query
@@ -124,3 +125,55 @@ def update_eligible_ids(spark, sf_dir):
 
     ids = ["kb-" + hashlib.sha256(x.encode()).hexdigest()[:8] for x in ("src0", "src6", "src2")]
     return L.eligible(knowledge_bases(spark, sf_dir), [], ids).select("uid")
+
+
+@query(f"WITH {KBS} SELECT uid, CASE WHEN uid = 'src1' THEN 'FAILED' WHEN uid = 'src2' THEN 'SWAPPING' ELSE update_status END AS update_status, CASE WHEN uid IN ('src1', 'src2') THEN 'w-' || uid ELSE '' END AS workflow, CASE WHEN uid = 'src1' THEN 'no room' ELSE '' END AS error, CASE WHEN uid IN ('src1', 'src2') THEN TIMESTAMP '{NOW}' END AS started, CASE WHEN uid = 'src1' THEN TIMESTAMP '{NOW}' + INTERVAL 1 HOUR END AS ended, CASE WHEN uid = 'src1' THEN 'sys-9' ELSE '' END AS previous FROM kbs")
+def update_status_write(spark, sf_dir):
+    """Two updates begin; one fails, one comes to the swap."""
+    none = F.lit(None).cast("timestamp")
+    kbs = knowledge_bases(spark, sf_dir).withColumns({"update_started_at": none, "update_completed_at": none, "update_workflow_id": F.lit(""), "update_error_message": F.lit(""), "previous_system_uid": F.lit("")})
+    kbs = U.status_written(U.status_written(kbs, "src1", "UPDATING", now(), "w-src1", previous_system="sys-9"), "src2", "UPDATING", now(), "w-src2")
+    kbs = U.status_written(U.status_written(kbs, "src1", "FAILED", now() + F.expr("interval 1 hour"), error="no room"), "src2", "SWAPPING", now())
+    return kbs.select("uid", "update_status", F.col("update_workflow_id").alias("workflow"), F.col("update_error_message").alias("error"), F.col("update_started_at").alias("started"), F.col("update_completed_at").alias("ended"), F.col("previous_system_uid").alias("previous"))
+
+
+def catalog(spark, sf_dir):
+    """Bases and their chunks; every second chunk of src1 has a copy on its staging side."""
+    held = chunks(spark, sf_dir).select("uid", "kb_uid", "in_order")
+    copies = held.where("kb_uid = 'src1' and in_order % 2 = 0").withColumns({"kb_uid": F.lit("src1-new"), "uid": F.concat("uid", F.lit("+"))})
+    kbs = knowledge_bases(spark, sf_dir).select("uid", "update_status", "staging", "tags", "parent_kb_uid", "rollback_retention_until").withColumn("update_status", F.when(F.col("uid") != "src1", F.col("update_status")))
+    return {"kbs": kbs, "chunks": held.unionByName(copies)}
+
+
+def shown(c):
+    kbs = c["kbs"].select(F.lit("kb").alias("kind"), "uid", F.coalesce("update_status", F.lit("")).alias("state"))
+    return kbs.unionByName(c["chunks"].select(F.lit("chunk").alias("kind"), "uid", F.col("kb_uid").alias("state")))
+
+
+OLD_CHUNKS = f"{CHUNKS}, {KBS}, both_ AS (SELECT uid, kb_uid, false AS new FROM chunks UNION ALL SELECT uid || '+', 'src1', true FROM chunks WHERE kb_uid = 'src1' AND in_order % 2 = 0), st AS (SELECT uid, CASE WHEN uid <> 'src1' THEN coalesce(update_status, '') END AS s FROM kbs)"
+
+
+@query(f"WITH {OLD_CHUNKS} SELECT 'kb' AS kind, uid, coalesce(s, 'COMPLETED') AS state FROM st UNION ALL SELECT 'kb', 'src1-old', '' UNION ALL SELECT 'chunk', uid, CASE WHEN kb_uid = 'src1' AND NOT new THEN 'src1-old' ELSE kb_uid END FROM both_")
+def update_swap(spark, sf_dir):
+    """An update from its beginning to the swap: staging's chunks are the base's, its own are kept on the rollback side."""
+    begun = U.begin(catalog(spark, sf_dir), "src1", "src1-new")
+    return shown(U.swap_in(begun, "src1", "src1-new", "src1-old", now()))
+
+
+@query(f"WITH {OLD_CHUNKS} SELECT 'kb' AS kind, uid, coalesce(s, 'ROLLED_BACK') AS state FROM st UNION ALL SELECT 'chunk', uid, kb_uid FROM both_ WHERE NOT new")
+def update_rollback(spark, sf_dir):
+    """After a swap the rollback side takes the base's place again; what staging brought is gone."""
+    begun = U.begin(catalog(spark, sf_dir), "src1", "src1-new")
+    return shown(U.roll_back(U.swap_in(begun, "src1", "src1-new", "src1-old", now()), "src1", "src1-old"))
+
+
+@query(f"WITH {OLD_CHUNKS} SELECT 'kb' AS kind, uid, coalesce(s, 'ABORTED') AS state FROM st UNION ALL SELECT 'chunk', uid, kb_uid FROM both_ WHERE NOT new")
+def update_abort(spark, sf_dir):
+    return shown(U.abort(U.begin(catalog(spark, sf_dir), "src1", "src1-new"), "src1", "src1-new"))
+
+
+@query(f"WITH {OLD_CHUNKS} SELECT 'kb' AS kind, uid, coalesce(s, 'COMPLETED') AS state FROM st UNION ALL SELECT 'chunk', uid, kb_uid FROM both_ WHERE kb_uid <> 'src1' OR new")
+def update_purge(spark, sf_dir):
+    """After the retention the rollback side goes with its chunks."""
+    begun = U.begin(catalog(spark, sf_dir), "src1", "src1-new")
+    return shown(U.purge(U.swap_in(begun, "src1", "src1-new", "src1-old", now()), now() + F.expr("interval 1 day")))

@@ -37,9 +37,7 @@ fused AS (SELECT uid, round(sum(1.0::DOUBLE / (60 + r)), 6) AS score FROM rk GRO
 
 @query(f"WITH {INDEX}, {TERMS}, {legs(20, chr(39) + 'en' + chr(39) + ' = ANY(tags)')} SELECT uid, f.score, file_uid FROM fused f JOIN idx USING (uid)")
 def hybrid_search_rrf(spark, sf_dir):
-    index = vector_index(spark, sf_dir)
-    hits = S.hybrid(index, vector(spark, sf_dir), question(spark, sf_dir), 20, F.array_contains("tags", "en"))
-    return hits.join(index.select("uid", "file_uid"), "uid").select("uid", "score", "file_uid")
+    return S.hybrid(vector_index(spark, sf_dir), vector(spark, sf_dir), question(spark, sf_dir), 20, F.array_contains("tags", "en"), keep=("file_uid",)).select("uid", "score", "file_uid")
 
 
 @query(f"WITH {INDEX} SELECT uid, {COS} AS score FROM idx ORDER BY score DESC, uid LIMIT 20")
@@ -60,8 +58,7 @@ def bm25_topk(spark, sf_dir):
 
 @query(f"WITH {INDEX}, {TERMS}, {legs(20)} SELECT uid, score, file_uid FROM (SELECT f.uid, f.score, file_uid, row_number() OVER (PARTITION BY file_uid ORDER BY f.score DESC, f.uid) AS n FROM fused f JOIN idx USING (uid)) WHERE n <= 2")
 def hybrid_grouped(spark, sf_dir):
-    index = vector_index(spark, sf_dir)
-    hits = S.hybrid(index, vector(spark, sf_dir), question(spark, sf_dir), 20).join(index.select("uid", "file_uid"), "uid")
+    hits = S.hybrid(vector_index(spark, sf_dir), vector(spark, sf_dir), question(spark, sf_dir), 20, keep=("file_uid",))
     return S.first_of_each(hits, "file_uid", 2).select("uid", "score", "file_uid")
 
 
@@ -80,7 +77,8 @@ def rrf_fusion_only(spark, sf_dir):
 @query(f"WITH {INDEX} SELECT uid, {COS} AS score FROM idx WHERE false")
 def empty_collection_search(spark, sf_dir):
     """A collection that doesn't exist gives no rows and no error."""
-    return S.dense(vector_index(spark, sf_dir).limit(0), vector(spark, sf_dir), 20).select("uid", "score")
+    index = S.collection(spark, f"{sf_dir}/no-such-collection", "uid long, embedding array<float>")
+    return S.dense(index, vector(spark, sf_dir), 20).select("uid", "score")
 
 
 @query(f"WITH {INDEX} SELECT uid, tags[1] AS lang FROM idx WHERE list_has_any(tags, ['src3', 'src4'])")

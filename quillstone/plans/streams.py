@@ -7,27 +7,48 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from quillstone.operators import lifecycle as L
 from quillstone.operators.catalog import first_by
 from quillstone.plans.adapters import table
 from quillstone.plans.registry import query
 from quillstone.streaming import status as S
 
 
+def shared(spark):
+    """The folder that the cluster's nodes share; a local session without one has its own."""
+    if found := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
+        return found
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"file://{tempfile.mkdtemp(prefix='quillstone-stream-')}"
+
+
 def run(spark, sf_dir, make, mode):
     events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"stream_{uuid.uuid4().hex}"
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    S.run_available(make(events), name, f"{shared}/{name}" if shared else tempfile.mkdtemp(prefix="quillstone-stream-"), mode)
-    return spark.table(name)
+    name = f"{shared(spark)}/stream_{uuid.uuid4().hex}"
+    return S.run_available(make(events), f"{name}/rows", f"{name}/state", mode)
+
+
+def newest(rows, *keys):
+    return first_by(rows, list(keys), [F.col("batch").desc()])
 
 
 @query("SELECT user_id, count(*) AS n_events, arg_max(event_type, (ts, event_id)) AS status, max(ts) AS since FROM events GROUP BY 1")
 def status_stream(spark, sf_dir):
-    changes = run(spark, sf_dir, S.latest, "update")
-    return first_by(changes, ["user_id"], [F.col("n_events").desc()])
+    return newest(run(spark, sf_dir, S.latest, "update"), "user_id").select("user_id", "n_events", "status", "since")
 
 
 @query("SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def window_counts_stream(spark, sf_dir):
-    out = run(spark, sf_dir, S.counts_by_window, "complete")
+    out = newest(run(spark, sf_dir, S.counts_by_window, "update"), "window", "event_type")
     return out.select(F.col("window.start").alias("start"), "event_type", "n")
+
+
+@query("WITH s AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS status, max(ts) AS since FROM events GROUP BY 1) SELECT user_id FROM s WHERE status NOT IN ('purchase', 'error') AND since < (SELECT max(ts) FROM events) - INTERVAL 15 MINUTE AND user_id % 5 <> 0")
+def orphan_sweep_stream(spark, sf_dir):
+    """Users as files whose last state isn't final, that haven't changed for 15 minutes, and that no workflow works on (those of every fifth run)."""
+    states = newest(run(spark, sf_dir, S.latest, "update"), "user_id")
+    now = states.agg(F.max("since").alias("now"))
+    final = F.when(F.col("status") == "purchase", "FILE_PROCESS_STATUS_COMPLETED").when(F.col("status") == "error", "FILE_PROCESS_STATUS_FAILED").otherwise("FILE_PROCESS_STATUS_PROCESSING")
+    rows = states.select(F.col("user_id").alias("uid"), final.alias("process_status"), F.col("since").alias("update_time")).crossJoin(F.broadcast(now))  # one row
+    return L.orphans(rows, rows.where("uid % 5 = 0").select("uid"), F.col("now")).select(F.col("uid").alias("user_id"))

@@ -85,43 +85,53 @@ def time_ranges(spark, sf_dir):
 
 
 def transcript(spark, sf_dir):
-    """conv_id and lines at, line, sec; a turn's second goes back at every third one."""
+    """conv_id, role and lines at, line, sec: the first line of each turn has a mark; a turn's second goes back at every third one."""
     t = table(spark, sf_dir, "conversations")
     sec = F.col("turn") * 50 - F.when(F.col("turn") % 3 == 2, 70).otherwise(0)
-    line = F.concat(F.when(F.col("role") == "assistant", "[Video: ").otherwise("[Audio: "), X.stamp(sec), F.lit("] "), F.substring_index("text", "\n", 1))
-    return t.select("conv_id", F.col("turn").alias("at"), line.alias("line")).withColumn("sec", X.line_seconds(F.col("line")))
+    mark = F.concat(F.when(F.col("role") == "assistant", "[Video: ").otherwise("[Audio: "), X.stamp(sec), F.lit("] "))
+    lines = t.select("conv_id", "role", "turn", mark.alias("mark"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "line"))
+    out = lines.select("conv_id", "role", (F.col("turn") * 10_000 + F.col("i")).alias("at"), F.when(F.col("i") == 0, F.concat("mark", "line")).otherwise(F.col("line")).alias("line"))
+    return out.withColumn("sec", X.line_seconds(F.col("line")))
 
 
-LINES = """lines AS (SELECT conv_id, turn AS pos, role, greatest(turn * 50 - CASE WHEN turn % 3 = 2 THEN 70 ELSE 0 END, 0) AS sec FROM conversations)"""
+def digest(rows):
+    """Each conversation's number of lines and a hash of them in order."""
+    return R.rejoined(rows, "conv_id").join(rows.groupBy("conv_id").agg(F.count("*").alias("n")), "conv_id").select("conv_id", "n", F.md5("text").alias("lines"))
 
 
-@query(f"WITH {LINES}, f AS (SELECT *, min(pos) FILTER (sec >= 100) OVER w AS first_ok FROM lines WINDOW w AS (PARTITION BY conv_id)), g AS (SELECT *, max(pos) FILTER (sec < 100 AND pos < coalesce(first_ok, 1000000)) OVER (PARTITION BY conv_id) AS last_early, max((sec > 215)::INT) OVER (PARTITION BY conv_id ORDER BY pos) AS late FROM f) SELECT conv_id, pos, sec FROM g WHERE pos > coalesce(last_early, -1) AND late = 0")
+HMS = "format('{{:02d}}:{{:02d}}:{{:02d}}', ({0}) // 3600, ({0}) % 3600 // 60, ({0}) % 60)"
+LINES = f"""turns AS (SELECT *, greatest(turn * 50 - CASE WHEN turn % 3 = 2 THEN 70 ELSE 0 END, 0)::BIGINT AS s FROM conversations),
+cut AS (SELECT conv_id, turn, role, s, unnest(string_split(coalesce(text, ''), chr(10))) AS body, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS i FROM turns),
+lines AS (SELECT conv_id, turn, role, turn * 10000 + i AS pos, CASE WHEN i = 0 THEN s END AS sec, body, CASE WHEN role = 'assistant' THEN '[Video: ' ELSE '[Audio: ' END AS tag FROM cut)"""
+MARKED = f"CASE WHEN sec IS NULL THEN body ELSE tag || {HMS.format('sec')} || '] ' || body END"
+DIGEST = "SELECT conv_id, count(*) AS n, md5(string_agg({0}, chr(10) ORDER BY pos)) AS lines FROM {1} GROUP BY 1"
+
+
+@query(f"WITH {LINES}, f AS (SELECT *, min(pos) FILTER (sec >= 100) OVER w AS first_ok FROM lines WINDOW w AS (PARTITION BY conv_id)), g AS (SELECT *, max(pos) FILTER (sec < 100 AND pos < coalesce(first_ok, 1000000000)) OVER (PARTITION BY conv_id) AS last_early, max((sec > 215)::INT) OVER (PARTITION BY conv_id ORDER BY pos) AS late FROM f) " + DIGEST.format(MARKED, "(SELECT * FROM g WHERE pos > coalesce(last_early, -1) AND coalesce(late, 0) = 0)"))
 def timestamps_clip(spark, sf_dir):
-    return R.clip(transcript(spark, sf_dir), "conv_id", 115, 200).select("conv_id", F.col("at").alias("pos"), "sec")
+    return digest(R.clip(transcript(spark, sf_dir), "conv_id", 115, 200))
 
 
-@query(f"WITH {LINES} SELECT conv_id, pos, sec FROM (SELECT *, max(sec) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS most FROM lines) WHERE most IS NULL OR sec >= most")
+@query(f"WITH {LINES}, m AS (SELECT *, max(sec) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS most FROM lines) " + DIGEST.format(MARKED, "(SELECT * FROM m WHERE sec IS NULL OR most IS NULL OR sec >= most)"))
 def timestamps_monotonic(spark, sf_dir):
-    return R.monotonic(transcript(spark, sf_dir), "conv_id").select("conv_id", F.col("at").alias("pos"), "sec")
+    return digest(R.monotonic(transcript(spark, sf_dir), "conv_id"))
 
 
-@query(f"WITH {LINES} SELECT conv_id, pos, sec + 1800 AS sec FROM lines")
+@query(f"WITH {LINES} " + DIGEST.format(MARKED.replace("WHEN sec IS NULL", "WHEN t IS NULL").replace("(sec)", "(sec + 1800)"), "(SELECT *, sec AS t FROM lines)"))
 def timestamps_offset(spark, sf_dir):
-    return R.offset(transcript(spark, sf_dir), 1800).select("conv_id", F.col("at").alias("pos"), "sec")
+    return digest(R.offset(transcript(spark, sf_dir), 1800))
 
 
-@query(f"WITH {LINES} SELECT conv_id, pos, CASE WHEN role <> 'assistant' AND sec > 97 THEN 97 ELSE sec END AS sec FROM lines WHERE NOT (role <> 'assistant' AND sec > 102)")
+@query(f"WITH {LINES} " + DIGEST.format(MARKED, "(SELECT * REPLACE (CASE WHEN tag = '[Audio: ' AND sec > 97 THEN 97 ELSE sec END AS sec) FROM lines WHERE NOT (tag = '[Audio: ' AND coalesce(sec, 0) > 102))"))
 def timestamps_clamp(spark, sf_dir):
-    return R.clamp(transcript(spark, sf_dir), 97).select("conv_id", F.col("at").alias("pos"), "sec")
+    return digest(R.clamp(transcript(spark, sf_dir), 97))
 
 
-@query(f"WITH {LINES} SELECT conv_id, string_agg(sec::VARCHAR, ',' ORDER BY sec, (role = 'assistant')::INT, pos) AS secs FROM lines GROUP BY 1")
+@query(f"WITH {LINES}, e AS (SELECT conv_id, turn, tag, max(sec) AS sec, string_agg({MARKED}, chr(10) ORDER BY pos) AS entry FROM lines GROUP BY ALL) SELECT conv_id, md5(string_agg(entry, chr(10) ORDER BY sec, tag, turn)) AS lines FROM e GROUP BY 1")
 def audio_visual_merge(spark, sf_dir):
     rows = transcript(spark, sf_dir)
-    heard = F.col("line").startswith("[Audio")
-    merged = R.merge_sides(rows.where(heard), rows.where(~heard), "conv_id")
-    secs = F.transform(F.regexp_extract_all("text", F.lit(X.STAMP), F.lit(1)), lambda s: X.seconds(s).cast("string"))
-    return merged.select("conv_id", F.array_join(secs, ",").alias("secs"))
+    heard = F.coalesce(F.col("role"), F.lit("user")) != "assistant"
+    return R.merge_sides(rows.where(heard), rows.where(~heard), "conv_id").select("conv_id", F.md5("text").alias("lines"))
 
 
 @query("SELECT page_id, lower(regexp_replace(regexp_replace(regexp_replace(url, '[^a-zA-Z0-9\\s-]', '', 'g'), '\\s+', '-', 'g'), '-+', '-', 'g')) AS slug, 'kb-' || substr(sha256(url), 1, 8) AS short_id, octet_length(encode(html)) // 4 AS tokens FROM pages")

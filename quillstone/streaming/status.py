@@ -1,13 +1,9 @@
-"""File status as a stream: the latest state of each file, and files that have stopped changing."""
+"""File status as a stream: the latest state of each file, files that stopped changing, counts in windows."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Events may be so late; after that a window's result is final.
 LATENESS = "10 minutes"
@@ -19,25 +15,21 @@ def counts_by_window(events: DataFrame, width: str = "1 day") -> DataFrame:
 
 
 def latest(events: DataFrame, key: str = "user_id") -> DataFrame:
-    """key, n_events, status, since for each key, whenever it changes; an event older than the last one changes nothing.
+    """key, n_events, status, since for each key, whenever it changes; an event older than the last one changes nothing but the number.
 
-    One struct of state for each key. Rows of equal time: the larger event_id is the later one.
+    One row of state for each key. Rows of equal time: the larger event_id is the later one.
     """
+    return events.groupBy(key).agg(F.count("*").alias("n_events"), F.max_by("event_type", F.struct("ts", "event_id")).alias("status"), F.max("ts").alias("since"))
+
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, at, id_, status = state.get if state.exists else (0, None, -1, None)
-        for b in batches:
-            last = b.sort_values(["ts", "event_id"]).iloc[-1]
-            n += len(b)
-            if at is None or (last.ts.value, int(last.event_id)) > (at, id_):
-                at, id_, status = int(last.ts.value), int(last.event_id), str(last.event_type)
-        state.update((n, at, id_, status))
-        yield pd.DataFrame({key: [k[0]], "n_events": [n], "status": [status], "since": [pd.Timestamp(at)]})
+def run_available(stream: DataFrame, folder: str, checkpoint: str, mode: str = "update") -> DataFrame:
+    """Process what is there and stop; each batch's rows are a folder of a table, written over if it is tried again. The checkpoint lets the next run go on.
 
-    out = f"{key} long, n_events long, status string, since timestamp"
-    return events.groupBy(key).applyInPandasWithState(step, out, "n long, at long, id long, status string", "update", GroupStateTimeout.NoTimeout)
+    Returns the table, with the number of the batch.
+    """
 
+    def write(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
-def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "update") -> None:
-    """Process what is there and stop; the checkpoint lets the next run go on from there."""
-    stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.parquet(folder)
