@@ -13,6 +13,7 @@ import json
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 from urllib.parse import urlparse
 
 import numpy as np
@@ -26,6 +27,8 @@ from quillstone.llm.common import as_bytes, column, shared_dir, shuffle_partitio
 from quillstone.llm.tokens import encoder, vocabulary_text
 
 LENGTH, ROWS = 1024, 256
+#: Bytes of text that a file holds at most, about, and at least where that leaves enough files for the cluster.
+LARGEST, SMALLEST = 256 << 20, 8 << 20
 
 
 def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
@@ -96,27 +99,38 @@ class SequenceReader:
         ids, mask = (c.values[(c.offset + row) * self.length : (c.offset + row + 1) * self.length] for c in batch.columns)
         return ids.to_numpy(), mask.to_numpy(zero_copy_only=False)
 
-    def runs(self, counts: list[int]) -> Iterator[bytes]:
-        """Ids of documents that follow one another from the file's start on, by their lengths."""
-        flat = [b.column(0).values.to_numpy()[b.column(0).offset * self.length :] for b in self.batches]
-        per = self.rows * self.length
-        at = 0
-        for n in counts:
-            parts, left = [], n
-            while left:
-                k, i = divmod(at, per)
-                part = flat[k][i : i + left]
-                parts.append(part)
-                at += len(part)
-                left -= len(part)
-            yield b"".join(x.astype("<u4").tobytes() for x in parts)
+
+def documents_of(source: pa.NativeFile) -> pa.Table:
+    """Keys and lengths of a file's documents, from the stream at its end."""
+    size = source.size()
+    source.seek(size - 8)
+    (place,) = struct.unpack("<Q", source.read(8))
+    source.seek(place)
+    table = pa.ipc.open_stream(source).read_all()
+    source.seek(0)
+    return table
+
+
+def runs(batches: Iterator[pa.RecordBatch], counts: list[int]) -> Iterator[bytes]:
+    """Ids of documents that follow one another, by their lengths; one batch of the file is held at a time."""
+    held, at = np.zeros(0, dtype=np.uint32), 0
+    for n in counts:
+        parts, left = [], n
+        while left:
+            if at == len(held):
+                held, at = next(batches).column(0).flatten().to_numpy(), 0
+            part = held[at : at + left]
+            parts.append(part.astype("<u4").tobytes())
+            at += len(part)
+            left -= len(part)
+        yield b"".join(parts)
 
 
 def write_sequences(df: DataFrame, folder: str | None = None, vocabulary: str = "word_bpe_49k.json", end_id: int | None = 1, length: int = LENGTH, key: str = "doc_id", text: str = "text", partitions: int | None = None) -> DataFrame:
     """Encode whole texts and write them in ascending order of key; the files' rows: part, path, n_docs, n_tokens.
 
     folder: shared by all nodes; by default a new one in the cluster's checkpoint folder. Rows are dealt by ranges of
-    the key, each range is a file, and ties are in order of their text. A task writes to a name of its own attempt,
+    the key, as many as the bytes of text ask for (LARGEST, SMALLEST) unless partitions says, each range is a file, and ties are in order of their text. A task writes to a name of its own attempt,
     and only the names that finished tasks return are read, so a lost executor leaves no half file behind in the
     result. A null key comes first; a null or empty text has only the end id; other columns are dropped; an empty
     table gives no files. The result is computed when this returns: it has one row for each file.
@@ -126,7 +140,10 @@ def write_sequences(df: DataFrame, folder: str | None = None, vocabulary: str =
     shared = spark.sparkContext.broadcast(vocabulary_text(vocabulary))
     tail = b"" if end_id is None else int(end_id).to_bytes(4, "little")
     rows = df.select(column(key).alias("key"), F.coalesce(column(text), F.lit("")).alias("text"))
-    dealt = rows.repartitionByRange(partitions or shuffle_partitions(spark), "key", F.xxhash64("text")).sortWithinPartitions("key", F.xxhash64("text"), "text")
+    if not partitions:
+        size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        partitions = max(1, -(-size // LARGEST), min(shuffle_partitions(spark), size // SMALLEST))
+    dealt = rows.repartitionByRange(partitions, "key", F.xxhash64("text")).sortWithinPartitions("key", F.xxhash64("text"), "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, out, task = encoder(shared.value, "word").encode, None, TaskContext.get()
@@ -151,6 +168,18 @@ def write_sequences(df: DataFrame, folder: str | None = None, vocabulary: str =
     return spark.createDataFrame(files.astype({"part": "int32"}), "part int, path string, n_docs long, n_tokens long, first long, folder string")
 
 
+def ends(counts: np.ndarray, most: int = 1 << 20, rows: int = 4096) -> Iterator[tuple[int, int]]:
+    """Ranges of documents with about so many ids together, and no more rows than that."""
+    start = held = 0
+    for i, n in enumerate(counts.tolist()):
+        if i > start and (held + n > most or i - start == rows):
+            yield start, i
+            start, held = i, 0
+        held += n
+    if start < len(counts):
+        yield start, len(counts)
+
+
 def read_sequences(files: DataFrame, key_type: str = "long") -> DataFrame:
     """One row for each document in the files that write_sequences returned: key, start, n_tokens, ids (binary)."""
     spark = files.sparkSession
@@ -159,19 +188,14 @@ def read_sequences(files: DataFrame, key_type: str = "long") -> DataFrame:
         for batch in batches:
             for f in batch.to_pylist():
                 system, _ = open_folder(f["folder"])
-                if isinstance(system, fs.LocalFileSystem):
-                    data = pa.memory_map(f["path"]).read_buffer()
-                else:
-                    with system.open_input_file(f["path"]) as source:
-                        data = source.read_buffer()
-                reader = SequenceReader(data)
-                counts = reader.documents["n_tokens"].to_numpy()
-                starts = f["first"] + np.cumsum(counts) - counts
-                ids = reader.runs(counts.tolist())
-                keys = reader.documents["key"].combine_chunks()
-                for at in range(0, len(counts), 4096):
-                    some = [next(ids) for _ in counts[at : at + 4096]]
-                    yield pa.RecordBatch.from_arrays([keys[at : at + 4096], pa.array(starts[at : at + 4096]), pa.array(counts[at : at + 4096]), pa.array(some, pa.binary())], names=["key", "start", "n_tokens", "ids"])
+                with system.open_input_file(f["path"]) as source:
+                    documents = documents_of(source)
+                    counts = documents["n_tokens"].to_numpy()
+                    starts = f["first"] + np.cumsum(counts) - counts
+                    ids = runs(iter(pa.ipc.open_stream(source)), counts.tolist())
+                    keys = documents["key"].combine_chunks()
+                    for a, b in ends(counts):
+                        yield pa.RecordBatch.from_arrays([keys[a:b], pa.array(starts[a:b]), pa.array(counts[a:b]), pa.array(list(islice(ids, b - a)), pa.binary())], names=["key", "start", "n_tokens", "ids"])
 
     n = max(1, files.count())
     return files.repartition(min(n, 10_000), "part").mapInArrow(read, f"key {key_type}, start long, n_tokens long, ids binary") if n else spark.createDataFrame([], f"key {key_type}, start long, n_tokens long, ids binary")

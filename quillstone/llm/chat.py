@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillstone.llm.common import column
+
 TURNS = "array<struct<role:string,text:string>>"
 
 
@@ -97,18 +99,29 @@ def canonical_turns(df: DataFrame, ignore: tuple[str, ...] = (), turns: str = "t
 def canonical_json(df: DataFrame, record: str, turns: str = "turns") -> DataFrame:
     """df and the canonical turns of a JSON record in a column, whose layout may differ from row to row.
 
-    Each record's own paths are fingerprinted; null, malformed or unknown records have null turns.
+    Each record's own paths are fingerprinted: its fields, and the fields of all of its messages together, of which
+    those that no mapping reads (an id, a name) are left out. A record with no message has the mapping's other turns,
+    or none. Null, malformed or unknown records have null turns; other columns pass, one named as turns is replaced.
     """
-    top = F.json_object_keys(F.col(record))
-    inner = lambda name: F.transform(F.json_object_keys(F.get_json_object(record, f"$.{name}[0]")), lambda k: F.concat(F.lit(f"{name}[]."), k))
+    top = F.json_object_keys(column(record))
     arrays = sorted({m.array[0] for m in LAYOUTS if m.array})
+    known = sorted({x for m in LAYOUTS if m.array for x in m.array[1:]})
+    messages = lambda name: F.from_json(F.get_json_object(column(record), f"$.{name}"), "array<map<string,string>>")
+
+    def inner(name: str) -> Column:
+        fields = F.array_distinct(F.flatten(F.transform(F.filter(messages(name), lambda m: m.isNotNull()), lambda m: F.map_keys(m))))
+        read = F.filter(fields, lambda f: f.isin(*known))
+        usual = F.array(*(F.lit(x) for x in ("role", "content")))  # of a layout without messages any fields will do
+        return F.when(F.size(messages(name)) == 0, usual).otherwise(read)
+
+    paths_of = lambda name: F.when(F.array_contains(top, name), F.transform(inner(name), lambda f: F.concat(F.lit(f"{name}[]."), f))).otherwise(F.array().cast("array<string>"))
     leaves = F.filter(top, lambda k: ~k.isin(*arrays))
-    paths = F.array_sort(F.concat(leaves, *(F.coalesce(inner(a), F.array().cast("array<string>")) for a in arrays)))
+    paths = F.array_sort(F.concat(leaves, *(F.coalesce(paths_of(a), F.array().cast("array<string>")) for a in arrays)))
     print_ = F.substring(F.sha2(F.array_join(paths, "\n"), 256), 1, 16)
     out = F.lit(None).cast(TURNS)
     for key, m in BY_FINGERPRINT.items():
         fields = {f: "string" for _, f in m.single} | ({m.array[0]: f"array<struct<{m.array[1]}:string,{m.array[2]}:string>>"} if m.array else {})
-        read = F.from_json(record, ", ".join(f"`{k}` {v}" for k, v in fields.items()))
+        read = F.from_json(column(record), ", ".join(f"`{k}` {v}" for k, v in fields.items()))
         out = F.when(F.col("fingerprint_") == key, m.turns(lambda f, read=read: read[f])).otherwise(out)
     return df.withColumn("fingerprint_", print_).withColumn(turns, out).drop("fingerprint_")
 
@@ -151,12 +164,20 @@ def loss_spans(formatted: Column) -> Column:
 
 
 def format_conversations(df: DataFrame, ignore: tuple[str, ...] = ()) -> DataFrame:
-    """df, its canonical turns, formatted (string) and loss (array of spans), by any layout that a mapping knows."""
+    """df, its canonical turns, formatted (string) and loss (array of spans), by any layout that a mapping knows.
+
+    Columns of those names are replaced, others named in ignore pass; an empty table gives no rows; equal rows give
+    equal ones. A conversation is one row, so that it has to fit into a task's memory.
+    """
     return canonical_turns(df, ignore).withColumn("formatted", format_turns(F.col("turns"))).withColumn("loss", loss_spans(F.col("formatted")))
 
 
 def gathered(rows: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
-    """One row for each conversation with messages in order of their turn; ties in order of role and text."""
+    """One row for each conversation with messages in order of their turn; ties in order of role and text.
+
+    A null role is the user's, a null text empty, a null turn comes first; a null key is a conversation of its own;
+    other columns are dropped; an empty table gives no rows.
+    """
     message = F.struct(F.col(order).alias("at"), F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
     held = rows.groupBy(key).agg(F.sort_array(F.collect_list(message)).alias("held"))
     return held.select(key, F.transform("held", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from quillstone.llm.common import as_bytes, column, quoted, slices
 from quillstone.llm.tokens import encoder, vocabulary_text
 
+#: Bytes of text that a partition packs at least, if there are so many: in smaller ones too many bins stay part empty.
+PACKED_TOGETHER = 32 << 20
 #: Sequences numbered within each partition, which is the number above this bit.
 PARTITION_BIT = 33
 
@@ -61,7 +63,8 @@ def best_fit_pack(df: DataFrame, vocabulary: str = "byte_bpe_50k.json", capacity
 
     Each whole text is encoded, end_id is appended, and the pieces are placed into sequences of at most capacity
     tokens by online best fit with a fixed number of open bins. Each partition packs its own rows, so nothing is
-    shuffled and a lost task is packed again in the same way; at a partition's end its open bins are closed.
+    shuffled and a lost task is packed again in the same way; at a partition's end its open bins are closed. Small
+    partitions are read together by one task, about PACKED_TOGETHER bytes of text at least.
     A null or empty text is one piece of the end id (no row if end_id is None); a null key is kept; equal rows are
     packed as separate documents; columns other than key and text are dropped; an empty table gives no rows.
     """
@@ -93,7 +96,8 @@ def best_fit_pack(df: DataFrame, vocabulary: str = "byte_bpe_50k.json", capacity
                 names=[key, "piece", "start", "length", "ids", "sequence_id", "offset"],
             )
 
-    return rows.mapInArrow(pack, schema)
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return rows.coalesce(max(1, size // PACKED_TOGETHER)).mapInArrow(pack, schema)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -93,6 +93,11 @@ def test_packing(spark, prose):
     assert len(sequences) <= sum(r.length for r in rows) / 1024 * 1.15 + 2
 
 
+def test_many_small_partitions_are_packed_together(spark, data):
+    rows = packing.best_fit_pack(spark.read.parquet(data.replace("sf0.001", "sf0.01") + "/documents.parquet").repartition(64)).select("sequence_id", "length").collect()
+    assert sum(r.length for r in rows) / (1024 * len({r.sequence_id for r in rows})) >= 0.97
+
+
 def test_bounded_bins_close_the_fullest():
     bins = packing.OpenBins(10, 2)
     # 6 and 5 open two bins; 8 closes the one with 4 left; 2 then fits the one with 2 left best; 9 closes the one with 5 left
@@ -115,6 +120,8 @@ def test_sequences_are_read_back(spark, prose, tmp_path):
             assert np.frombuffer(r.ids, dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids + [1]
     import pyarrow as pa
 
+    with pa.OSFile(files.first()["path"]) as source:
+        assert arrowseq.documents_of(source)["n_tokens"].to_pylist() == arrowseq.SequenceReader(pa.memory_map(files.first()["path"]).read_buffer()).documents["n_tokens"].to_pylist()
     reader = arrowseq.SequenceReader(pa.memory_map(files.first()["path"]).read_buffer())
     ids, mask = reader[len(reader) - 1]
     assert len(ids) == 64 and mask.sum() == (files.first()["n_tokens"] - 1) % 64 + 1 and (ids[~mask] == 0).all()
@@ -376,8 +383,11 @@ def test_unknown_layout(spark):
 
 
 def test_json_records(spark):
-    df = spark.createDataFrame([('{"prompt":"p","response":"r"}',), ('{"messages":[{"role":"user","content":"u"}]}',), ('{"odd":1}',), ("no json",), (None,)], "rec string")
+    more = ['{"messages":[]}', '{"system":"s","messages":[]}', '{"messages":[{"id":"7","role":"user","content":"u"},{"role":"assistant","content":"a","name":"n"}]}', '{"messages":[null,{"role":"user"},{"content":"c"}]}']
+    df = spark.createDataFrame([('{"prompt":"p","response":"r"}',), ('{"messages":[{"role":"user","content":"u"}]}',), ('{"odd":1}',), ("no json",), (None,), *((m,) for m in more)], "rec string")
     out = [r.turns for r in chat.canonical_json(df, "rec").collect()]
+    assert [[tuple(t) for t in x] for x in out[5:]] == [[], [("system", "s")], [("user", "u"), ("assistant", "a")], [("user", ""), ("user", "c")]]
+    out = out[:5]
     assert [tuple(t) for t in out[0]] == [("user", "p"), ("assistant", "r")] and [tuple(t) for t in out[1]] == [("user", "u")] and out[2:] == [None, None, None]
 
 
