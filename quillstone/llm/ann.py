@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.common import column
 
-#: At most so many vectors, those with the smallest hash of their id, fit centroids and codebooks. Every row is indexed.
-SAMPLE = 20_000
+#: At most so many vectors, those with the smallest hash of their id, fit centroids and codebooks, and no more than
+#: so many bytes of them. Every row is indexed.
+SAMPLE, SAMPLE_BYTES = 20_000, 64 << 20
 CODEWORDS, GROUP, ROUNDS = 256, 4, 8
 #: Rows of a cell that one task takes together; a larger cell is split into blocks.
 BLOCK = 2048
@@ -98,30 +99,31 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return values.reshape(len(column), -1) if len(column) else np.zeros((0, 1), dtype=values.dtype)
 
 
-def usable(df: DataFrame, id_: str, vector: str) -> DataFrame:
-    """Ids and vectors as array<double>, without those that are null, zero, of another length than most, or hold a null or non-finite component."""
+def usable(df: DataFrame, id_: str, vector: str) -> tuple[DataFrame, int, int]:
+    """Ids and vectors as array<double>, without those that are null, zero, of another length than most, or hold a null or non-finite component; how many, and their length."""
     v = F.col("vector")
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     rows = df.select(column(id_).alias("id"), column(vector).cast("array<double>").alias("vector")).where(F.col("id").isNotNull() & v.isNotNull() & ~F.exists(v, bad) & F.exists(v, lambda x: x != 0))
     dim = rows.agg(F.mode(F.size("vector"), True).alias("d"), F.count("*").alias("n")).first()
-    return rows.where(F.size("vector") == F.lit(dim["d"] or 0)), int(dim["n"])
+    return rows.where(F.size("vector") == F.lit(dim["d"] or 0)), int(dim["n"]), int(dim["d"] or 0)
 
 
 def nearest_neighbours(df: DataFrame, is_query, k: int = 20, probes: int | None = None, rerank: int = RERANK, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row that is_query holds for, its k nearest other rows.
 
     is_query: a Column function of the id. Nearest: largest inner product in double precision; ties to the smaller
-    id. Rows with unusable vectors (see usable) take no part; a row is never its own neighbour, but rows that repeat
-    an id are one another's no more than their own. An empty table gives no rows. A query visits probes cells (by default
+    id. Rows with unusable vectors (see usable) take no part. Rows that repeat an id are no neighbours of one another;
+    such an id asks with the smallest of its vectors (component by component), and as a neighbour it is listed once
+    for each of its vectors that is near enough. Other columns are dropped; an empty table gives no rows. A query visits probes cells (by default
     as many as the recall on the sample takes), or more until they hold k other rows. A cell of any size is split into
     blocks of bounded size, each searched by itself, and each block hands on at most k rows for a query.
     """
     spark = df.sparkSession
-    rows, n = usable(df, id_, vector)
+    rows, n, dim = usable(df, id_, vector)
     out = "query_id long, rank int, vec_id long, score double"
     if not n:
         return spark.createDataFrame([], out)
-    sample = np.array([r[0] for r in rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").collect()])
+    sample = matrix(rows.orderBy(F.xxhash64("id"), "id", "vector").limit(min(SAMPLE, max(256, SAMPLE_BYTES // (8 * dim)))).select("vector").toArrow()["vector"]).copy()
     index = Index.fit(sample, min(4096, max(64, round(math.sqrt(n) / 4))))
     probes = probes or index.probes(sample, k, RECALL)
     shared = spark.sparkContext.broadcast(index)
@@ -191,7 +193,7 @@ def nearest_neighbours(df: DataFrame, is_query, k: int = 20, probes: int | None
         return pa.table(dict(zip(("query_id", "vec_id", "score"), joined, strict=True)))
 
     dealt = listed.mapInArrow(place, "id long, vector array<double>, cell int, codes binary, block int")
-    asked = rows.where(is_query(F.col("id"))).dropDuplicates(["id"]).mapInArrow(visit, "id long, vector array<double>, cell int, block int")
+    asked = rows.where(is_query(F.col("id"))).groupBy("id").agg(F.min("vector").alias("vector")).mapInArrow(visit, "id long, vector array<double>, cell int, block int")
     hits = dealt.groupBy("cell", "block").cogroup(asked.groupBy("cell", "block")).applyInArrow(search, "query_id long, vec_id long, score double")
     place_ = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return hits.withColumn("rank", F.row_number().over(place_)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -352,6 +352,12 @@ def test_neighbours(spark, block, monkeypatch):
         assert [r.rank for r in got] == list(range(1, 11)) and np.allclose([r.score for r in got], [s[r.vec_id] for r in got])
         hits += len({r.vec_id for r in got} & set(want.tolist()))
     assert hits >= 0.9 * 10 * len(by)
+    twice = df.where("vec_id < 30").unionByName(spark.createDataFrame([(20, (-x[20]).tolist(), "c")], df.schema))
+    asked = min(x[20].tolist(), (-x[20]).tolist())
+    first = ann.nearest_neighbours(twice, lambda i: i == 20, 3).orderBy("rank").collect()
+    s = x[:30] @ np.array(asked)
+    s[20] = -np.inf
+    assert [r.vec_id for r in first] == np.argsort(-s, kind="stable")[:3].tolist()
     few = ann.nearest_neighbours(df.where("vec_id in (20, 21, 22)"), lambda i: i % 20 == 0, 10).collect()
     assert len(few) == 2 and ann.nearest_neighbours(df.limit(0), lambda i: i % 20 == 0).count() == 0
 
