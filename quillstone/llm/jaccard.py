@@ -411,9 +411,10 @@ def keep_first(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     one keeps no other. Of documents that repeat a key with different texts, each is judged by its own text; equal
     rows count once. A null or empty text has no near duplicates. Other columns pass; an empty table gives no rows.
     """
-    # a key may repeat, so that what stays is known by its text too
-    whole = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("print"), F.struct(*map(column, docs.columns)).alias("row_"))
-    kept = classes(whole.select("doc_id", "text", "print"), "doc_id", "text", "print").where("first")
+    # a key may repeat, so that what stays is known by its text too; the rows themselves are shuffled once
+    print_ = F.md5(F.coalesce(F.concat(F.lit("="), "text"), F.lit(""))).alias("print")
+    kept = classes(docs.select("doc_id", "text", print_), "doc_id", "text", "print").where("first")
     kept = kept.select("doc_id", F.col("carried").alias("print")).distinct()
-    named = whole.where("doc_id is not null").join(kept, ["doc_id", "print"], "left_semi").dropDuplicates(["doc_id", "text"])
+    whole = docs.select("doc_id", print_, F.struct(*map(column, docs.columns)).alias("row_"))
+    named = whole.where("doc_id is not null").join(kept, ["doc_id", "print"], "left_semi").dropDuplicates(["doc_id", "print"])
     return whole.where("doc_id is null").unionByName(named.select(*whole.columns)).select(*(F.col(f"row_.{quoted(c)}").alias(c) for c in docs.columns))
