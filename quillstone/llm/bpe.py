@@ -160,28 +160,37 @@ def _model(vocabulary: str) -> PrefixBpe:
     return _made[key]
 
 
-def _appended(df: DataFrame, field: T.StructField) -> T.StructType:
-    return T.StructType([f for f in df.schema.fields if f.name.lower() != field.name.lower()] + [field])
+def _texts(model: PrefixBpe, ids: pa.ListArray) -> pa.Array:
+    """The text that each row's ids stand for; null ids give the empty text."""
+    get, values = model.bytes_of.__getitem__, ids.values.to_numpy(zero_copy_only=False)
+    offsets = ids.offsets.to_numpy().tolist()
+    return pa.array([b"".join(map(get, values[a:b].tolist())).decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.string())
 
 
-def bpe_encode(df: DataFrame, vocabulary: str = "byte_bpe_50k.json", text: str = "text", ids: str = "ids") -> DataFrame:
+def bpe_encode(df: DataFrame, vocabulary: str = "byte_bpe_50k.json", text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """df's columns other than text, and ids (array<int>): the exact token ids of each whole text.
 
     vocabulary: name or path of a byte-level tokenizer file. A special token's string becomes its id. A null or
     empty text has no ids; equal texts have equal ids; other columns pass, but a column named as ids is replaced.
-    Rows are independent, nothing is shuffled, and what a worker remembers is bounded.
+    decoded: a column for the text decoded from those ids, as bpe_decode gives it, without another pass of Python
+    workers; a column of that name is replaced, and ids and decoded have to differ. Rows are independent, nothing is
+    shuffled, and what a worker remembers is bounded.
     """
+    if decoded is not None and decoded.lower() == ids.lower():
+        raise ValueError("ids and decoded name the same column")
     shared = df.sparkSession.sparkContext.broadcast(vocabulary_text(vocabulary))
-    rest = without(df, ids)
-    schema = _appended(without(rest, text), T.StructField(ids, T.ArrayType(T.IntegerType())))
-
+    new = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.StringType())] if decoded is not None else [])
+    gone = {f.name.lower() for f in new} - {text.lower()}
+    rest = without(df, *gone)
     at = rest.columns.index(text)
+    schema = T.StructType([f for i, f in enumerate(rest.schema.fields) if i != at] + new)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(shared.value)
         for batch in (part for whole in batches for part in slices(whole, at)):
             found = int_lists(model.encode(as_bytes(batch.column(at))))
-            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != at), found], names=schema.names)
+            made = [found, _texts(model, found)] if decoded is not None else [found]
+            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != at), *made], names=schema.names)
 
     return mapped(rest, encode, schema)
 
@@ -194,18 +203,13 @@ def bpe_decode(df: DataFrame, vocabulary: str = "byte_bpe_50k.json", ids: str =
     """
     shared = df.sparkSession.sparkContext.broadcast(vocabulary_text(vocabulary))
     rest = without(df, text)
-    schema = _appended(rest, T.StructField(text, T.StringType()))
-
+    schema = T.StructType([*rest.schema.fields, T.StructField(text, T.StringType())])
     at = rest.columns.index(ids)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(shared.value)
-        get = model.bytes_of.__getitem__
         for batch in batches:
-            column = batch.column(at)
-            values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-            texts = [b"".join(map(get, values[a:b].tolist())).decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, _texts(model, batch.column(at))], names=schema.names)
 
     return mapped(rest, decode, schema)
 
@@ -213,7 +217,7 @@ def bpe_decode(df: DataFrame, vocabulary: str = "byte_bpe_50k.json", ids: str =
 def op1(spark, sf_dir: str) -> DataFrame:
     from quillstone.llm.common import documents, whole_texts
 
-    done = bpe_decode(bpe_encode(whole_texts(documents(spark, sf_dir))))
+    done = bpe_encode(whole_texts(documents(spark, sf_dir)), decoded="text")
     return done.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -62,6 +62,13 @@ def test_bpe_round_trip(spark):
         ids = library.encode(t, add_special_tokens=False).ids
         assert out[i].ids == ids and out[i].text == library.decode(ids, skip_special_tokens=False)
     assert bpe.bpe_encode(df.limit(0)).count() == 0
+    # in one pass the same, whatever column the decoded text takes the place of
+    for name in ("text", "Key", "back"):
+        once = bpe.bpe_encode(df, decoded=name)
+        assert {r.doc_id: (r.ids, r[name]) for r in once.collect()} == {d: (r.ids, r.text) for d, r in out.items()}
+        assert [c.lower() for c in once.columns].count(name.lower()) == 1
+    with pytest.raises(ValueError, match="same column"):
+        bpe.bpe_encode(df, decoded="IDS")
 
 
 def test_long_pre_token_takes_linear_time():
