@@ -267,8 +267,10 @@ def test_near_duplicates(spark, prose):
     assert stays == {i for i, (c, _) in got.items() if c == i}
 
 
-def test_large_buckets_are_split_into_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [1, jaccard.HOT])
+def test_large_buckets_are_split_into_blocks(spark, monkeypatch, hot):
     monkeypatch.setattr(jaccard, "BUCKET", 8)
+    monkeypatch.setattr(jaccard, "HOT", hot)
     r = random.Random(6)
     base = [f"w{r.randrange(300)}" for _ in range(100)]
     texts = [" ".join(f"x{i}" if k == i * 7 % 100 else w for k, w in enumerate(base)) for i in range(30)]
