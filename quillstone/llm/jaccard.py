@@ -34,7 +34,7 @@ RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - SIMILARITY**TYPICAL))
 MORE = 8
 #: Sets that are tested at once.
 BUCKET = 512
-#: Buckets whose sizes are sent to all tasks: the largest ones, so that none of the others holds more than a HOT-th of the rows.
+#: Buckets whose sizes are sent to all tasks: the largest ones, so that none of the others holds more than BUCKET rows or a HOT-th of all.
 HOT = 1024
 #: A large bucket that keeps this share of the one it comes from holds near copies: splitting on would only lose links.
 SETTLED = 0.6
@@ -143,7 +143,7 @@ def leaves(sets: DataFrame, runs: range) -> tuple[DataFrame, DataFrame]:
     ends = (F.col("size") <= BUCKET) | F.coalesce(F.col("size") > SETTLED * F.col("parent"), F.lit(False))
     for step in range(1, STEPS + 1):
         sizes = written(now.groupBy("leaf").agg(F.count("*").alias("size"), F.max("short").alias("asked")).where("size > 1 and asked").drop("asked"))
-        # the rows of the largest buckets stay where they are; of any other bucket a task gets a HOT-th of all rows at most
+        # the rows of the largest buckets stay where they are; any other bucket holds BUCKET rows or a HOT-th of all rows at most
         hot = F.broadcast(sizes.where(F.col("size") > BUCKET).orderBy(F.desc("size"), "leaf").limit(HOT))
         sized = now.join(hot, "leaf").unionByName(now.join(hot.select("leaf"), "leaf", "left_anti").join(sizes, "leaf"))
         together = written(sized.select("rep", "short", "run", "leaf", "size", (ends if step < STEPS else F.lit(True)).alias("ends"), F.when(F.col("size") > BUCKET, F.col("path")).alias("path")))
