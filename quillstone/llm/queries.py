@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillstone.llm import ann, arrowseq, bpe, chat, jaccard, lm, mixing, packing, quality, suffix, toxicity
+from quillstone.llm import ann, arrowseq, bpe, chat, jaccard, lm, mixing, negatives, packing, quality, suffix, toxicity, trie
 
 
 def queries() -> dict:
@@ -17,9 +17,11 @@ def queries() -> dict:
         "op8_best_fit_packing": packing.op8,
         "op9_context_tree_lm": lm.op9,
         "op10_toxicity": toxicity.op10,
+        "op11_prefix_trie": trie.op11,
         "op12_source_mixing": mixing.op12,
+        "op13_hard_negatives": negatives.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": chat.OP3_SQL, "op4_ngram_jaccard_join": jaccard.OP4_SQL, "op5_quality_rules": quality.OP5_SQL, "op12_source_mixing": mixing.OP12_SQL}
+    return {"op3_chat_format": chat.OP3_SQL, "op4_ngram_jaccard_join": jaccard.OP4_SQL, "op5_quality_rules": quality.OP5_SQL, "op11_prefix_trie": trie.OP11_SQL, "op12_source_mixing": mixing.OP12_SQL, "op13_hard_negatives": negatives.OP13_SQL}
