@@ -7,6 +7,7 @@ are removed, and a document that loses too much of its text with them is rejecte
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import islice
 
@@ -75,7 +76,7 @@ def line_fails(line: bytes, words: list[bytes]) -> str | None:
         return "punctuation"
     if n <= FURNITURE_WORDS and FURNITURE.search(line.lower()):
         return "boilerplate"
-    if n >= MONOTONE_WORDS and len(kinds := set(words)) < MONOTONE_SHARE * n + 1 and max(map(words.count, kinds)) > MONOTONE_SHARE * n:
+    if n >= MONOTONE_WORDS and len(set(words)) < MONOTONE_SHARE * n + 1 and max(Counter(words).values()) > MONOTONE_SHARE * n:
         return "boilerplate"
     return None
 
