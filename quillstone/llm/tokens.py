@@ -22,10 +22,12 @@ LONGEST = 64
 OTHER_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 LETTERS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++(?![\x80-\xff])"
 MARK, FIRST_MARK = rb"[!-/:-@\[-`{-~]", rb"[!-&(-/:-@\[-`{-~]"
+#: Control characters and bytes beyond ASCII prolong a run of marks.
+MARKS_END = rb"(?![\x00-\x08\x0e-\x1f\x7f-\xff])"
 #: A run of Latin letters, a run of ASCII marks, or else all up to white space, each with the space before it; white
 #: space without the space that belongs to the next word. A run ends where other bytes could not prolong it.
-CHUNK = re.compile(rb" ?" + LETTERS + rb"|(?: " + MARK + rb"|" + FIRST_MARK + rb")" + MARK + rb"*+(?![\x80-\xff])| ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
-WORD_CHUNK = re.compile(LETTERS + rb"|" + FIRST_MARK + MARK + rb"*+(?![\x80-\xff])|[^ \t-\r]+")
+CHUNK = re.compile(rb" ?" + LETTERS + rb"|(?: " + MARK + rb"|" + FIRST_MARK + rb")" + MARK + rb"*+" + MARKS_END + rb"| ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
+WORD_CHUNK = re.compile(LETTERS + rb"|" + FIRST_MARK + MARK + rb"*+" + MARKS_END + rb"|[^ \t-\r]+")
 
 
 def byte_level_chunks(text: bytes, specials: tuple[bytes, ...]) -> list[bytes] | None:
