@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,9 +29,9 @@ WORD_DIM, CHAR_DIM, CHAR_STATE, STATE, ATTENTION = 8, 8, 12, 8, 8
 #: A word gets a vector of its own if so many sampled texts have it and its chi-square between the labels is as large:
 #: vectors of words that tell nothing would only remember the sample.
 KNOWN, TELLS = 5, 11.0
-#: At most so many labelled rows, those with the smallest hash of their key, are learned from, and of each at most so
-#: many characters from a place on that its hash gives: the driver gets no more than the product. Scoring reads whole texts.
-SAMPLE, SAMPLE_CHARS = 4_000, 16 << 10
+#: At most so many labelled rows, those with the smallest hash of their key, are learned from, each with its whole text,
+#: as long as their texts hold so many bytes together at most: the driver gets no more than that.
+SAMPLE, SAMPLE_BYTES = 4_000, 32 << 20
 STEPS, EPOCHS, BATCH, RATE, DECAY, WORD_DROPOUT = 160, 4, 64, 0.012, 0.05, 0.3
 THRESHOLD = 0.7
 #: Distinct words whose input rows a worker keeps.
@@ -344,17 +344,23 @@ def crc_of(key: str) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", label: str = "toxic", learn: F.Column | None = None) -> Network:
     """Fit on at most sample labelled rows, those whose key has the smallest hash; learn: which of the labels may be used.
 
-    Of each text at most SAMPLE_CHARS characters are learned from, so that what the driver gets is bounded. Null keys
+    Rows are taken in order of that hash, with whole texts, while their texts hold SAMPLE_BYTES together at most, so that
+    what the driver gets is bounded; a row that would exceed it, and rows after it, are not learned from. Null keys
     and labels other than 0 and 1 are not used; of a key with several labels, the largest; rows that repeat a key are
     all learned from within the bound. A null text is empty. Without labels, or with one of the two only, the network
     gives every text the same score, below the threshold unless all labels are 1.
     """
     rows = labels.where(column(label).isin(0, 1) & (F.lit(True) if learn is None else learn) & column(key).isNotNull())
     few = F.broadcast(rows.groupBy(column(key).alias("key_")).agg(F.max(column(label).cast("int")).alias("label_")).orderBy(F.xxhash64("key_"), "key_").limit(sample))
-    whole = F.coalesce(column(text), F.lit(""))
-    over = F.greatest(F.lit(0), F.length("text_") - SAMPLE_CHARS)
-    piece = F.substring(F.col("text_"), F.pmod(F.xxhash64("key_"), over + 1).cast("int") + 1, F.lit(SAMPLE_CHARS))
-    held = docs.select(column(key).alias("key_"), whole.alias("text_")).join(few, "key_").orderBy(F.xxhash64("key_"), F.xxhash64("text_")).limit(sample).select(piece.alias("text_"), "label_").collect()
+    named = docs.select(column(key).alias("key_"), F.coalesce(column(text), F.lit("")).alias("text_")).join(few, "key_")
+    order = (F.xxhash64("key_"), F.xxhash64("text_"))
+    # sizes first, so that the rows that are sent are within the bound
+    sizes = named.select(*(o.alias(f"o{i}") for i, o in enumerate(order)), F.octet_length("text_").alias("size")).orderBy("o0", "o1").limit(sample)
+    within = sizes.withColumn("upto", F.sum("size").over(Window.orderBy("o0", "o1").rowsBetween(Window.unboundedPreceding, 0))).where(F.col("upto") <= SAMPLE_BYTES)
+    last = within.agg(F.max(F.struct("o0", "o1")).alias("last")).first()["last"]
+    if last is None:
+        return fit([], np.zeros(0, dtype=np.int64))
+    held = named.where(F.struct(order[0].alias("o0"), order[1].alias("o1")) <= F.struct(F.lit(last["o0"]).alias("o0"), F.lit(last["o1"]).alias("o1"))).orderBy(*order).limit(sample).select("text_", "label_").collect()
     return fit([r[0].encode() for r in held], np.array([r[1] for r in held], dtype=np.int64))
 
 
