@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -628,3 +629,35 @@ def test_pipeline(spark, data):
     for r in packed:
         own[r.doc_id][r.piece] = r.ids
     assert {d: hashlib.sha256(b"".join(p[k] for k in sorted(p))).digest() for d, p in own.items()} == {d: hashlib.sha256(np.array(library.encode(t, add_special_tokens=False).ids + [2], dtype="<u4").tobytes()).digest() for d, t in kept.items()}
+
+
+def test_ids_around_control_characters():
+    """Marks, letters and control characters in every order give the library's ids, for both vocabularies."""
+    rng = np.random.default_rng(8)
+    alphabet = [*map(chr, range(0x20)), "\x7f", *".,-<]{'!a$Zé", "ß", "中", "word", "  ", "​", "\xa0", "9"]
+    texts = ["-\x01", "hello.\x00world", "<\x1c]"] + ["".join(rng.choice(alphabet, rng.integers(1, 12))) for _ in range(6000)]
+    for name, kind in (("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")):
+        made = tokens.Encoder(tokens.vocabulary_text(name), kind)
+        got = made.encode([t.encode() for t in texts])
+        want = made.library.encode_batch(texts, add_special_tokens=False)
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [w.ids for w in want]
+
+
+def test_a_line_of_a_million_words():
+    began = time.perf_counter()
+    assert quality.line_fails(b" ".join(b"w%d" % (i % 400_000) for i in range(1_000_000)), [b"w%d" % (i % 400_000) for i in range(1_000_000)]) is None
+    assert quality.line_fails(b"x " * 1_000_000, [b"x"] * 1_000_000) == "boilerplate"
+    assert time.perf_counter() - began < 5
+
+
+def test_training_takes_whole_texts(spark, monkeypatch):
+    """What tells a label may be anywhere in a long text; the bound is one of bytes over all rows."""
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: seen.append((texts, labels.tolist())))
+    docs = spark.createDataFrame([(i, f"{i} " + "filler " * 10_000 + "end") for i in range(20)] + [(20, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(22)], "doc_id long, toxic int")
+    toxicity.train(docs, labels)
+    assert len(seen[0][0]) == 21 and sum(t.endswith(b"end") for t in seen[0][0]) == 20
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 300_000)
+    toxicity.train(docs, labels)
+    assert 3 <= len(seen[1][0]) <= 5 and all(t == b"" or t.endswith(b"end") for t in seen[1][0])

@@ -23,7 +23,7 @@ def docs(spark, data):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, data, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.execute(f"create view {t} as select * from '{data}/{t}.parquet'")
     asked = con.execute(queries.oracle_sql()[name])
     names = [c[0] for c in asked.description]
