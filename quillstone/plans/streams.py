@@ -2,30 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from quillstone.operators import lifecycle as L
 from quillstone.operators.catalog import first_by
 from quillstone.plans.adapters import table
 from quillstone.plans.registry import query
+from quillstone.sources.shared import fresh
 from quillstone.streaming import status as S
 
 
-def shared(spark):
-    """The folder that the cluster's nodes share; a local session without one has its own."""
-    if found := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
-        return found
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"file://{tempfile.mkdtemp(prefix='quillstone-stream-')}"
-
-
 def run(spark, sf_dir, make, mode):
     events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"{shared(spark)}/stream_{uuid.uuid4().hex}"
+    name = fresh(spark, "stream")
     return S.run_available(make(events), f"{name}/rows", f"{name}/state", mode)
 
 
