@@ -58,8 +58,9 @@ class CellIndex:
         sample = held.orderBy(F.xxhash64(self.id_), self.id_).limit(SAMPLE).select("unit").persist()
         n = sample.count()
         if not n:
-            held.withColumn("cell", F.lit(0)).write.mode("overwrite").partitionBy("cell").parquet(f"{self.folder}/rows")
-            self.spark.createDataFrame([], "cell int, centre array<double>, angle double, visited int").write.mode("overwrite").parquet(f"{self.folder}/cells")
+            # files of no rows, which have the columns, in a cell that no query visits
+            held.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/rows/cell=-1")
+            self.spark.createDataFrame([], "cell int, centre array<double>, angle double, visited int").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/cells")
             return
         fitted = KMeans(k=max(1, min(CELLS, n // 16)), distanceMeasure="cosine", seed=seed, maxIter=12).fit(sample.select(array_to_vector("unit").alias("features")))
         centres = np.stack([c / np.linalg.norm(c) for c in fitted.clusterCenters() if np.linalg.norm(c) > 0])

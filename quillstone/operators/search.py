@@ -58,7 +58,7 @@ def bm25(index: DataFrame, question: str, k: int = TOP_K, where: Column | None =
         return index.withColumn("score", F.lit(0.0)).limit(0)
 
     def with_hits(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumn("terms_", tokens(F.col(text)))
+        rows = rows.withColumn("terms_", tokens(F.coalesce(F.col(text), F.lit(""))))
         return rows.withColumn("dl_", F.size("terms_")).withColumn("hits_", F.filter("terms_", lambda x: x.isin(*asked))).drop("terms_")
 
     one = lambda term, n: F.struct(term.alias("term"), n.cast("long").alias("n"))

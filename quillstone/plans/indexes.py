@@ -6,10 +6,15 @@ from pyspark.sql import functions as F
 
 from quillstone.operators import search as S
 from quillstone.operators.cells import CellIndex, dense_many
+from quillstone.operators.fuzzy import TrigramIndex
 from quillstone.operators.postings import SparseIndex
-from quillstone.plans.adapters import INDEX, table, vector_index
-from quillstone.plans.registry import query
-from quillstone.plans.search import TERMS, legs, question
+from quillstone.plans.adapters import INDEX, files, live, table, vector_index
+from quillstone.plans.catalog import FILE_FILTER
+from quillstone.plans.filters import ID_LIKE, WORD_LIKE
+from quillstone.plans.records import VECTORS, vectors
+from quillstone.plans.registry import query, sql_of
+from quillstone.plans.search import TERMS, legs, question, word_similarity_sql
+from quillstone.sources.keyed import KeyedTable
 from quillstone.sources.shared import fresh, once
 
 
@@ -84,3 +89,46 @@ def hybrid_stored(spark, sf_dir):
     index = sparse_index(spark, sf_dir)
     said = index.rows_of(index.search(question(spark, sf_dir), 20), "file_uid").select("uid", "file_uid", "score")
     return S.fuse([near, said], 20, keep=("file_uid",))
+
+
+def trigram_index(spark, sf_dir) -> TrigramIndex:
+    return TrigramIndex(spark, once(spark, "trigrams", sf_dir, lambda folder: TrigramIndex(spark, folder).build(live(files(spark, sf_dir)).select("uid", "id", "display_name", "aliases", "process_status"))))
+
+
+@query(sql_of("filter_fuzzy"))
+def filter_fuzzy_indexed(spark, sf_dir):
+    """As filter_fuzzy, asked of rows that share enough trigrams with the query only."""
+    text = "reprt 41"
+    found = trigram_index(spark, sf_dir).matching(FILE_FILTER.compile(f'q = "{text}"'), text, {"display_name": WORD_LIKE, "id": ID_LIKE}, ("display_name", "id"))
+    return found.select("uid", "display_name")
+
+
+@query(f"WITH p AS (SELECT p_partkey AS uid, p_name FROM part) SELECT uid, p_name, round(score, 6) AS score FROM {word_similarity_sql('smal widgt', 'p_name', 'p')} JOIN p USING (uid) WHERE round(score, 6) >= 0.45")
+def fuzzy_names_indexed(spark, sf_dir):
+    """Parts whose name has a stretch like a misspelt query."""
+    folder = once(spark, "names", sf_dir, lambda folder: TrigramIndex(spark, folder, ("p_name",)).build(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("uid"), "p_name")))
+    return TrigramIndex(spark, folder, ("p_name",)).search("smal widgt", "p_name", 0.45).select("uid", "p_name", "score")
+
+
+def keyed_vectors(spark, sf_dir) -> KeyedTable:
+    held = KeyedTable(spark, fresh(spark, "vectors"), ("uid",), 16)
+    held.create(vectors(spark, sf_dir))
+    return held
+
+
+@query(f"WITH {VECTORS} SELECT uid, file_uid, CASE WHEN uid % 50 IN (3, 13) THEN 'changed' ELSE 'text ' || uid END AS text FROM vec UNION ALL SELECT -1 - uid, file_uid, 'new' FROM vec WHERE uid % 50 = 13")
+def keyed_upsert(spark, sf_dir):
+    """Rows written over and new ones, in a table of which only their buckets are rewritten."""
+    held = keyed_vectors(spark, sf_dir)
+    v = vectors(spark, sf_dir)
+    held.upsert(v.where("uid % 50 in (3, 13)").withColumn("text", F.lit("changed")).unionByName(v.where("uid % 50 = 13").withColumn("uid", -1 - F.col("uid")).withColumn("text", F.lit("new"))))
+    return held.read().select("uid", "file_uid", "text")
+
+
+@query(f"WITH {VECTORS} SELECT uid, CASE file_uid WHEN 'f-00000003' THEN 'new|x' ELSE tags END AS tags FROM vec WHERE file_uid NOT IN ('f-00000004', 'f-00000007')")
+def keyed_retag_and_delete(spark, sf_dir):
+    """The vectors of one file get other tags, those of two others go."""
+    held = keyed_vectors(spark, sf_dir)
+    held.update(F.col("file_uid") == "f-00000003", {"tags": F.array(F.lit("new"), F.lit("x"))})
+    held.delete(F.col("file_uid").isin("f-00000004", "f-00000007"))
+    return held.read().select("uid", F.array_join("tags", "|").alias("tags"))

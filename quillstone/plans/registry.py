@@ -24,6 +24,11 @@ def query(sql: str | None = None):
     return add
 
 
+def sql_of(name: str) -> str:
+    """The SQL of a query that is registered already."""
+    return _sql[name]
+
+
 def _load() -> None:
     for m in MODULES:
         importlib.import_module(f"quillstone.plans.{m}")
