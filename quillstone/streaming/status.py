@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quillstone.sources.shared import exists
 
 #: Events may be so late; after that a window's result is final.
 LATENESS = "10 minutes"
@@ -25,11 +28,14 @@ def latest(events: DataFrame, key: str = "user_id") -> DataFrame:
 def run_available(stream: DataFrame, folder: str, checkpoint: str, mode: str = "update") -> DataFrame:
     """Process what is there and stop; each batch's rows are a folder of a table, written over if it is tried again. The checkpoint lets the next run go on.
 
-    Returns the table, with the number of the batch.
+    Returns the table, with the number of the batch; a stream that never had a batch gives no rows.
     """
 
     def write(rows: DataFrame, number: int) -> None:
         rows.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.read.parquet(folder)
+    spark = stream.sparkSession
+    if not exists(spark, folder):  # no batch yet
+        return spark.createDataFrame([], T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())]))
+    return spark.read.parquet(folder)
