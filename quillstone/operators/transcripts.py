@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import STAMP, TAG, line_seconds, merge_tables, seconds, stamp
@@ -37,14 +37,15 @@ def monotonic(rows: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("most_", F.max("sec").over(above)).where(F.col("sec").isNull() | F.col("most_").isNull() | (F.col("sec") >= F.col("most_"))).drop("most_")
 
 
-def offset(rows: DataFrame, by: int) -> DataFrame:
-    """Every mark of a line moved by so many seconds, not below zero; ranges stay ranges."""
+def offset(rows: DataFrame, by: int | Column) -> DataFrame:
+    """Every mark of a line moved by so many seconds, not below zero; ranges stay ranges. Lines that are moved by nothing stay as they are."""
+    by = F.lit(by) if isinstance(by, int) else by
     one = r"(\[(?:Audio|Sound|Video):\s*)(\d{1,2}:\d{2}(?::\d{2})?)(?:(\s*-\s*)(\d{1,2}:\d{2}(?::\d{2})?))?(\])"
     parts = [F.regexp_extract_all("line", F.lit(one), F.lit(k)) for k in range(1, 6)]
     moved = F.transform(F.arrays_zip(*(p.alias(f"p{k}") for k, p in enumerate(parts))), lambda m: F.concat(m["p0"], stamp(seconds(m["p1"]) + by), m["p2"], F.when(m["p3"] != "", stamp(seconds(m["p3"]) + by)).otherwise(""), m["p4"]))
     rest = F.split("line", STAMP)
     joined = F.array_join(F.flatten(F.zip_with(rest, F.concat(moved, F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
-    return rows.withColumn("line", joined).withColumn("sec", line_seconds(F.col("line")))
+    return rows.withColumn("line", F.when(by == 0, F.col("line")).otherwise(joined)).withColumn("sec", line_seconds(F.col("line")))
 
 
 def clamp(rows: DataFrame, duration: int) -> DataFrame:
@@ -87,3 +88,40 @@ def dedup_tags(rows: DataFrame, key: str) -> DataFrame:
     out = rows.withColumn("tag_", F.when(kind != "", F.concat(kind, F.lit(":"), value)))
     after = Window.partitionBy(key, "tag_").orderBy(F.col("at").desc())
     return out.withColumn("n_", F.row_number().over(after)).where(F.col("tag_").isNull() | (F.col("n_") == 1)).drop("tag_", "n_")
+
+
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def assembled_media(parts: DataFrame, key: str) -> DataFrame:
+    """key, text, length, dropped: a recording's converted parts as one text whose marks never go back.
+
+    parts: key, part (their order), text, and of the chunk that a part is from: by, the seconds at which it begins in
+    the recording, and overlap, the seconds that it shares with the chunk before. Marks become those of the recording;
+    lines of the shared seconds that the chunk before has told are cut off; parts are joined by blank lines, page tags
+    removed, and lines whose mark lies before one above are dropped, across parts and chunks. A null text is empty.
+    """
+    of = F.struct(F.col(key).alias("key"), "part").alias("of")
+    told = parts.select(of, F.coalesce("text", F.lit("")).alias("text"), F.col("by").cast("long").alias("by"), F.col("overlap").cast("long").alias("overlap"))
+    each = told.select("of", "by", "overlap", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    moved = offset(each, F.col("by"))
+    # the initial run of lines of the overlap
+    whole = Window.partitionBy("of")
+    early = (F.col("overlap") > 0) & (F.col("sec") < F.col("by") + F.col("overlap") - TOLERANCE)
+    first = F.min(F.when(F.col("sec").isNotNull() & ~early, F.col("at"))).over(whole)
+    moved = moved.withColumn("first_", first)
+    last = F.max(F.when(early & (F.col("first_").isNull() | (F.col("at") < F.col("first_"))), F.col("at"))).over(whole)
+    cut = moved.withColumn("last_", F.coalesce(last, F.lit(-1)))
+    held = cut.groupBy("of").agg(F.max("last_").alias("cut"), F.sort_array(F.collect_list(F.when(F.col("at") > F.col("last_"), F.struct("at", "line")))).alias("x"))
+    one = F.array_join(F.transform("x", lambda r: r["line"]), "\n")
+    texts = held.select("of.key", "of.part", F.when(F.col("cut") >= 0, trimmed(one)).otherwise(one).alias("text"))
+    joined = texts.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("part", "text"))).alias("x"))
+    whole_text = trimmed(F.regexp_replace(F.array_join(F.transform("x", lambda r: r["text"]), "\n\n"), TAG, ""))
+    rows = lines(joined.select("key", whole_text.alias("text")), "key", "text")
+    rows = rows.withColumn("most_", F.max("sec").over(Window.partitionBy("key").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)))
+    back = F.coalesce(F.col("sec") < F.col("most_"), F.lit(False))
+    done = rows.groupBy("key").agg(F.count_if(back).alias("dropped"), F.sort_array(F.collect_list(F.when(~back, F.struct("at", "line")))).alias("x"))
+    text = F.array_join(F.transform("x", lambda r: r["line"]), "\n")
+    out = done.select(F.col("key").alias(key), F.when(F.col("dropped") > 0, trimmed(text)).otherwise(text).alias("text"), "dropped")
+    return out.select(key, "text", F.length("text").cast("long").alias("length"), "dropped")
