@@ -12,12 +12,18 @@ IN_PROGRESS = ("UPDATING", "SWAPPING", "VALIDATING", "SYNCING")
 DONE = ("", "COMPLETED", "FAILED", "ROLLED_BACK", "ABORTED")
 
 
-def integrity(files: DataFrame, chunks: DataFrame, vectors: DataFrame, converted: DataFrame) -> DataFrame:
-    """uid, state, action. files: uid, kb_uid, process_status; the others: file_uid rows, each counted once before its join."""
-    out = files.withColumnRenamed("uid", "file_uid")
+def integrity(files: DataFrame, chunks: DataFrame, vectors: DataFrame, converted: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """uid, state, action. files: uid, kb_uid, process_status; the others: file_uid rows, each counted once before its join.
+
+    files are the live ones. asked: uids to tell of; one that no live file has is FILE_NOT_FOUND.
+    """
+    out = files.withColumnRenamed("uid", "file_uid").withColumn("there_", F.lit(True))
+    if asked is not None:
+        out = asked.select(F.col("uid").alias("file_uid")).distinct().join(out, "file_uid", "left")
     out = counted(counted(counted(out, chunks, ["file_uid"], "n_chunks"), vectors, ["file_uid"], "n_vectors", -1), converted, ["file_uid"], "n_converted")
     state = (
-        F.when(F.col("process_status") != "FILE_PROCESS_STATUS_COMPLETED", "NOT_COMPLETED")
+        F.when(F.col("there_").isNull(), "FILE_NOT_FOUND")
+        .when(F.col("process_status") != "FILE_PROCESS_STATUS_COMPLETED", "NOT_COMPLETED")
         .when(F.col("n_chunks") == 0, "EMPTY_PG")
         .when(F.col("kb_uid").isNull(), "FILE_NOT_FOUND")
         .when((F.col("n_vectors") < 0) | (F.col("n_vectors") != F.col("n_chunks")), "MISSING_MILVUS")

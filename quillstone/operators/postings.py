@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.operators.search import K1, TOP_K, B, ranked, tokens
+from quillstone.operators.search import K1, TOP_K, B, dense, fuse, ranked, tokens
 from quillstone.sources.shared import exists
 
 #: Rows of a range are 2 ** BLOCK_BITS; partitions of the postings.
@@ -36,6 +36,9 @@ def bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+_parts: dict[tuple, DataFrame | None] = {}
+
+
 @dataclass
 class SparseIndex:
     """The index in a folder. id_ and text name the collection's columns."""
@@ -45,18 +48,26 @@ class SparseIndex:
     id_: str = "uid"
     text: str = "text"
 
-    def segments(self) -> list[int]:
-        """Committed segments; one row of statistics each."""
+    def statistics(self) -> dict[int, tuple[int, int]]:
+        """Changes of the numbers of rows and of terms by committed segment, a row each."""
         if not exists(self.spark, f"{self.folder}/statistics"):
-            return []
-        return sorted(r[0] for r in self.spark.read.parquet(f"{self.folder}/statistics").select("segment").collect())
+            return {}
+        held = self.spark.read.schema("rows long, terms long, segment int").parquet(f"{self.folder}/statistics")
+        return {r["segment"]: (r["rows"], r["terms"]) for r in held.collect()}
+
+    def segments(self) -> list[int]:
+        """Committed segments."""
+        return sorted(self.statistics())
 
     def part(self, name: str, segments: list[int] | None = None) -> DataFrame | None:
-        """A part's rows of all committed segments; None if it has none."""
-        if not exists(self.spark, f"{self.folder}/{name}"):
-            return None
+        """A part's rows of the committed segments; None if it has none. What is committed doesn't change, so its plan is kept."""
         own = self.segments() if segments is None else segments
-        return self.spark.read.option("basePath", f"{self.folder}/{name}").parquet(f"{self.folder}/{name}").where(F.col("segment").isin(own))
+        at = (self.spark.sparkContext.applicationId, self.folder, name, tuple(own))
+        if at not in _parts:
+            root = f"{self.folder}/{name}"
+            paths = [p for n in own if exists(self.spark, p := f"{root}/segment={n}")]
+            _parts[at] = self.spark.read.option("basePath", root).parquet(*paths) if paths else None
+        return _parts[at]
 
     def add(self, rows: DataFrame, removed: DataFrame | None = None) -> int:
         """Write a segment of new rows, and of ids that are removed from all segments before it; returns its number.
@@ -88,10 +99,10 @@ class SparseIndex:
         total.agg(F.sum("rows").cast("long").alias("rows"), F.sum("terms").cast("long").alias("terms")).write.mode("overwrite").parquet(f"{self.folder}/statistics/{place}")
         return number
 
-    def _live(self, rows: DataFrame, id_: str) -> DataFrame:
+    def _live(self, rows: DataFrame, id_: str, segments: list[int] | None = None) -> DataFrame:
         """rows (segment and an id) without those that a later segment removed."""
         rows = rows.withColumn(id_, F.col(self.id_)) if id_ not in rows.columns else rows
-        removed = self.part("removed")
+        removed = self.part("removed", segments)
         if removed is None:
             return rows
         last = removed.groupBy(F.col("id_").alias("gone_")).agg(F.max("segment").alias("until_"))
@@ -107,10 +118,14 @@ class SparseIndex:
         out.add(self.live())
         return out
 
-    def postings_of(self, terms: list[str]) -> DataFrame:
-        """Blocks of these terms; both filters reach the scan: partitions by bucket, row groups by term."""
-        buckets = [r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "term string").select(bucket(F.col("term"))).distinct().collect()]
-        return self.part("postings").where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
+    def postings_of(self, terms: dict[str, int], segments: list[int] | None = None) -> DataFrame:
+        """Blocks of these terms (with their buckets); both filters reach the scan: partitions by bucket, row groups by term."""
+        return self.part("postings", segments).where(F.col("bucket").isin(sorted(set(terms.values()))) & F.col("term").isin(sorted(terms)))
+
+    def terms_of(self, question: str) -> dict[str, int]:
+        """A question's distinct terms and their buckets."""
+        asked = self.spark.range(1).select(F.explode(F.array_distinct(tokens(F.lit(question)))).alias("term"))
+        return {r[0]: r[1] for r in asked.select("term", bucket(F.col("term"))).collect()}
 
     def search(self, question: str, k: int = TOP_K, where: Column | None = None, prune: bool = True) -> DataFrame:
         """The k best rows for a question's distinct terms: id, score, segment, range. Statistics are the whole collection's, whatever the filter.
@@ -119,14 +134,15 @@ class SparseIndex:
         term; the probed ranges' names; the k-th of their scores.
         """
         none = self.spark.createDataFrame([], "id long, score double, segment int, range long").withColumnRenamed("id", self.id_)
-        terms = [r[0] for r in self.spark.range(1).select(F.explode(F.array_distinct(tokens(F.lit(question))))).collect()]
-        if not terms or not self.segments():
+        terms, statistics = self.terms_of(question), self.statistics()
+        if not terms or not statistics:
             return none
-        blocks = self.postings_of(terms)
-        n, length = self.part("statistics").agg(F.sum("rows"), F.sum("terms")).first()
+        own = sorted(statistics)
+        n, length = (sum(x) for x in zip(*statistics.values(), strict=True))
+        blocks = self.postings_of(terms, own)
         found = blocks.groupBy("term").agg(F.sum("n").alias("n"))
-        if (dropped := self.part("dropped")) is not None:
-            found = found.unionByName(dropped.where(F.col("term").isin(terms)).select("term", (-F.col("n")).alias("n")))
+        if (dropped := self.part("dropped", own)) is not None:
+            found = found.unionByName(dropped.where(F.col("bucket").isin(sorted(set(terms.values()))) & F.col("term").isin(sorted(terms))).select("term", (-F.col("n")).alias("n")))
         df = {t: c for t, c in found.groupBy("term").agg(F.sum("n")).collect() if c > 0}
         if not df:
             return none
@@ -136,9 +152,9 @@ class SparseIndex:
 
         def scored(blocks: DataFrame, ranges: list[int] | None) -> DataFrame:
             each = blocks.select("segment", "range", "term", "idf", F.inline("held")).select("segment", "range", "term", F.col("id").alias("id_"), weight(F.col("tf"), F.col("dl")).alias("share"))
-            each = self._live(each, "id_")
+            each = self._live(each, "id_", own)
             if where is not None:
-                held = self.part("documents").where(where)
+                held = self.part("documents", own).where(where)
                 held = held if ranges is None else held.where(F.col("range").isin(ranges))
                 each = each.join(held.select("segment", "range", F.col(self.id_).alias("id_")), ["segment", "range", "id_"], "left_semi")
             shares = each.groupBy("segment", "range", "id_").agg(F.sort_array(F.collect_list(F.struct("term", "share"))).alias("shares"))
@@ -157,6 +173,14 @@ class SparseIndex:
                 blocks = blocks.join(enough, ["segment", "range"], "left_semi")
         return ranked(scored(blocks, None), k, self.id_)
 
+    def hybrid(self, vector: list[float], question: str | None, k: int = TOP_K, where: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+        """id, columns to keep and score: a dense leg over the collection's vectors and a sparse one from the postings, k rows each, fused; dense alone if nothing is asked."""
+        near = dense(self._live(self.part("documents"), "id_"), vector, k, where, self.id_).select(self.id_, *keep, "score")
+        if not question:
+            return near
+        said = self.rows_of(self.search(question, k, where), *keep).select(self.id_, *keep, "score")
+        return fuse([near, said], k, self.id_, keep)
+
     def rows_of(self, hits: DataFrame, *columns: str) -> DataFrame:
         """Hits (at most k rows) with columns of the collection, read from the hits' ranges only."""
         found = [tuple(r) for r in hits.select(self.id_, "score", "segment", "range").collect()]

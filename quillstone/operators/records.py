@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.operators.catalog import first_by
+from quillstone.functions.text import short_id, slug
 from quillstone.operators.merges import add_to_counter, truncate_bytes, upsert
 
 #: Prefixes of tags that users can't give, and of those that name a collection.
@@ -53,11 +54,41 @@ def delete_file(files: DataFrame, links: DataFrame, kbs: DataFrame, uid: str, no
     return files.withColumn("delete_time", gone), add_to_counter(kbs, less, "uid", "usage", "size")
 
 
+def backfilled(files: DataFrame) -> DataFrame:
+    """file_type without the prefix that it once had, and slug, where it is null or empty, from the name."""
+    missing = F.coalesce("slug", F.lit("")) == ""
+    return files.withColumn("file_type", F.regexp_replace("file_type", "^FILE_(TYPE_)", "$1")).withColumn("slug", F.when(missing, slug(F.col("display_name"))).otherwise(F.col("slug")))
+
+
+def active_collections(kbs: DataFrame) -> DataFrame:
+    """uid, collection: the collection that a base's vectors are in; one that isn't set, or is the nil uid, is the base's own."""
+    set_ = F.nullif(F.nullif(F.col("active_collection_uid"), F.lit("")), F.lit("00000000-0000-0000-0000-000000000000"))
+    return kbs.select("uid", F.coalesce(set_, "uid").alias("collection"))
+
+
+def delete_with_twins(files: DataFrame, links: DataFrame, targets: DataFrame, uids: list[str], now: Column) -> DataFrame:
+    """files with those of the uids deleted softly, and in each base's other copy (targets: uid, target) the live files of the same name."""
+    gone = files.where(F.col("uid").isin(*uids) & F.col("delete_time").isNull()).select(F.col("uid").alias("file_uid"), "display_name")
+    sides = links.join(gone, "file_uid").join(targets.where("target is not null").select(F.col("uid").alias("kb_uid"), "target"), "kb_uid").select(F.col("target").alias("kb_uid"), "display_name")
+    twins = links.join(sides, "kb_uid").join(files.where("delete_time is null").select(F.col("uid").alias("file_uid"), F.col("display_name").alias("name")), "file_uid").where("name = display_name").select("file_uid")
+    all_ = gone.select("file_uid").unionByName(twins).distinct().withColumn("hit_", F.lit(True))
+    out = files.join(all_, F.col("uid") == F.col("file_uid"), "left")
+    return out.withColumn("delete_time", F.when(F.col("hit_"), F.coalesce("delete_time", now)).otherwise(F.col("delete_time"))).select(*files.columns)
+
+
 def with_field(json: Column, name: str, value: Column) -> Column:
-    """A JSON object's text with a string field set; null counts as the empty object."""
-    held = F.from_json(F.coalesce(json, F.lit("{}")), "map<string,string>")
-    rest = F.map_filter(held, lambda k, _: k != name)
-    return F.to_json(F.map_concat(rest, F.map_from_arrays(F.array(F.lit(name)), F.array(value))))
+    """A JSON object's text with a string field set, all other values as they are; null counts as the empty object.
+
+    To an array the object is appended, a plain value becomes the first of an array; text that is no JSON stays.
+    """
+    text = F.coalesce(json, F.lit("{}"))
+    parsed = F.try_parse_json(text)
+    of = lambda start: F.startswith(F.schema_of_variant(parsed), F.lit(start))
+    field = F.map_from_arrays(F.array(F.lit(name)), F.array(F.variant_get(F.parse_json(F.to_json(F.struct(value.alias("v")))), "$.v", "variant")))
+    merged = F.to_json(F.map_concat(F.map_filter(F.from_json(text, "map<string,variant>"), lambda k, _: k != name), field))
+    many = F.when(of("ARRAY"), F.from_json(text, "array<variant>")).otherwise(F.array(parsed))
+    appended = F.to_json(F.concat(many, F.array(F.parse_json(F.to_json(field)))))
+    return F.when(parsed.isNull(), text).when(of("OBJECT"), merged).otherwise(appended)
 
 
 def begin_processing(files: DataFrame, uids: DataFrame, requester: str) -> DataFrame:
@@ -183,6 +214,60 @@ def default_system(systems: DataFrame) -> DataFrame:
     return ranked.where("rank_ is not null").orderBy("rank_", "uid").limit(1).drop("rank_")
 
 
+#: What a system without a configuration of its own embeds with.
+MODEL_FAMILY, DIMENSIONS, FALLBACK = "openai", 1536, "openai"
+
+
+def configured(systems: DataFrame) -> DataFrame:
+    """systems and model_family and dimensionality of their config (JSON); without config.rag.embedding the fixed ones.
+
+    In an embedding that is there a family that is no text is empty, and a dimensionality that is no number is 0.
+    """
+    config = F.try_parse_json("config")
+    at = lambda path: F.try_variant_get(config, path, "variant")
+    kind = lambda path: F.coalesce(F.schema_of_variant(at(path)), F.lit(""))
+    there = F.startswith(kind("$.rag.embedding"), F.lit("OBJECT"))
+    family = F.when(kind("$.rag.embedding.model_family") == "STRING", F.try_variant_get(config, "$.rag.embedding.model_family", "string")).otherwise("")
+    size = F.when(kind("$.rag.embedding.dimensionality").rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.try_variant_get(config, "$.rag.embedding.dimensionality", "double").cast("long")).otherwise(0)
+    return systems.withColumn("model_family", F.when(there, family).otherwise(MODEL_FAMILY)).withColumn("dimensionality", F.when(there, size).otherwise(DIMENSIONS).cast("long"))
+
+
+def configs_of(asked: DataFrame, systems: DataFrame) -> DataFrame:
+    """asked (system_id), with model_family and dimensionality: of the live system of that id, else of the fallback's slug, else the fixed ones."""
+    own = configured(systems.where("delete_time is null"))
+    fallback = own.where(F.col("slug") == FALLBACK).orderBy("uid").limit(1).agg(F.first("model_family").alias("f_"), F.first("dimensionality").alias("d_"))  # one row
+    by_id = own.groupBy(F.col("id").alias("system_id")).agg(F.min_by(F.struct("model_family", "dimensionality"), "uid").alias("own_"))
+    out = asked.join(by_id, "system_id", "left").crossJoin(F.broadcast(fallback))
+    pick = lambda c, f, fixed: F.coalesce(F.when(F.col("own_").isNotNull(), F.col(f"own_.{c}")).otherwise(F.col(f)), F.lit(fixed)).alias(c)
+    return out.select(*asked.columns, pick("model_family", "f_", MODEL_FAMILY), pick("dimensionality", "d_", DIMENSIONS))
+
+
+def create_systems(systems: DataFrame, new: DataFrame, now: Column) -> DataFrame:
+    """systems with new ones (uid, display_name, config, description): none is the default, id and slug come from uid and name."""
+    made = new.select("uid", short_id("sys", F.col("uid")).alias("id"), slug(F.col("display_name")).alias("slug"), "display_name", "config", "description", F.lit(False).alias("is_default"), now.alias("create_time"), now.alias("update_time"), F.lit(None).cast("timestamp").alias("delete_time"))
+    return systems.unionByName(made.select(*systems.columns))
+
+
+def update_systems(systems: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
+    """Columns of changes (id and some others) that are not null replace those of the live system of that id; an id that isn't there is an error."""
+    live = systems.where("delete_time is null")
+    if not (bad := changes.join(live.select("id"), "id", "left_anti")).isEmpty():
+        raise ValueError(f"no system {bad.first()['id']}")
+    fields = [c for c in changes.columns if c != "id"]
+    told = changes.select(F.col("id").alias("id_"), *(F.col(c).alias(f"{c}_") for c in fields), F.lit(True).alias("hit_"))
+    out = systems.join(told, (F.col("id") == F.col("id_")) & F.col("delete_time").isNull(), "left")
+    return out.withColumns({c: F.coalesce(f"{c}_", c) for c in fields}).withColumn("update_time", F.when(F.col("hit_"), now).otherwise(F.col("update_time"))).select(*systems.columns)
+
+
+def rename_system(systems: DataFrame, id_: str, name: str) -> DataFrame:
+    """The name of one system and the slug that is made of it; protected systems keep theirs, with an error."""
+    if not systems.where((F.col("id") == id_) & F.col("slug").isin(*PROTECTED)).isEmpty():
+        raise ValueError(f"{id_} is protected")
+    hit = F.col("id") == id_
+    made = F.regexp_replace(F.replace(F.lower(F.lit(name)), F.lit(" "), F.lit("-")), "[^a-z0-9-]", "")
+    return systems.withColumn("display_name", F.when(hit, name).otherwise(F.col("display_name"))).withColumn("slug", F.when(hit, made).otherwise(F.col("slug")))
+
+
 def drop_system(systems: DataFrame, slug: str, now: Column) -> DataFrame:
     """Softly; protected systems and the default one stay, with an error."""
     if slug in PROTECTED:

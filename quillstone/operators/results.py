@@ -19,7 +19,7 @@ def real(uids: list[str]) -> list[str]:
     return [u for u in uids if u and u != NIL]
 
 
-def hit_filter(index: DataFrame, file_uids: list[str] = (), file_type: str | None = None, content_type: str | None = None, tags: list[str] = (), file_names: list[str] = ()) -> Column:
+def hit_filter(index: DataFrame, file_uids: list[str] = (), file_type: str | None = None, content_type: str | None = None, chunk: str | None = None, tags: list[str] = (), file_names: list[str] = ()) -> Column:
     """All that is given holds. An index without file_uid is filtered by the files' names instead."""
     parts = []
     if wanted := real(file_uids):
@@ -28,6 +28,8 @@ def hit_filter(index: DataFrame, file_uids: list[str] = (), file_type: str | Non
         parts.append(F.col("file_type") == file_type)
     if content_type:
         parts.append(F.col("content_type") == content_type)
+    if chunk:
+        parts.append(F.col("chunk_type") == chunk)
     if tags:
         parts.append(F.coalesce(F.arrays_overlap("tags", F.array(*map(F.lit, tags))), F.lit(False)))
     out = F.lit(True)
@@ -46,9 +48,31 @@ def known_files(files: DataFrame, ids: list[str]) -> list[str]:
     return found
 
 
+#: Kinds of chunks that a search can be narrowed to.
+CHUNK_TYPES = ("TYPE_CONTENT", "TYPE_SUMMARY", "TYPE_AUGMENTED")
+UNSPECIFIED = ("", "TYPE_UNSPECIFIED", "FILE_MEDIA_TYPE_UNSPECIFIED")
+
+
+class Unsupported(ValueError):
+    pass
+
+
 def media_type(media: str | None) -> str | None:
-    """The content type that a kind of media is searched by; None for any."""
-    return {"TYPE_DOCUMENT": "document", "TYPE_IMAGE": "image", "TYPE_AUDIO": "audio", "TYPE_VIDEO": "video"}.get(media or "")
+    """The content type that a search is narrowed to: documents or, unspecified, any; all other media are errors."""
+    if (media or "") in UNSPECIFIED:
+        return None
+    if media in ("TYPE_DOCUMENT", "FILE_MEDIA_TYPE_DOCUMENT"):
+        return "document"
+    raise Unsupported(f"unsupported file type: {media}")
+
+
+def chunk_type(kind: str | None) -> str | None:
+    """The kind of chunks that a search is narrowed to; unspecified: any; all other kinds are errors."""
+    if (kind or "") in UNSPECIFIED:
+        return None
+    if kind in CHUNK_TYPES:
+        return kind
+    raise Unsupported(f"unsupported chunk type: {kind}")
 
 
 def hydrated(hits: DataFrame, chunks: DataFrame, files: DataFrame, blobs: DataFrame, namespace: str, kb: str) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.operators.postings import SparseIndex
+from quillstone.sources.shared import once
+
 STATUSES = ("FILE_PROCESS_STATUS_NOTSTARTED", "FILE_PROCESS_STATUS_PROCESSING", "FILE_PROCESS_STATUS_COMPLETED", "FILE_PROCESS_STATUS_FAILED")
 
 
@@ -128,6 +131,11 @@ def vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(d, "uid")
 
 
+def sparse_index(spark: SparkSession, sf_dir: str) -> SparseIndex:
+    """The collection with stored postings, made at the first call of an application."""
+    return SparseIndex(spark, once(spark, "postings", sf_dir, lambda folder: SparseIndex(spark, folder).add(vector_index(spark, sf_dir))))
+
+
 INDEX = """idx AS (
   SELECT e.vec_id AS uid, e.embedding::DOUBLE[] AS embedding, 'group-' || e.label AS file_uid, d.text, [d.lang, d.source] AS tags
   FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id

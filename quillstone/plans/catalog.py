@@ -12,9 +12,9 @@ from quillstone.plans.filters import Clause, Filter, permitted
 from quillstone.plans.registry import query
 from quillstone.plans.search import TRI, word_similarity_sql
 
-#: What a listing of files may be filtered by.
+#: What a listing of files may be filtered by, besides q.
 LIST_FILTER = Filter({"uid": "string", "id": "string", "process_status": "string", "tags": "array"})
-#: All of a file's columns, for the filter language itself.
+#: All of a file's columns, for the queries of the filter language itself; a listing takes LIST_FILTER.
 FILE_FILTER = Filter({"uid": "string", "id": "string", "display_name": "string", "process_status": "string", "tags": "array", "size": "number", "update_time": "time", "usage_metadata": "json", "kb_uid": "string", "visibility": "string"})
 
 

@@ -8,7 +8,7 @@ from quillstone.operators import search as S
 from quillstone.operators.cells import CellIndex, dense_many
 from quillstone.operators.fuzzy import TrigramIndex
 from quillstone.operators.postings import SparseIndex
-from quillstone.plans.adapters import INDEX, files, live, table, vector_index
+from quillstone.plans.adapters import INDEX, files, live, sparse_index, table, vector_index
 from quillstone.plans.catalog import FILE_FILTER
 from quillstone.plans.filters import ID_LIKE, WORD_LIKE
 from quillstone.plans.records import VECTORS, vectors
@@ -18,10 +18,6 @@ from quillstone.sources.keyed import KeyedTable
 from quillstone.sources.shared import fresh, once
 
 
-def sparse_index(spark, sf_dir) -> SparseIndex:
-    return SparseIndex(spark, once(spark, "postings", sf_dir, lambda folder: SparseIndex(spark, folder).add(vector_index(spark, sf_dir))))
-
-
 def cell_index(spark, sf_dir) -> CellIndex:
     return CellIndex(spark, once(spark, "cells", sf_dir, lambda folder: CellIndex(spark, folder).build(vector_index(spark, sf_dir).drop("text"), 20)))
 

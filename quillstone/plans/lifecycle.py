@@ -35,6 +35,16 @@ def integrity_probe(spark, sf_dir):
     return L.integrity(*sides(spark, sf_dir))
 
 
+ASKED = "asked AS (SELECT 'f-' || lpad((doc_id * 2)::VARCHAR, 8, '0') AS uid FROM documents)"
+
+
+@query(f"WITH {SIDES}, {ASKED} SELECT a.uid, CASE WHEN s.uid IS NULL THEN 'FILE_NOT_FOUND' ELSE state END AS state, CASE WHEN s.uid IS NULL OR state = 'FILE_NOT_FOUND' THEN 'SKIP' WHEN state = 'HEALTHY' THEN 'NONE' WHEN state = 'NOT_COMPLETED' THEN 'DEFER' ELSE 'REPROCESS' END AS action FROM asked a LEFT JOIN state s USING (uid)")
+def integrity_of_asked(spark, sf_dir):
+    """Every second file and as many uids that no file has; deleted files aren't found either."""
+    asked = table(spark, sf_dir, "documents").select(F.concat(F.lit("f-"), F.lpad((F.col("doc_id") * 2).cast("string"), 8, "0")).alias("uid"))
+    return L.integrity(*sides(spark, sf_dir), asked).select("uid", "state", "action")
+
+
 @query(f"WITH {SIDES} SELECT uid FROM state WHERE state = 'MISSING_MILVUS' AND n_chunks > 0 AND n_conv > 0")
 def embed_only_path(spark, sf_dir):
     return L.integrity(*sides(spark, sf_dir)).where(L.embed_only()).select("uid")

@@ -64,10 +64,10 @@ def locate_by_keywords(spark, sf_dir):
     return found.select("doc_id", F.array_join(F.transform("f", lambda i: i.cast("string")), ",").alias("found"), P.whole_document(F.col("f"), F.col("s")).alias("whole"))
 
 
-@query(f"WITH {TAGGED} SELECT doc_id, count(*) FILTER (i <= 40) AS n, md5(string_agg(line, chr(10) ORDER BY i) FILTER (i <= 40)) AS lines FROM t WHERE line <> '' GROUP BY 1 HAVING count(*) FILTER (i <= 40) > 0")
+@query(f"WITH {TAGGED} SELECT doc_id, count(*) AS n, md5(string_agg(line, chr(10) ORDER BY i)) AS lines FROM t WHERE line <> '' GROUP BY 1")
 def assemble_pages(spark, sf_dir):
-    """Batches of a text's first 40 pages, put together again and parsed; the pages are the lines."""
-    shown = F.slice(F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda r: (r["x"] != "") & (r["i"] < 40)), 1, 40)
+    """Batches of a text's pages, put together again and parsed; the pages are the lines."""
+    shown = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda r: r["x"] != "")
     parts = F.transform(shown, lambda r: F.concat(F.lit("[Page: "), (r["i"] + 1).cast("string"), F.lit("]\n"), r["x"]))
     rows = documents(spark, sf_dir).select("doc_id", parts.alias("parts")).where(F.size("parts") > 0)
     whole = R.assembled(rows, "doc_id", "parts")

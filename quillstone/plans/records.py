@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillstone.operators import catalog as C
+from quillstone.operators import merges as M
 from quillstone.operators import records as R
 from quillstone.plans.adapters import CHUNKS, FILES, KBS, LINKS, chunks, entities, entity_files, files, knowledge_bases, live, table
 from quillstone.plans.registry import query
@@ -67,13 +68,95 @@ def delete_file_and_usage(spark, sf_dir):
     return kbs.crossJoin(f.agg(F.count("delete_time").alias("deleted"))).select("uid", "usage", "deleted")
 
 
-@query(f"WITH {FILES} SELECT uid, CASE WHEN doc_id % 7 = 3 THEN 'FILE_PROCESS_STATUS_PROCESSING' ELSE process_status END AS process_status, CASE WHEN doc_id % 7 = 3 THEN 'me' ELSE 'nobody' END AS requester_uid, CASE WHEN doc_id % 7 = 3 THEN '' WHEN doc_id % 2 = 0 THEN 'failed' END AS message, CASE WHEN doc_id % 2 = 0 THEN doc_id::VARCHAR END AS pages FROM files")
+META = """meta AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN '{"status_message":"failed","pages":' || doc_id || ',"by":{"ok":true,"steps":[1,"two",null]},"ratio":0.5}' WHEN 1 THEN '{"other":"' || doc_id || '"}' WHEN 2 THEN '[' || doc_id || ']' END AS held FROM files),
+stamped AS (SELECT *, CASE WHEN doc_id % 3 <> 0 THEN held WHEN json_type(held) = 'ARRAY' THEN substr(held, 1, length(held) - 1) || ',{"status_message":""}]' ELSE json_merge_patch(coalesce(held, '{}'), '{"status_message":""}') END AS new FROM meta)"""
+
+
+@query(f"""WITH {FILES}, {META} SELECT uid, CASE WHEN doc_id % 3 = 0 THEN 'FILE_PROCESS_STATUS_PROCESSING' ELSE process_status END AS process_status, CASE WHEN doc_id % 3 = 0 THEN 'me' ELSE 'nobody' END AS requester_uid,
+  new ->> '$.status_message' AS message, new -> '$.pages' AS pages, new -> '$.by' AS by_, new -> '$.ratio' AS ratio, new ->> '$.other' AS other, CASE WHEN json_type(new) = 'ARRAY' THEN new END AS list FROM stamped""")
 def status_stamp(spark, sf_dir):
-    """Files that begin to be processed: status, requester, and the message in their metadata; what else is there stays."""
-    f = files(spark, sf_dir).select("uid", "process_status", F.lit("nobody").alias("requester_uid"), F.when(F.col("doc_id") % 2 == 0, F.format_string('{"status_message":"failed","pages":"%d"}', "doc_id")).alias("extra_meta_data"), "doc_id")
-    out = R.begin_processing(f, f.where("doc_id % 7 = 3"), "me")
-    part = lambda name: F.get_json_object("extra_meta_data", f"$.{name}").alias("message" if name == "status_message" else name)
-    return out.select("uid", "process_status", "requester_uid", part("status_message"), part("pages"))
+    """Files that begin to be processed: status, requester, and the message in their metadata; numbers, lists and objects there stay what they are."""
+    held = (
+        F.when(F.col("doc_id") % 4 == 0, F.format_string('{"status_message":"failed","pages":%d,"by":{"ok":true,"steps":[1,"two",null]},"ratio":0.5}', "doc_id"))
+        .when(F.col("doc_id") % 4 == 1, F.format_string('{"other":"%d"}', "doc_id"))
+        .when(F.col("doc_id") % 4 == 2, F.format_string("[%d]", "doc_id"))
+    )
+    f = files(spark, sf_dir).select("uid", "process_status", F.lit("nobody").alias("requester_uid"), held.alias("extra_meta_data"), "doc_id")
+    out = R.begin_processing(f, f.where("doc_id % 3 = 0"), "me")
+    part = lambda name, of: F.get_json_object("extra_meta_data", f"$.{of}").alias(name)
+    return out.select("uid", "process_status", "requester_uid", part("message", "status_message"), part("pages", "pages"), part("by_", "by"), part("ratio", "ratio"), part("other", "other"), F.when(F.col("extra_meta_data").startswith("["), F.col("extra_meta_data")).alias("list"))
+
+
+#: Parts as systems: with a whole configuration, with parts of one, and with none.
+CONFIGS = """sysc AS (SELECT 'u-' || p_partkey AS uid, 'id-' || p_partkey AS id, CASE WHEN p_partkey = 5 THEN 'openai' ELSE 'slug-' || p_partkey END AS slug, p_partkey % 11 = 7 AS gone, p_partkey % 6 AS k, p_partkey FROM part),
+conf AS (SELECT *, CASE k WHEN 0 THEN 'gemini' WHEN 1 THEN 'fam-' || p_partkey WHEN 2 THEN '' ELSE 'openai' END AS model_family, CASE k WHEN 0 THEN 3072 WHEN 1 THEN 0 WHEN 2 THEN 768 ELSE 1536 END AS dimensionality FROM sysc WHERE NOT gone)"""
+
+
+def systems_with_config(spark, sf_dir):
+    n = F.col("p_partkey")
+    config = (
+        F.when(n % 6 == 0, F.lit('{"rag":{"embedding":{"model_family":"gemini","dimensionality":3072}}}'))
+        .when(n % 6 == 1, F.format_string('{"rag":{"embedding":{"model_family":"fam-%d","dimensionality":"many"}}}', n))
+        .when(n % 6 == 2, F.lit('{"rag":{"embedding":{"model_family":7,"dimensionality":768}}}'))
+        .when(n % 6 == 3, F.lit('{"rag":{"embedding":[]}}'))
+        .when(n % 6 == 4, F.lit('{"rag":3}'))
+    )
+    return table(spark, sf_dir, "part").select(
+        F.concat(F.lit("u-"), n.cast("string")).alias("uid"), F.concat(F.lit("id-"), n.cast("string")).alias("id"), F.when(n == 5, "openai").otherwise(F.concat(F.lit("slug-"), n.cast("string"))).alias("slug"), F.col("p_name").alias("display_name"),
+        config.alias("config"), F.lit("old").alias("description"), F.lit(False).alias("is_default"), F.lit(None).cast("timestamp").alias("create_time"), F.lit(None).cast("timestamp").alias("update_time"), F.when(n % 11 == 7, now()).alias("delete_time"), n.alias("n"),
+    )
+
+
+@query(f"WITH {CONFIGS} SELECT l_orderkey, l_linenumber, coalesce(c.model_family, f.model_family, 'openai') AS model_family, coalesce(c.dimensionality, f.dimensionality, 1536)::BIGINT AS dimensionality FROM lineitem LEFT JOIN conf c ON c.id = 'id-' || CASE WHEN l_linenumber = 7 THEN -l_partkey ELSE l_partkey END LEFT JOIN (SELECT * FROM conf WHERE slug = 'openai') f ON true")
+def system_configs(spark, sf_dir):
+    """What each line's system embeds with: its own configuration, that of the fallback, or the fixed one."""
+    number = F.when(F.col("l_linenumber") == 7, -F.col("l_partkey")).otherwise(F.col("l_partkey"))
+    asked = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("id-"), number.cast("string")).alias("system_id"))
+    return R.configs_of(asked, systems_with_config(spark, sf_dir)).select("l_orderkey", "l_linenumber", "model_family", "dimensionality")
+
+
+@query(f"""WITH {CONFIGS} SELECT uid, id, CASE WHEN NOT gone AND p_partkey % 4 = 0 THEN 'new text' ELSE 'old' END AS description, CASE WHEN p_partkey = 9 THEN 'my-system-2' ELSE slug END AS slug, CASE WHEN NOT gone AND p_partkey % 4 = 0 THEN TIMESTAMP '{NOW}' END AS update_time FROM sysc
+UNION ALL SELECT 'c-' || s_suppkey, 'sys-' || substr(sha256('c-' || s_suppkey), 1, 8), lower(regexp_replace(s_name, '[^a-zA-Z0-9-]', '', 'g')), lower(regexp_replace(regexp_replace(regexp_replace(s_name, '[^a-zA-Z0-9\\s-]', '', 'g'), '\\s+', '-', 'g'), '-+', '-', 'g')), TIMESTAMP '{NOW}' FROM supplier""")
+def system_changes(spark, sf_dir):
+    """Systems whose descriptions change, one that is renamed, and new ones, named by suppliers."""
+    held = systems_with_config(spark, sf_dir)
+    changes = held.where("n % 4 = 0 and delete_time is null").select("id", F.lit("new text").alias("description"), F.lit(None).cast("string").alias("config"))
+    made = table(spark, sf_dir, "supplier").select(F.concat(F.lit("c-"), F.col("s_suppkey").cast("string")).alias("uid"), F.col("s_name").alias("display_name"), F.lit("{}").alias("config"), F.lower(F.regexp_replace("s_name", "[^a-zA-Z0-9-]", "")).alias("description"))
+    out = R.update_systems(held.drop("n"), changes, now())
+    return R.create_systems(R.rename_system(out, "id-9", "My System (2)"), made, now()).select("uid", "id", "description", "slug", "update_time")
+
+
+@query(f"WITH {KBS} SELECT uid, CASE WHEN usage % 30 = 0 THEN uid WHEN usage % 30 = 10 THEN uid ELSE 'col-' || usage END AS collection FROM kbs")
+def active_collection(spark, sf_dir):
+    """Bases with a collection of their own, with the nil one, and with none."""
+    set_ = F.when(F.col("usage") % 30 == 0, "00000000-0000-0000-0000-000000000000").when(F.col("usage") % 30 != 10, F.concat(F.lit("col-"), F.col("usage").cast("string")))
+    return R.active_collections(knowledge_bases(spark, sf_dir).withColumn("active_collection_uid", set_))
+
+
+@query("WITH new AS (SELECT l_partkey AS entity_uid, l_orderkey + l_linenumber % 3 AS file_uid FROM lineitem) SELECT entity_uid, file_uid FROM (SELECT DISTINCT l_partkey AS entity_uid, l_orderkey AS file_uid FROM lineitem UNION SELECT * FROM new)")
+def link_entities_once(spark, sf_dir):
+    """Links of entities to files, some of which are there already and some of which come twice."""
+    new = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("entity_uid"), (F.col("l_orderkey") + F.col("l_linenumber") % 3).alias("file_uid"))
+    return M.insert_ignore(entity_files(spark, sf_dir), new, ["entity_uid", "file_uid"], [F.col("entity_uid")])
+
+
+@query(f"WITH {FILES} SELECT uid, CASE WHEN doc_id % 3 = 0 THEN 'TYPE_PDF' WHEN doc_id % 3 = 1 THEN 'TYPE_TEXT' ELSE 'FILE_X' END AS file_type, CASE WHEN doc_id % 2 = 0 THEN 'kept' ELSE lang || '-report-' || doc_id END AS slug FROM files JOIN (SELECT doc_id, lang FROM documents) USING (doc_id)")
+def migration_backfills(spark, sf_dir):
+    """Names of types without the table's prefix, and slugs of names where there are none."""
+    i = F.col("doc_id")
+    held = files(spark, sf_dir).select("uid", F.replace("display_name", F.lit(" "), F.lit("  ")).alias("display_name"), F.when(i % 3 == 0, "FILE_TYPE_PDF").when(i % 3 == 1, "TYPE_TEXT").otherwise("FILE_X").alias("file_type"), F.when(i % 2 == 0, "kept").when(i % 4 == 1, "").alias("slug"))
+    return R.backfilled(held).select("uid", "file_type", "slug")
+
+
+@query(f"""WITH {FILES}, l AS (SELECT uid, display_name, CASE WHEN doc_id % 2 = 0 THEN 'a' ELSE 'b' END AS kb, doc_id FROM (SELECT uid, delete_time, doc_id, 'name ' || (doc_id // 2) AS display_name FROM files))
+SELECT f.uid, f.delete_time IS NOT NULL OR f.doc_id IN (10, 30, 11, 31) AS deleted FROM files f""")
+def delete_with_twin(spark, sf_dir):
+    """Files of base a and, by their names, those of base b, which takes part in a's changes."""
+    i = F.col("doc_id")
+    f = files(spark, sf_dir).withColumn("display_name", F.concat(F.lit("name "), F.floor(i / 2).cast("string")))
+    links = f.select(F.col("uid").alias("file_uid"), F.when(i % 2 == 0, "a").otherwise("b").alias("kb_uid"))
+    targets = spark.createDataFrame([("a", "b"), ("b", None)], "uid string, target string")
+    return R.delete_with_twins(f, links, targets, ["f-00000010", "f-00000030"], now()).select("uid", F.col("delete_time").isNotNull().alias("deleted"))
 
 
 @query(f"WITH {CHUNKS} SELECT uid, CASE WHEN uid = 'c-3-0' THEN false ELSE retrievable END AS retrievable FROM chunks")

@@ -41,7 +41,7 @@ def search_results(spark, sf_dir):
 @query(f"WITH {VECTORS} SELECT uid FROM vec WHERE file_uid IN ('f-00000003', 'f-00000006', 'f-00000012') AND file_type = 'TYPE_PDF' AND content_type = 'document' AND tags IN ('label-0', 'label-1', 'label-2', 'label-3')")
 def vector_scalar_filter(spark, sf_dir):
     index = vectors(spark, sf_dir)
-    where = V.hit_filter(index, ["f-00000003", "f-00000006", "f-00000012", V.NIL], "TYPE_PDF", V.media_type("TYPE_DOCUMENT"), ["label-0", "label-1", "label-2", "label-3"])
+    where = V.hit_filter(index, ["f-00000003", "f-00000006", "f-00000012", V.NIL], "TYPE_PDF", V.media_type("TYPE_DOCUMENT"), tags=["label-0", "label-1", "label-2", "label-3"])
     return index.where(where).select("uid")
 
 
@@ -58,6 +58,13 @@ def nil_uids_are_no_filter(spark, sf_dir):
     return index.where(V.hit_filter(index, [V.NIL, V.NIL], content_type="image")).select("uid")
 
 
+@query(f"WITH {CHUNKS} SELECT uid, kb_uid FROM chunks WHERE chunk_type = 'TYPE_SUMMARY' AND file_uid IN ('f-00000003', 'f-00000006', 'f-00000010')")
+def chunk_type_filter(spark, sf_dir):
+    index = chunks(spark, sf_dir)
+    where = V.hit_filter(index, ["f-00000003", "f-00000006", "f-00000010"], content_type=V.media_type("TYPE_UNSPECIFIED"), chunk=V.chunk_type("TYPE_SUMMARY"))
+    return index.where(where).select("uid", "kb_uid")
+
+
 @query(f"WITH {FILES}, {VECTORS} SELECT v.uid FROM vec v JOIN files f ON f.uid = v.file_uid WHERE f.doc_id IN (1, 2)")
 def search_known_files(spark, sf_dir):
     """Ids of files, one of which isn't known: the search is narrowed to the others."""

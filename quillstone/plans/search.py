@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import trigram
 from quillstone.operators import search as S
-from quillstone.plans.adapters import INDEX, KBS, LINKS, entities, entity_files, knowledge_bases, table, vector_index
+from quillstone.plans.adapters import INDEX, KBS, LINKS, entities, entity_files, knowledge_bases, sparse_index, table, vector_index
 from quillstone.plans.registry import query
 
 
@@ -37,7 +37,7 @@ fused AS (SELECT uid, round(sum(1.0::DOUBLE / (60 + r)), 6) AS score FROM rk GRO
 
 @query(f"WITH {INDEX}, {TERMS}, {legs(20, chr(39) + 'en' + chr(39) + ' = ANY(tags)')} SELECT uid, f.score, file_uid FROM fused f JOIN idx USING (uid)")
 def hybrid_search_rrf(spark, sf_dir):
-    return S.hybrid(vector_index(spark, sf_dir), vector(spark, sf_dir), question(spark, sf_dir), 20, F.array_contains("tags", "en"), keep=("file_uid",)).select("uid", "score", "file_uid")
+    return sparse_index(spark, sf_dir).hybrid(vector(spark, sf_dir), question(spark, sf_dir), 20, F.array_contains("tags", "en"), ("file_uid",)).select("uid", "score", "file_uid")
 
 
 @query(f"WITH {INDEX} SELECT uid, {COS} AS score FROM idx ORDER BY score DESC, uid LIMIT 20")

@@ -184,10 +184,10 @@ def error_classes(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.error_class(message).alias("kind"), X.standardisation_timeout(F.col("n_chars") * 1000).alias("seconds"))
 
 
-@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'TYPE_WEBM_VIDEO' WHEN 1 THEN CASE WHEN regexp_matches(substr(html, 1, 2000), 'V_(VP8|VP9|AV1|MPEG4)') THEN 'TYPE_WEBM_VIDEO' ELSE 'TYPE_WEBM_AUDIO' END ELSE 'TYPE_WEBM_VIDEO' END AS kind FROM pages")
+@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'TYPE_WEBM_VIDEO' WHEN 1 THEN CASE WHEN regexp_matches(substr(html, 1, 8192), 'V_(VP8|VP9|AV1|MPEG4)') THEN 'TYPE_WEBM_VIDEO' ELSE 'TYPE_WEBM_AUDIO' END ELSE 'TYPE_WEBM_VIDEO' END AS kind FROM pages")
 def webm_sniff(spark, sf_dir):
-    """Pages as containers: with a codec's name within the first 8 KB, without one, and undecodable."""
-    body = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("xx V_VP9 "), F.substring("html", 1, 2000))).otherwise(F.substring("html", 1, 2000))
+    """Whole pages as containers: with a codec's name within the first 8 KB, without one, and undecodable."""
+    body = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("xx V_VP9 "), "html")).otherwise(F.col("html"))
     coded = F.when(F.col("page_id") % 3 == 2, F.lit("%%%")).otherwise(F.base64(F.encode(body, "utf-8")))
     return table(spark, sf_dir, "pages").select("page_id", X.webm_type(coded).alias("kind"))
 

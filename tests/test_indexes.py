@@ -55,7 +55,7 @@ def test_bm25_of_an_index_is_that_of_the_rows(spark, sparse):
 
 
 def test_a_question_reads_its_terms_only(sparse):
-    text = plan(sparse.postings_of(["w3", "w250"]))
+    text = plan(sparse.postings_of(sparse.terms_of("w3 w250")))
     assert "PartitionFilters" in text and "bucket" in text.split("PartitionFilters")[1].split("\n")[0] and "In(term, [w250,w3])" in text
     # a rare term excludes the ranges in which it isn't
     found = sparse.part("postings").where("term = 'w0'").agg(F.count("*"), F.max("n")).first()
