@@ -8,8 +8,8 @@ conditions (other white space, a special token's string), the library gets the t
 from __future__ import annotations
 
 import re
+from array import array
 
-import numpy as np
 from tokenizers import Tokenizer
 
 from quillstone.llm.common import groups
@@ -18,6 +18,8 @@ from quillstone.llm.common import groups
 MEMO, STALE = 700_000, 256
 #: Longer chunks are not remembered.
 LONGEST = 64
+#: Chunks that the library is given at once: few results of it are held together.
+AT_ONCE = 512
 #: White space outside ASCII, in UTF-8.
 OTHER_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 LETTERS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++(?![\x80-\xff])"
@@ -57,8 +59,11 @@ class Encoder:
         self.full = 0
 
     def library_ids(self, texts: list[bytes]) -> list[bytes]:
-        found = self.library.encode_batch([x.decode("utf-8", "replace") for x in texts], add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+        out: list[bytes] = []
+        for i in range(0, len(texts), AT_ONCE):
+            found = self.library.encode_batch_fast([x.decode("utf-8", "replace") for x in texts[i : i + AT_ONCE]], add_special_tokens=False)
+            out += [array("I", x.ids).tobytes() for x in found]
+        return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
