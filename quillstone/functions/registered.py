@@ -13,10 +13,13 @@ EXPRESSIONS = {
 
 
 class Chunks:
-    """Rows n, text: parts of a text of at most so many bytes, ended after the last line break that fits."""
+    """Rows n, text: parts of a text of at most so many bytes (four at least), ended after the last line break that fits.
+
+    It runs row by row in Python, for SQL; in DataFrames use functions.text.split_text, its twin of built-in functions.
+    """
 
     def eval(self, text: str, most: int = 60_000):
-        raw, n = (text or "").encode(), 0
+        raw, n, most = (text or "").encode(), 0, max(most, 4)
         while n == 0 or raw:
             end = len(raw)
             if end > most:

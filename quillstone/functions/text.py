@@ -335,3 +335,35 @@ def first_duration(text: Column) -> Column:
     """The first line that is a positive finite number."""
     numbers = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x).try_cast("double")), lambda x: x.isNotNull() & (x > 0) & (x < float("inf")))
     return F.get(numbers, F.lit(0))
+
+
+#: Collections of a resource name, in order.
+CHUNK_NAME = ("namespaces", "knowledge-bases", "files", "chunks")
+FILE_NAME, SHORT_FILE_NAME, BASE_NAME, OBJECT_NAME = CHUNK_NAME[:3], ("namespaces", "files"), CHUNK_NAME[:2], ("namespaces", "objects")
+
+
+def name_parts(name: Column, kinds: tuple[str, ...]) -> Column:
+    """array<string> of the ids in a name that is made of exactly these collections; null for any other name."""
+    parts = F.split(name, "/")
+    fits = F.size(parts) == 2 * len(kinds)
+    for i, k in enumerate(kinds):
+        fits = fits & (F.get(parts, F.lit(2 * i)) == k)
+    return F.when(fits, F.array(*(F.get(parts, F.lit(2 * i + 1)) for i in range(len(kinds)))))
+
+
+def file_of(name: Column) -> Column:
+    """struct<namespace, kb, file> of a file's name in its base (kb) or in its namespace alone (kb empty); null for any other."""
+    long, short = name_parts(name, FILE_NAME), name_parts(name, SHORT_FILE_NAME)
+    one = lambda a, b, c: F.struct(a.alias("namespace"), b.alias("kb"), c.alias("file"))
+    return F.when(long.isNotNull(), one(long[0], long[1], long[2])).when(short.isNotNull(), one(short[0], F.lit(""), short[1]))
+
+
+def tag_of(name: Column) -> Column:
+    """struct<repository, tag> of a repository tag's name, anywhere in the text; null without one."""
+    found = r"repositories/([^/]+/[^/]+)/tags/([^/]+)"
+    return F.when(name.rlike(found), F.struct(F.regexp_extract(name, found, 1).alias("repository"), F.regexp_extract(name, found, 2).alias("tag")))
+
+
+def has_key(json: Column, key: str) -> Column:
+    """Whether a JSON object has the key at its top, whatever its value; null for text that is no object."""
+    return F.array_contains(F.json_object_keys(json), key)

@@ -17,6 +17,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), F.lit(1))
 
 
+def asked_for(k: int | None) -> int:
+    """The number of hits; none or less than one: the default."""
+    return k if k and k > 0 else TOP_K
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 

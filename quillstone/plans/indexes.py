@@ -128,3 +128,30 @@ def keyed_retag_and_delete(spark, sf_dir):
     held.update(F.col("file_uid") == "f-00000003", {"tags": F.array(F.lit("new"), F.lit("x"))})
     held.delete(F.col("file_uid").isin("f-00000004", "f-00000007"))
     return held.read().select("uid", F.array_join("tags", "|").alias("tags"))
+
+
+@query(f"WITH {VECTORS} SELECT uid, file_uid FROM vec")
+def insert_embeddings(spark, sf_dir):
+    """A collection of the even rows, to which the odd ones are appended."""
+    v = vectors(spark, sf_dir)
+    held = KeyedTable(spark, fresh(spark, "vectors"), ("uid",), 16)
+    held.create(v.where("uid % 2 = 0"))
+    held.append(v.where("uid % 2 = 1"))
+    return held.read().select("uid", "file_uid")
+
+
+@query(f"WITH {VECTORS} SELECT uid, tags, 'there, gone, there' AS life FROM vec WHERE uid % 3 = 0")
+def collection_life(spark, sf_dir):
+    """A collection is made, dropped, and made anew of other rows; each time it is asked whether it is there."""
+    held, life = keyed_vectors(spark, sf_dir), []
+    for change in (lambda: None, held.drop, lambda: held.create(vectors(spark, sf_dir).where("uid % 3 = 0"))):
+        change()
+        life.append("there" if held.exists() else "gone")
+    return held.read().select("uid", F.array_join("tags", "|").alias("tags"), F.lit(", ".join(life)).alias("life"))
+
+
+@query(f"WITH {INDEX}, s AS (SELECT uid, file_uid, round(list_cosine_similarity(embedding, (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score FROM idx), t AS (SELECT * FROM s ORDER BY score DESC, uid LIMIT 5) SELECT uid, file_uid, score FROM t QUALIFY row_number() OVER (PARTITION BY file_uid ORDER BY score DESC, uid) <= 1")
+def search_defaults(spark, sf_dir):
+    """A number of hits and a group size of zero stand for five and one."""
+    near = cell_index(spark, sf_dir).exact(asked(spark, sf_dir, 1), S.asked_for(0), keep=("file_uid",))
+    return S.first_of_each(near, "file_uid", 0).select("uid", "file_uid", "score")

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from quillstone.operators import lifecycle as L
 from quillstone.operators import updates as U
+from quillstone.operators import workflow as W
 from quillstone.operators.catalog import first_by
 from quillstone.plans.adapters import CHUNKS, FILES, KBS, chunks, files, knowledge_bases, live, table
 from quillstone.plans.registry import query
+from quillstone.sources.shared import fresh
 
 NOW = "2024-02-15 00:00:00"
 
@@ -187,3 +189,31 @@ def update_purge(spark, sf_dir):
     """After the retention the rollback side goes with its chunks."""
     begun = U.begin(catalog(spark, sf_dir), "src1", "src1-new")
     return shown(U.purge(U.swap_in(begun, "src1", "src1-new", "src1-old", now()), now() + F.expr("interval 1 day")))
+
+
+def processed(new):
+    """Two chunks with their vectors and a converted file of each file."""
+    each = new.select(F.col("uid").alias("file_uid"), "kb_uid")
+    two = each.select("*", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("n"))
+    return {"chunks": two, "embeddings": two, "converted": each}
+
+
+@query(f"""WITH {FILES}, {KBS}, src AS (SELECT uid, kb_uid, display_name, delete_time IS NOT NULL AS was, doc_id % 3 = 0 AND kb_uid = 'src1' AS late FROM files UNION ALL SELECT 'f-new', 'src1', 'fresh', false, false),
+clones AS (SELECT uid || '+' AS uid, 'src1' AS kb_uid FROM src WHERE kb_uid = 'src1' AND NOT was AND NOT late),
+all_ AS (SELECT uid, CASE WHEN kb_uid = 'src1' THEN 'src1-rollback' ELSE kb_uid END AS kb_uid, NOT was AND NOT late AS live, CASE WHEN was OR uid = 'f-new' THEN 0 ELSE 2 END AS chunks FROM src UNION ALL SELECT uid, kb_uid, true, 2 FROM clones)
+SELECT a.kb_uid, count(*) AS files, count(*) FILTER (live) AS live, sum(chunks)::BIGINT AS chunks, coalesce(any_value(CASE WHEN k.uid = 'src1' THEN 'COMPLETED' ELSE k.update_status END), '') AS status FROM all_ a LEFT JOIN kbs k ON k.uid = a.kb_uid GROUP BY 1""")
+def update_workflow(spark, sf_dir):
+    """An update of one base, ended after the first copies were made and called again; files were deleted and one was added meanwhile."""
+    run = W.Run(spark, fresh(spark, "update"))
+    held = files(spark, sf_dir).select("uid", "kb_uid", "display_name", "create_time", "delete_time", "doc_id")
+    kbs = knowledge_bases(spark, sf_dir).select("uid", F.when(F.col("uid") != "src1", F.col("update_status")).alias("update_status"), "staging", "tags", "parent_kb_uid", "rollback_retention_until")
+    run.start({"kbs": kbs, "files": held} | processed(live(held)))
+    W.update(run, "src1", processed, now(), "REPROCESSED")
+    changed = run.tables()["files"].withColumn("delete_time", F.when((F.col("kb_uid") == "src1") & (F.col("doc_id") % 3 == 0), F.coalesce("delete_time", now())).otherwise(F.col("delete_time")))
+    new = changed.limit(1).select(F.lit("f-new").alias("uid"), F.lit("src1").alias("kb_uid"), F.lit("fresh").alias("display_name"), "create_time", F.lit(None).cast("timestamp").alias("delete_time"), F.lit(-1).cast("long").alias("doc_id"))
+    run.commit("REPROCESSED", {"files": changed.unionByName(new)})
+    W.update(run, "src1", processed, now())
+    c = run.tables()
+    sums = c["files"].groupBy("kb_uid").agg(F.count("*").alias("files"), F.count_if(F.col("delete_time").isNull()).alias("live"))
+    sums = sums.join(c["chunks"].groupBy("kb_uid").agg(F.count("*").alias("chunks")), "kb_uid", "left")
+    return sums.join(c["kbs"].select(F.col("uid").alias("kb_uid"), F.coalesce("update_status", F.lit("")).alias("status")), "kb_uid", "left").select("kb_uid", "files", "live", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("status", F.lit("")).alias("status"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 _queries: dict[str, Callable[..., DataFrame]] = {}
 _sql: dict[str, str] = {}
-MODULES = ("sources", "search", "indexes", "conversion", "catalog", "merges", "texts", "pages", "records", "results", "lifecycle", "streams")
+MODULES = ("sources", "search", "indexes", "conversion", "parts", "catalog", "merges", "texts", "pages", "records", "results", "lifecycle", "streams")
 
 
 def query(sql: str | None = None):

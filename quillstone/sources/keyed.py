@@ -29,6 +29,18 @@ class KeyedTable:
         """rows in buckets; of a key with several rows one must have been chosen."""
         self._dealt(rows).repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(self.folder)
 
+    def append(self, rows: DataFrame) -> None:
+        """Rows of new keys, in files beside those that are there."""
+        self._dealt(rows).repartition(BUCKET).write.mode("append").partitionBy(BUCKET).parquet(self.folder)
+
+    def exists(self) -> bool:
+        return exists(self.spark, self.folder)
+
+    def drop(self) -> None:
+        """The table goes with all its rows; one that isn't there is no error."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def read(self) -> DataFrame:
         return self._held().drop(BUCKET)
 
