@@ -64,13 +64,13 @@ def test_recordings_are_assembled(spark):
         spark,
         ("preface\n[Audio: 0:05] a\n[Audio: 00:00:50] b\n[Page: 1]", 0, 0),
         ("lost\n[Audio: 0:01] told before\nof it\n[Audio: 0:20] c\nmore", 60, 40),
-        ("[Audio: 0:10] back", 60, 0),
+        ("[Audio: 0:10] on\n[Audio: 0:01] back", 60, 0),
         (None, 60, 0),
         ("[Video: 1:00 - 1:05] d", 120, 0),
     ), "id").first()
-    # a line of the overlap goes with what stands before it; lines without a mark after it stay
-    assert got["text"].split("\n") == ["preface", "[Audio: 0:05] a", "[Audio: 00:00:50] b", "", "of it", "[Audio: 00:01:20] c", "more", "", "", "", "", "[Video: 00:03:00 - 00:03:05] d"] or "told before" not in got["text"]
-    assert "lost" not in got["text"] and "back" not in got["text"] and "[Page" not in got["text"] and got["dropped"] == 1 and got["length"] == len(got["text"])
+    # of the second part's overlap, which ends at 1:40, lines up to 0:20 are before 1:25 and go with all above them
+    assert got["text"] == "preface\n[Audio: 0:05] a\n[Audio: 00:00:50] b\n\nmore\n\n[Audio: 00:01:10] on\n\n\n\n[Video: 00:03:00 - 00:03:05] d"
+    assert got["dropped"] == 1 and got["length"] == len(got["text"])
     assert T.assembled_media(parts(spark, (None, 0, 0)), "id").first()["text"] == ""
     assert T.assembled_media(parts(spark).limit(0), "id").count() == 0
 
@@ -92,7 +92,8 @@ def process(new):
     return {"chunks": made, "embeddings": made, "converted": made}
 
 
-UNTIL = F.lit("2025-01-01").cast("timestamp")
+def until():
+    return F.lit("2025-01-01").cast("timestamp")
 
 
 def test_an_update_goes_on_where_it_was_ended(spark, tmp_path):
@@ -106,26 +107,26 @@ def test_an_update_goes_on_where_it_was_ended(spark, tmp_path):
 
     for _ in range(2):
         with pytest.raises(RuntimeError):
-            W.update(run, "a", fails_twice, UNTIL)
+            W.update(run, "a", fails_twice, until())
         assert run.state()[0] == "PREPARED" and run.tables()["files"].count() == 4
-    assert W.update(run, "a", fails_twice, UNTIL) == "SWAPPED"
+    assert W.update(run, "a", fails_twice, until()) == "SWAPPED"
     c = run.tables()
     assert {(r.uid, r.kb_uid) for r in c["files"].collect()} == {(f"f{i}", "a-rollback") for i in range(4)} | {(f"f{i}+", "a") for i in range(4)}
     assert {r.uid: r.update_status for r in c["kbs"].collect()} == {"a": "COMPLETED", "a-rollback": None}
-    assert W.update(run, "a", fails_twice, UNTIL) == "SWAPPED"  # nothing left to do
+    assert W.update(run, "a", fails_twice, until()) == "SWAPPED"  # nothing left to do
 
 
 def test_an_update_whose_sides_differ_fails(spark, tmp_path):
     run = start(spark, tmp_path)
     no_vectors = lambda new: process(new) | {"embeddings": process(new)["embeddings"].limit(1)}
-    assert W.update(run, "a", no_vectors, UNTIL) == "FAILED"
+    assert W.update(run, "a", no_vectors, until()) == "FAILED"
     c = run.tables()
     kb = c["kbs"].first()
     assert (kb.uid, kb.update_status, kb.update_error_message) == ("a", "FAILED", "embeddings and chunks differ") and c["kbs"].count() == 1 and c["files"].count() == 4
     with pytest.raises(ValueError, match="can't be updated"):
         busy = start(spark, tmp_path / "b")
         busy.commit("NEW", {"kbs": busy.tables()["kbs"].withColumn("update_status", F.lit("UPDATING"))})
-        W.update(busy, "a", process, UNTIL)
+        W.update(busy, "a", process, until())
 
 
 def test_metadata_keeps_its_types(spark):
