@@ -12,6 +12,8 @@ STOP_WORDS = (
     "the", "and", "for", "that", "this", "with", "from", "have", "not", "but", "are", "was", "were", "will", "would",
     "change", "replace", "correct", "fix", "should", "instead", "update", "wrong", "typo", "error", "says", "reads", "spell", "misspelled", "name",
 )
+#: Fixed value: the header line of a page.
+PAGE_HEADER = r"\[Page:\s*(\d+)\]"
 #: Documents of so few segments are edited whole.
 SMALL = 5
 CHUNK = "struct<text:string,start:long,end:long,tokens:long,page:int,last_page:int,from_ms:long,to_ms:long>"
@@ -56,10 +58,10 @@ def halves(first: Column, last: Column) -> Column:
 
 def content_segments(text: Column) -> Column:
     """array<struct<page, body>>: pages with their header line, without line feeds at their ends; what comes before the first is page 0."""
-    header = r"(?m)^\[Page:\s*(\d+)\]"
+    header = f"(?m)^{PAGE_HEADER}"
     body = lambda x: F.regexp_replace(x, r"\n+$", "")
-    number = lambda x: F.coalesce(F.regexp_extract(x, r"^\[Page:\s*(\d+)\]", 1).try_cast("int"), F.lit(0))
-    parts = F.transform(F.split(text, r"(?m)(?=^\[Page:\s*\d+\])"), lambda x: F.struct(number(x).alias("page"), body(x).alias("body")))
+    number = lambda x: F.coalesce(F.regexp_extract(x, f"^{PAGE_HEADER}", 1).try_cast("int"), F.lit(0))
+    parts = F.transform(F.split(text, f"(?m)(?=^{PAGE_HEADER})"), lambda x: F.struct(number(x).alias("page"), body(x).alias("body")))
     return F.when(text.rlike(header), F.filter(parts, lambda s: s["body"] != "")).otherwise(F.array(F.struct(F.lit(0).alias("page"), body(text).alias("body"))))
 
 

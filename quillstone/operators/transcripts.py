@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from quillstone.functions.text import STAMP, TAG, line_seconds, merge_tables, seconds, stamp
 
-#: Seconds that a mark may lie beyond a range.
+#: Seconds that a mark may lie beyond a range; the beginning of a mark of what is heard.
 TOLERANCE = 15
+HEARD = r"\[(?:Audio|Sound):"
 
 
 def lines(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -50,11 +51,11 @@ def offset(rows: DataFrame, by: int | Column) -> DataFrame:
 
 def clamp(rows: DataFrame, duration: int) -> DataFrame:
     """Audio and sound marks over the duration: dropped if by more than five seconds, else set to it."""
-    heard = F.col("line").rlike(r"\[(?:Audio|Sound):")
+    heard = F.col("line").rlike(HEARD)
     over = heard & (F.col("sec") > duration)
     rows = rows.where(F.coalesce(~(over & (F.col("sec") > duration + 5)), F.lit(True)))
     last = stamp(F.lit(duration))
-    return rows.withColumn("line", F.when(over, F.regexp_replace("line", F.lit(r"(\[(?:Audio|Sound):\s*)\d{1,2}:\d{2}(?::\d{2})?"), F.concat(F.lit("$1"), last))).otherwise(F.col("line"))).withColumn("sec", line_seconds(F.col("line")))
+    return rows.withColumn("line", F.when(over, F.regexp_replace("line", F.lit(rf"({HEARD}\s*)\d{{1,2}}:\d{{2}}(?::\d{{2}})?"), F.concat(F.lit("$1"), last))).otherwise(F.col("line"))).withColumn("sec", line_seconds(F.col("line")))
 
 
 def entries(rows: DataFrame, key: str) -> DataFrame:
@@ -66,7 +67,7 @@ def entries(rows: DataFrame, key: str) -> DataFrame:
 
 def merge_sides(audio: DataFrame, visual: DataFrame, key: str) -> DataFrame:
     """key, text: entries of both by time, heard before seen at the same second; heard marks among the seen lines go first."""
-    seen = visual.where(~F.col("line").rlike(r"\[(?:Audio|Sound):"))
+    seen = visual.where(~F.col("line").rlike(HEARD))
     both = entries(audio, key).withColumn("side", F.lit(0)).unionByName(entries(seen, key).withColumn("side", F.lit(1)))
     return both.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sec", "side", "block", "entry"))), lambda e: e["entry"]), "\n").alias("text"))
 
