@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstone.sources.shared import exists
+from quillstone.operators.catalog import first_by
+from quillstone.sources.shared import exists, fresh
 
 #: Events may be so late; after that a window's result is final.
 LATENESS = "10 minutes"
@@ -39,3 +40,22 @@ def run_available(stream: DataFrame, folder: str, checkpoint: str, mode: str = "
     if not exists(spark, folder):  # no batch yet
         return spark.createDataFrame([], T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())]))
     return spark.read.parquet(folder)
+
+
+def compact(spark: SparkSession, folder: str, keys: list[str]) -> None:
+    """Of each key the row of its newest batch, in the folder of the last batch; those of the batches before go.
+
+    Between runs, not beside one. The rows are written aside first; ended halfway, it leaves older rows of a key beside the newest.
+    """
+    if not exists(spark, folder):
+        return
+    held = spark.read.parquet(folder)
+    batches = sorted(r[0] for r in held.select("batch").distinct().collect())
+    if len(batches) < 2:
+        return
+    aside = fresh(spark, "compact")
+    first_by(held, keys, [F.col("batch").desc()]).drop("batch").write.parquet(aside)
+    spark.read.parquet(aside).write.mode("overwrite").parquet(f"{folder}/batch={batches[-1]}")
+    for n in batches[:-1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/batch={n}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

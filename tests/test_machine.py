@@ -3,6 +3,7 @@
 import datetime
 import random
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillstone.streaming import machine as M
@@ -78,3 +79,26 @@ def test_streams_without_events(spark, tmp_path):
     stream = spark.readStream.schema("user_id long, event_id long, event_type string, ts timestamp").parquet(f"{tmp_path}/in")
     empty = S.run_available(S.latest(stream), f"{tmp_path}/rows", f"{tmp_path}/latest")
     assert empty.count() == 0 and empty.columns == ["user_id", "n_events", "status", "since", "batch"]
+
+
+def test_batches_are_compacted(spark, tmp_path):
+    schema = "user_id long, event_id long, event_type string, ts timestamp"
+    folder = f"{tmp_path}/rows"
+
+    def put_and_run(n):
+        spark.createDataFrame([(u, 10 * n + u, f"t{n}", START + datetime.timedelta(minutes=n)) for u in range(n, n + 3)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        return S.run_available(S.latest(spark.readStream.schema(schema).parquet(f"{tmp_path}/in")), folder, f"{tmp_path}/state")
+
+    def newest():
+        rows = spark.read.parquet(folder).withColumn("last", F.max("batch").over(Window.partitionBy("user_id"))).where("batch = last")
+        return {(r.user_id, r.n_events, r.status) for r in rows.collect()}
+
+    for n in range(3):
+        put_and_run(n)
+    before = newest()
+    S.compact(spark, folder, ["user_id"])
+    assert newest() == before == {(0, 1, "t0"), (1, 2, "t1"), (2, 3, "t2"), (3, 2, "t2"), (4, 1, "t2")}
+    assert spark.read.parquet(folder).count() == 5 and len(list((tmp_path / "rows").glob("batch=*"))) == 1
+    put_and_run(3)
+    assert newest() == {(0, 1, "t0"), (1, 2, "t1"), (2, 3, "t2"), (3, 3, "t3"), (4, 2, "t3"), (5, 1, "t3")}
+    S.compact(spark, f"{tmp_path}/none", ["user_id"])
