@@ -251,7 +251,7 @@ def augmented(entities: Column, most: int | None = 2000) -> Column:
     if most is None:
         return whole
     cut = F.substr(whole, F.lit(1), F.lit(most))
-    last = F.length(cut) - F.length(F.regexp_extract(cut, r"; (?!.*; )([\s\S]*)$", 0))
+    last = F.length(cut) - F.length(F.regexp_extract(cut, r"; (?![\s\S]*; )[\s\S]*\z", 0))
     return F.when(F.length(whole) <= most, whole).when(last < F.length(cut), F.substr(cut, F.lit(1), last)).otherwise(cut)
 
 
