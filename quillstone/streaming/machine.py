@@ -3,12 +3,16 @@
 A key's events wait in its state until the watermark has passed them, and are then taken in order of their time, each
 once. So what comes out doesn't depend on how events were dealt to batches, as long as none is later than the watermark
 allows. Times are milliseconds inside; a key's state is what waits for the watermark and one small row.
+
+Every call of the state costs a message between Python and the JVM. So events wait in blocks, one a batch and key or some
+more, and a key has a timer for the first that waits, not one an event: calls grow with keys times batches.
 """
 
 from __future__ import annotations
 
 import datetime
 from collections.abc import Iterator
+from itertools import batched
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -23,6 +27,8 @@ TERMINAL = ("FILE_PROCESS_STATUS_COMPLETED", "FILE_PROCESS_STATUS_FAILED")
 ORPHAN_MINUTES = 15
 #: A key that has come to rest is forgotten so many days after its last event; another event finds it new.
 KEEP_DAYS = 30
+#: Events of a block at most.
+BLOCK = 1024
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -35,6 +41,11 @@ def said(key: tuple, at: int, out: tuple[str, str]) -> Row:
     return Row(key=key[0], at=at, value=out[0], what=out[1])
 
 
+def block(events: tuple[tuple, ...]) -> tuple[list, ...]:
+    """Times, ids and values of some events."""
+    return tuple(map(list, zip(*events, strict=True)))
+
+
 class Ordered(StatefulProcessor):
     """Events of a key in order. Subclasses say what a key remembers (MEMORY, NEW), what an event does, and what a time without one does.
 
@@ -46,30 +57,39 @@ class Ordered(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.memory = handle.getValueState("memory", self.MEMORY + ", last long")
-        self.waiting = handle.getMapState("waiting", "at long, id long", "value string")
+        self.waiting = handle.getListState("waiting", "at array<long>, id array<long>, value array<string>")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         seen = timerValues.getCurrentWatermarkInMs()
-        for r in rows:
-            if r.at > seen:
-                self.waiting.updateValue((r.at, r.id), (r.value,))
-                self.handle.registerTimer(r.at)
+        first = None
+        for some in batched(((r.at, r.id, r.value) for r in rows if r.at > seen), BLOCK):
+            self.waiting.appendValue(block(some))
+            first = min(x[0] for x in some) if first is None else min(first, min(x[0] for x in some))
+        if first is not None:
+            self.handle.registerTimer(first)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         until = timerValues.getCurrentWatermarkInMs()
-        *memory, last = before = tuple(self.memory.get()) if self.memory.exists() else (*self.NEW, 0)
+        *memory, last = before = tuple(self.memory.get() or (*self.NEW, 0))
         memory = tuple(memory)
-        for at, id_ in sorted((k[0], k[1]) for k in self.waiting.keys() if k[0] <= until):
+        waiting = {(at, id_): value for b in self.waiting.get() for at, id_, value in zip(*b, strict=True)}  # of equal ones the last
+        due = sorted(k for k in waiting if k[0] <= until)
+        for at, id_ in due:
             for ends, out, memory in self.elapsed(memory, at - 1):
                 yield said(key, ends, out)
             if self.forgotten(memory, last, at - 1):
                 memory = self.NEW
-            out, memory = self.event(memory, at, id_, self.waiting.getValue((at, id_))[0])
+            out, memory = self.event(memory, at, id_, waiting.pop((at, id_)))
             last = at
             for o in out:
                 yield said(key, at, o)
-            self.waiting.removeKey((at, id_))
+        if due and waiting:
+            self.waiting.put([block(some) for some in batched(((*k, v) for k, v in waiting.items()), BLOCK)])
+        elif due:
+            self.waiting.clear()
+        if waiting:
+            self.handle.registerTimer(min(waiting)[0])
         for ends, out, memory in self.elapsed(memory, until):
             yield said(key, ends, out)
         if self.forgotten(memory, last, until):

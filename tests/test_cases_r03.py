@@ -1,8 +1,10 @@
 """Cases that were found at larger sizes."""
 
 import duckdb
+from pyspark.sql import Row
 
 from quillstone.plans import registry
+from quillstone.streaming import machine as M
 
 
 def sql(name, folder, *tables):
@@ -22,3 +24,62 @@ def test_augmented_cut_at_separators(spark, tmp_path):
     got = sorted(tuple(r) for r in registry.queries()["augmented_cut"](spark, str(tmp_path)).select("kb_uid", "t").collect())
     want = sorted(sql("augmented_cut", tmp_path, "part"))
     assert got == want and {t[-1] for _, t in got} == {")", ";"}
+
+
+class Held:
+    """A key's state as the machine sees it, with the number of calls that it took."""
+
+    def __init__(self):
+        self.calls, self.timers, self.values = 0, set(), {}
+
+    def getValueState(self, name, schema):
+        return HeldPart(self, name)
+
+    getListState = getMapState = getValueState
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+
+class HeldPart:
+    def __init__(self, held, name):
+        self.held, self.name = held, name
+
+    def __getattr__(self, call):
+        def made(*given):
+            values = self.held.values
+            self.held.calls += 1
+            if call == "get":
+                return values.get(self.name) if self.name == "memory" else iter(values.get(self.name, []))
+            if call == "appendValue":
+                values.setdefault(self.name, []).append(*given)
+            elif call in ("update", "put"):
+                values[self.name] = given[0]
+            elif call == "clear":
+                values.pop(self.name, None)
+            elif call == "exists":
+                return self.name in values
+
+        return made
+
+
+class At:
+    def __init__(self, watermark):
+        self.watermark = watermark
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+
+def test_calls_of_a_keys_state():
+    """They don't grow with its events: those of a batch wait in blocks, with one timer."""
+    held, machine = Held(), M.StatusMachine()
+    machine.init(held)
+    events = [Row(at=1000 * n, id=n, value=M.TERMINAL[n % 2]) for n in range(1, 3001)]
+    assert not list(machine.handleInputRows((7,), iter(events[::-1] + events[:100]), At(0)))
+    assert held.timers == {1000} and held.calls < 10
+    first = list(machine.handleExpiredTimer((7,), At(2_000_500), None))
+    assert [r["at"] for r in first] == [1000 * n for n in range(1, 2001)] and 2_001_000 in held.timers
+    rest = list(machine.handleExpiredTimer((7,), At(9_000_000), None))
+    assert [r["at"] for r in rest] == [1000 * n for n in range(2001, 3001)] and held.calls < 25
