@@ -5,7 +5,8 @@ A folder holds segments, which are written once. A segment has
 * `documents`: the collection's rows in order of their id, each with its number of terms and its range, which is a
   stretch of BLOCK rows;
 * `postings`: for each term and range the rows that hold the term, the greatest count and the least length among them,
-  in one of BUCKETS partitions by the term's hash and sorted there, so that a question reads its terms' row groups;
+  in one of BUCKETS partitions by the term's hash and sorted in each of its files, so that a question reads its terms'
+  row groups; a range that two tasks read has two blocks of a term, whose rows, counts and bounds add up;
 * `removed` and `dropped`: ids that a later segment removed from earlier ones, and how often their terms occurred;
 * `statistics`: how the numbers of rows and terms changed. It is written last; a segment without it isn't read.
 
@@ -16,8 +17,11 @@ postings of the others only where the bound reaches the k-th score found.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +40,39 @@ def bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """term, range, n, most, least, held: blocks of documents (range, id, dl, terms), a range's one after the other in order of id."""
+    own: list[pa.RecordBatch] = []
+    for batch in batches:
+        ranges = batch.column(0).to_numpy()
+        starts = [0, *(np.flatnonzero(np.diff(ranges)) + 1).tolist(), len(ranges)]
+        for a, b in zip(starts, starts[1:], strict=False):
+            if b > a and own and own[0].column(0)[0].as_py() != ranges[a]:
+                yield range_blocks(own)
+                own = []
+            if b > a:
+                own.append(batch.slice(a, b - a))
+    if own:
+        yield range_blocks(own)
+
+
+def range_blocks(own: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """The blocks of one range."""
+    rows = pa.Table.from_batches(own).combine_chunks()
+    ids, lengths = rows["id"].combine_chunks(), rows["dl"].to_numpy()
+    coded = pa.concat_arrays([b.column(3).flatten() for b in own]).dictionary_encode()
+    at = coded.indices.to_numpy().astype(np.int64) * len(lengths) + np.repeat(np.arange(len(lengths)), lengths)
+    at, counts = np.unique(at, return_counts=True)
+    term, row = np.divmod(at, len(lengths))
+    tf, dl = counts.astype(np.int32), lengths[row].astype(np.int32)
+    heads = np.flatnonzero(np.diff(term, prepend=-1))
+    bounds = np.append(heads, len(term)).astype(np.int32)
+    held = pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays([ids.take(pa.array(row)), pa.array(tf), pa.array(dl)], ["id", "tf", "dl"]))
+    most, least = (np.maximum.reduceat(tf, heads), np.minimum.reduceat(dl, heads)) if len(heads) else (tf, dl)
+    columns = [coded.dictionary.take(pa.array(term[heads])), pa.array(np.full(len(heads), rows["range"][0].as_py(), dtype=np.int64)), pa.array(np.diff(bounds).astype(np.int32)), pa.array(most), pa.array(least), held]
+    return pa.RecordBatch.from_arrays(columns, names=["term", "range", "n", "most", "least", "held"])
+
+
 _parts: dict[tuple, DataFrame | None] = {}
 
 
@@ -81,12 +118,10 @@ class SparseIndex:
         # ids of a partition follow one another, and a partition's first is a multiple of the block
         ordered.withColumn("range", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)).write.mode("overwrite").parquet(f"{self.folder}/documents/{place}")
         documents = spark.read.parquet(f"{self.folder}/documents/{place}")
-        said = documents.select("range", F.col(self.id_).alias("id"), "dl", F.explode(tokens(F.coalesce(self.text, F.lit("")))).alias("term"))
-        counted = said.groupBy("term", "range", "id", "dl").agg(F.count("*").cast("int").alias("tf"))
-        blocks = counted.groupBy("term", "range").agg(
-            F.count("*").cast("int").alias("n"), F.max("tf").alias("most"), F.min("dl").alias("least"), F.sort_array(F.collect_list(F.struct("id", "tf", "dl"))).alias("held")
-        )
-        dealt = blocks.withColumn("bucket", bucket(F.col("term"))).repartitionByRange("bucket", "term", "range").sortWithinPartitions("bucket", "term", "range")
+        said = documents.select("range", F.col(self.id_).alias("id"), "dl", tokens(F.coalesce(self.text, F.lit(""))).alias("terms"))
+        kind = said.schema["id"].dataType.simpleString()
+        blocks = said.mapInArrow(blocks_of, f"term string, range long, n int, most int, least int, held array<struct<id:{kind},tf:int,dl:int>>")
+        dealt = blocks.withColumn("bucket", bucket(F.col("term"))).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "range")
         dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/postings/{place}")
         total = documents.agg(F.count("*").alias("rows"), F.coalesce(F.sum("dl"), F.lit(0)).alias("terms"))
         if removed is not None and (old := self.part("documents")) is not None:

@@ -1,8 +1,10 @@
 """Cases that were found at larger sizes."""
 
 import duckdb
+import pyarrow as pa
 from pyspark.sql import Row
 
+from quillstone.operators.postings import blocks_of
 from quillstone.plans import registry
 from quillstone.streaming import machine as M
 
@@ -83,3 +85,18 @@ def test_calls_of_a_keys_state():
     assert [r["at"] for r in first] == [1000 * n for n in range(1, 2001)] and 2_001_000 in held.timers
     rest = list(machine.handleExpiredTimer((7,), At(9_000_000), None))
     assert [r["at"] for r in rest] == [1000 * n for n in range(2001, 3001)] and held.calls < 25
+
+
+def test_blocks_are_made_where_their_rows_are_read():
+    """A range's blocks need no shuffle, however its rows are dealt to batches."""
+    texts = {1: (0, "a b a"), 2: (0, ""), 5: (0, "c a"), 7: (1, "b"), 8: (1, "b b d"), 9: (4, "a")}
+    rows = [{"range": r, "id": i, "dl": len(t.split()), "terms": t.split()} for i, (r, t) in texts.items()]
+    kind = pa.schema([("range", pa.int64()), ("id", pa.int64()), ("dl", pa.int32()), ("terms", pa.list_(pa.string()))])
+    for size in (1, 2, 3, 6):
+        batches = [pa.RecordBatch.from_pylist(rows[a : a + size], kind) for a in range(0, len(rows), size)]
+        got = [x for b in blocks_of(iter(batches)) for x in b.to_pylist()]
+        want = {(t, r) for r, text in texts.values() for t in text.split()}
+        assert len(got) == len(want) and {(x["term"], x["range"]) for x in got} == want
+        for x in got:
+            held = [{"id": i, "tf": t.split().count(x["term"]), "dl": len(t.split())} for i, (r, t) in texts.items() if r == x["range"] and x["term"] in t.split()]
+            assert (x["held"], x["n"], x["most"], x["least"]) == (held, len(held), max(h["tf"] for h in held), min(h["dl"] for h in held))
