@@ -1,9 +1,12 @@
 """Cases that were found at larger sizes."""
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
+from quillstone.operators.cells import CellIndex, dense_many, unit
 from quillstone.operators.postings import blocks_of
 from quillstone.plans import registry
 from quillstone.streaming import machine as M
@@ -100,3 +103,23 @@ def test_blocks_are_made_where_their_rows_are_read():
         for x in got:
             held = [{"id": i, "tf": t.split().count(x["term"]), "dl": len(t.split())} for i, (r, t) in texts.items() if r == x["range"] and x["term"] in t.split()]
             assert (x["held"], x["n"], x["most"], x["least"]) == (held, len(held), max(h["tf"] for h in held), min(h["dl"] for h in held))
+
+
+def test_cells_are_written_and_scored_in_blocks(spark, tmp_path, monkeypatch):
+    """A small cell is one file, a large one several; a task hands on the best of each query, and a vector's length is computed once."""
+    monkeypatch.setattr("quillstone.operators.cells.FILE_ROWS", 300)
+    rng = np.random.default_rng(4)
+    centres = 4 * rng.normal(size=(20, 8))
+    rows = [(i, (centres[i % 20 if i < 800 else 0] + (0.1 * rng.normal(size=8) if i < 800 else 0)).tolist()) for i in range(2400)]
+    df = spark.createDataFrame(rows, "uid long, embedding array<double>")
+    assert df.select(unit(F.col("embedding")).alias("u"))._jdf.queryExecution().analyzed().toString().count("zip_with") == 1
+    index = CellIndex(spark, str(tmp_path))
+    index.build(df, 5)
+    found = {r["cell"]: (r["n"], r["files"]) for r in index.rows().select("cell", F.input_file_name().alias("file")).groupBy("cell").agg(F.count("*").alias("n"), F.countDistinct("file").alias("files")).collect()}
+    assert sum(n for n, _ in found.values()) == 2400 and {f for n, f in found.values() if n <= 100} == {1} and all(f > 1 for n, f in found.values() if n > 1000)
+    asked = df.where("uid % 300 = 7").select(F.col("uid").alias("query_id"), F.col("embedding").alias("vector"))
+    got = index.exact(asked, 5)
+    assert "MapInArrow" in got._jdf.queryExecution().toString() and sorted(map(tuple, got.collect())) == sorted(map(tuple, dense_many(df, asked, 5).collect()))
+    assert index.search(asked.select("query_id", F.slice("vector", 1, 3).alias("vector")), 5).count() == 0  # of another dimension
+    named = asked.select(F.col("query_id").cast("string").alias("query_id"), "vector")
+    assert index.exact(named, 2500).groupBy("query_id").count().select("count").distinct().collect() == [Row(count=2400)]
