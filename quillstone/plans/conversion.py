@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as X
+from quillstone.functions.text import let
 from quillstone.operators import ranges as G
 from quillstone.operators import transcripts as R
 from quillstone.plans.adapters import table
 from quillstone.plans.registry import query
 from quillstone.plans.texts import HMS
 from quillstone.sources import blobs as B
-from quillstone.sources.shared import once
+from quillstone.sources.shared import dealt, once
 
 
 def page_blobs(spark, sf_dir) -> str:
@@ -57,18 +58,32 @@ said AS (SELECT l.doc_id, l.first, string_agg('[Page: ' || page || ']' || chr(10
 @query(f"WITH RECURSIVE {RANGES} SELECT doc_id, count(*) AS n, md5(string_agg(t, chr(10) || chr(10) ORDER BY first)) AS text FROM said GROUP BY 1")
 def missing_page_bisection(spark, sf_dir):
     """Lines as pages, of a service that takes too long for over 16 pages, forgets the tag of every fifth page but in pairs, and that of every tenth also alone."""
-    pages = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("page", "line")).withColumn("page", (F.col("page") + 1).cast("long"))
+    # rows that share a doc_id are one document, whose pages hold a line of each
+    texts = dealt(table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text").groupBy("doc_id").agg(F.collect_list("text").alias("texts")), "doc_id")
+    page = lambda x, i: F.struct((i + 1).cast("long").alias("page"), x.alias("line"))
+    lines = F.flatten(F.transform("texts", lambda t: F.transform(F.split(t, "\n"), page)))
+
+    def said(p, n):
+        forgotten = ((p["page"] % 5 == 0) & (n > 2)) | ((p["page"] % 10 == 0) & (n == 1))
+        return F.when(forgotten, p["line"]).otherwise(F.concat(F.lit("[Page: "), p["page"].cast("string"), F.lit("]\n"), p["line"]))
+
+    def answers(x):
+        def one(r):
+            n = r["last"] - r["first"] + 1
+            own = F.when(F.size("texts") == 1, F.slice(x, r["first"].cast("int"), n.cast("int"))).otherwise(F.sort_array(F.filter(x, lambda p: p["page"].between(r["first"], r["last"]))))
+            return F.struct(r["first"].alias("first"), r["last"].alias("last"), F.array_join(F.transform(own, lambda p: said(p, n)), "\n").alias("text"))
+
+        return F.transform("ranges", one)
 
     def ask(frontier):
-        each = frontier.select("doc_id", "first", "last", F.explode(F.sequence("first", "last")).alias("page")).join(pages, ["doc_id", "page"])
-        n = F.col("last") - F.col("first") + 1
-        forgotten = ((F.col("page") % 5 == 0) & (n > 2)) | ((F.col("page") % 10 == 0) & (n == 1))
-        said = F.when(forgotten, F.col("line")).otherwise(F.concat(F.lit("[Page: "), F.col("page").cast("string"), F.lit("]\n"), F.col("line")))
-        held = each.groupBy("doc_id", "first", "last").agg(F.sort_array(F.collect_list(F.struct("page", said.alias("said")))).alias("x"))
-        late = F.when(n > 16, "http 504: DEADLINE_EXCEEDED")
-        return held.select("doc_id", "first", "last", F.when(late.isNull(), F.array_join(F.transform("x", lambda p: p["said"]), "\n")).alias("text"), late.alias("error"))
-
-    parts = G.converted(pages.groupBy("doc_id").agg(F.lit(1).alias("first"), F.max("page").alias("last")), ask, "doc_id")
+        late = F.col("last") - F.col("first") + 1 > 16
+        refused = frontier.where(late).select("doc_id", "first", "last", F.lit(None).cast("string").alias("text"), F.lit("http 504: DEADLINE_EXCEEDED").alias("error"))
+        asked = frontier.where(~late).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+        told = asked.join(texts, "doc_id").select("doc_id", F.explode(let(lines, answers)).alias("a"))
+        return refused.unionByName(told.select("doc_id", "a.first", "a.last", "a.text", F.lit(None).cast("string").alias("error")))
+
+    size = F.array_max(F.transform("texts", lambda t: F.size(F.split(t, "\n"))))
+    parts = G.converted(texts.select("doc_id", F.lit(1).alias("first"), size.alias("last")), ask, "doc_id")
     counts = parts.groupBy("doc_id").agg(F.count("*").alias("n"))
     return G.joined(parts, "doc_id").join(counts, "doc_id").select("doc_id", "n", F.md5("text").alias("text"))
 

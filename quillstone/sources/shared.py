@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _found: dict[tuple[str, ...], str] = {}
 
@@ -36,6 +36,15 @@ def once(spark: SparkSession, name: str, key: str, build) -> str:
     return _found[at]
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """df as a table there, dealt by a key into as many buckets as shuffles have partitions: joins on the key don't shuffle it again."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"quillstone_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.bucketBy(n, key).option("path", fresh(spark, "dealt")).saveAsTable(name)
+    return spark.table(name)
+
+
 def exists(spark: SparkSession, folder: str) -> bool:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)

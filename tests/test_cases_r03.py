@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from quillstone.operators import ranges
 from quillstone.operators.cells import CellIndex, dense_many, unit
 from quillstone.operators.postings import blocks_of
 from quillstone.plans import registry
@@ -123,3 +124,21 @@ def test_cells_are_written_and_scored_in_blocks(spark, tmp_path, monkeypatch):
     assert index.search(asked.select("query_id", F.slice("vector", 1, 3).alias("vector")), 5).count() == 0  # of another dimension
     named = asked.select(F.col("query_id").cast("string").alias("query_id"), "vector")
     assert index.exact(named, 2500).groupBy("query_id").count().select("count").distinct().collect() == [Row(count=2400)]
+
+
+def test_pages_are_shuffled_once(spark, tmp_path, monkeypatch):
+    """Documents stay where they are while ranges of them are asked for, and only the answers that are kept are written with their texts."""
+    held = []
+    made = ranges._written
+    monkeypatch.setattr(ranges, "_written", lambda df: held.append((df, made(df))) or held[-1][1])
+    lines = ["\n".join(f"line {i} of {d}" for i in range(n)) for d, n in enumerate((1, 2, 5, 16, 17, 70))]
+    spark.createDataFrame([(d, t) for d, t in enumerate(lines)] + [(9, None), (10, ""), (11, "a\nb"), (11, "c\nd\ne")], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents")
+    duckdb.sql(f"copy (select * from '{tmp_path}/documents/*.parquet') to '{tmp_path}/documents.parquet'")
+    got = sorted(tuple(r) for r in registry.queries()["missing_page_bisection"](spark, str(tmp_path)).collect())
+    want = sorted(sql("missing_page_bisection", tmp_path, "documents"))
+    assert [r[:2] for r in got] == [r[:2] for r in want] and [r for r in got if r[0] != 11] == [r for r in want if r[0] != 11]
+    assert len(held) > 4
+    for df, table in held:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "documents.parquet" not in plan and plan.count("Exchange hashpartitioning") <= 1
+        assert table.where("again and text is not null").isEmpty()
