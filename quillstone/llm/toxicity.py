@@ -277,7 +277,8 @@ def fit(texts: list[bytes], labels: np.ndarray, steps: int = STEPS, seed: int =
 
     At first the worst window is the one whose words speak most for the label, later the one that scores highest.
     """
-    cut = [words_of(x) or [b"\x01"] for x in texts]
+    one: dict[bytes, bytes] = {}  # equal words are held once
+    cut = [[one.setdefault(w, w) for w in words_of(x) or [b"\x01"]] for x in texts]
     toxic, clean = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
     rng = np.random.default_rng(seed)
     if not len(toxic) or not len(clean):
@@ -303,6 +304,8 @@ def fit(texts: list[bytes], labels: np.ndarray, steps: int = STEPS, seed: int =
         elif epoch < EPOCHS - 1:
             scorer = Scorer(net)
             for a, b in groups(texts):
+                if len(scorer.row) > MEMO:
+                    scorer.forget()
                 of, logit = scorer.windows(texts[a:b])
                 heads = np.searchsorted(of, np.arange(b - a + 1))
                 for i in range(b - a):
@@ -361,7 +364,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "
     if last is None:
         return fit([], np.zeros(0, dtype=np.int64))
     held = named.where(F.struct(order[0].alias("o0"), order[1].alias("o1")) <= F.struct(F.lit(last["o0"]).alias("o0"), F.lit(last["o1"]).alias("o1"))).orderBy(*order).limit(sample).select("text_", "label_").collect()
-    return fit([r[0].encode() for r in held], np.array([r[1] for r in held], dtype=np.int64))
+    texts, known = [r[0].encode() for r in held], np.array([r[1] for r in held], dtype=np.int64)
+    del held
+    return fit(texts, known)
 
 
 def score_toxicity(df: DataFrame, network: Network, text: str = "text", score: str = "score") -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -661,3 +662,12 @@ def test_training_takes_whole_texts(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 300_000)
     toxicity.train(docs, labels)
     assert 3 <= len(seen[1][0]) <= 5 and all(t == b"" or t.endswith(b"end") for t in seen[1][0])
+
+
+def test_training_holds_equal_words_once():
+    texts = [b"some words that come again " * 20_000] * 12
+    tracemalloc.start()
+    toxicity.fit(texts, np.zeros(len(texts), dtype=np.int64))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5 * sum(map(len, texts))
